@@ -77,5 +77,5 @@ def schema_with(df: DataFrame, keep: list[str], **added: str) -> T.StructType:
     """The fields ``keep`` of ``df`` and then the added ones, given as name=type."""
     out = T.StructType([T.StructField(c, df.schema[c].dataType, True) for c in keep])
     for name, kind in added.items():
-        out = out.add(name, kind, True)
+        out = out.add(T.StructField(name, T.DataType.fromDDL(kind), True))
     return out
