@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelake.llm import decontaminate, language, lines, pieces
-from ridelake.llm.common import read_table
+from ridelake.llm import decontaminate, jaccard, language, licences, lines, merkle, pieces, records, secrets
+from ridelake.llm.common import read_table, shared_dir
 
 
 def tokenizer(name: str) -> str:
@@ -34,6 +34,23 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.remove_repeats(docs.select("doc_id", "text"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs), ["doc_id"])
+    of_kind = lambda k: F.size(F.filter("findings", lambda x: x.kind == k)).cast("long")
+    written = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+    base = F.filter("findings", lambda x: x.kind != "learned")
+    return found.select(
+        "doc_id",
+        of_kind("assign").alias("n_assign"),
+        of_kind("access").alias("n_access"),
+        of_kind("hex").alias("n_hex"),
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written("findings").alias("spans"),
+        of_kind("learned").alias("n_learned"),
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     coded = pieces.encode(docs, tokenizer("piece_bpe_32k.model"), ["doc_id"])
@@ -45,6 +62,19 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.compare_with_edits(read_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~language.held_out()))
@@ -52,6 +82,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(marked, model, ["doc_id", "held_out"])
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("licence_sentences").cast("long").alias("n_sentences"),
+        F.array_join("licence_sentences", ",").alias("sentences"),
+        F.array_join("licences", ",").alias("licences"),
+    )
+
+
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    records.write(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), path)
+    return records.read(spark, path)
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
