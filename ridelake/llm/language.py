@@ -157,6 +157,11 @@ def held_out(doc_id: str | Column = ID) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def accepted(least: float = 0.3) -> Column:
+    """Of predicted rows: those with a language, of a score that says more than chance among four."""
+    return (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with lang_pred and score. ``keep``: the columns to carry, all by default."""
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
