@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("reports",)
+
+
+def _plans():
+    return [import_module(f"ridelake.plans.{name}") for name in MODULES]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for plan in _plans():
+        found |= {q.__name__: q for q in plan.QUERIES} | getattr(plan, "NAMED", {})
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _plans() for name, sql in plan.SQL.items()}
