@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("reports",)
+MODULES = ("reports", "travel_times")
 
 
 def _plans():
