@@ -6,6 +6,7 @@ gives equal cells on every engine. A cell is named ``size:q:r``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import sqrt
 
 from pyspark.sql import Column
@@ -48,43 +49,59 @@ def planar(lat1, lon1, lat2, lon2) -> Column:
     return F.sqrt((a - c) * (a - c) + (b - d) * (b - d))
 
 
-def axial(lat, lon, size: float) -> tuple[Column, Column]:
-    """Axial coordinates of the hexagon, by rounding in cube coordinates."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def axial(lat, lon, size: float) -> Column:
+    """Axial coordinates of the hexagon (a struct q, r), by rounding in cube coordinates."""
     x, y = plane(lat, lon)
-    q, r = (x * (sqrt(3) / 3) - y / 3) / size, (y * 2 / 3) / size
-    s = -q - r
     near = lambda v: F.floor(v + 0.5).cast("double")
-    rq, rr, rs = near(q), near(r), near(s)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    out_q = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
-    out_r = F.when((dq > dr) & (dq > ds), rr).when(dr > ds, -rq - rs).otherwise(rr)
-    return out_q.cast("long"), out_r.cast("long")
+
+    def rounded(p: Column) -> Column:
+        s = -p.q - p.r
+        return F.struct(
+            near(p.q).alias("q"), near(p.r).alias("r"), near(s).alias("s"),
+            F.abs(near(p.q) - p.q).alias("dq"), F.abs(near(p.r) - p.r).alias("dr"), F.abs(near(s) - s).alias("ds"),
+        )
+
+    def whole(n: Column) -> Column:
+        first = (n.dq > n.dr) & (n.dq > n.ds)
+        q = F.when(first, -n.r - n.s).otherwise(n.q)
+        r = F.when(first, n.r).when(n.dr > n.ds, -n.q - n.s).otherwise(n.r)
+        return F.struct(q.cast("long").alias("q"), r.cast("long").alias("r"))
+
+    exact = F.struct(((x * (sqrt(3) / 3) - y / 3) / size).alias("q"), ((y * 2 / 3) / size).alias("r"))
+    return let(let(exact, rounded), whole)
 
 
 def cell(lat, lon, size: float) -> Column:
-    q, r = axial(lat, lon, size)
-    return F.concat_ws(":", F.lit(str(int(size))), q.cast("string"), r.cast("string"))
+    return let(axial(lat, lon, size), lambda a: F.concat_ws(":", F.lit(str(int(size))), a.q.cast("string"), a.r.cast("string")))
 
 
-def coordinates(cell_: Column) -> tuple[Column, Column]:
-    parts = F.split(cell_, ":")
-    return parts[1].cast("long"), parts[2].cast("long")
+def centre(cell_: Column) -> Column:
+    """Latitude and longitude of a cell's centre (a struct lat, lon)."""
 
+    def place(p: Column) -> Column:
+        size, q, r = p[0].cast("double"), p[1].cast("long"), p[2].cast("long")
+        x, y = size * (sqrt(3) * q + sqrt(3) / 2 * r), size * 1.5 * r
+        return F.struct((y / LAT_M + CENTRE[0]).alias("lat"), (x / LON_M + CENTRE[1]).alias("lon"))
 
-def centre(cell_: Column) -> tuple[Column, Column]:
-    """Latitude and longitude of a cell's centre."""
-    size, (q, r) = F.split(cell_, ":")[0].cast("double"), coordinates(cell_)
-    x, y = size * (sqrt(3) * q + sqrt(3) / 2 * r), size * 1.5 * r
-    return y / LAT_M + CENTRE[0], x / LON_M + CENTRE[1]
+    return let(F.split(cell_, ":"), place)
 
 
 def disk(cell_: Column, rings: int) -> Column:
     """The cells within ``rings`` steps, the cell itself first, then ring by ring."""
-    q, r = coordinates(cell_)
-    size = F.split(cell_, ":")[0]
     steps = [(a, b) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1) if abs(a + b) <= rings]
     steps.sort(key=lambda s: (max(abs(s[0]), abs(s[1]), abs(s[0] + s[1])), s))
-    return F.array(*[F.concat_ws(":", size, (q + a).cast("string"), (r + b).cast("string")) for a, b in steps])
+    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])
+
+    def around(p: Column) -> Column:
+        move = lambda o: F.concat_ws(":", p[0], (p[1].cast("long") + o.a).cast("string"), (p[2].cast("long") + o.b).cast("string"))
+        return F.transform(offsets, move)
+
+    return let(F.split(cell_, ":"), around)
 
 
 def cell_sql(lat: str, lon: str, size: float) -> str:

@@ -49,8 +49,8 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_distance(t: DataFrame) -> DataFrame:
     """Metres between the centres of the pickup's and the dropoff's cell."""
-    (a, b), (c, d) = geo.centre(F.col("pickup_cell")), geo.centre(F.col("dropoff_cell"))
-    return t.withColumn("dist_m", geo.haversine(a, b, c, d))
+    ends = F.struct(geo.centre(F.col("pickup_cell")).alias("a"), geo.centre(F.col("dropoff_cell")).alias("b"))
+    return t.withColumn("dist_m", geo.let(ends, lambda e: geo.haversine(e.a.lat, e.a.lon, e.b.lat, e.b.lon)))
 
 
 def trips_with_coords(spark: SparkSession, sf_dir: str) -> DataFrame:

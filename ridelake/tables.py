@@ -151,7 +151,7 @@ SQL = {
       CASE WHEN (a * b) % 2 = 0 THEN 11.0 ELSE 13.89 END::DOUBLE AS speed_limit, (10 + (a * 7 + b * 3) % 20)::DOUBLE AS base_weight_s
       FROM range(400) x(a) JOIN range(400) y(b) ON (b = a + 1 AND a % 20 < 19) OR (b = a - 1 AND a % 20 > 0) OR b = a + 20 OR b = a - 20""",
 }
-_NEEDS = {"waits": ["trips"]}
+_NEEDS = {"waits": ["trips"], "oneway_edges": ["grid_edges"]}
 
 
 def with_tables(body: str, *names: str) -> str:
