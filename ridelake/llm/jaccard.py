@@ -215,12 +215,12 @@ def order_of(source: DataFrame, share: float, often: int, max_common: int, max_b
     words = (
         p.groupBy(F.shiftright("p", 6).cast("int").alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
-        .toPandas()
+        .toArrow()
     )
     filled = np.zeros(bits // 64, np.uint64)
-    filled[words["w"].to_numpy()] = words["b"].to_numpy(np.int64).view(np.uint64)
-    top = counted.where(F.col("count") >= often).orderBy(F.desc("count"), "h").limit(max_common).select("h").toPandas()
-    return Order(filled, np.sort(top["h"].to_numpy(np.int64).view(np.uint64)), below)
+    filled[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    top = counted.where(F.col("count") >= often).orderBy(F.desc("count"), "h").limit(max_common).select("h").toArrow()
+    return Order(filled, np.sort(top["h"].to_numpy().view(np.uint64)), below)
 
 
 def _first_filter(docs: DataFrame, order: Order) -> DataFrame:
