@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.llm.common import ID, TEXT
+from ridelake.llm.common import ID, TEXT, stored
 
 SPACE = r"[ \t\x0B\f\r]"
 ANY = r"[ \t\n\x0B\f\r]"
@@ -50,6 +50,7 @@ def _windows(docs: DataFrame, least: int) -> DataFrame:
             lambda x: F.struct(F.xxhash64(clean(x)).alias("h"), F.hash(clean(x)).alias("g"), F.length(F.trim(x)).alias("n")),
         ).alias("l"),
     ).where(F.size("l") >= 3)
+    hashed = stored(hashed)  # the lines are cut once, though windows are counted and then marked
     at = lambda i, f: F.col("l")[i][f]
 
     def window(i):
@@ -83,6 +84,7 @@ def remove_repeats(docs: DataFrame, least: int = 40) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and ``n_removed``, the number of lines cut."""
     windows = _windows(docs, least)
     repeated = windows.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    repeated = stored(repeated)  # a join of two tables, not of a table and a sum, is split where a window is very common
     marked = windows.join(repeated, ["a", "b"], "left").where(F.col("again") | (F.col("doc") > F.col("lo")))
     covered = marked.groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos"))
     covered = covered.select(
