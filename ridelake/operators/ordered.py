@@ -25,29 +25,28 @@ def range_of(order: Column, splits: list) -> Column:
     return search(0, len(splits))
 
 
-def running_total(df: DataFrame, order: str, value: str | Column, name: str, ranges: int | None = None) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over all rows up to this one, by ``order`` (unique, not null).
+def running_total(df: DataFrame, order: str, value: str | Column, name: str, by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over all rows up to this one, by ``order`` (unique, not null), within ``by``.
 
-    Rows are dealt into ranges of the order; each range is summed up by itself and
-    then begins at the total of the ranges before it. One number for each range reaches the plan's small side.
+    Rows are dealt into ranges of the order; each range is summed up by itself and then begins at the
+    total of the ranges before it. So a single key of ``by``, or none, still spreads over all ranges.
     """
     spark = df.sparkSession
     ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     splits = splits_of(df, order, ranges)
     value = F.col(value) if isinstance(value, str) else value
     placed = df.withColumn("__range", range_of(F.col(order), splits)).withColumn("__value", value)
-    totals = placed.groupBy("__range").agg(F.sum("__value").alias("__sum"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = placed.groupBy("__range", *by).agg(F.sum("__value").alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__range", *by, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumn("__within", F.sum("__value").over(inside))
-    # ``starts`` has ``ranges`` rows at most
-    joined = summed.join(F.broadcast(starts), "__range")
+    joined = summed.join(starts, ["__range", *by])
     return joined.select(*df.columns, (F.col("__start") + F.col("__within")).alias(name))
 
 
-def dense_ids(df: DataFrame, order: str, name: str = "dense_id") -> DataFrame:
-    """Consecutive numbers from 0 in the order of a unique column."""
-    made = running_total(df, order, F.lit(1).cast("long"), name)
+def dense_ids(df: DataFrame, order: str, name: str = "dense_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Consecutive numbers from 0 in the order of a unique column, within ``by``."""
+    made = running_total(df, order, F.lit(1).cast("long"), name, by)
     return made.withColumn(name, F.col(name) - 1)
 
