@@ -138,3 +138,30 @@ def scan(docs: DataFrame) -> DataFrame:
     licences = F.when(any_known, F.aggregate(rules, state, apply).getField("licences")).otherwise(none)
     longer = F.when(F.size("__b") >= F.size("__a"), F.col("__b")).otherwise(F.col("__a"))
     return found.select(*keep, longer.alias("licence_sentences"), licences.alias("licences"))
+
+
+def sql() -> str:
+    """The same in DuckDB's SQL: doc_id, n_sentences, sentences and licences of every row of documents."""
+    known = ", ".join(f"('{k}', '{v}')" for k, v in KNOWN.items())
+    hints = "|".join(HINTS)
+    found = lambda name, ends: f"""
+  {name} AS (SELECT doc_id, list(name ORDER BY i) AS ids FROM (
+      SELECT doc_id, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS key FROM (
+        SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '{ends}') AS p FROM hinted))
+      WHERE regexp_matches(lower(s), '{hints}')) JOIN known USING (key) GROUP BY doc_id)"""
+    steps = []
+    for i, (licence, names) in enumerate(RULES):
+        ids = "".join(f" {x} " for x in names)
+        steps.append(f"""
+  s{i + 1} AS (SELECT doc_id, a, b, CASE WHEN contains(rest, '{ids}') THEN replace(rest, '{ids}', '  ') ELSE rest END AS rest,
+      CASE WHEN contains(rest, '{ids}') AND NOT list_contains(got, '{licence}') THEN list_append(got, '{licence}') ELSE got END AS got FROM s{i})""")
+    return f"""
+WITH known AS (SELECT * FROM (VALUES {known}) v(key, name)),
+  hinted AS (SELECT doc_id, text FROM documents WHERE regexp_matches(lower(coalesce(text, '')), '{hints}')),
+  {found('plain', SENTENCE_END)},
+  {found('lined', LINE_END)},
+  s0 AS (SELECT doc_id, coalesce(x.ids, []) AS a, coalesce(y.ids, []) AS b,
+      '  ' || array_to_string(coalesce(x.ids, []), '  ') || '  #  ' || array_to_string(coalesce(y.ids, []), '  ') || '  ' AS rest, []::VARCHAR[] AS got
+      FROM documents LEFT JOIN plain x USING (doc_id) LEFT JOIN lined y USING (doc_id)),{",".join(steps)}
+SELECT doc_id, greatest(len(a), len(b))::BIGINT AS n_sentences, array_to_string(CASE WHEN len(b) >= len(a) THEN b ELSE a END, ',') AS sentences,
+       array_to_string(got, ',') AS licences FROM s{len(RULES)}"""

@@ -100,3 +100,18 @@ def remove_repeats(docs: DataFrame, least: int = 40) -> DataFrame:
         F.when(F.col("__gone").isNull(), F.col(TEXT)).otherwise(text).alias(TEXT),
         F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
     ).select(*keep, "n_removed")
+
+
+def sql(least: int = 40) -> str:
+    """The same in DuckDB's SQL: doc_id, text and n_removed of every row of documents (doc_id is unique there)."""
+    return rf"""
+WITH cut AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{LINE}') AS l FROM documents),
+  clean AS (SELECT doc_id, list_transform(l, lambda x: lower(trim(x, ' '))) AS c, list_transform(l, lambda x: length(trim(x, ' '))) AS n FROM cut),
+  windows AS (SELECT doc_id, i AS pos, c[i] AS x, c[i + 1] AS y, c[i + 2] AS z, n[i] + n[i + 1] + n[i + 2] AS size
+              FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM clean)),
+  marked AS (SELECT doc_id, pos FROM windows WHERE size >= {least}
+             QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, pos) > 1),
+  gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM marked) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(g, i)), '') END AS text,
+       coalesce(len(g), 0)::BIGINT AS n_removed
+FROM cut LEFT JOIN gone USING (doc_id)"""

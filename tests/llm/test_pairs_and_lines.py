@@ -91,7 +91,7 @@ def brute_lines(texts: dict) -> dict:
         where.sort()
         first = where[0][0]
         for i, p in where:
-            again = (i, p - 1) in where
+            again = any(j == i and q < p for j, q in where)
             if i > first or again:
                 gone[i] |= {p, p + 1, p + 2}
     return {
