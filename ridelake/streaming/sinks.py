@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ridelake.schemas import TRIP_KEY, TRIPS
 from ridelake.sources import traces
@@ -32,7 +32,7 @@ def append_new(batch: DataFrame, path: str, batch_id: int) -> None:
     spark = batch.sparkSession
     new = traces.conform(batch).dropDuplicates(TRIP_KEY)
     if _exists(spark, path):
-        stored = spark.read.schema(TRIPS.add("batch", "long") if "batch" not in TRIPS.fieldNames() else TRIPS).option("ignoreCorruptFiles", True)
+        stored = spark.read.schema(StructType([*TRIPS.fields, StructField("batch", LongType())])).option("ignoreCorruptFiles", True)
         known = stored.parquet(path).where(F.col("batch") != batch_id).select(*TRIP_KEY)
         same = [new[c].eqNullSafe(known[c]) for c in TRIP_KEY]
         new = new.join(known, same, "left_anti")
