@@ -15,8 +15,9 @@ required before the texts are compared.
    documents end here.
 2. The rest, one document for each distinct set, is counted and filtered again with all of
    its shingles.
-3. Each document is compared with one leader that it shares many prefix shingles
-   with; a large group of near copies collapses in this step.
+3. Prefixes are made for classes of partner sizes, for partners of like size share more and
+   so need a shorter prefix. Each document is compared with one leader at a time, the document in the middle of those
+   it shares prefix shingles with; a large group of near copies collapses in this step.
 4. Documents of different components that share enough of their prefixes are
    compared with each other. Pairs within a component are not made.
 5. Components by label propagation with pointer jumping.
@@ -43,6 +44,8 @@ from ridelake.llm.common import ID, TEXT, slices, stored
 
 WORDS = 5
 PERCENT = 75
+#: Ratio of the size classes that prefixes are made for.
+RATIO = 1.1
 #: Odd constants of the hashes.
 BASE, STEP, SALT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 MASK = (1 << 64) - 1
@@ -310,19 +313,74 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def prefixes(nodes: DataFrame, level) -> DataFrame:
+    """(fp, n, own, lo, hi, token): the prefix of each set towards every class of partner sizes.
+
+    Sizes fall into classes of ratio ``RATIO``; ``own`` is the set's class, ``lo`` and ``hi`` are its class and the partners' in order.
+    A partner of m shingles shares at least PERCENT * (n + m) / (100 + PERCENT), so partners of like size allow a shorter
+    prefix than the smallest partner does. Rows of a pair of sets meet under one (token, lo, hi).
+    """
+    class_of = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(RATIO))).cast("int")
+    n, least_partner = F.col("n"), F.ceil(F.col("n") * PERCENT / 100)
+    most_partner = F.floor(n * 100 / PERCENT)
+    each = nodes.withColumn("own", class_of(n)).withColumn("b", F.explode(F.sequence(class_of(least_partner), class_of(most_partner))))
+    # a class begins at this size at the earliest; a lower bound only makes the prefix longer
+    m = F.greatest(F.floor(F.pow(F.lit(RATIO), F.col("b"))), least_partner)
+    shared = F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    each = each.withColumn("k", (n - shared + level - F.col("once")).cast("int")).where("k > 0")
+    tokens = F.explode(F.slice("tokens", F.lit(1), F.col("k")))
+    more = [c for c in ("l",) if c in nodes.columns]
+    return each.select("fp", "n", *more, "own", F.least("own", "b").alias("lo"), F.greatest("own", "b").alias("hi"), tokens.alias("token"))
+
+
+PLACE = ["token", "lo", "hi"]
+
+
+def _several(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """``rows`` (fp, token, lo, hi, price) with their component (v, label), where sets of several components meet."""
+    named = rows.join(part.select(F.col("v").alias("fp"), F.col("label").alias("part")), "fp")
+    met = named.groupBy(*PLACE).agg(F.max(F.struct("price", "fp", "part")).alias("b"), F.min("part").alias("least"), F.max("part").alias("most"))
+    met = met.where("least != most").select(*PLACE, F.col("b.fp").alias("leader"), F.col("b.part").alias("of"))
+    return stored(named.join(met, PLACE))
+
+
+def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (v, label) after links (a, b): each group moves to the least group it is linked with, and from there once
+    more. Groups hold linked sets only; the components proper are made at the end."""
+    name = lambda end: part.select(F.col("v").alias(end), F.col("label").alias(f"of_{end}"))
+    pairs = links.join(name("a"), "a").join(name("b"), "b").where("of_a != of_b")
+    moves = stored(pairs.groupBy(F.greatest("of_a", "of_b").alias("label")).agg(F.min(F.least("of_a", "of_b")).alias("to")))
+    further = moves.select(F.col("label").alias("to"), F.col("to").alias("then"))
+    moves = moves.join(further, "to", "left").select("label", F.coalesce("then", "to").alias("to"))
+    return stored(part.join(moves, "label", "left").select("v", F.coalesce("to", "label").alias("label")))
+
+
+def _leaders(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(fp, leader): each set and the leader, of another component, that it shares most prefix shingles with.
+
+    Under each (token, lo, hi) the leader is the set that meets most others: in a group of near copies the one in the middle.
+    """
+    led = rows.where("part != of").groupBy("fp", "leader").count()
+    if tried is not None:
+        led = led.join(tried, ["fp", "leader"], "left_anti")
+    best = led.groupBy("fp").agg(F.max(F.struct("count", "leader")).alias("best"))
+    return stored(best.select("fp", F.col("best.leader").alias("leader")))
+
+
 def near_duplicates(
     docs: DataFrame,
     share: float = 0.4,
     often: int = 64,
     max_common: int = 100_000,
     max_bits: int = 1 << 28,
-    matches: int = 16,
+    matches: int = 8,
     cost: int = 256,
+    rounds: int = 3,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
-    ``matches``: the largest number of shared prefix shingles required;
-    ``cost``: the number of other documents met in the shortest prefix above which more is required.
+    ``matches``: the largest number of shared prefix shingles required; ``cost``: the number of others met in the shortest
+    prefix above which more are required; ``rounds``: comparisons with leaders before pairs are made.
     The other parameters bound what is broadcast.
     """
     first = order_of(docs, share, often, max_common, max_bits)
@@ -331,42 +389,44 @@ def near_duplicates(
     second = order_of(active, 1.0, often, max_common, max_bits)
     nodes = stored(_second_filter(active, second, matches))
 
-    t = F.floor((F.col("n") * PERCENT + 99) / 100)
-    places = nodes.select("fp", "n", t.alias("t"), "once", F.posexplode("tokens").alias("pos", "token"))
-    places = places.withColumn("rank", F.col("once") + F.col("pos"))
-    short = places.where("rank < n - t + 1")
-
-    # leaders: of each prefix shingle, among documents of like size, the one of least fp
-    size = F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("size")
-    mine = short.select("fp", "token", size)
-    leaders = mine.groupBy("token", "size").agg(F.min("fp").alias("leader"), F.count("*").alias("met")).where("met > 1")
-    led = mine.join(leaders, ["token", "size"]).where("fp != leader").groupBy("fp", "leader").count()
-    led = led.groupBy("fp").agg(F.max(F.struct("count", "leader")).alias("best"))
-    links = stored(verified(led.select(F.col("fp").alias("b"), F.col("best.leader").alias("a")), active))
-    part = components(links)
+    # sets that meet no other under any shingle are done
+    short = prefixes(nodes, 1)
+    met = short.groupBy(*PLACE).agg((F.count("*") - 1).alias("met")).where("met > 0")
+    short = short.join(met, PLACE)
+    price = stored(short.groupBy("fp").agg(F.sum("met").alias("price")))
+    short = short.join(price, "fp").select("fp", *PLACE, "price")
+
+    part, links, tried = price.select(F.col("fp").alias("v"), F.col("fp").alias("label")), None, None
+    for _ in range(rounds):
+        short = _several(short.select("fp", *PLACE, "price"), part)  # what is settled does not come back
+        led = _leaders(short, tried)
+        more = stored(verified(led.select(F.col("fp").alias("b"), F.col("leader").alias("a")), active))
+        tried = led if tried is None else tried.unionByName(led)
+        links = more if links is None else links.unionByName(more)
+        if not more.limit(1).count():
+            break
+        part = _merged(part, more)
+
+    # sets whose shortest prefix meets their own component only have no link left to find
+    wanted = stored(_several(short.select("fp", *PLACE, "price"), part).select("fp", "lo", "hi").distinct())
 
     # adaptive prefixes: more matches where the shortest prefix meets many documents
-    met = short.groupBy("token").agg((F.count("*") - 1).alias("met")).where("met > 0")
-    price = short.join(met, "token").groupBy("fp").agg(F.sum("met").alias("price"))
-    level = F.when(F.col("price") <= cost, 1).otherwise(F.lit(matches))
-    chosen = places.join(price, "fp").withColumn("l", F.least(level, F.col("t"))).where("rank < n - t + l")
-    chosen = chosen.join(part.select(F.col("v").alias("fp"), "label"), "fp", "left")
-    chosen = chosen.select("token", "fp", "n", "l", F.coalesce("label", "fp").alias("part"))
-    mixed_tokens = chosen.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
-    chosen = stored(chosen.join(mixed_tokens.select("token"), "token"))
-    x, y = chosen.alias("x"), chosen.alias("y")
-    alike = (F.col("x.part") < F.col("y.part")) & (
-        F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
-    )
-    pairs = (
-        x.join(y, F.col("x.token") == F.col("y.token"))
-        .where(alike)
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.least("x.l", "y.l").alias("l"))
-        .groupBy("a", "b", "l")
-        .count()
-        .where("count >= l")
-    )
-    more = stored(verified(pairs, active))
+    t = F.floor((F.col("n") * PERCENT + 99) / 100)
+    grown = F.ceil(F.log2(F.col("price") / cost)) + 1
+    level = F.least(F.when(F.col("price") <= cost, 1).otherwise(F.least(grown, F.lit(matches))), t)
+    chosen = prefixes(nodes.join(price, "fp").withColumn("l", level.cast("int")), F.col("l"))
+    chosen = chosen.join(wanted, ["fp", "lo", "hi"], "left_semi")
+    chosen = chosen.join(part.select(F.col("v").alias("fp"), F.col("label").alias("part")), "fp")
+    chosen = stored(chosen.select(*PLACE, "fp", "n", "own", "l", "part"))
+    several = chosen.groupBy(*PLACE).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most")
+    chosen = stored(chosen.join(several.select(*PLACE), PLACE))
+    x = chosen.where("own = lo").select(*PLACE, *[F.col(c).alias(f"x_{c}") for c in ("fp", "n", "l", "part")])
+    y = chosen.where("own = hi").select(*PLACE, *[F.col(c).alias(f"y_{c}") for c in ("fp", "n", "l", "part")])
+    apart = F.when(F.col("lo") == F.col("hi"), F.col("x_part") < F.col("y_part")).otherwise(F.col("x_part") != F.col("y_part"))
+    alike = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT
+    pairs = x.join(y, PLACE).where(apart & alike).select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"), F.least("x_l", "y_l").alias("l"))
+    pairs = pairs.groupBy("a", "b", "l").count().where("count >= l")
+    more = stored(verified(pairs.join(tried.select(F.col("leader").alias("a"), F.col("fp").alias("b")), ["a", "b"], "left_anti"), active))
     part = components(links.unionByName(more))
 
     docs_in = rows.select(ID, "fp", "n").join(part.select(F.col("v").alias("fp"), "label"), "fp", "left")
@@ -383,3 +443,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose component has one of smaller doc_id."""
     found = near_duplicates(docs).where(F.col(ID) != F.col("component_id")).select(ID).distinct()
     return docs.join(found, ID, "left_anti")
+
+
+def sql() -> str:
+    """The same in DuckDB's SQL, by all shingles that two documents share."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM words),
+  each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+  links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+  reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = doc_id"""
