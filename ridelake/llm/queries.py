@@ -114,4 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": urls.sql()}
+    return {
+        "op1_url_filter": urls.sql(),
+        "op3_line_dedup": lines.sql(),
+        "op8_licence_scan": licences.sql(),
+        "op10_ngram_jaccard": jaccard.sql(),
+    }
