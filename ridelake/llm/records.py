@@ -19,7 +19,8 @@ record's file, offset, length and number of ids; ``shuffled`` reads records in a
 
 Encoding goes by chunks: a blank between two characters that aren't white space always begins a new
 word of the tokenizer's pattern, so each distinct chunk is encoded once in a task and its ids
-are put together by position. Tokenizers of another kind encode whole texts.
+are put together by position. Texts of plain Latin characters are cut into the pattern's words here, and only the library's
+model runs on the distinct ones. Tokenizers of another kind encode whole texts.
 
 Defined results: null and empty texts have the end id only. Null doc_ids come first, ties are ordered by
 a hash of the text. Columns besides doc_id and text are not written.
@@ -45,6 +46,11 @@ HEAD, BODY = struct.Struct("<QI"), struct.Struct("<Bq")
 WIDE, NO_ID = 1, 2
 #: A blank next to other white space: there a chunk may not end.
 UNSAFE, SAFE = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters; texts of these, digits, ASCII marks and single blanks or line feeds between them, and the words that
+#: the tokenizer's pattern finds there.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+PLAIN = re.compile(f"(?:[!-~{LETTERS}]++|[ \n](?=[!-~{LETTERS}]))*+")
+WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[ ]?[{LETTERS}]+|[ ]?[0-9]+|[ ]?[^ \n0-9{LETTERS}]+|\n")
 
 
 def masked(data: bytes) -> int:
@@ -72,24 +78,37 @@ def unframe(data: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
     return None if flags & NO_ID else doc, ids, at + size + 17
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts, by a table of distinct chunks."""
 
-    def __init__(self, path: str, table_rows: int = 500_000):
+    def __init__(self, path: str, table_rows: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer, self.rows, self.table = Tokenizer.from_file(path), table_rows, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", ())
         self.by_chunk = (
             spec.get("normalizer") is None
             and pre.get("type") == "ByteLevel"
             and not pre.get("add_prefix_space")
             and pre.get("use_regex", True)
-            and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", ()))
+            and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in added)
         )
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
+        self.letters, self.words = _byte_letters(), Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = Split(self.letters[10], "isolated")
+        self.feed = self.tokenizer.token_to_id(self.letters[10])
+        self.by_chunk = self.by_chunk and self.feed is not None
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -100,17 +119,38 @@ class Encoder:
         first, *rest = SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def learn(self, chunks: set[str]) -> None:
+        new = list(chunks.difference(self.table))
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
+            self.table.update(zip(part, (np.array(x, np.uint32).tobytes() for x in self.ids(part)), strict=True))
+
+    def learn_words(self, words: set[str]) -> None:
+        """Encode words that are one word of the pattern each: many at a time, parted by line feeds, whose id parts the ids."""
+        new = list(words.difference(self.table, "\n"))
+        for at in range(0, len(new), 20_000):
+            part = [new[i : i + 400] for i in range(at, min(at + 20_000, len(new)), 400)]
+            joined = ["\n".join(x).encode().decode("latin-1").translate(self.letters) for x in part]
+            for group, coded in zip(part, self.words.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(coded.ids, np.uint32)
+                ends = np.flatnonzero(ids == self.feed)
+                data, a = ids.tobytes(), 0
+                for word, b in zip(group, [*ends.tolist(), len(ids)], strict=True):
+                    self.table[word] = data[4 * a : 4 * b]
+                    a = b + 1
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.array(x, np.uint32) for x in self.ids(texts)]
-        cut = [self.chunks(t) for t in texts]
-        every = set().union(*cut)
-        if len(self.table) + len(every) > self.rows:
+        plain = [PLAIN.fullmatch(t) is not None and not self.added.search(t) for t in texts]
+        cut = [WORDS.findall(t) if p else self.chunks(t) for t, p in zip(texts, plain, strict=True)]
+        words = set().union(*(x for x, p in zip(cut, plain, strict=True) if p))
+        chunks = set().union(*(x for x, p in zip(cut, plain, strict=True) if not p))
+        if len(self.table) + len(words) + len(chunks) > self.rows:
             self.table.clear()
-        new = [x for x in every if x not in self.table]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.table.update(zip(part, (np.array(x, np.uint32).tobytes() for x in self.ids(part)), strict=True))
+        self.table["\n"] = np.array([self.feed], np.uint32).tobytes()
+        self.learn_words(words)
+        self.learn(chunks)
         get = self.table.__getitem__
         return [np.frombuffer(b"".join(map(get, x)), np.uint32) for x in cut]
 
@@ -125,7 +165,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0) -> N
     def run(batches):
         encoder = Encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             coded = encoder.encode([x or "" for x in batch.column(TEXT).to_pylist()])
             made = [frame(doc, np.append(x, end), encoder.wide) for doc, x in zip(batch.column(ID).to_pylist(), coded, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
