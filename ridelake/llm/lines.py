@@ -10,6 +10,12 @@ marked; the lines under marked windows, which may overlap, go. A run of one
 repeated line keeps its first. Windows of fewer than ``least`` characters
 don't count: three very short lines meet by chance.
 
+``remove_passages`` does the same with lines that depend on the content alone, so a passage is found
+wherever it was pasted: a line ends at a line break, at the end of a sentence, and at the word
+of least hash among each ``SPREAD`` words in a row. A run of 48 equal words thus holds
+three equal lines, whatever stands before it. Lines are compared without white space at
+their ends, with inner runs folded. The SQL says ``remove_repeats``.
+
 Work moves as hashes: the text crosses the network once, at the end. A window that many documents
 share is summed up before the shuffle, and the join back to its places can be split.
 
@@ -32,22 +38,57 @@ NOT = r"[^ \t\n\x0B\f\r]"
 #: Up to four words, then words until a sentence ends, sixteen in all; the space behind belongs to it.
 LINE = rf"{ANY}*(?:{NOT}+{SPACE}+){{0,4}}(?:{NOT}*[^ \t\n\x0B\f\r.!?]{SPACE}+){{0,11}}{NOT}+{ANY}*"
 LAST = (1 << 63) - 1
+#: Any white space, what ends a line, and scripts written without blanks, of which each character is a word.
+WHITE = r"[\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+BREAKS = r"[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FFF\u3001-\u9FFF\uF900-\uFAFF\uFF00-\uFFEF"
+WORD = rf"{WHITE}*(?:[{DENSE}]|[^{DENSE}{WHITE[1:]}+){WHITE}*"
+#: Behind such a word a line ends.
+END = rf"[.!?\u3002\uFF01\uFF1F]{WHITE}*$|{BREAKS}"
+SPREAD, MARK = 12, "\x01"
 
 
 def lines(text: str = TEXT):
     return F.regexp_extract_all(F.col(text), F.lit(LINE), F.lit(0))
 
 
-def _windows(docs: DataFrame, least: int) -> DataFrame:
+def _content_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with __line, the lines of the text that depend on the content alone."""
+    clean = lambda x: F.lower(F.btrim(x, F.lit(BLANKS)))
+    near = lambda name, i: [F.get(F.col(name), i + k) for k in range(SPREAD)]
+    text = F.replace(TEXT, F.lit(MARK), F.lit(MARK + "-"))  # so that MARK + "|" is never the text's own
+    split = docs.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    # the hash above the place: unlike for any two words, the earlier of like ones the greater
+    hashes = F.transform("__words", lambda x, i: F.shiftleft(F.hash(clean(x)).cast("long"), 32) - i)
+    marked = split.withColumn("__hash", hashes)
+    starts = F.when(F.size("__hash") >= SPREAD, F.sequence(F.lit(0), F.size("__hash") - SPREAD))
+    marked = marked.withColumn("__least", F.transform(starts, lambda i: F.least(*near("__hash", i))))
+    # a word is the least of some stretch around it where the greatest of their minima is its own hash
+    picked = lambda i: F.coalesce(F.greatest(*near("__least", i - (SPREAD - 1))) == F.get("__hash", i), F.lit(False))
+    ended = F.transform("__words", lambda x, i: F.when(x.rlike(END) | picked(i), F.concat(x, F.lit(MARK + "|"))).otherwise(x))
+    line = F.filter(F.split(F.array_join(ended, ""), rf"{MARK}\|"), lambda x: x != "")
+    marked = marked.withColumn("__line", line).drop("__words", "__hash", "__least")
+    return marked.withColumn("__line", F.transform("__line", lambda x: F.replace(x, F.lit(MARK + "-"), F.lit(MARK))))
+
+
+def _folded(line):
+    """A line as it is compared."""
+    return F.lower(F.trim(F.regexp_replace(line, rf"{WHITE}+", " ")))
+
+
+def _windows(docs: DataFrame, least: int, content: bool = False) -> DataFrame:
     """doc: order of the document; k1, k2: its key; pos, a, b: place and hash of each
     window; again: whether the document holds the window before."""
-    clean = lambda x: F.lower(F.trim(x))
-    hashed = docs.select(
+    clean = (lambda x: x) if content else lambda x: F.lower(F.trim(x))
+    size = F.length if content else lambda x: F.length(F.trim(x))
+    made = F.transform("__line", _folded) if content else lines()
+    hashed = (_content_lines(docs) if content else docs).select(
         F.coalesce(F.col(ID), F.lit(LAST)).alias("doc"),
         *_key(),
         F.transform(
-            lines(),
-            lambda x: F.struct(F.xxhash64(clean(x)).alias("h"), F.hash(clean(x)).alias("g"), F.length(F.trim(x)).alias("n")),
+            made,
+            lambda x: F.struct(F.xxhash64(clean(x)).alias("h"), F.hash(clean(x)).alias("g"), size(x).alias("n")),
         ).alias("l"),
     ).where(F.size("l") >= 3)
     hashed = stored(hashed)  # the lines are cut once, though windows are counted and then marked
@@ -82,7 +123,16 @@ def _key():
 
 def remove_repeats(docs: DataFrame, least: int = 40) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and ``n_removed``, the number of lines cut."""
-    windows = _windows(docs, least)
+    return _without_repeats(docs, least, False)
+
+
+def remove_passages(docs: DataFrame, least: int = 40) -> DataFrame:
+    """The same with lines that depend on the content alone."""
+    return _without_repeats(docs, least, True)
+
+
+def _without_repeats(docs: DataFrame, least: int, content: bool) -> DataFrame:
+    windows = _windows(docs, least, content)
     repeated = windows.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
     repeated = stored(repeated)  # a join of two tables, not of a table and a sum, is split where a window is very common
     marked = windows.join(repeated, ["a", "b"], "left").where(F.col("again") | (F.col("doc") > F.col("lo")))
@@ -92,7 +142,12 @@ def remove_repeats(docs: DataFrame, least: int = 40) -> DataFrame:
     )
     keep = [c for c in docs.columns if c not in ("n_removed", "k1", "k2")]
     joined = docs.select(*keep, *_key()).join(covered, ["k1", "k2"], "left")
-    cut = joined.withColumn("__line", F.when(F.col("__gone").isNotNull(), lines()))
+    if content:
+        known = F.col("__gone").isNotNull()
+        cut = _content_lines(joined.withColumn("__whole", F.col(TEXT)).withColumn(TEXT, F.when(known, F.col(TEXT))))
+        cut = cut.withColumn(TEXT, F.col("__whole"))
+    else:
+        cut = joined.withColumn("__line", F.when(F.col("__gone").isNotNull(), lines()))
     left = F.array_except(F.sequence(F.lit(0), F.size("__line") - 1), F.col("__gone"))
     text = F.array_join(F.transform(left, lambda i: F.col("__line")[i]), "")
     return cut.select(

@@ -123,6 +123,21 @@ def test_line_dedup_matches_brute_force(spark):
     assert lines.remove_repeats(df.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_passages_are_found_wherever_they_stand(spark):
+    """Pasted into a paragraph, with other line breaks' bytes, at a text's end; with and without punctuation."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 9)))
+    plain = " ".join(word() for _ in range(60))
+    wrapped = "\n".join(" ".join(word() for _ in range(10)) for _ in range(6))
+    texts = [plain, f"aa bb cc. {plain} dd ee", f"so it was {plain}", wrapped, f"xx yy\n{wrapped}\n\nzz".replace("\n", "\r\n"), f"un deux {wrapped}\t "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x for x in lines.remove_passages(df).collect()}
+    for i, first in ((0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3)):
+        left = sum(w in got[i].text.split() for w in texts[first].split())
+        assert left == 60 if i == first else left <= 24, (i, left)
+    assert got[0].text == plain and got[3].text == wrapped and got[1].text.startswith("aa bb cc.") and got[1].text.endswith(" dd ee")
+
+
 def edit_distance_inside(pattern: str, text: str) -> int:
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
