@@ -14,7 +14,8 @@ don't count: three very short lines meet by chance.
 wherever it was pasted: a line ends at a line break, at the end of a sentence, and at the word
 of least hash among each ``SPREAD`` words in a row. A run of 48 equal words thus holds
 three equal lines, whatever stands before it. Lines are compared without white space at
-their ends, with inner runs folded. The SQL says ``remove_repeats``.
+their ends, with inner runs folded. There all windows count, and ``least`` is asked of each whole run of
+lines that would go, so long lists of short lines are found. The SQL says ``remove_repeats``.
 
 Work moves as hashes: the text crosses the network once, at the end. A window that many documents
 share is summed up before the shuffle, and the join back to its places can be split.
@@ -69,7 +70,19 @@ def _content_lines(docs: DataFrame) -> DataFrame:
     ended = F.transform("__words", lambda x, i: F.when(x.rlike(END) | picked(i), F.concat(x, F.lit(MARK + "|"))).otherwise(x))
     line = F.filter(F.split(F.array_join(ended, ""), rf"{MARK}\|"), lambda x: x != "")
     marked = marked.withColumn("__line", line).drop("__words", "__hash", "__least")
-    return marked.withColumn("__line", F.transform("__line", lambda x: F.replace(x, F.lit(MARK + "-"), F.lit(MARK))))
+    whole = F.transform("__line", lambda x: F.replace(x, F.lit(MARK + "-"), F.lit(MARK)))
+    # always true; a filter pushed below would have the columns above worked out anew for each word
+    return marked.withColumn("__line", F.when(F.monotonically_increasing_id() >= 0, whole))
+
+
+def _long_runs(least: int):
+    """The places in __gone, in order, whose run of neighbours has at least ``least`` characters in all."""
+    gone, line = F.col("__gone"), F.col("__line")
+    first = F.filter(gone, lambda x, i: (i == 0) | (F.get(gone, i - 1) < x - 1))
+    last = F.filter(gone, lambda x, i: (i == F.size(gone) - 1) | (F.get(gone, i + 1) > x + 1))
+    chars = lambda x: F.length(_folded(F.get(line, x)))
+    runs = F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda r: F.sequence(r["a"], r["b"]))
+    return F.flatten(F.filter(runs, lambda r: F.aggregate(r, F.lit(0), lambda s, x: s + chars(x)) >= least))
 
 
 def _folded(line):
@@ -103,7 +116,7 @@ def _windows(docs: DataFrame, least: int, content: bool = False) -> DataFrame:
         )
 
     made = F.transform(F.sequence(F.lit(0), F.size("l") - 3), window)
-    each = hashed.select("doc", "k1", "k2", F.array_sort(F.filter(made, lambda w: w.n >= least)).alias("w"))
+    each = hashed.select("doc", "k1", "k2", F.array_sort(made if content else F.filter(made, lambda w: w.n >= least)).alias("w"))
     before = lambda i: F.col("w")[i - 1]
     again = F.transform(
         "w",
@@ -127,7 +140,7 @@ def remove_repeats(docs: DataFrame, least: int = 40) -> DataFrame:
 
 
 def remove_passages(docs: DataFrame, least: int = 40) -> DataFrame:
-    """The same with lines that depend on the content alone."""
+    """The same with lines that depend on the content alone; ``least`` holds for a whole run of lines that go."""
     return _without_repeats(docs, least, True)
 
 
@@ -145,7 +158,9 @@ def _without_repeats(docs: DataFrame, least: int, content: bool) -> DataFrame:
     if content:
         known = F.col("__gone").isNotNull()
         cut = _content_lines(joined.withColumn("__whole", F.col(TEXT)).withColumn(TEXT, F.when(known, F.col(TEXT))))
-        cut = cut.withColumn(TEXT, F.col("__whole"))
+        cut = cut.withColumn(TEXT, F.col("__whole")).withColumn("__gone", F.array_sort("__gone"))
+        cut = cut.withColumn("__gone", _long_runs(least))
+        cut = cut.withColumn("__gone", F.when(F.size("__gone") > 0, F.col("__gone")))
     else:
         cut = joined.withColumn("__line", F.when(F.col("__gone").isNotNull(), lines()))
     left = F.array_except(F.sequence(F.lit(0), F.size("__line") - 1), F.col("__gone"))

@@ -138,6 +138,20 @@ def test_passages_are_found_wherever_they_stand(spark):
     assert got[0].text == plain and got[3].text == wrapped and got[1].text.startswith("aa bb cc.") and got[1].text.endswith(" dd ee")
 
 
+def test_long_lists_of_short_lines_are_found(spark):
+    r = random.Random(12)
+    menu = "\n".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(50))
+    verse = "\n".join("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(5)) for _ in range(20))
+    texts = [menu, f"one\n{menu}\ntwo", verse, f"three\n{verse}\nfour", "aa\nbb\ncc", "five\naa\nbb\ncc\nsix", None, "", "\x01-\x01| " + menu]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.text, x.n_removed > 0) for x in lines.remove_passages(df).collect()}
+    for i in (0, 2, 4, 5, 6, 7):
+        assert got[i] == (texts[i], False), i
+    assert got[1][1] and len(got[1][0]) < 7 + 12 * 6  # at the seams at most the words before the first cut stay
+    assert got[3][1] and len(got[3][0]) < 10 + 12 * 2
+    assert got[8][0].startswith("\x01-\x01| ") and len(got[8][0]) < 7 + 12 * 6
+
+
 def edit_distance_inside(pattern: str, text: str) -> int:
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
