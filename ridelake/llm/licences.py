@@ -4,8 +4,10 @@ A text is cut into sentences, each normalised to lower-case words; those of a ta
 licence sentences become identifiers. The rules name the sequences of identifiers that
 make a licence. They are tried in their order, longer and more specific ones
 first, and use up the identifiers they match, so a full licence is not
-reported again by the notice inside it. Sentences are cut in two ways, at the ends of sentences
-alone (for licences wrapped over lines) and at line breaks too; a sequence lies within one of them.
+reported again by the notice inside it. Sentences are cut in three ways, at the ends of sentences
+alone (for licences wrapped over lines), at line breaks too, and at the ends of sentences, blank lines and
+copyright lines (for headings without a full stop); a sequence lies within one of them. A sentence that is
+itself cut is known by all its parts in a row.
 
 Defined results: null and empty texts, and those without known sentences, have none. Rows are
 independent; other columns pass through.
@@ -83,6 +85,7 @@ RULES = [
 HINTS = ("licen", "permi", "redistribut", "warrant", "public domain")
 SENTENCE_END = r"[.!?:;][ \t\r\n]+"
 LINE_END = r"[.!?:;][ \t\r\n]+|\n+"
+BLOCK_END = r"[.!?:;][ \t\r\n]+|\n[ \t\r]*\n\s*|(?:^|\n)[^\na-zA-Z0-9]*(?i:copyright)[ \t]+(?:\([cC]\)|©|[0-9])[^\n]*\n"
 
 
 def normalised(sentence: str) -> str:
@@ -104,12 +107,30 @@ def _known() -> dict[str, str]:
 KNOWN = _known()
 
 
+def _parted() -> tuple[dict[str, str], dict[str, str]]:
+    """KNOWN and identifiers of the parts of sentences that their first part can't stand for; sequences of such parts."""
+    known, sequences = dict(KNOWN), {}
+    for name, sentence in SENTENCES.items():
+        parts = [normalised(x) for x in re.split(SENTENCE_END, sentence)]
+        if KNOWN.get(parts[0]) != name:
+            sequences["".join(f" {known.setdefault(k, f'~{len(known)}')} " for k in parts)] = name
+    return known, sequences
+
+
+PARTS, SEQUENCES = _parted()
+
+
 def _identifiers(text: Column, ends: str) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair])
     clean = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    hinted = lambda s: F.lower(s).rlike("|".join(HINTS))
+    hints = [*HINTS, *(k.replace(" ", "[^a-z0-9]+") for k in PARTS if not any(h in k for h in HINTS))]
+    hinted = lambda s: F.lower(s).rlike("|".join(hints))
     parts = F.filter(F.split(text, ends), hinted)
-    return F.filter(F.transform(parts, lambda s: F.element_at(table, clean(s))), lambda x: x.isNotNull())
+    found = F.filter(F.transform(parts, lambda s: F.element_at(table, clean(s))), lambda x: x.isNotNull())
+    row = F.array_join(F.transform(found, lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
+    for sequence, name in sorted(SEQUENCES.items(), key=lambda x: -len(x[0])):
+        row = F.replace(row, F.lit(sequence), F.lit(f" {name} "))
+    return F.filter(F.split(row, " +"), lambda x: (x != "") & ~x.startswith("~"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -122,10 +143,11 @@ def scan(docs: DataFrame) -> DataFrame:
         *keep,
         F.when(hinted, _identifiers(text, SENTENCE_END)).otherwise(none).alias("__a"),
         F.when(hinted, _identifiers(text, LINE_END)).otherwise(none).alias("__b"),
+        F.when(hinted, _identifiers(text, BLOCK_END)).otherwise(none).alias("__c"),
     )
     joined = lambda c: F.concat(F.lit("  "), F.array_join(c, "  "), F.lit("  "))
     rules = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit("".join(f" {x} " for x in s)).alias("ids")) for n, s in RULES])
-    state = F.struct(F.concat(joined("__a"), F.lit("#"), joined("__b")).alias("left"), none.alias("licences"))
+    state = F.struct(F.concat(joined("__a"), F.lit("#"), joined("__b"), F.lit("#"), joined("__c")).alias("left"), none.alias("licences"))
 
     def apply(s, rule):
         hit = F.contains(s.left, rule.ids)
@@ -134,9 +156,10 @@ def scan(docs: DataFrame) -> DataFrame:
             F.when(hit, F.array_union(s.licences, F.array(rule.licence))).otherwise(s.licences).alias("licences"),
         )
 
-    any_known = (F.size("__a") > 0) | (F.size("__b") > 0)
+    any_known = (F.size("__a") > 0) | (F.size("__b") > 0) | (F.size("__c") > 0)
     licences = F.when(any_known, F.aggregate(rules, state, apply).getField("licences")).otherwise(none)
     longer = F.when(F.size("__b") >= F.size("__a"), F.col("__b")).otherwise(F.col("__a"))
+    longer = F.when(F.size("__c") > F.greatest(F.size("__a"), F.size("__b")), F.col("__c")).otherwise(longer)
     return found.select(*keep, longer.alias("licence_sentences"), licences.alias("licences"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from binascii import crc32
 
@@ -207,6 +208,20 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_every_licence_in_its_wrapped_text(spark):
+    heads = ("", "A License\n\nCopyright (c) 2020 X\n\n", "A License\nCopyright (c) 2020 X\n", "/*\n * Copyright 2020 X\n *\n * ")
+    cases = [
+        (licence, head + "\n\n".join(textwrap.fill(licences.SENTENCES[k], 72) for k in names) + "\n\nOther text")
+        for licence, names in licences.RULES
+        for head in heads[: 3 if len(licences.SENTENCES[names[0]]) < 72 else 4]
+    ]
+    cases.append(("GPL-2.0-or-later", "# " + textwrap.fill(licences.SENTENCES["GPL2.free"], 70).replace("\n", "\n# ")))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {x.doc_id: list(x.licences) for x in licences.scan(df).collect()}
+    missing = [(licence, text[:40], got[i]) for i, (licence, text) in enumerate(cases) if licence not in got[i]]
+    assert not missing
+
+
 def test_digests(spark):
     text = "password = 'hunter22x'"
     (a, b, kind), = secrets.base_spans(text)
