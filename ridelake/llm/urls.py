@@ -1,18 +1,20 @@
 """URL filter by a tree of path templates. DataFrame functions only.
 
 Each host has a tree of templates over the segments of its paths. It grows level by level: a segment
-that few of a node's pages have becomes the wildcard ``*``; then a node's branches are put in the
+that few of a node's pages have becomes the wildcard ``*``, unless the same test tells its labelled rate
+from that of the rest of its node; then a node's branches are put in the
 order of their labelled rates, and neighbours whose rates a two-proportion test cannot tell
-apart become one branch (written ``de|en|*``), with one subtree. Below ``depth`` levels the rest
-of a path is not looked at. A template is rejected when the share of good pages among its labelled ones,
+apart become one branch (written ``de|en|*``), with one subtree. Levels go on until no node with
+``support`` pages has a further segment; ``depth`` can end them before. A template is rejected when the share of good pages among its labelled ones,
 smoothed towards the share of the whole table by ``weight`` pages, is below ``purity``.
 
 Fixed rules, (host and path, verdict), come before the method: a rule fits its host and all subdomains
 where the path begins with the rule's path, and the longest wins.
 
 Pages are first summed up by host and path, segments by node, so a host with a large share of all pages
-moves as counts; nothing groups all pages of a host. A node has at most 1 / ``share`` literal branches, so the
-window over its branches is bounded.
+moves as counts; nothing groups all pages of a host. A node has at most 1 / ``share`` literal branches and those whose rates stand out;
+the window over them sees a row for each. More than ``NAMES`` branches in one are written as
+the first and a digest of all.
 
 Defined results: a null url, or one without ``://``, has empty host and path. A page without labels counts
 towards wildcards only; with several, one bad label makes it bad. A null page_id has no label. Repeated rows each
@@ -36,6 +38,7 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
+NAMES = 21
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -62,32 +65,46 @@ def _prior(paths: DataFrame) -> tuple[float, int]:
     return ((bad or 0) / labelled if labelled else 0.0), labelled or 0
 
 
+def _apart(a: Column, b: Column, a0: Column, b0: Column, z: float) -> Column:
+    """Whether b bad ones of a labelled are a rate apart from b0 of a0, by ``z`` standard errors."""
+    both, together = a + a0, b + b0
+    return (b * a0 - b0 * a) * (b * a0 - b0 * a) * both > z * z * a * a0 * together * (both - together)
+
+
+def _open(paths: DataFrame, level: int, support: int) -> bool:
+    """Whether a node with a further segment has pages enough for a branch."""
+    further = paths.where(F.size("segments") > level).groupBy("host", "template").agg(F.sum("n").alias("n"))
+    return not further.where(F.col("n") >= support).isEmpty()
+
+
 def _branches(paths: DataFrame, level: int, support: int, share: float, z: float, prior: float, weight: int) -> DataFrame:
     """(host, template, segment, to): the branch that each segment of a node leads to."""
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     node = ["host", "template"]
     segments = paths.where(F.size("segments") > level).withColumn("segment", F.col("segments")[level])
     segments = segments.groupBy(*node, "segment").agg(*sums)
-    whole = segments.groupBy(*node).agg(F.sum("n").alias("whole"))
-    named = segments.join(whole, node).withColumn(
-        "name", F.when((F.col("n") >= support) & (F.col("n") >= share * F.col("whole")), F.col("segment")).otherwise("*")
-    )
+    whole = segments.groupBy(*node).agg(F.sum("n").alias("whole"), F.sum("labelled").alias("of"), F.sum("bad").alias("of_bad"))
+    a, b = F.col("labelled").cast("double"), F.col("bad").cast("double")
+    other = _apart(a, b, F.col("of") - a, F.col("of_bad") - b, z)
+    own = (F.col("n") >= support) & ((F.col("n") >= share * F.col("whole")) | other)
+    named = segments.join(whole, node).withColumn("name", F.when(own, F.col("segment")).otherwise("*"))
     named = stored(named.select(*node, "segment", "name", "n", "labelled", "bad"))
     branches = named.groupBy(*node, "name").agg(*sums)
     rate = (F.col("bad") + prior * weight) / (F.col("labelled") + weight)
     order = Window.partitionBy(*node).orderBy("rate", "name")
-    a, b = F.col("labelled").cast("double"), F.col("bad").cast("double")
     a0, b0 = F.lag(a).over(order), F.lag(b).over(order)
-    both, together = a + a0, b + b0
-    apart = (b * a0 - b0 * a) * (b * a0 - b0 * a) * both > z * z * a * a0 * together * (both - together)
+    apart = _apart(a, b, a0, b0, z)
     branches = branches.withColumn("rate", rate).withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
     branches = branches.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     parts = branches.groupBy(*node, "part").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    to = parts.select(*node, F.explode("names").alias("name"), F.concat("template", F.lit("/"), F.array_join("names", "|")).alias("to"))
+    joined = F.array_join("names", "|")
+    joined = F.when(F.size("names") > NAMES, F.concat(F.col("names")[0], F.lit("|~"), F.sha2(joined, 256))).otherwise(joined)
+    parts = parts.select(*node, "names", F.concat("template", F.lit("/"), joined).alias("to"))
+    to = parts.select(*node, F.explode("names").alias("name"), "to")
     return named.select(*node, "segment", "name").join(to, [*node, "name"]).select(*node, "segment", "to")
 
 
-def templates(pages: DataFrame, labels: DataFrame, depth: int, support: int, share: float, z: float, weight: int, purity: float) -> DataFrame:
+def templates(pages: DataFrame, labels: DataFrame, depth: int | None, support: int, share: float, z: float, weight: int, purity: float) -> DataFrame:
     """(host, path, template, rejected) for every host and path of ``pages`` (page_id, host, path);
     ``labels``: (page_id, bad)."""
     known = labels.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
@@ -98,11 +115,16 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int, support: int, sha
         .withColumn("template", F.lit(""))
     )
     prior, labelled = _prior(paths)
-    for level in range(depth):
+    level = 0
+    while level != depth and _open(paths, level, support):
         to = _branches(paths, level, support, share, z, prior, weight)
         here = paths.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
         joined = here.join(to, ["host", "template", "segment"], "left")
         paths = stored(joined.withColumn("template", F.coalesce("to", "template")).select(*paths.columns))
+        level += 1
+    # what is left has wildcards only
+    rest = (F.size("segments") if depth is None else F.least(F.size("segments"), F.lit(depth))) - level
+    paths = paths.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.greatest(rest, F.lit(0)))))
     leaves = paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     good = F.col("labelled") - F.col("bad") + (1 - prior) * weight
     rejected = (good < purity * (F.col("labelled") + weight)) & F.lit(labelled > 0)
@@ -114,7 +136,7 @@ def judge(
     pages: DataFrame,
     labels: DataFrame,
     rules=RULES,
-    depth: int = 4,
+    depth: int | None = None,
     support: int = 8,
     share: float = 0.05,
     z: float = 2.0,
@@ -124,7 +146,7 @@ def judge(
     """(page_id, host, path, rule, verdict, template) for each row of ``pages`` (page_id, url).
 
     ``labels``: (page_id, bad). ``support`` and ``share``: pages a segment needs, in number and in share of
-    its node, to be a branch of its own; ``z``: standard errors that keep two branches apart.
+    its node, to be a branch of its own (a rate that stands out needs no share); ``z``: standard errors that keep two branches apart.
     """
     host, path = host_and_path()
     split = pages.select("page_id", host.alias("host"), path.alias("path"))

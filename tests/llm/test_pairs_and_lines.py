@@ -237,6 +237,23 @@ def test_url_templates(spark):
     assert by_id[n] == ("/spam/*", "block") and by_id[n + 1] == ("/blog|news/*", "allow") and by_id[None][1] == "allow"
 
 
+def test_url_small_and_deep_branches(spark):
+    """One bad directory of thirty (a thirtieth of its host), and one below six segments."""
+    urls_, bad = [], []
+    for d in range(30):
+        urls_ += [f"https://h.net/dir{d}/{i}" for i in range(20)]
+        bad += [d == 7] * 20
+    for d in ("ok", "spam"):
+        urls_ += [f"https://deep.net/a/b/c/d/e/f/{d}/{i}" for i in range(20)]
+        bad += [d == "spam"] * 20
+    urls_.append("https://few.net/1/2/3")
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = {x.page_id: x for x in urls.judge(pages, spark.createDataFrame(list(enumerate(bad)), "page_id long, bad boolean"), rules=(("none.net/", "allow"),)).collect()}
+    assert [got[i].verdict == "block" for i in range(len(bad))] == bad
+    assert got[len(bad)].template == "/*/*/*"
+    assert got[len(bad) - 1].template == "/a/b/c/d/e/f/spam/*"
+
+
 @pytest.mark.parametrize("depth", [1, 4])
 def test_url_sql_is_made_for_any_depth(depth):
     assert f"lev{depth} AS" in urls.sql(depth=depth)
