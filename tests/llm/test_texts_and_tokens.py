@@ -208,6 +208,18 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_threshold_comes_from_recall_alone():
+    """Labels the scores can't tell apart: the recall asked for holds though all scores are low."""
+    r = np.random.default_rng(3)
+    made = secrets.generated(["some text around"], 300, seed=5)
+    x, y = secrets.encoded([w for w, _ in made]), r.integers(0, 2, len(made)).astype(float)
+    network = secrets.Network.new(1)
+    network.calibrate(x, y, 0.97)
+    hit = network.probabilities(x) >= network.threshold
+    assert hit[y > 0].mean() >= 0.97 and network.precision == y[hit].mean()
+    assert secrets.HARMLESS.fullmatch("2021-03-14-report") and not secrets.HARMLESS.fullmatch("xK9fLq2TzR7vWb4NcD8s")
+
+
 def test_every_licence_in_its_wrapped_text(spark):
     heads = ("", "A License\n\nCopyright (c) 2020 X\n\n", "A License\nCopyright (c) 2020 X\n", "/*\n * Copyright 2020 X\n *\n * ")
     cases = [
