@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 from ridelake.llm.common import ID, TEXT, schema_with, slices, texts_of
 
+#: Characters per edit of the query and the pipeline: a tenth of an item may differ.
+EDITED = 10
 BREAK = re.compile(r"[\W_]+")
 
 

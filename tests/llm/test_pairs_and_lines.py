@@ -199,6 +199,24 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.clean(df, bench.limit(0)).count() == len(docs)
 
 
+def test_items_with_replaced_words_are_found(spark, tmp_path):
+    """One and two words of five letters replaced by words of other letters, through the query and the pipeline's stage."""
+    import corpus_pipeline
+    from ridelake.llm import queries
+
+    r = random.Random(21)
+    item = " ".join("".join(r.choice("abcdefghijk") for _ in range(5)) for _ in range(20))
+    own, docs = item.split(), []
+    for n in (0, 1, 2, 8):
+        new = [("zzzzz" if 5 <= i < 5 + n else w) for i, w in enumerate(own)]
+        docs.append((n, "Text before. " + " ".join(new) + " and behind."))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(tuple(x) for x in queries.op2_benchmark_decontamination(spark, str(tmp_path)).collect()) == [(0, 1, 0), (1, 1, 5), (2, 1, 10)]
+    assert [x.doc_id for x in corpus_pipeline.without_benchmark(spark, df, str(tmp_path)).collect()] == [8]
+
+
 def test_url_parts_and_rules(spark):
     cases = {
         "http://A.Example.org/es/1?x#y": ("a.example.org", "/es/1", "example.org/es/", "block"),
