@@ -3,23 +3,23 @@
 Two documents link when the sets of their ``WORDS``-word shingles have a Jaccard likeness
 of ``PERCENT`` / 100 or more. The method is a prefix filter with adaptive
 multi-match prefixes: under one order of all shingles, rare ones first, a set of n
-shingles whose partners must share t of them has a prefix of n - t + l
-shingles, and partners share at least l of their prefixes. A document whose
-prefix meets many others gets a larger l, so a longer prefix and more matches
-required before the texts are compared.
-
-1. Shingles with a hash below ``share`` of its range are counted over all documents.
-   The order puts those seen once first, common ones last; a Bloom filter and a
-   list, both of bounded size, carry it to the tasks. Any order gives the same links, so errors of
-   the filter cost time only. A prefix of shingles seen once has no partner: most
-   documents end here.
-2. The rest, one document for each distinct set, is counted and filtered again with all of
-   its shingles.
-3. Prefixes are made for classes of partner sizes, for partners of like size share more and
-   so need a shorter prefix. Each document is compared with one leader at a time, the document in the middle of those
-   it shares prefix shingles with; a large group of near copies collapses in this step.
-4. Documents of different components that share enough of their prefixes are
-   compared with each other. Pairs within a component are not made.
+shingles that shares t of them with a partner has one of these among its first n - t + 1, and
+l of them among its first n - t + l. A document whose prefix meets many others gets a
+larger l, so a longer prefix and more matches required before the texts are compared.
+
+1. Shingles with a hash below ``share`` of its range go to their places with the name of their set. Those of
+   two sets or more are counted for each set; a set with too few of them has no partner, and most documents
+   end here. Nothing grows on the driver or in a broadcast: shingles found in many documents of a bounded sample
+   count as repeated wherever they stand and aren't sent, which keeps their lists out of single tasks.
+2. The rest, one document for each distinct set, is counted with all of its shingles. The exact
+   counts give the order.
+3. Sets meet under the shingles of their prefixes. A row has the set's size and ``cap``, the largest partner for which
+   its place is still in the prefix; partners x, y need n_x <= cap_y and n_y <= cap_x.
+   Each set is compared with one leader at a time, the one that meets most others; a large group of near copies falls
+   into one component in this step. Rows that no set of another component can match are dropped, by
+   the largest cap and the least size of the other components under the shingle. Rounds go on while they link.
+4. Sets of different components that are left, and share enough of their prefixes, are compared with each other.
+   Pairs within a component are not made.
 5. Components by label propagation with pointer jumping.
 
 Sets are compared whole, as 64-bit hashes of the shingles.
@@ -27,25 +27,24 @@ Sets are compared whole, as 64-bit hashes of the shingles.
 Defined results: null texts and texts without words have the empty set, are
 linked with nothing and are components of their own. Fewer than ``WORDS`` words are one
 shingle. Documents with equal sets are linked. A component is named by its
-smallest doc_id; a null doc_id counts as the largest. Repeated rows each come back.
+smallest doc_id; a null doc_id counts as the largest. Repeated rows each come back. ``one_of_each`` keeps one row of each
+component, that of least doc_id, one of them if rows share it, and every row without words; all columns pass through,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.llm.common import ID, TEXT, slices, stored
+from ridelake.llm.common import ID, TEXT, drop_stored, schema_with, slices, stored
 
 WORDS = 5
 PERCENT = 75
-#: Ratio of the size classes that prefixes are made for.
-RATIO = 1.1
 #: Odd constants of the hashes.
 BASE, STEP, SALT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 MASK = (1 << 64) - 1
@@ -143,137 +142,146 @@ def needed(n: int) -> int:
     return (PERCENT * n + 99) // 100
 
 
-@dataclass(frozen=True)
-class Order:
-    """The order of all shingles: seen once, seen more often, not counted, common."""
-
-    bits: np.ndarray  # Bloom filter of the counted shingles seen more than once
-    common: np.ndarray  # sorted
-    below: int  # shingles of a smaller hash have been counted
-
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        size = np.uint64(len(self.bits) * 64 - 1)
-        cls = np.ones(len(h), np.int8)
-        for shift in (0, 28):
-            p = (h >> np.uint64(shift)) & size
-            cls &= ((self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(np.int8)
-        cls[h >= np.uint64(self.below)] = 2
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
-            cls[self.common[at] == h] = 3
-        return cls
-
-    def prefix(self, h: np.ndarray, matches: int) -> tuple[int, np.ndarray]:
-        """Number of shingles seen once at the front, and those behind them, up to the
-        prefix for ``matches``."""
-        cls = self.classes(h)
-        t = needed(len(h))
-        end = len(h) - t + min(matches, t)
-        once = int((cls == 0).sum())
-        if once >= len(h) - t + 1:
-            return once, h[:0]
-        return once, h[np.lexsort((h, cls))][once:end]
-
-
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def order_of(source: DataFrame, share: float, often: int, max_common: int, max_bits: int) -> Order:
-    """Count the shingles of ``source`` (column text) whose hash is below ``share`` of the range."""
-    below = min(MASK, int(share * (1 << 64)))
+def _among(h: np.ndarray, sorted_ones: np.ndarray) -> np.ndarray:
+    if not len(sorted_ones):
+        return np.zeros(len(h), bool)
+    return sorted_ones[np.minimum(np.searchsorted(sorted_ones, h), len(sorted_ones) - 1)] == h
+
+
+def _name(h: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def _short(name: bytes) -> int:
+    """64 bits of a name. Two sets that share them cost time only."""
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def frequent(docs: DataFrame, below: int, sample_docs: int, often: int, most: int) -> np.ndarray:
+    """Sorted hashes below ``below`` found in ``often`` documents or more of a sample of about ``sample_docs``; ``most`` at most.
+
+    They only spare the shuffle its longest lists; which ones are in the sample doesn't change a result.
+    """
+    n = docs.count()
+    sample = docs.select(TEXT) if n <= sample_docs else docs.select(TEXT).sample(sample_docs / n, 1)
 
     def run(batches):
-        shingler, seen = Shingler(), set()
+        shingler = Shingler()
         for batch in slices(batches, 4 << 20):
             for h in shingler.shingles(batch.column(TEXT).to_pylist()):
-                key = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-                if len(h) and key not in seen:  # a set counts once in a task
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(key)
-                    for at in range(0, len(h), 65_536):
-                        part = h[at : at + 65_536]
-                        yield pa.RecordBatch.from_arrays([pa.array(_signed(part[part <= np.uint64(below)]))], names=["h"])
-
-    def fewer(batches):
-        """Small batches put together: a batch for each document would cost more than its rows."""
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= 100_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    counted = stored(
-        source.select(TEXT).mapInArrow(lambda b: fewer(run(b)), "h long").groupBy("h").count().where("count > 1")
-    )
-    n = counted.count()
-    bits = min(max_bits, 1 << max(16, (16 * n).bit_length()))
-    place = lambda shift: F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(bits - 1))
-    p = counted.select(F.explode(F.array(place(0), place(28))).alias("p"))
-    words = (
-        p.groupBy(F.shiftright("p", 6).cast("int").alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
-        .toArrow()
-    )
-    filled = np.zeros(bits // 64, np.uint64)
-    filled[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    top = counted.where(F.col("count") >= often).orderBy(F.desc("count"), "h").limit(max_common).select("h").toArrow()
-    return Order(filled, np.sort(top["h"].to_numpy().view(np.uint64)), below)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h[h <= np.uint64(below)]))], names=["h"])
+
+    counted = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= often)
+    top = counted.orderBy(F.desc("count"), "h").limit(most).select("h").toArrow()
+    return np.sort(top["h"].to_numpy().view(np.uint64))
+
 
+def _sent(docs: DataFrame, below: int, hot) -> DataFrame:
+    """(h, f): the counted shingles of every set, once for each set and task."""
 
-def _first_filter(docs: DataFrame, order: Order) -> DataFrame:
-    """doc_id, fp (of the set), n, and the text where the document may have a partner."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    def run(batches):
+        shingler, seen = Shingler(), set()
+        for batch in slices(batches, 4 << 20):
+            hs, fs = [], []
+            for h in shingler.shingles(batch.column(TEXT).to_pylist()):
+                f = _short(_name(h))
+                if f in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(f)
+                h = h[: np.searchsorted(h, np.uint64(below), side="right")]  # sets are sorted
+                h = h[~_among(h, hot.value)]
+                hs.append(h)
+                fs.append(np.full(len(h), f, np.int64))
+            if hs:
+                h, f = _signed(np.concatenate(hs)), np.concatenate(fs)
+                for at in range(0, len(h), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 50_000]), pa.array(f[at : at + 50_000])], names=["h", "f"])
+
+    return docs.select(TEXT).mapInArrow(run, "h long, f long")
+
+
+def _repeated(batches):
+    """(f, rep) of rows (h, f) in the order of h: for each f the number of its rows whose h another f has too.
+
+    Of a run of equal h that goes on in the next batch no more than one row is held.
+    """
+    held_h = held_f = None
+    known = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, f = batch.column("h").to_numpy(), batch.column("f").to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        low, high = np.minimum.reduceat(f, start), np.maximum.reduceat(f, start)
+        many, before = low != high, []
+        if held_h is not None and h[0] == held_h:
+            if not many[0] and not known:
+                many[0] = held_f != low[0]
+            many[0] |= known
+            if many[0] and not known:
+                before = [held_f]
+        held_h, known = h[-1], bool(many[-1])
+        held_f = None if known else low[-1]
+        each = np.repeat(many, np.diff(np.append(start, len(h))))
+        sub_h, sub_f = h[each], f[each]
+        order = np.lexsort((sub_f, sub_h))
+        sub_h, sub_f = sub_h[order], sub_f[order]
+        if len(sub_h):
+            sub_f = sub_f[np.concatenate([[True], (sub_h[1:] != sub_h[:-1]) | (sub_f[1:] != sub_f[:-1])])]
+        name, count = np.unique(np.append(sub_f, np.array(before, np.int64)), return_counts=True)
+        if len(name):
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(count.astype(np.int64))], names=["f", "rep"])
+
+
+def _named(docs: DataFrame, below: int, hot) -> DataFrame:
+    """doc (all columns of ``docs``), fp and f (names of the set), n, and how many of its sent shingles must be repeated
+    if it has a partner."""
 
     def run(batches):
         shingler = Shingler()
         for batch in slices(batches, 4 << 20):
-            texts, fp, n, kept = batch.column(TEXT).to_pylist(), [], [], []
-            for text, h in zip(texts, shingler.shingles(texts), strict=True):
-                fp.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+            fp, f, n, least = [], [], [], []
+            for h in shingler.shingles(pa.compute.struct_field(batch.column("doc"), [at]).to_pylist()):
+                fp.append(_name(h))
+                f.append(_short(fp[-1]))
                 n.append(len(h))
-                kept.append(text if len(h) and len(shared.value.prefix(h, 1)[1]) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(ID), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(kept, pa.string())],
-                names=[ID, "fp", "n", TEXT],
-            )
+                counted = h[: np.searchsorted(h, np.uint64(below), side="right")]
+                sent = len(counted) - int(_among(counted, hot.value).sum())
+                least.append(sent - (len(h) - needed(len(h))) if len(h) else 1)
+            columns = [pa.array(fp, pa.binary()), *(pa.array(x, pa.int64()) for x in (f, n, least))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], names=["doc", "fp", "f", "n", "least"])
 
-    kind = docs.schema[ID].dataType.simpleString()
-    return docs.select(ID, TEXT).mapInArrow(run, f"{ID} {kind}, fp binary, n long, {TEXT} string")
+    at = docs.columns.index(TEXT)
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    return packed.mapInArrow(run, schema_with(packed, ["doc"], fp="binary", f="long", n="long", least="long"))
 
 
-def _second_filter(active: DataFrame, order: Order, matches: int) -> DataFrame:
-    """fp, n, once and the shingles behind them in the prefix for ``matches``."""
-    shared = active.sparkSession.sparkContext.broadcast(order)
+def _each(active: DataFrame) -> DataFrame:
+    """(node, h): all shingles of each set."""
 
     def run(batches):
         shingler = Shingler()
         for batch in slices(batches, 4 << 20):
-            rows = []
-            names = batch.column("fp").to_pylist()
-            for name, h in zip(names, shingler.shingles(batch.column(TEXT).to_pylist()), strict=True):
-                once, prefix = shared.value.prefix(h, matches)
-                if len(prefix):
-                    rows.append((name, len(h), once, _signed(prefix)))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    names=["fp", "n", "once", "tokens"],
-                )
-
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    return active.select("fp", TEXT).mapInArrow(run, "fp binary, n long, once long, tokens array<long>")
+            sets = list(shingler.shingles(batch.column(TEXT).to_pylist()))
+            h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in sets])
+            for at in range(0, len(h), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 50_000]), pa.array(_signed(h[at : at + 50_000]))], names=["node", "h"])
+
+    return active.select("node", TEXT).mapInArrow(run, "node long, h long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose sets are alike enough, compared whole."""
-    left = texts.select(F.col("fp").alias("a"), F.col(TEXT).alias("ta"))
-    right = texts.select(F.col("fp").alias("b"), F.col(TEXT).alias("tb"))
+    left = texts.select(F.col("node").alias("a"), F.col(TEXT).alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col(TEXT).alias("tb"))
 
     def run(batches):
         shingler, last, x = Shingler(), None, None
@@ -289,7 +297,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -313,136 +321,170 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def prefixes(nodes: DataFrame, level) -> DataFrame:
-    """(fp, n, own, lo, hi, token): the prefix of each set towards every class of partner sizes.
+def _prefixes(nodes: DataFrame, level) -> DataFrame:
+    """(token, node, n, cap): the shingles of each set's prefix for ``level`` matches.
 
-    Sizes fall into classes of ratio ``RATIO``; ``own`` is the set's class, ``lo`` and ``hi`` are its class and the partners' in order.
-    A partner of m shingles shares at least PERCENT * (n + m) / (100 + PERCENT), so partners of like size allow a shorter
-    prefix than the smallest partner does. Rows of a pair of sets meet under one (token, lo, hi).
+    Partners of n and m shingles share PERCENT * (n + m) / (100 + PERCENT) at least, so a place is in
+    the prefix towards partners of at most ``cap`` shingles. Shingles of one set only were left out and count by ``once``.
     """
-    class_of = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(RATIO))).cast("int")
-    n, least_partner = F.col("n"), F.ceil(F.col("n") * PERCENT / 100)
-    most_partner = F.floor(n * 100 / PERCENT)
-    each = nodes.withColumn("own", class_of(n)).withColumn("b", F.explode(F.sequence(class_of(least_partner), class_of(most_partner))))
-    # a class begins at this size at the earliest; a lower bound only makes the prefix longer
-    m = F.greatest(F.floor(F.pow(F.lit(RATIO), F.col("b"))), least_partner)
-    shared = F.ceil((n + m) * PERCENT / (100 + PERCENT))
-    each = each.withColumn("k", (n - shared + level - F.col("once")).cast("int")).where("k > 0")
-    tokens = F.explode(F.slice("tokens", F.lit(1), F.col("k")))
-    more = [c for c in ("l",) if c in nodes.columns]
-    return each.select("fp", "n", *more, "own", F.least("own", "b").alias("lo"), F.greatest("own", "b").alias("hi"), tokens.alias("token"))
-
+    n, whole = F.col("n"), 100 + PERCENT
+    k = (n - F.ceil(n * PERCENT / 100) + level - F.col("once")).cast("int")
+    each = nodes.withColumn("level", level.cast("long")).where(k > 0)
+    each = each.select("node", "n", "once", "level", F.posexplode(F.slice("tokens", F.lit(1), k)).alias("at", "token"))
+    left = n - F.col("once") - F.col("at") + F.col("level") - 1
+    cap = (F.floor(left * whole / PERCENT) - n).cast("long").alias("cap")
+    return each.select(F.col("token.h").alias("token"), "node", "n", "level", cap).where(F.col("cap") * 100 >= n * PERCENT)
 
-PLACE = ["token", "lo", "hi"]
 
+def _open(rows: DataFrame, part: DataFrame, price: DataFrame | None = None) -> DataFrame:
+    """The rows of ``_prefixes`` that a set of another component may match, with ``part`` and the ``lead`` of their shingle.
 
-def _several(rows: DataFrame, part: DataFrame) -> DataFrame:
-    """``rows`` (fp, token, lo, hi, price) with their component (v, label), where sets of several components meet."""
-    named = rows.join(part.select(F.col("v").alias("fp"), F.col("label").alias("part")), "fp")
-    met = named.groupBy(*PLACE).agg(F.max(F.struct("price", "fp", "part")).alias("b"), F.min("part").alias("least"), F.max("part").alias("most"))
-    met = met.where("least != most").select(*PLACE, F.col("b.fp").alias("leader"), F.col("b.part").alias("of"))
-    return stored(named.join(met, PLACE))
+    Under each shingle the largest cap and the least size, and those of other components than these are in,
+    decide. What is joined back is written first, so that Spark can split the rows of a very common shingle.
+    """
+    named = rows.join(part, "node")
+    if price is not None:
+        named = named.join(price, "node")
+    lead = F.max(F.struct((F.col("price") if price is not None else F.col("cap")).alias("first"), "node", "n", "cap", "part")).alias("lead")
+    first = named.groupBy("token").agg(
+        F.max(F.struct("cap", "part")).alias("c"), F.min(F.struct("n", "part")).alias("s"), lead, F.min("part").alias("lo"), F.max("part").alias("hi")
+    )
+    first = stored(first.where("lo < hi").drop("lo", "hi"))
+    seconds = named.join(first, "token").groupBy("token").agg(
+        F.max(F.when(F.col("part") != F.col("c.part"), F.col("cap"))).alias("c2"), F.min(F.when(F.col("part") != F.col("s.part"), F.col("n"))).alias("s2")
+    )
+    seconds = stored(seconds.join(first, "token"))
+    largest = F.when(F.col("part") != F.col("c.part"), F.col("c.cap")).otherwise(F.col("c2"))
+    least = F.when(F.col("part") != F.col("s.part"), F.col("s.n")).otherwise(F.col("s2"))
+    out = stored(named.join(seconds, "token").where((F.col("n") <= largest) & (F.col("cap") >= least)).select(*rows.columns, "part", "lead"))
+    drop_stored(first)
+    drop_stored(seconds)
+    return out
 
 
 def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (v, label) after links (a, b): each group moves to the least group it is linked with, and from there once
-    more. Groups hold linked sets only; the components proper are made at the end."""
-    name = lambda end: part.select(F.col("v").alias(end), F.col("label").alias(f"of_{end}"))
+    """Components (node, part) after links (a, b): each moves to the least one it is linked with, and from there once
+    more. They hold linked sets only; the components proper are made at the end."""
+    name = lambda end: part.select(F.col("node").alias(end), F.col("part").alias(f"of_{end}"))
     pairs = links.join(name("a"), "a").join(name("b"), "b").where("of_a != of_b")
-    moves = stored(pairs.groupBy(F.greatest("of_a", "of_b").alias("label")).agg(F.min(F.least("of_a", "of_b")).alias("to")))
-    further = moves.select(F.col("label").alias("to"), F.col("to").alias("then"))
-    moves = moves.join(further, "to", "left").select("label", F.coalesce("then", "to").alias("to"))
-    return stored(part.join(moves, "label", "left").select("v", F.coalesce("to", "label").alias("label")))
+    moves = stored(pairs.groupBy(F.greatest("of_a", "of_b").alias("part")).agg(F.min(F.least("of_a", "of_b")).alias("to")))
+    further = moves.select(F.col("part").alias("to"), F.col("to").alias("then"))
+    then = moves.join(further, "to", "left").select("part", F.coalesce("then", "to").alias("to"))
+    return stored(part.join(then, "part", "left").select("node", F.coalesce("to", "part").alias("part")))
 
 
-def _leaders(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """(fp, leader): each set and the leader, of another component, that it shares most prefix shingles with.
+def _levels(nodes: DataFrame, matches: int, cost: int, compare: int) -> DataFrame:
+    """``nodes`` with ``level``, the number of matches to require: the cheapest by the rows that the prefix meets and
+    the comparisons, of which there are at most as many as rows over matches; 1 where the shortest prefix is cheap."""
+    n = F.col("n")
+    met = lambda k: F.aggregate(F.slice("tokens", F.lit(1), k), F.lit(0).cast("long"), lambda s, x: s + x["c"] - 1)
+    k = lambda level: (n - F.ceil(n * PERCENT / 100) + level - F.col("once")).cast("int")
+    all_levels = F.transform(F.sequence(F.lit(1), F.least(F.lit(matches), F.ceil(n * PERCENT / 100).cast("int"))), lambda x: F.struct((met(k(x)) * (1 + F.lit(compare) / x)).alias("cost"), x.alias("level")))
+    return nodes.withColumn("level", F.when(met(k(F.lit(1))) <= cost, 1).otherwise(F.array_min(all_levels)["level"]))
 
-    Under each (token, lo, hi) the leader is the set that meets most others: in a group of near copies the one in the middle.
-    """
-    led = rows.where("part != of").groupBy("fp", "leader").count()
-    if tried is not None:
-        led = led.join(tried, ["fp", "leader"], "left_anti")
-    best = led.groupBy("fp").agg(F.max(F.struct("count", "leader")).alias("best"))
-    return stored(best.select("fp", F.col("best.leader").alias("leader")))
-
-
-def near_duplicates(
-    docs: DataFrame,
-    share: float = 0.4,
-    often: int = 64,
-    max_common: int = 100_000,
-    max_bits: int = 1 << 28,
-    matches: int = 8,
-    cost: int = 256,
-    rounds: int = 3,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
-
-    ``matches``: the largest number of shared prefix shingles required; ``cost``: the number of others met in the shortest
-    prefix above which more are required; ``rounds``: comparisons with leaders before pairs are made.
-    The other parameters bound what is broadcast.
+
+def links_of(active: DataFrame, matches: int = 8, cost: int = 256, compare: int = 16) -> DataFrame:
+    """Links (a, b) between the sets of ``active`` (node, n, text) that join the same sets as all links do.
+
+    ``matches``: the largest number of shared prefix shingles required; ``cost``: the number of rows met in the shortest
+    prefix above which more may be required; ``compare``: cost of comparing two texts, in rows.
     """
-    first = order_of(docs, share, often, max_common, max_bits)
-    rows = stored(_first_filter(docs, first))
-    active = stored(rows.where(F.col(TEXT).isNotNull()).select("fp", TEXT).dropDuplicates(["fp"]))
-    second = order_of(active, 1.0, often, max_common, max_bits)
-    nodes = stored(_second_filter(active, second, matches))
-
-    # sets that meet no other under any shingle are done
-    short = prefixes(nodes, 1)
-    met = short.groupBy(*PLACE).agg((F.count("*") - 1).alias("met")).where("met > 0")
-    short = short.join(met, PLACE)
-    price = stored(short.groupBy("fp").agg(F.sum("met").alias("price")))
-    short = short.join(price, "fp").select("fp", *PLACE, "price")
-
-    part, links, tried = price.select(F.col("fp").alias("v"), F.col("fp").alias("label")), None, None
-    for _ in range(rounds):
-        short = _several(short.select("fp", *PLACE, "price"), part)  # what is settled does not come back
-        led = _leaders(short, tried)
-        more = stored(verified(led.select(F.col("fp").alias("b"), F.col("leader").alias("a")), active))
+    counts = stored(_each(active).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    tokens = _each(active).join(counts, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("tokens"))
+    nodes = tokens.join(active.select("node", "n"), "node").withColumn("once", F.col("n") - F.size("tokens"))
+    nodes = stored(nodes.where(F.col("once") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)))
+    drop_stored(counts)
+
+    # the number of rows met under the shortest prefix: those who meet most lead
+    rows = _prefixes(nodes, F.lit(1))
+    k = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("once")).cast("int")
+    price = nodes.select("node", F.aggregate(F.slice("tokens", F.lit(1), k), F.lit(0).cast("long"), lambda s, x: s + x["c"] - 1).alias("price"))
+    part, links, tried = stored(nodes.select("node", F.col("node").alias("part"))), None, None
+    while True:
+        left = _open(rows, part, price)
+        if tried is not None:
+            drop_stored(rows)
+        rows = left.drop("part", "lead")
+        led = left.where("part != lead.part AND n <= lead.cap AND lead.n <= cap").groupBy("node", F.col("lead.node").alias("leader")).count()
+        if tried is not None:
+            led = led.join(tried, ["node", "leader"], "left_anti")
+        best = led.groupBy("node").agg(F.max(F.struct("count", "leader")).alias("best"))
+        led = stored(best.select("node", F.col("best.leader").alias("leader")))
+        more = stored(verified(led.select(F.col("node").alias("b"), F.col("leader").alias("a")), active))
         tried = led if tried is None else tried.unionByName(led)
         links = more if links is None else links.unionByName(more)
-        if not more.limit(1).count():
+        found = more.count()
+        if not found:
             break
         part = _merged(part, more)
+        if 10 * found < led.count():
+            break
 
-    # sets whose shortest prefix meets their own component only have no link left to find
-    wanted = stored(_several(short.select("fp", *PLACE, "price"), part).select("fp", "lo", "hi").distinct())
-
-    # adaptive prefixes: more matches where the shortest prefix meets many documents
-    t = F.floor((F.col("n") * PERCENT + 99) / 100)
-    grown = F.ceil(F.log2(F.col("price") / cost)) + 1
-    level = F.least(F.when(F.col("price") <= cost, 1).otherwise(F.least(grown, F.lit(matches))), t)
-    chosen = prefixes(nodes.join(price, "fp").withColumn("l", level.cast("int")), F.col("l"))
-    chosen = chosen.join(wanted, ["fp", "lo", "hi"], "left_semi")
-    chosen = chosen.join(part.select(F.col("v").alias("fp"), F.col("label").alias("part")), "fp")
-    chosen = stored(chosen.select(*PLACE, "fp", "n", "own", "l", "part"))
-    several = chosen.groupBy(*PLACE).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most")
-    chosen = stored(chosen.join(several.select(*PLACE), PLACE))
-    x = chosen.where("own = lo").select(*PLACE, *[F.col(c).alias(f"x_{c}") for c in ("fp", "n", "l", "part")])
-    y = chosen.where("own = hi").select(*PLACE, *[F.col(c).alias(f"y_{c}") for c in ("fp", "n", "l", "part")])
-    apart = F.when(F.col("lo") == F.col("hi"), F.col("x_part") < F.col("y_part")).otherwise(F.col("x_part") != F.col("y_part"))
-    alike = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT
-    pairs = x.join(y, PLACE).where(apart & alike).select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"), F.least("x_l", "y_l").alias("l"))
-    pairs = pairs.groupBy("a", "b", "l").count().where("count >= l")
-    more = stored(verified(pairs.join(tried.select(F.col("leader").alias("a"), F.col("fp").alias("b")), ["a", "b"], "left_anti"), active))
-    part = components(links.unionByName(more))
-
-    docs_in = rows.select(ID, "fp", "n").join(part.select(F.col("v").alias("fp"), "label"), "fp", "left")
-    docs_in = docs_in.withColumn("part", F.coalesce("label", "fp"))
-    named = docs_in.where("n > 0").groupBy("part").agg(F.min(ID).alias("least"))
-    return docs_in.join(named, "part", "left").select(
+    # sets without an open row in their shortest prefix have no link left to find
+    left = _open(rows, part)
+    wanted = stored(left.select("node").distinct())
+    chosen = _levels(nodes.join(wanted, "node", "left_semi"), matches, cost, compare)
+    chosen = _open(_prefixes(chosen, F.col("level")), part)
+    x = chosen.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "cap", "level", "part")))
+    y = chosen.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "cap", "level", "part")))
+    pairs = x.join(y, "token").where("x_part < y_part AND x_n <= y_cap AND y_n <= x_cap")
+    pairs = pairs.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.least("x_level", "y_level").alias("level")).count()
+    pairs = pairs.where(F.col("count") >= F.col("level")).select("a", "b")
+    for a, b in (("leader", "node"), ("node", "leader")):
+        pairs = pairs.join(tried.select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"], "left_anti")
+    return links.unionByName(stored(verified(pairs, active)))
+
+
+def _components(docs: DataFrame, slim: bool, share: float, sample_docs: int, often: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Stored: (doc, fp, n, may, tag) for each row of ``docs``, and (fp, part) of the sets that link with others.
+
+    doc has the row's columns, tag is a number of its own; if ``slim``, texts are left out where no partner may be.
+    """
+    below = min(MASK, int(share * (1 << 64)))
+    hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, below, sample_docs, often, most))
+    rep = _sent(docs, below, hot).repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "f long, rep long")
+    rep = stored(rep.groupBy("f").agg(F.sum("rep").alias("rep")))
+    rows = _named(docs, below, hot).join(rep, "f", "left").withColumn("may", F.coalesce("rep", F.lit(0)) >= F.col("least"))
+    if slim:
+        rows = rows.withColumn("doc", F.struct(f"doc.{ID}", F.when(F.col("may"), F.col(f"doc.{TEXT}")).alias(TEXT)))
+    rows = stored(rows.select("doc", "fp", "n", "may", F.monotonically_increasing_id().alias("tag")))
+    active = rows.where("may").select("fp", "n", F.col(f"doc.{TEXT}").alias(TEXT)).dropDuplicates(["fp"])
+    active = stored(active.withColumn("node", F.monotonically_increasing_id()))
+    part = components(links_of(active))
+    fp = lambda name: active.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
+    named = part.join(fp("v"), "v").join(fp("label"), "label")
+    return rows, stored(named.select(F.col("fp_v").alias("fp"), F.col("fp_label").alias("part")))
+
+
+#: share: part of the hash range whose shingles are counted first; the others bound the sample and what is broadcast from
+#: it, 8 bytes for each shingle.
+BOUNDS = {"share": 0.4, "sample_docs": 20_000, "often": 8, "most": 500_000}
+
+
+def near_duplicates(docs: DataFrame, **bounds) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``; ``bounds``: see ``BOUNDS``."""
+    rows, part = _components(docs.select(ID, TEXT), True, **(BOUNDS | bounds))
+    parts = rows.select(F.col(f"doc.{ID}").alias(ID), "fp", "n").join(part, "fp", "left")
+    parts = stored(parts.select(ID, "n", F.coalesce("part", "fp").alias("part")))
+    # written first, so that the rows of a very large component can be dealt out
+    named = stored(parts.where("n > 0").groupBy("part").agg(F.min(ID).alias("least")))
+    return parts.join(named, "part", "left").select(
         ID,
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(ID)).alias("component_id"),
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose component has one of smaller doc_id."""
-    found = near_duplicates(docs).where(F.col(ID) != F.col("component_id")).select(ID).distinct()
-    return docs.join(found, ID, "left_anti")
+def one_of_each(docs: DataFrame, **bounds) -> DataFrame:
+    """``docs`` with one row of each component, that of least doc_id, and all rows without words; ``bounds``: see ``BOUNDS``."""
+    rows, part = _components(docs, False, **(BOUNDS | bounds))
+    doc = F.col(f"doc.{ID}")
+    place = F.struct(doc.isNull().alias("none"), doc.alias("id"), "tag").alias("place")
+    parts = rows.where("n > 0").select(place, "fp", "tag").join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    parts = stored(parts.select("place", "part", "tag"))
+    first = stored(parts.groupBy("part").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1"))
+    later = stored(parts.join(first, "part").where("tag != first.tag").select("tag"))
+    return rows.join(later, "tag", "left_anti").select("doc.*")
 
 
 def sql() -> str:

@@ -62,7 +62,7 @@ def test_near_duplicates_match_brute_force(spark):
         texts[i] = edited(r, texts[i - 30] or "", 1) + (" tail" * r.randrange(3))
     texts |= {120: None, 121: "", 122: " \t\n", 123: "one two", 124: "ONE  two\n", 125: made_text(r, 30_000), 126: base, 127: base.upper()}
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, fp string").repartition(7)
-    for options in ({}, {"cost": 4, "matches": 8, "rounds": 1}):
+    for options in ({}, {"sample_docs": 0, "share": 0.9}, {"often": 1}):
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(df, **options).collect()}
         assert got == brute_components(texts)
 
