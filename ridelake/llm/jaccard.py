@@ -322,32 +322,42 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, level) -> DataFrame:
-    """(token, node, n, cap): the shingles of each set's prefix for ``level`` matches.
+    """(token, node, n, level, price, cap): the shingles of each set's prefix for ``level`` matches.
 
     Partners of n and m shingles share PERCENT * (n + m) / (100 + PERCENT) at least, so a place is in
     the prefix towards partners of at most ``cap`` shingles. Shingles of one set only were left out and count by ``once``.
     """
     n, whole = F.col("n"), 100 + PERCENT
-    k = (n - F.ceil(n * PERCENT / 100) + level - F.col("once")).cast("int")
-    each = nodes.withColumn("level", level.cast("long")).where(k > 0)
-    each = each.select("node", "n", "once", "level", F.posexplode(F.slice("tokens", F.lit(1), k)).alias("at", "token"))
+    each = nodes.withColumn("level", level.cast("long")).where(_length(F.col("level")) > 0)
+    each = each.select("node", "n", "once", "level", "price", F.posexplode(F.slice("tokens", F.lit(1), _length(F.col("level")))).alias("at", "token"))
     left = n - F.col("once") - F.col("at") + F.col("level") - 1
     cap = (F.floor(left * whole / PERCENT) - n).cast("long").alias("cap")
-    return each.select(F.col("token.h").alias("token"), "node", "n", "level", cap).where(F.col("cap") * 100 >= n * PERCENT)
+    return each.select(F.col("token.h").alias("token"), "node", "n", "level", "price", cap).where(F.col("cap") * 100 >= n * PERCENT)
 
 
-def _open(rows: DataFrame, part: DataFrame, price: DataFrame | None = None) -> DataFrame:
+def _length(level):
+    """Number of repeated shingles in the prefix for ``level`` matches, towards the smallest partner."""
+    return (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + level - F.col("once")).cast("int")
+
+
+def _met(level):
+    """Number of rows that the prefix meets."""
+    return F.aggregate(F.slice("tokens", F.lit(1), _length(level)), F.lit(0).cast("long"), lambda s, x: s + x["c"] - 1)
+
+
+def _open(rows: DataFrame, part: DataFrame | None) -> DataFrame:
     """The rows of ``_prefixes`` that a set of another component may match, with ``part`` and the ``lead`` of their shingle.
 
     Under each shingle the largest cap and the least size, and those of other components than these are in,
     decide. What is joined back is written first, so that Spark can split the rows of a very common shingle.
     """
-    named = rows.join(part, "node")
-    if price is not None:
-        named = named.join(price, "node")
-    lead = F.max(F.struct((F.col("price") if price is not None else F.col("cap")).alias("first"), "node", "n", "cap", "part")).alias("lead")
+    named = rows.withColumn("part", F.col("node")) if part is None else rows.join(part, "node")
     first = named.groupBy("token").agg(
-        F.max(F.struct("cap", "part")).alias("c"), F.min(F.struct("n", "part")).alias("s"), lead, F.min("part").alias("lo"), F.max("part").alias("hi")
+        F.max(F.struct("cap", "part")).alias("c"),
+        F.min(F.struct("n", "part")).alias("s"),
+        F.max(F.struct("price", "node", "n", "cap", "part")).alias("lead"),
+        F.min("part").alias("lo"),
+        F.max("part").alias("hi"),
     )
     first = stored(first.where("lo < hi").drop("lo", "hi"))
     seconds = named.join(first, "token").groupBy("token").agg(
@@ -363,28 +373,23 @@ def _open(rows: DataFrame, part: DataFrame, price: DataFrame | None = None) -> D
 
 
 def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, part) after links (a, b): each moves to the least one it is linked with, and from there once
-    more. They hold linked sets only; the components proper are made at the end."""
+    """Components (node, part) after further links (a, b)."""
     name = lambda end: part.select(F.col("node").alias(end), F.col("part").alias(f"of_{end}"))
-    pairs = links.join(name("a"), "a").join(name("b"), "b").where("of_a != of_b")
-    moves = stored(pairs.groupBy(F.greatest("of_a", "of_b").alias("part")).agg(F.min(F.least("of_a", "of_b")).alias("to")))
-    further = moves.select(F.col("part").alias("to"), F.col("to").alias("then"))
-    then = moves.join(further, "to", "left").select("part", F.coalesce("then", "to").alias("to"))
-    return stored(part.join(then, "part", "left").select("node", F.coalesce("to", "part").alias("part")))
+    edges = links.join(name("a"), "a").join(name("b"), "b").where("of_a != of_b")
+    moves = components(edges.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    return stored(part.join(moves, part["part"] == moves["v"], "left").select("node", F.coalesce("label", "part").alias("part")))
 
 
 def _levels(nodes: DataFrame, matches: int, cost: int, compare: int) -> DataFrame:
     """``nodes`` with ``level``, the number of matches to require: the cheapest by the rows that the prefix meets and
     the comparisons, of which there are at most as many as rows over matches; 1 where the shortest prefix is cheap."""
-    n = F.col("n")
-    met = lambda k: F.aggregate(F.slice("tokens", F.lit(1), k), F.lit(0).cast("long"), lambda s, x: s + x["c"] - 1)
-    k = lambda level: (n - F.ceil(n * PERCENT / 100) + level - F.col("once")).cast("int")
-    all_levels = F.transform(F.sequence(F.lit(1), F.least(F.lit(matches), F.ceil(n * PERCENT / 100).cast("int"))), lambda x: F.struct((met(k(x)) * (1 + F.lit(compare) / x)).alias("cost"), x.alias("level")))
-    return nodes.withColumn("level", F.when(met(k(F.lit(1))) <= cost, 1).otherwise(F.array_min(all_levels)["level"]))
+    most = F.least(F.lit(matches), F.ceil(F.col("n") * PERCENT / 100).cast("int"))
+    each = F.transform(F.sequence(F.lit(1), most), lambda x: F.struct((_met(x) * (1 + F.lit(compare) / x)).alias("cost"), x.alias("level")))
+    return nodes.withColumn("level", F.when(F.col("price") <= cost, 1).otherwise(F.array_min(each)["level"]))
 
 
-def links_of(active: DataFrame, matches: int = 8, cost: int = 256, compare: int = 16) -> DataFrame:
-    """Links (a, b) between the sets of ``active`` (node, n, text) that join the same sets as all links do.
+def linked(active: DataFrame, matches: int = 8, cost: int = 256, compare: int = 16) -> DataFrame:
+    """(node, part): the components of the sets ``active`` (node, n, text); sets that can have no partner are left out.
 
     ``matches``: the largest number of shared prefix shingles required; ``cost``: the number of rows met in the shortest
     prefix above which more may be required; ``compare``: cost of comparing two texts, in rows.
@@ -392,17 +397,15 @@ def links_of(active: DataFrame, matches: int = 8, cost: int = 256, compare: int
     counts = stored(_each(active).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
     tokens = _each(active).join(counts, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("tokens"))
     nodes = tokens.join(active.select("node", "n"), "node").withColumn("once", F.col("n") - F.size("tokens"))
-    nodes = stored(nodes.where(F.col("once") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)))
+    nodes = stored(nodes.where(_length(F.lit(1)) > 0).withColumn("price", _met(F.lit(1))))
     drop_stored(counts)
 
-    # the number of rows met under the shortest prefix: those who meet most lead
-    rows = _prefixes(nodes, F.lit(1))
-    k = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("once")).cast("int")
-    price = nodes.select("node", F.aggregate(F.slice("tokens", F.lit(1), k), F.lit(0).cast("long"), lambda s, x: s + x["c"] - 1).alias("price"))
-    part, links, tried = stored(nodes.select("node", F.col("node").alias("part"))), None, None
+    rows, part, tried = _prefixes(nodes, F.lit(1)), None, None
     while True:
-        left = _open(rows, part, price)
-        if tried is not None:
+        left = _open(rows, part)
+        if part is None:
+            part = stored(nodes.select("node", F.col("node").alias("part")))
+        else:
             drop_stored(rows)
         rows = left.drop("part", "lead")
         led = left.where("part != lead.part AND n <= lead.cap AND lead.n <= cap").groupBy("node", F.col("lead.node").alias("leader")).count()
@@ -412,17 +415,15 @@ def links_of(active: DataFrame, matches: int = 8, cost: int = 256, compare: int
         led = stored(best.select("node", F.col("best.leader").alias("leader")))
         more = stored(verified(led.select(F.col("node").alias("b"), F.col("leader").alias("a")), active))
         tried = led if tried is None else tried.unionByName(led)
-        links = more if links is None else links.unionByName(more)
         found = more.count()
-        if not found:
-            break
-        part = _merged(part, more)
-        if 10 * found < led.count():
+        if found:
+            part = _merged(part, more)
+        if 4 * found <= led.count():
             break
 
     # sets without an open row in their shortest prefix have no link left to find
     left = _open(rows, part)
-    wanted = stored(left.select("node").distinct())
+    wanted = left.select("node").distinct()
     chosen = _levels(nodes.join(wanted, "node", "left_semi"), matches, cost, compare)
     chosen = _open(_prefixes(chosen, F.col("level")), part)
     x = chosen.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "cap", "level", "part")))
@@ -432,7 +433,7 @@ def links_of(active: DataFrame, matches: int = 8, cost: int = 256, compare: int
     pairs = pairs.where(F.col("count") >= F.col("level")).select("a", "b")
     for a, b in (("leader", "node"), ("node", "leader")):
         pairs = pairs.join(tried.select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"], "left_anti")
-    return links.unionByName(stored(verified(pairs, active)))
+    return _merged(part, stored(verified(pairs, active)))
 
 
 def _components(docs: DataFrame, slim: bool, share: float, sample_docs: int, often: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -450,15 +451,14 @@ def _components(docs: DataFrame, slim: bool, share: float, sample_docs: int, oft
     rows = stored(rows.select("doc", "fp", "n", "may", F.monotonically_increasing_id().alias("tag")))
     active = rows.where("may").select("fp", "n", F.col(f"doc.{TEXT}").alias(TEXT)).dropDuplicates(["fp"])
     active = stored(active.withColumn("node", F.monotonically_increasing_id()))
-    part = components(links_of(active))
     fp = lambda name: active.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
-    named = part.join(fp("v"), "v").join(fp("label"), "label")
-    return rows, stored(named.select(F.col("fp_v").alias("fp"), F.col("fp_label").alias("part")))
+    named = linked(active).where("node != part").join(fp("node"), "node").join(fp("part"), "part")
+    return rows, stored(named.select(F.col("fp_node").alias("fp"), F.col("fp_part").alias("part")))
 
 
 #: share: part of the hash range whose shingles are counted first; the others bound the sample and what is broadcast from
 #: it, 8 bytes for each shingle.
-BOUNDS = {"share": 0.4, "sample_docs": 20_000, "often": 8, "most": 500_000}
+BOUNDS = {"share": 0.4, "sample_docs": 8_000, "often": 6, "most": 500_000}
 
 
 def near_duplicates(docs: DataFrame, **bounds) -> DataFrame:
