@@ -391,7 +391,7 @@ def _levels(nodes: DataFrame, matches: int, cost: int, compare: int) -> DataFram
 def linked(active: DataFrame, matches: int = 8, cost: int = 256, compare: int = 16) -> DataFrame:
     """(node, part): the components of the sets ``active`` (node, n, text); sets that can have no partner are left out.
 
-    ``matches``: the largest number of shared prefix shingles required; ``cost``: the number of rows met in the shortest
+    ``matches``: the largest number of shared prefix shingles required; ``cost``: the number of open rows met in the shortest
     prefix above which more may be required; ``compare``: cost of comparing two texts, in rows.
     """
     counts = stored(_each(active).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
@@ -418,13 +418,14 @@ def linked(active: DataFrame, matches: int = 8, cost: int = 256, compare: int =
         found = more.count()
         if found:
             part = _merged(part, more)
-        if 4 * found <= led.count():
+        if 10 * found <= led.count():
             break
 
     # sets without an open row in their shortest prefix have no link left to find
     left = _open(rows, part)
-    wanted = left.select("node").distinct()
-    chosen = _levels(nodes.join(wanted, "node", "left_semi"), matches, cost, compare)
+    sizes = stored(left.groupBy("token").agg((F.count("*") - 1).alias("others")))
+    price = left.join(sizes, "token").groupBy("node").agg(F.sum("others").alias("price"))
+    chosen = _levels(nodes.drop("price").join(price, "node"), matches, cost, compare)
     chosen = _open(_prefixes(chosen, F.col("level")), part)
     x = chosen.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "cap", "level", "part")))
     y = chosen.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "cap", "level", "part")))
