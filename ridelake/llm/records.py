@@ -18,16 +18,20 @@ Spark can write, and only those of finished tasks stay. The index is a Parquet t
 record's file, offset, length and number of ids; ``shuffled`` reads records in a random order with it.
 
 Encoding goes by chunks: a blank between two characters that aren't white space always begins a new
-word of the tokenizer's pattern, so each distinct chunk is encoded once in a task and its ids
-are put together by position. Texts of plain Latin characters are cut into the pattern's words here, and only the library's
+word of the tokenizer's pattern, so each distinct chunk is encoded once and its ids
+are put together by position; a Python worker keeps its table, of bounded size, from task to task. Texts of plain Latin characters are cut into the pattern's words here, and only the library's
 model runs on the distinct ones. Tokenizers of another kind encode whole texts.
 
+Files get about ``FILE_BYTES`` of text each, so that a task reads one back within its memory.
+
 Defined results: null and empty texts have the end id only. Null doc_ids come first, ties are ordered by
-a hash of the text. Columns besides doc_id and text are not written.
+a hash of the text. doc_id must be a whole number, as the format has eight bytes for it. Columns besides doc_id and text
+are not written, whatever their names. An empty table makes no record.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -42,6 +46,8 @@ from pyspark.sql import functions as F
 from ridelake.llm.common import ID, TEXT, slices
 
 MASK_DELTA = 0xA282EAD8
+#: Text that goes into one file; a file of records has about as many bytes.
+FILE_BYTES = 64 << 20
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<Bq")
 WIDE, NO_ID = 1, 2
 #: A blank next to other white space: there a chunk may not end.
@@ -88,7 +94,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts, by a table of distinct chunks."""
 
-    def __init__(self, path: str, table_rows: int = 200_000):
+    def __init__(self, path: str, table_rows: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import Split
@@ -146,7 +152,7 @@ class Encoder:
         cut = [WORDS.findall(t) if p else self.chunks(t) for t, p in zip(texts, plain, strict=True)]
         words = set().union(*(x for x, p in zip(cut, plain, strict=True) if p))
         chunks = set().union(*(x for x, p in zip(cut, plain, strict=True) if not p))
-        if len(self.table) + len(words) + len(chunks) > self.rows:
+        if len(self.table) + len(words.difference(self.table)) + len(chunks.difference(self.table)) > self.rows:
             self.table.clear()
         self.table["\n"] = np.array([self.feed], np.uint32).tobytes()
         self.learn_words(words)
@@ -155,15 +161,22 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, x)), np.uint32) for x in cut]
 
 
-def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0) -> None:
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for each Python worker: its table is of use to the next task too."""
+    return Encoder(path)
+
+
+def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) and write records and index below ``path``."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
     ordered = docs.select(F.col(ID).cast("long").alias(ID), TEXT).repartitionByRange(n, F.asc_nulls_first(ID), F.xxhash64(TEXT))
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first(ID), F.xxhash64(TEXT))
 
     def run(batches):
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], np.uint32)
         for batch in slices(batches, 1 << 20):
             coded = encoder.encode([x or "" for x in batch.column(TEXT).to_pylist()])
@@ -176,9 +189,12 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0) -> N
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, content): the record files with their numbers."""
+    """(shard, content): the record files with their numbers, in the order of their names."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
-    return read.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content")
+    name = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
+    # a task that splits its output numbers the files at the end of their names
+    split = F.coalesce(F.regexp_extract("path", r"-c(\d+)\.\w+$", 1).try_cast("long"), F.lit(0))
+    return read.select((name * 100_000 + split).alias("shard"), "content")
 
 
 def _records(batches):
@@ -191,13 +207,27 @@ def _records(batches):
                 at = after
 
 
+def _heads(batches):
+    """shard, offset, length, doc_id and number of ids of each record, from the heads alone."""
+    for batch in batches:
+        for shard, data in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+            data, at = memoryview(data.as_buffer()), 0
+            while at < len(data):
+                size, check = HEAD.unpack_from(data, at)
+                if masked(data[at : at + 8]) != check:
+                    raise ValueError(f"bad length at {at}")
+                flags, doc = BODY.unpack_from(data, at + HEAD.size)
+                yield shard, at, size + 17, None if flags & NO_ID else doc, (size - BODY.size) // (4 if flags & WIDE else 2)
+                at += size + 17
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, shard, offset, length, n_tokens) of each record, read from the files."""
+    """(doc_id, shard, offset, length, n_tokens) of each record, read from the files; ``read`` checks the payloads."""
 
     def run(batches):
         rows = []
-        for shard, at, size, doc, ids in _records(batches):
-            rows.append((doc, shard, at, size, len(ids)))
+        for shard, at, size, doc, n in _heads(batches):
+            rows.append((doc, shard, at, size, n))
             if len(rows) == 50_000:
                 yield _longs(rows, names)
                 rows = []
