@@ -4,8 +4,8 @@ No piece of the vocabulary has a whitespace marker behind another character,
 so merges never cross from a character to the marker after it: a text is
 the sequence of its chunks, each a run of markers with the characters up to
 the next marker. Every distinct chunk is segmented and decoded once by the
-library; ids and decoded strings are then put together by position. A task
-keeps its table from batch to batch and empties it at ``table_rows`` entries, so memory is
+library; ids and decoded strings are then put together by position. A Python worker
+keeps its table from task to task and empties it at ``table_rows`` entries, so memory is
 bounded and results don't depend on it. A model whose pieces do cross markers,
 or that normalises texts otherwise, is applied to whole texts instead.
 
@@ -13,11 +13,13 @@ A shuffle of one row for each word of the corpus, which a table of the whole clu
 would need, moves several times the input; the table of a task needs none.
 
 Defined results: null and empty texts have no ids and decode to the empty
-text. Rows are independent. Other columns pass through.
+text. Rows are independent; very long ones go through in their batch alone. The columns asked for pass through, but for
+``ids`` and ``decoded``, whose names the results take. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -50,10 +52,10 @@ class Codec:
         return text.split(" ")
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.ids) + len(chunks) > self.rows:
+        if len(self.ids) + len(chunks.difference(self.ids)) > self.rows:
             self.ids.clear()
             self.decoded.clear()
-        new = [x for x in chunks if x not in self.ids]
+        new = list(chunks.difference(self.ids))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             # the marker alone is a chunk of its own at the end of a text
@@ -72,6 +74,12 @@ class Codec:
         return [b"".join(map(ids, x)) for x in cut], ["".join(map(decoded, x))[1:] for x in cut]
 
 
+@functools.lru_cache(1)
+def codec_of(model_path: str) -> Codec:
+    """One for each Python worker: its table is of use to the next task too."""
+    return Codec(model_path)
+
+
 def encode(docs: DataFrame, model_path: str, keep: list[str], decode: bool = True) -> DataFrame:
     """The columns ``keep``, then ids (array of int) and, unless ``decode`` is false, decoded."""
     keep = [c for c in keep if c not in ("ids", "decoded")]
@@ -79,7 +87,7 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], decode: bool = Tru
     added = {"ids": "array<int>"} | ({"decoded": "string"} if decode else {})
 
     def run(batches):
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
         for batch in slices(batches, 4 << 20):
             data, decoded = codec.encode_decode([x or "" for x in batch.column(TEXT).to_pylist()])
             ends = np.cumsum([0, *(len(x) // 4 for x in data)], dtype=np.int32)
