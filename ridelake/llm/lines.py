@@ -23,7 +23,8 @@ share is summed up before the shuffle, and the join back to its places can be sp
 Defined results: a null text stays null, one without words stays as it is, and
 texts of fewer than three lines stay. Rows with equal doc_id and text are one document and all get its
 result. Rows that share a doc_id but not the text are never later than each
-other. A null doc_id comes last. Columns besides doc_id and text pass through.
+other. A null doc_id comes last. Columns besides doc_id and text pass through, whatever their names, but for ``n_removed``,
+which the result takes. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -96,6 +97,7 @@ def _windows(docs: DataFrame, least: int, content: bool = False) -> DataFrame:
     clean = (lambda x: x) if content else lambda x: F.lower(F.trim(x))
     size = F.length if content else lambda x: F.length(F.trim(x))
     made = F.transform("__line", _folded) if content else lines()
+    docs = docs.select(ID, TEXT)
     hashed = (_content_lines(docs) if content else docs).select(
         F.coalesce(F.col(ID), F.lit(LAST)).alias("doc"),
         *_key(),
@@ -153,8 +155,9 @@ def _without_repeats(docs: DataFrame, least: int, content: bool) -> DataFrame:
     covered = covered.select(
         "k1", "k2", F.array_distinct(F.flatten(F.transform("pos", lambda p: F.array(p, p + 1, p + 2)))).alias("__gone")
     )
-    keep = [c for c in docs.columns if c not in ("n_removed", "k1", "k2")]
-    joined = docs.select(*keep, *_key()).join(covered, ["k1", "k2"], "left")
+    keep = [c for c in docs.columns if c != "n_removed"]
+    others = F.struct(*(docs[c] for c in keep if c != TEXT)).alias("others")  # their names can't clash with those used here
+    joined = docs.select(others, TEXT, *_key()).join(covered, ["k1", "k2"], "left")
     if content:
         known = F.col("__gone").isNotNull()
         cut = _content_lines(joined.withColumn("__whole", F.col(TEXT)).withColumn(TEXT, F.when(known, F.col(TEXT))))
@@ -165,11 +168,9 @@ def _without_repeats(docs: DataFrame, least: int, content: bool) -> DataFrame:
         cut = joined.withColumn("__line", F.when(F.col("__gone").isNotNull(), lines()))
     left = F.array_except(F.sequence(F.lit(0), F.size("__line") - 1), F.col("__gone"))
     text = F.array_join(F.transform(left, lambda i: F.col("__line")[i]), "")
-    return cut.select(
-        *(c for c in keep if c != TEXT),
-        F.when(F.col("__gone").isNull(), F.col(TEXT)).otherwise(text).alias(TEXT),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-    ).select(*keep, "n_removed")
+    text = F.when(F.col("__gone").isNull(), F.col(TEXT)).otherwise(text).alias(TEXT)
+    n = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed")
+    return cut.select(*(text if c == TEXT else F.col("others").getField(c).alias(c) for c in keep), n)
 
 
 def sql(least: int = 40) -> str:
