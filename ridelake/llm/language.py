@@ -14,7 +14,8 @@ Prediction reads whole texts only: neither label, source nor identifier.
 
 Defined results: a null text, an empty one, or one without a letter gives
 ``und`` with score 0. Rows are independent, so repeated rows get equal results.
-A table without labelled rows gives ``und`` for all.
+A table without labelled rows gives ``und`` for all, an empty one an empty result. The columns asked for pass through,
+whatever their names, but for ``lang_pred`` and ``score``, which the result takes.
 """
 
 from __future__ import annotations
@@ -164,16 +165,15 @@ def accepted(least: float = 0.3) -> Column:
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with lang_pred and score. ``keep``: the columns to carry, all by default."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(TEXT).alias("__text")) if TEXT not in keep else docs.select(*keep)
-    name = "__text" if TEXT not in keep else TEXT
+    source = docs.select(*dict.fromkeys([*keep, TEXT]))
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in slices(batches):
             langs, scores = [], []
-            texts = [x or "" for x in batch.column(name).to_pylist()]
+            texts = [x or "" for x in batch.column(TEXT).to_pylist()]
             for at in range(0, len(texts), 512):
                 a, b = scorer.predict(texts[at : at + 512])
                 langs += a

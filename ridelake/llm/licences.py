@@ -10,7 +10,8 @@ copyright lines (for headings without a full stop); a sequence lies within one o
 itself cut is known by all its parts in a row.
 
 Defined results: null and empty texts, and those without known sentences, have none. Rows are
-independent; other columns pass through.
+independent; other columns pass through, whatever their names, but for ``licence_sentences`` and ``licences``, which the
+result takes. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -139,8 +140,9 @@ def scan(docs: DataFrame) -> DataFrame:
     hinted = F.lower(text).rlike("|".join(HINTS))
     none = F.array().cast("array<string>")
     keep = [c for c in docs.columns if c not in ("licence_sentences", "licences")]
+    row = F.struct(*(docs[c] for c in keep)).alias("row")  # its names can't clash with those used here
     found = docs.select(
-        *keep,
+        row,
         F.when(hinted, _identifiers(text, SENTENCE_END)).otherwise(none).alias("__a"),
         F.when(hinted, _identifiers(text, LINE_END)).otherwise(none).alias("__b"),
         F.when(hinted, _identifiers(text, BLOCK_END)).otherwise(none).alias("__c"),
@@ -160,7 +162,7 @@ def scan(docs: DataFrame) -> DataFrame:
     licences = F.when(any_known, F.aggregate(rules, state, apply).getField("licences")).otherwise(none)
     longer = F.when(F.size("__b") >= F.size("__a"), F.col("__b")).otherwise(F.col("__a"))
     longer = F.when(F.size("__c") > F.greatest(F.size("__a"), F.size("__b")), F.col("__c")).otherwise(longer)
-    return found.select(*keep, longer.alias("licence_sentences"), licences.alias("licences"))
+    return found.select(*(F.col("row").getField(c).alias(c) for c in keep), longer.alias("licence_sentences"), licences.alias("licences"))
 
 
 def sql() -> str:
