@@ -4,7 +4,8 @@ A leaf hashes a sentence with the space behind it (one of over 400 characters in
 leaves, a section its paragraphs, the root its sections. A section ends where the
 hash of a paragraph says so, so a change moves the bounds nearby only. The fingerprint is
 the tree as a string: the root, then each section with its paragraphs and their
-leaves (hash and length). Equal roots mean equal texts. Two different
+leaves (hash and length). Roots are hashes of 128 bits over whole hashes of 128 bits, so equal roots
+mean equal texts; the inner ones are shortened to 40 bits where they are kept. Two different
 trees are compared from the top: equal sections are shared whole, those that differ are
 opened to their paragraphs and these to their leaves, which is where the edits are. The likeness is twice the number of characters in shared
 branches by the characters of both.
@@ -37,8 +38,12 @@ SENTENCE = re.compile(r"[^.!?]{0,400}[.!?]*\s*")
 PARAGRAPHS = 8
 
 
-def _hash(data: bytes, size: int = 5) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+def _digest(data: bytes) -> str:
+    return hashlib.blake2b(data, digest_size=16).hexdigest()
+
+
+#: Hexadecimal digits of the hashes of inner nodes that are kept in a tree; the root is made from whole ones.
+KEPT = 10
 
 
 @dataclass(frozen=True)
@@ -51,22 +56,26 @@ class Tree:
 
     @classmethod
     def of(cls, text: str) -> Tree:
-        sections, held = [], []
+        sections, held, whole, inside = [], [], [], []
+
+        def close():
+            mark = _digest(".".join(inside).encode())
+            sections.append((mark[:KEPT], sum(n for _, n, _ in held), tuple(held)))
+            whole.append(mark)
+            held.clear()
+            inside.clear()
+
         for line in text.split("\n"):
             parts = [x for x in SENTENCE.findall(line) if x] or [""]
-            leaves = tuple((_hash(x.encode("utf-8", "replace")), len(x)) for x in parts)
-            mark = _hash("".join(h for h, _ in leaves).encode())
-            held.append((mark, sum(n for _, n in leaves), leaves))
+            marks = [_digest(x.encode("utf-8", "replace")) for x in parts]
+            mark = _digest("".join(marks).encode())
+            held.append((mark[:KEPT], len(line), tuple((h[:KEPT], len(x)) for h, x in zip(marks, parts, strict=True))))
+            inside.append(mark)
             if int(mark[:4], 16) % PARAGRAPHS == 0:
-                sections.append(cls._section(held))
-                held = []
+                close()
         if held:
-            sections.append(cls._section(held))
-        return cls(_hash(".".join(h for h, _, _ in sections).encode(), 16), tuple(sections))
-
-    @staticmethod
-    def _section(held: list) -> tuple:
-        return _hash(".".join(h for h, _, _ in held).encode()), sum(n for _, n, _ in held), tuple(held)
+            close()
+        return cls(_digest(".".join(whole).encode()), tuple(sections))
 
     def __str__(self) -> str:
         paragraph = lambda p: p[0] + "(" + ",".join(f"{h}{n:x}" for h, n in p[2]) + ")"
@@ -80,7 +89,7 @@ class Tree:
             held = []
             for p in s.partition(":")[2].split(";"):
                 mark, _, inside = p.rstrip(")").partition("(")
-                leaves = tuple((x[:10], int(x[10:], 16)) for x in inside.split(","))
+                leaves = tuple((x[:KEPT], int(x[KEPT:], 16)) for x in inside.split(","))
                 held.append((mark, sum(n for _, n in leaves), leaves))
             made.append((s.partition(":")[0], sum(p[1] for p in held), tuple(held)))
         return cls(root, tuple(made))
