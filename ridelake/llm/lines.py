@@ -1,21 +1,13 @@
-"""Removal of repeated passages by overlapping windows of three lines. DataFrame functions only.
-
-A line ends at a line break, at the end of a sentence once it has five words,
-or after sixteen words; so a long paragraph has many lines, and a
-passage put into another text as its own paragraph falls into the same lines
-there. Every three consecutive lines make a window, known by a hash of 96 bits of
-their trimmed, lower-cased text. Of the windows that occur more than once,
-anywhere, all but the first occurrence (least doc_id, then position) are
-marked; the lines under marked windows, which may overlap, go. A run of one
-repeated line keeps its first. Windows of fewer than ``least`` characters
-don't count: three very short lines meet by chance.
-
-``remove_passages`` does the same with lines that depend on the content alone, so a passage is found
-wherever it was pasted: a line ends at a line break, at the end of a sentence, and at the word
-of least hash among each ``SPREAD`` words in a row. A run of 48 equal words thus holds
-three equal lines, whatever stands before it. Lines are compared without white space at
-their ends, with inner runs folded. There all windows count, and ``least`` is asked of each whole run of
-lines that would go, so long lists of short lines are found. The SQL says ``remove_repeats``.
+r"""Removal of repeated passages by overlapping windows of three lines. DataFrame functions only.
+
+Where a line ends depends on the content alone, so a passage is found wherever it was pasted: behind a line break,
+behind the end of a sentence, and behind words and characters chosen by their last letter (``CHOSEN``, about one
+word in seven of English text, and some characters of scripts written without blanks). A stretch without any of these is one line. Lines are
+compared without white space, lower-cased. Every three consecutive lines make a window, known by a hash of 96 bits.
+Of the windows that occur more than once, anywhere, all but the first occurrence (least doc_id, then position) are
+marked; the lines under marked windows, which may overlap, are covered. A run of covered lines in a row goes
+where it has ``least`` characters, white space not counted, or more: three very short lines meet by chance. A run of one repeated
+line keeps its first.
 
 Work moves as hashes: the text crosses the network once, at the end. A window that many documents
 share is summed up before the shuffle, and the join back to its places can be split.
@@ -29,160 +21,113 @@ which the result takes. An empty table gives an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelake.llm.common import ID, TEXT, stored
-
-SPACE = r"[ \t\x0B\f\r]"
-ANY = r"[ \t\n\x0B\f\r]"
-NOT = r"[^ \t\n\x0B\f\r]"
-#: Up to four words, then words until a sentence ends, sixteen in all; the space behind belongs to it.
-LINE = rf"{ANY}*(?:{NOT}+{SPACE}+){{0,4}}(?:{NOT}*[^ \t\n\x0B\f\r.!?]{SPACE}+){{0,11}}{NOT}+{ANY}*"
+from ridelake.llm.common import ID, TEXT, drop_stored, stored
+
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u202f\u3000"
+WHITE = r" \t\n\x{B}\f\r"
+#: Last letters behind which a line ends, and such characters of scripts without blanks.
+CHOSEN = r"glyGLY37\x{44C}-\x{44F}"
+DENSE = r"\x{3001}-\x{302F}\x{5200}-\x{53FF}\x{6700}-\x{67FF}\x{AC00}-\x{AFFF}"
+#: What ends a line; the white space behind belongs to it.
+END = rf"([.!?{CHOSEN}][\"')\],;:]*[{WHITE}]+|[\n\r][{WHITE}]*|[{DENSE}][{WHITE}]*)"
+#: Between lines: a text's own MARK is followed by a dash meanwhile.
+MARK = "\x01"
 LAST = (1 << 63) - 1
-#: Any white space, what ends a line, and scripts written without blanks, of which each character is a word.
-WHITE = r"[\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-BREAKS = r"[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
-DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FFF\u3001-\u9FFF\uF900-\uFAFF\uFF00-\uFFEF"
-WORD = rf"{WHITE}*(?:[{DENSE}]|[^{DENSE}{WHITE[1:]}+){WHITE}*"
-#: Behind such a word a line ends.
-END = rf"[.!?\u3002\uFF01\uFF1F]{WHITE}*$|{BREAKS}"
-SPREAD, MARK = 12, "\x01"
-
-
-def lines(text: str = TEXT):
-    return F.regexp_extract_all(F.col(text), F.lit(LINE), F.lit(0))
-
-
-def _content_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with __line, the lines of the text that depend on the content alone."""
-    clean = lambda x: F.lower(F.btrim(x, F.lit(BLANKS)))
-    near = lambda name, i: [F.get(F.col(name), i + k) for k in range(SPREAD)]
-    text = F.replace(TEXT, F.lit(MARK), F.lit(MARK + "-"))  # so that MARK + "|" is never the text's own
-    split = docs.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    # the hash above the place: unlike for any two words, the earlier of like ones the greater
-    hashes = F.transform("__words", lambda x, i: F.shiftleft(F.hash(clean(x)).cast("long"), 32) - i)
-    marked = split.withColumn("__hash", hashes)
-    starts = F.when(F.size("__hash") >= SPREAD, F.sequence(F.lit(0), F.size("__hash") - SPREAD))
-    marked = marked.withColumn("__least", F.transform(starts, lambda i: F.least(*near("__hash", i))))
-    # a word is the least of some stretch around it where the greatest of their minima is its own hash
-    picked = lambda i: F.coalesce(F.greatest(*near("__least", i - (SPREAD - 1))) == F.get("__hash", i), F.lit(False))
-    ended = F.transform("__words", lambda x, i: F.when(x.rlike(END) | picked(i), F.concat(x, F.lit(MARK + "|"))).otherwise(x))
-    line = F.filter(F.split(F.array_join(ended, ""), rf"{MARK}\|"), lambda x: x != "")
-    marked = marked.withColumn("__line", line).drop("__words", "__hash", "__least")
-    whole = F.transform("__line", lambda x: F.replace(x, F.lit(MARK + "-"), F.lit(MARK)))
-    # always true; a filter pushed below would have the columns above worked out anew for each word
-    return marked.withColumn("__line", F.when(F.monotonically_increasing_id() >= 0, whole))
-
-
-def _long_runs(least: int):
-    """The places in __gone, in order, whose run of neighbours has at least ``least`` characters in all."""
-    gone, line = F.col("__gone"), F.col("__line")
-    first = F.filter(gone, lambda x, i: (i == 0) | (F.get(gone, i - 1) < x - 1))
-    last = F.filter(gone, lambda x, i: (i == F.size(gone) - 1) | (F.get(gone, i + 1) > x + 1))
-    chars = lambda x: F.length(_folded(F.get(line, x)))
-    runs = F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda r: F.sequence(r["a"], r["b"]))
-    return F.flatten(F.filter(runs, lambda r: F.aggregate(r, F.lit(0), lambda s, x: s + chars(x)) >= least))
+
+
+def _marked(text):
+    return F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(MARK + "-")), END, f"$1{MARK}|")
+
+
+def lines(text=TEXT):
+    """The lines of a text, each with the white space behind it; a MARK of its own is followed by a dash."""
+    return F.filter(F.split(_marked(F.col(text)), rf"{MARK}\|"), lambda x: x != "")
 
 
 def _folded(line):
     """A line as it is compared."""
-    return F.lower(F.trim(F.regexp_replace(line, rf"{WHITE}+", " ")))
-
-
-def _windows(docs: DataFrame, least: int, content: bool = False) -> DataFrame:
-    """doc: order of the document; k1, k2: its key; pos, a, b: place and hash of each
-    window; again: whether the document holds the window before."""
-    clean = (lambda x: x) if content else lambda x: F.lower(F.trim(x))
-    size = F.length if content else lambda x: F.length(F.trim(x))
-    made = F.transform("__line", _folded) if content else lines()
-    docs = docs.select(ID, TEXT)
-    hashed = (_content_lines(docs) if content else docs).select(
-        F.coalesce(F.col(ID), F.lit(LAST)).alias("doc"),
-        *_key(),
-        F.transform(
-            made,
-            lambda x: F.struct(F.xxhash64(clean(x)).alias("h"), F.hash(clean(x)).alias("g"), size(x).alias("n")),
-        ).alias("l"),
-    ).where(F.size("l") >= 3)
-    hashed = stored(hashed)  # the lines are cut once, though windows are counted and then marked
+    return F.lower(F.translate(line, BLANKS, ""))
+
+
+def _windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored lines of each document as hashes, and of each window doc: order of the document, LAST where it holds the window before;
+    k1, k2: its key; pos, a, b: place and hash; size: characters of its lines, 20 bits for each."""
+    line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.least(F.length(x), F.lit((1 << 20) - 1)).cast("long").alias("n"))
+    hashed = docs.select(F.coalesce(F.col(ID), F.lit(LAST - 1)).alias("doc"), *_key(), F.transform(F.transform(lines(), _folded), line).alias("l"))
+    hashed = stored(hashed.where(F.size("l") >= 3))  # the lines are cut once, though windows are counted and then marked
     at = lambda i, f: F.col("l")[i][f]
 
     def window(i):
-        return F.struct(
-            F.xxhash64(at(i, "h"), at(i + 1, "h"), at(i + 2, "h")).alias("a"),
-            F.hash(at(i, "g"), at(i + 1, "g"), at(i + 2, "g")).alias("b"),
-            i.alias("pos"),
-            (at(i, "n") + at(i + 1, "n") + at(i + 2, "n")).alias("n"),
-        )
-
-    made = F.transform(F.sequence(F.lit(0), F.size("l") - 3), window)
-    each = hashed.select("doc", "k1", "k2", F.array_sort(made if content else F.filter(made, lambda w: w.n >= least)).alias("w"))
-    before = lambda i: F.col("w")[i - 1]
-    again = F.transform(
-        "w",
-        lambda x, i: F.struct(
-            x.a.alias("a"),
-            x.b.alias("b"),
-            x.pos.alias("pos"),
-            F.when(i > 0, (before(i).a == x.a) & (before(i).b == x.b)).otherwise(False).alias("again"),
-        ),
-    )
-    return each.select("doc", "k1", "k2", F.inline(again))
+        three = lambda f: [at(i + k, f) for k in range(3)]
+        n0, n1, n2 = three("n")
+        size = F.shiftleft(n0, 40) + F.shiftleft(n1, 20) + n2
+        return F.struct(F.xxhash64(*three("h")).alias("a"), F.hash(*three("g")).alias("b"), i.alias("pos"), size.alias("size"))
 
+    each = hashed.select("doc", "k1", "k2", F.array_sort(F.transform(F.sequence(F.lit(0), F.size("l") - 3), window)).alias("w"))
 
-def _key():
-    return F.xxhash64(ID, TEXT).alias("k1"), F.hash(TEXT, ID).alias("k2")
+    def marked(x, i):
+        before = F.get("w", i - 1)
+        again = F.when((before.a == x.a) & (before.b == x.b), F.lit(LAST)).otherwise(F.col("doc"))
+        return F.struct(again.alias("doc"), *(x[c].alias(c) for c in ("a", "b", "pos", "size")))
 
-
-def remove_repeats(docs: DataFrame, least: int = 40) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``, and ``n_removed``, the number of lines cut."""
-    return _without_repeats(docs, least, False)
+    return hashed, each.select("k1", "k2", F.inline(F.transform("w", marked)))
 
 
-def remove_passages(docs: DataFrame, least: int = 40) -> DataFrame:
-    """The same with lines that depend on the content alone; ``least`` holds for a whole run of lines that go."""
-    return _without_repeats(docs, least, True)
+def _key():
+    return F.xxhash64(ID, TEXT).alias("k1"), F.hash(TEXT, ID).alias("k2")
 
 
-def _without_repeats(docs: DataFrame, least: int, content: bool) -> DataFrame:
-    windows = _windows(docs, least, content)
+def _gone(docs: DataFrame, least: int) -> DataFrame:
+    """Stored: (k1, k2, gone), the places of the lines that go, of each document that loses some."""
+    hashed, windows = _windows(docs.select(ID, TEXT))
     repeated = windows.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    repeated = stored(repeated)  # a join of two tables, not of a table and a sum, is split where a window is very common
-    marked = windows.join(repeated, ["a", "b"], "left").where(F.col("again") | (F.col("doc") > F.col("lo")))
-    covered = marked.groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos"))
-    covered = covered.select(
-        "k1", "k2", F.array_distinct(F.flatten(F.transform("pos", lambda p: F.array(p, p + 1, p + 2)))).alias("__gone")
-    )
+    # written first: a join of two tables, not of a table and a sum, is split where a window is very common
+    repeated = stored(repeated.select("a", "b", "lo"))
+    marked = windows.join(repeated, ["a", "b"]).where(F.col("doc") > F.col("lo")).select("k1", "k2", "pos", "size")
+    key = ["k1", "k2"]
+    order = Window.partitionBy(*key).orderBy("pos")
+    step = F.coalesce(F.col("pos") - F.lag("pos").over(order), F.lit(4))
+    part = lambda k: F.shiftright("size", 40 - 20 * k).bitwiseAND(F.lit((1 << 20) - 1))
+    more = F.when(F.col("step") > 0, part(2)).otherwise(0) + F.when(F.col("step") > 1, part(1)).otherwise(0) + F.when(F.col("step") > 2, part(0)).otherwise(0)
+    runs = marked.withColumn("step", step).withColumn("more", more)
+    runs = runs.withColumn("run", F.sum((F.col("step") > 3).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("chars", F.sum("more").over(Window.partitionBy(*key, "run"))).where(F.col("chars") >= least)
+    found = runs.groupBy(*key).agg(F.collect_set("pos").alias("pos"))
+    three = F.flatten(F.transform("pos", lambda p: F.array(p, p + 1, p + 2)))
+    out = stored(found.select(*key, F.array_distinct(three).alias("gone")))
+    drop_stored(hashed)
+    drop_stored(repeated)
+    return out
+
+
+def remove_repeats(docs: DataFrame, least: int = 40) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``, and ``n_removed``, the number of lines cut."""
     keep = [c for c in docs.columns if c != "n_removed"]
     others = F.struct(*(docs[c] for c in keep if c != TEXT)).alias("others")  # their names can't clash with those used here
-    joined = docs.select(others, TEXT, *_key()).join(covered, ["k1", "k2"], "left")
-    if content:
-        known = F.col("__gone").isNotNull()
-        cut = _content_lines(joined.withColumn("__whole", F.col(TEXT)).withColumn(TEXT, F.when(known, F.col(TEXT))))
-        cut = cut.withColumn(TEXT, F.col("__whole")).withColumn("__gone", F.array_sort("__gone"))
-        cut = cut.withColumn("__gone", _long_runs(least))
-        cut = cut.withColumn("__gone", F.when(F.size("__gone") > 0, F.col("__gone")))
-    else:
-        cut = joined.withColumn("__line", F.when(F.col("__gone").isNotNull(), lines()))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__line") - 1), F.col("__gone"))
-    text = F.array_join(F.transform(left, lambda i: F.col("__line")[i]), "")
-    text = F.when(F.col("__gone").isNull(), F.col(TEXT)).otherwise(text).alias(TEXT)
-    n = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed")
-    return cut.select(*(text if c == TEXT else F.col("others").getField(c).alias(c) for c in keep), n)
+    joined = docs.select(others, TEXT, *_key()).join(_gone(docs, least), ["k1", "k2"], "left")
+    left = F.filter(lines(), lambda x, i: ~F.array_contains("gone", i))
+    text = F.replace(F.array_join(left, ""), F.lit(MARK + "-"), F.lit(MARK))
+    text = F.when(F.col("gone").isNull(), F.col(TEXT)).otherwise(text).alias(TEXT)
+    n = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return joined.select(*(text if c == TEXT else F.col("others").getField(c).alias(c) for c in keep), n.cast("long").alias("n_removed"))
 
 
 def sql(least: int = 40) -> str:
     """The same in DuckDB's SQL: doc_id, text and n_removed of every row of documents (doc_id is unique there)."""
+    end = END.replace("'", "''")
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
     return rf"""
-WITH cut AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{LINE}') AS l FROM documents),
-  clean AS (SELECT doc_id, list_transform(l, lambda x: lower(trim(x, ' '))) AS c, list_transform(l, lambda x: length(trim(x, ' '))) AS n FROM cut),
-  windows AS (SELECT doc_id, i AS pos, c[i] AS x, c[i + 1] AS y, c[i + 2] AS z, n[i] + n[i + 1] + n[i + 2] AS size
-              FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM clean)),
-  marked AS (SELECT doc_id, pos FROM windows WHERE size >= {least}
-             QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, pos) > 1),
-  gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM marked) GROUP BY doc_id)
-SELECT doc_id, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(g, i)), '') END AS text,
+WITH cut AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(replace(coalesce(text, ''), chr(1), chr(1) || '-'), '{end}',
+                    '\1' || chr(1) || '|', 'g'), chr(1) || '|'), lambda x: x <> '') AS l FROM documents),
+  clean AS (SELECT doc_id, list_transform(l, lambda x: lower(translate(x, {blanks}, ''))) AS c FROM cut),
+  windows AS (SELECT doc_id, i AS pos, c[i] AS x, c[i + 1] AS y, c[i + 2] AS z FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM clean)),
+  marked AS (SELECT doc_id, pos FROM windows QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, pos) > 1),
+  covered AS (SELECT doc_id, p, length(c[p]) AS n FROM (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM marked) JOIN clean USING (doc_id)),
+  runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM covered),
+  gone AS (SELECT doc_id, list(p) AS g FROM (SELECT doc_id, p FROM runs QUALIFY sum(n) OVER (PARTITION BY doc_id, run) >= {least}) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN g IS NULL THEN text ELSE replace(array_to_string(list_filter(l, lambda x, i: NOT list_contains(g, i)), ''), chr(1) || '-', chr(1)) END AS text,
        coalesce(len(g), 0)::BIGINT AS n_removed
 FROM cut LEFT JOIN gone USING (doc_id)"""

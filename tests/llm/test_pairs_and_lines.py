@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridelake.llm import decontaminate, jaccard, lines, urls
 
@@ -77,32 +78,42 @@ def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert sorted(x.doc_id for x in jaccard.one_of_each(df.where("doc_id is not null").dropDuplicates()).collect()) == [1, 2]
 
 
-def brute_lines(texts: dict) -> dict:
-    """The operator's rule, document by document."""
-    cut = {i: re.findall(lines.LINE, t or "") for i, t in texts.items()}
-    places = defaultdict(list)
-    for i in sorted(texts):
-        clean = [x.strip(" ").lower() for x in cut[i]]
-        for p in range(len(clean) - 2):
-            if sum(len(x.strip(" ")) for x in cut[i][p : p + 3]) >= 40:
-                places[tuple(clean[p : p + 3])].append((i, p))
-    gone = defaultdict(set)
-    for where in places.values():
-        where.sort()
-        first = where[0][0]
-        for i, p in where:
-            again = any(j == i and q < p for j, q in where)
-            if i > first or again:
-                gone[i] |= {p, p + 1, p + 2}
-    return {
-        i: (t if not gone[i] else "".join(x for k, x in enumerate(cut[i]) if k not in gone[i]), len(gone[i])) for i, t in texts.items()
-    }
+def cut_lines(text: str) -> list[str]:
+    return [x for x in re.sub(PYTHON_END, lambda m: m[0] + "\x00", text).split("\x00") if x]
+
 
+#: The operator's pattern in Python's writing.
+PYTHON_END = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), lines.END)
 
-def test_lines_cover_the_text():
-    for text in ["", "one", "a b c d e f. g h\ni j k l m n o p q r s t u v w x y z. End\n\n last", " lead " + "w " * 100, "x\n" * 5]:
-        found = re.findall(lines.LINE, text)
-        assert "".join(found) == (text if text.strip() else "")
+
+def brute_lines(texts: dict, least: int = 40) -> dict:
+    """The operator's rule, document by document."""
+    cut = {i: cut_lines(t or "") for i, t in texts.items()}
+    clean = {i: ["".join(c for c in x if c not in lines.BLANKS).lower() for x in ls] for i, ls in cut.items()}
+    seen, gone = set(), defaultdict(set)
+    for i in sorted(texts):
+        covered = set()
+        for p in range(len(clean[i]) - 2):
+            window = tuple(clean[i][p : p + 3])
+            if window in seen:
+                covered |= {p, p + 1, p + 2}
+            seen.add(window)
+        run: list[int] = []
+        for p in [*sorted(covered), 10**9]:
+            if run and p != run[-1] + 1:
+                if sum(len(clean[i][q]) for q in run) >= least:
+                    gone[i] |= set(run)
+                run = []
+            run.append(p)
+    return {i: (t if not gone[i] else "".join(x for k, x in enumerate(cut[i]) if k not in gone[i]), len(gone[i])) for i, t in texts.items()}
+
+
+def test_lines_cover_the_text(spark):
+    texts = ["", "one", "a b c d e f. g h\ni j k l m n o p. End\n\n last", " lead " + "w " * 100, "x\n" * 5, "many small angry words 1237 日本の本。です\u3000x", "solar\x01 a\x01|b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in df.select("text", lines.lines().alias("l")).collect():
+        assert "".join(x.l).replace("\x01-", "\x01") == x.text
+        assert x.l == cut_lines(x.text.replace("\x01", "\x01-"))
 
 
 def test_line_dedup_matches_brute_force(spark):
@@ -119,7 +130,9 @@ def test_line_dedup_matches_brute_force(spark):
     got = {x.doc_id: (x.text, x.n_removed) for x in lines.remove_repeats(df.drop("k1")).collect()}
     assert got == brute_lines(texts)
     assert got[42][1] > 0 and got[0][1] == 0
-    assert lines.remove_repeats(df).columns == ["doc_id", "text", "n_removed"] or "n_removed" in lines.remove_repeats(df).columns
+    odd = df.withColumnsRenamed({"k1": "gone"}).withColumn("others", F.lit(1)).withColumn("n_removed", F.lit("x"))
+    assert lines.remove_repeats(odd).columns == ["doc_id", "text", "gone", "others", "n_removed"]
+    assert {x.gone for x in lines.remove_repeats(odd).collect()} == {"k"}
     assert lines.remove_repeats(df.limit(0).select("doc_id", "text")).count() == 0
 
 
@@ -131,7 +144,7 @@ def test_passages_are_found_wherever_they_stand(spark):
     wrapped = "\n".join(" ".join(word() for _ in range(10)) for _ in range(6))
     texts = [plain, f"aa bb cc. {plain} dd ee", f"so it was {plain}", wrapped, f"xx yy\n{wrapped}\n\nzz".replace("\n", "\r\n"), f"un deux {wrapped}\t "]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x for x in lines.remove_passages(df).collect()}
+    got = {x.doc_id: x for x in lines.remove_repeats(df).collect()}
     for i, first in ((0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3)):
         left = sum(w in got[i].text.split() for w in texts[first].split())
         assert left == 60 if i == first else left <= 24, (i, left)
@@ -144,7 +157,7 @@ def test_long_lists_of_short_lines_are_found(spark):
     verse = "\n".join("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(5)) for _ in range(20))
     texts = [menu, f"one\n{menu}\ntwo", verse, f"three\n{verse}\nfour", "aa\nbb\ncc", "five\naa\nbb\ncc\nsix", None, "", "\x01-\x01| " + menu]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {x.doc_id: (x.text, x.n_removed > 0) for x in lines.remove_passages(df).collect()}
+    got = {x.doc_id: (x.text, x.n_removed > 0) for x in lines.remove_repeats(df).collect()}
     for i in (0, 2, 4, 5, 6, 7):
         assert got[i] == (texts[i], False), i
     assert got[1][1] and len(got[1][0]) < 7 + 12 * 6  # at the seams at most the words before the first cut stay
