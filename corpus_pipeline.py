@@ -24,7 +24,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated passages are cut out; a document of which nothing is left goes."""
-    left = lines.remove_passages(docs)
+    left = stored(lines.remove_repeats(docs))  # a filter pushed below would cut the lines once more
     left = left.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     cut = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", cut.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
