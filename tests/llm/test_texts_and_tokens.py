@@ -238,3 +238,37 @@ def test_digests(spark):
     text = "password = 'hunter22x'"
     (a, b, kind), = secrets.base_spans(text)
     assert hashlib.sha256(f"{kind}:{a}:{b}".encode()).hexdigest() == hashlib.sha256(b"assign:0:21").hexdigest()
+
+
+def test_secrets_of_any_shape_and_place(spark):
+    """Planted shapes, in long runs too; the network beside a plain loop over positions and filters."""
+    r = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(r.choice(letters) for _ in range(n))
+    for text in ("hunter2hunter2", "AbC123dEf456gHi", "qLwKeJrHtGyFuDiS", f"{key(30)}.{key(50)}.{key(43)}", key(8)[:7] + "9"):
+        assert secrets.candidates(f"so {text} it", []) == [(3, 3 + len(text))], text
+    assert secrets.candidates("plain words and/or numbers-2024 in_a_text, Mr.Smith went", []) == []
+    assert secrets.candidates("abc12defg45 token=abcdefgh1", [(6, 20, "assign")]) == []
+    assert secrets.stretches(0, 100) == [(0, 40), (20, 60), (40, 80), (60, 100)]
+    texts = [f"this is a plain text of some words number {i} about nothing" for i in range(80)]
+    planted = {i: key(32) for i in range(0, 80, 4)} | {1: "a/" * 60 + key(40) + "/b" * 60}
+    made = [f"{t[:20]} {planted[i]} {t[20:]}" if i in planted else t for i, t in enumerate(texts)]
+    df = corpus(spark, made)
+    network = secrets.fit(df, rows=100, made=300)
+    assert network.recall >= 0.97 and 0.5 < network.precision <= 1
+    got = {x.doc_id: [f for f in x.findings if f["kind"] == "learned"] for x in secrets.scan(df, network, ["doc_id"]).collect()}
+    assert sum(bool(got[i]) for i in planted) >= 0.95 * len(planted)
+    assert not any(got[i] for i in range(80) if i not in planted)
+    x = secrets.encoded([secrets.window("see " + key(20) + " end", 4, 24)])
+    cells = [network.embed[int(c) + (secrets.N_CLASSES if secrets.BEFORE <= i < secrets.BEFORE + secrets.HEAD + secrets.TAIL else 0)] for i, c in enumerate(x[0])]
+    pooled = []
+    for f in range(network.filters.shape[1]):
+        z = [
+            max(0.0, sum(float(cells[i + j] @ network.filters[j * len(cells[0]) : (j + 1) * len(cells[0]), f]) for j in range(network.SPAN)) + network.bias[f])
+            for i in range(len(cells) - network.SPAN + 1)
+        ]
+        pooled.append((max(z), sum(z) / len(z)))
+    plain = sum(a * w for (a, _), w in zip(pooled, network.dense, strict=False)) + sum(
+        m * w for (_, m), w in zip(pooled, network.dense[len(pooled) :], strict=False)
+    ) + network.dense[-1]
+    assert abs(plain - network.logits(x)[0]) < 1e-9
