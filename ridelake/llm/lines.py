@@ -47,17 +47,17 @@ def lines(text=TEXT):
     return F.filter(F.split(_marked(F.col(text)), rf"{MARK}\|"), lambda x: x != "")
 
 
-def _folded(line):
-    """A line as it is compared."""
-    return F.lower(F.translate(line, BLANKS, ""))
+def _folded(text=TEXT):
+    """The same lines as they are compared. White space goes from the whole text at once; trailing marks would make one line more."""
+    return F.split(F.lower(F.rtrim(F.translate(_marked(F.col(text)), BLANKS, ""), F.lit(MARK + "|"))), rf"{MARK}\|")
 
 
 def _windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored lines of each document as hashes, and of each window doc: order of the document, LAST where it holds the window before;
+    """The stored lines of each document as hashes, and of each window doc: order of the document;
     k1, k2: its key; pos, a, b: place and hash; size: characters of its lines, 20 bits for each."""
     line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.least(F.length(x), F.lit((1 << 20) - 1)).cast("long").alias("n"))
-    hashed = docs.select(F.coalesce(F.col(ID), F.lit(LAST - 1)).alias("doc"), *_key(), F.transform(F.transform(lines(), _folded), line).alias("l"))
-    hashed = stored(hashed.where(F.size("l") >= 3))  # the lines are cut once, though windows are counted and then marked
+    # written before the filter, which would be pushed below and cut the lines once more; read when windows are counted and when they are marked
+    hashed = stored(docs.select(F.coalesce(F.col(ID), F.lit(LAST)).alias("doc"), *_key(), F.transform(_folded(), line).alias("l")))
     at = lambda i, f: F.col("l")[i][f]
 
     def window(i):
@@ -66,14 +66,8 @@ def _windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         size = F.shiftleft(n0, 40) + F.shiftleft(n1, 20) + n2
         return F.struct(F.xxhash64(*three("h")).alias("a"), F.hash(*three("g")).alias("b"), i.alias("pos"), size.alias("size"))
 
-    each = hashed.select("doc", "k1", "k2", F.array_sort(F.transform(F.sequence(F.lit(0), F.size("l") - 3), window)).alias("w"))
-
-    def marked(x, i):
-        before = F.get("w", i - 1)
-        again = F.when((before.a == x.a) & (before.b == x.b), F.lit(LAST)).otherwise(F.col("doc"))
-        return F.struct(again.alias("doc"), *(x[c].alias(c) for c in ("a", "b", "pos", "size")))
-
-    return hashed, each.select("k1", "k2", F.inline(F.transform("w", marked)))
+    made = F.transform(F.sequence(F.lit(0), F.size("l") - 3), window)
+    return hashed, hashed.where(F.size("l") >= 3).select("doc", "k1", "k2", F.inline(made))
 
 
 def _key():
@@ -81,12 +75,14 @@ def _key():
 
 
 def _gone(docs: DataFrame, least: int) -> DataFrame:
-    """Stored: (k1, k2, gone), the places of the lines that go, of each document that loses some."""
+    """Stored: (k1, k2, gone, n_gone), the runs of lines that go and their number, of each document that loses some."""
     hashed, windows = _windows(docs.select(ID, TEXT))
-    repeated = windows.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    repeated = windows.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.count("*").alias("n")).where("n > 1")
     # written first: a join of two tables, not of a table and a sum, is split where a window is very common
     repeated = stored(repeated.select("a", "b", "lo"))
-    marked = windows.join(repeated, ["a", "b"]).where(F.col("doc") > F.col("lo")).select("k1", "k2", "pos", "size")
+    place = F.rank().over(Window.partitionBy("k1", "k2", "a", "b").orderBy("pos"))  # rows that repeat share it
+    marked = windows.join(repeated, ["a", "b"]).withColumn("place", place)
+    marked = marked.where((F.col("doc") > F.col("lo")) | (F.col("place") > 1)).select("k1", "k2", "pos", "size")
     key = ["k1", "k2"]
     order = Window.partitionBy(*key).orderBy("pos")
     step = F.coalesce(F.col("pos") - F.lag("pos").over(order), F.lit(4))
@@ -94,10 +90,9 @@ def _gone(docs: DataFrame, least: int) -> DataFrame:
     more = F.when(F.col("step") > 0, part(2)).otherwise(0) + F.when(F.col("step") > 1, part(1)).otherwise(0) + F.when(F.col("step") > 2, part(0)).otherwise(0)
     runs = marked.withColumn("step", step).withColumn("more", more)
     runs = runs.withColumn("run", F.sum((F.col("step") > 3).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("chars", F.sum("more").over(Window.partitionBy(*key, "run"))).where(F.col("chars") >= least)
-    found = runs.groupBy(*key).agg(F.collect_set("pos").alias("pos"))
-    three = F.flatten(F.transform("pos", lambda p: F.array(p, p + 1, p + 2)))
-    out = stored(found.select(*key, F.array_distinct(three).alias("gone")))
+    runs = runs.groupBy(*key, "run").agg(F.min("pos").alias("first"), (F.max("pos") + 2).alias("last"), F.sum("more").alias("chars"))
+    runs = runs.where(F.col("chars") >= least).withColumn("n", F.col("last") - F.col("first") + 1)
+    out = stored(runs.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("gone"), F.sum("n").alias("n_gone")))
     drop_stored(hashed)
     drop_stored(repeated)
     return out
@@ -108,11 +103,11 @@ def remove_repeats(docs: DataFrame, least: int = 40) -> DataFrame:
     keep = [c for c in docs.columns if c != "n_removed"]
     others = F.struct(*(docs[c] for c in keep if c != TEXT)).alias("others")  # their names can't clash with those used here
     joined = docs.select(others, TEXT, *_key()).join(_gone(docs, least), ["k1", "k2"], "left")
-    left = F.filter(lines(), lambda x, i: ~F.array_contains("gone", i))
+    left = F.filter(lines(), lambda x, i: ~F.exists("gone", lambda r: (i >= r["first"]) & (i <= r["last"])))
     text = F.replace(F.array_join(left, ""), F.lit(MARK + "-"), F.lit(MARK))
     text = F.when(F.col("gone").isNull(), F.col(TEXT)).otherwise(text).alias(TEXT)
-    n = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
-    return joined.select(*(text if c == TEXT else F.col("others").getField(c).alias(c) for c in keep), n.cast("long").alias("n_removed"))
+    n = F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed")
+    return joined.select(*(text if c == TEXT else F.col("others").getField(c).alias(c) for c in keep), n)
 
 
 def sql(least: int = 40) -> str:
@@ -120,9 +115,9 @@ def sql(least: int = 40) -> str:
     end = END.replace("'", "''")
     blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
     return rf"""
-WITH cut AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(replace(coalesce(text, ''), chr(1), chr(1) || '-'), '{end}',
-                    '\1' || chr(1) || '|', 'g'), chr(1) || '|'), lambda x: x <> '') AS l FROM documents),
-  clean AS (SELECT doc_id, list_transform(l, lambda x: lower(translate(x, {blanks}, ''))) AS c FROM cut),
+WITH marked_text AS (SELECT doc_id, text, regexp_replace(replace(coalesce(text, ''), chr(1), chr(1) || '-'), '{end}', '\1' || chr(1) || '|', 'g') AS m FROM documents),
+  cut AS (SELECT doc_id, text, list_filter(string_split(m, chr(1) || '|'), lambda x: x <> '') AS l FROM marked_text),
+  clean AS (SELECT doc_id, string_split(lower(rtrim(translate(m, {blanks}, ''), chr(1) || '|')), chr(1) || '|') AS c FROM marked_text),
   windows AS (SELECT doc_id, i AS pos, c[i] AS x, c[i + 1] AS y, c[i + 2] AS z FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM clean)),
   marked AS (SELECT doc_id, pos FROM windows QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, pos) > 1),
   covered AS (SELECT doc_id, p, length(c[p]) AS n FROM (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM marked) JOIN clean USING (doc_id)),
