@@ -81,7 +81,8 @@ def _gone(docs: DataFrame, least: int) -> DataFrame:
     # written first: a join of two tables, not of a table and a sum, is split where a window is very common
     repeated = stored(repeated.select("a", "b", "lo"))
     place = F.rank().over(Window.partitionBy("k1", "k2", "a", "b").orderBy("pos"))  # rows that repeat share it
-    marked = windows.join(repeated, ["a", "b"]).withColumn("place", place)
+    met = stored(windows.join(repeated, ["a", "b"]))  # apart from the ranks, whose order would keep a common window in one task
+    marked = met.withColumn("place", place)
     marked = marked.where((F.col("doc") > F.col("lo")) | (F.col("place") > 1)).select("k1", "k2", "pos", "size")
     key = ["k1", "k2"]
     order = Window.partitionBy(*key).orderBy("pos")
@@ -93,8 +94,8 @@ def _gone(docs: DataFrame, least: int) -> DataFrame:
     runs = runs.groupBy(*key, "run").agg(F.min("pos").alias("first"), (F.max("pos") + 2).alias("last"), F.sum("more").alias("chars"))
     runs = runs.where(F.col("chars") >= least).withColumn("n", F.col("last") - F.col("first") + 1)
     out = stored(runs.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("gone"), F.sum("n").alias("n_gone")))
-    drop_stored(hashed)
-    drop_stored(repeated)
+    for made in (hashed, repeated, met):
+        drop_stored(made)
     return out
 
 
