@@ -80,7 +80,7 @@ def nearest(positions: dict[str, int], length: int, text: str) -> int:
     return best
 
 
-@lru_cache(50_000)
+@lru_cache(16_000)
 def masks_of(segment: str) -> dict[str, int]:
     return masks(segment)
 

@@ -35,7 +35,7 @@ PROBES = ("a", " a  b ", "A\tb\n\nc ", "Åﬁ①  x　y", "")
 
 
 class Codec:
-    def __init__(self, model_path: str, table_rows: int = 500_000):
+    def __init__(self, model_path: str, table_rows: int = 150_000):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=model_path)

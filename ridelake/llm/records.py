@@ -94,7 +94,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts, by a table of distinct chunks."""
 
-    def __init__(self, path: str, table_rows: int = 400_000):
+    def __init__(self, path: str, table_rows: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import Split
