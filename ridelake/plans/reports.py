@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelake import tables
 from ridelake.functions import histograms, stats
 from ridelake.functions.exact import r3
+from ridelake.operators.ordered import running_total
 from ridelake.tables import with_tables
 
 R = "floor({} * 1000 + 0.5) / 1000"
@@ -110,11 +111,11 @@ SQL["hist_quantile"] = with_tables(
 
 
 def wait_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of trips with at most each wait, by policy. Equal waits are summed up before the window."""
+    """Share of trips with at most each wait, by policy. Equal waits are summed up first; ranges of waits share the work."""
     t = tables.trips(spark, sf_dir).groupBy("policy", "wait_time_s").agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("policy").orderBy("wait_time_s")
-    cdf = F.sum("c").over(upto) / F.sum("c").over(Window.partitionBy("policy"))
-    return t.select("policy", "wait_time_s", r3(cdf).alias("cdf"))
+    upto = running_total(t, "wait_time_s", "c", "upto", by=("policy",))
+    whole = t.groupBy("policy").agg(F.sum("c").alias("whole"))
+    return upto.join(whole, "policy").select("policy", "wait_time_s", r3(F.col("upto") / F.col("whole")).alias("cdf"))
 
 
 SQL["wait_cdf"] = with_tables(
