@@ -50,3 +50,14 @@ def dense_ids(df: DataFrame, order: str, name: str = "dense_id", by: tuple[str,
     made = running_total(df, order, F.lit(1).cast("long"), name, by)
     return made.withColumn(name, F.col(name) - 1)
 
+
+def ranked(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
+    """Numbers from 0 in the order of a column that may have ties, which are numbered in any order. Each range is numbered by itself."""
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.withColumn("__range", range_of(F.col(order), splits_of(df, order, ranges)))
+    counts = placed.groupBy("__range").count()
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = counts.select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
+    joined = placed.withColumn(name, inside).join(starts, "__range")
+    return joined.withColumn(name, F.col(name) + F.col("__start")).select(*df.columns, name)

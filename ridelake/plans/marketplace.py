@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelake import tables
 from ridelake.functions import geo, market
 from ridelake.functions.exact import r3
-from ridelake.operators import matching
+from ridelake.operators import matching, ordered
 from ridelake.plans.reports import r
 from ridelake.storage import kept
 from ridelake.tables import with_tables
@@ -326,15 +326,16 @@ SQL["reposition_targets"] = with_tables(
 
 def fleet_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box of the fleet without its outliers: the values at the 5th and 95th percent of the drivers in order."""
-    p = latest_pings(tables.pings(spark, sf_dir))
+    p = kept(latest_pings(tables.pings(spark, sf_dir)).select("driver_id", "lat", "lon"))
+    found = [ordered.ranked(p, c) for c in ("lat", "lon")]
     n = p.count()
-    at = lambda share: min(n - 1, int(n * share)) + 1
-    ranked = lambda c: p.select(F.row_number().over(Window.orderBy(c)).alias("i"), F.col(c).alias("v"))
-    rows = [
-        ranked(c).where(F.col("i").isin(at(0.05), at(0.95))).agg(F.min("v").alias(f"{c}_low"), F.max("v").alias(f"{c}_high")) for c in ("lat", "lon")
-    ]
-    both = rows[0].join(rows[1])
-    return both.select(*[r3(c).alias(c) for c in both.columns])
+    at = lambda share: min(n - 1, int(n * share))
+    made = None
+    for c, rows in zip(("lat", "lon"), found, strict=True):
+        ends = rows.where(F.col("rank").isin(at(0.05), at(0.95))).select(F.lit(c).alias("c"), F.col(c).alias("v"))
+        made = ends if made is None else made.unionByName(ends)
+    low, high = (lambda c: F.min(F.when(F.col("c") == c, F.col("v")))), (lambda c: F.max(F.when(F.col("c") == c, F.col("v"))))
+    return made.agg(*(r3(f(c)).alias(f"{c}_{name}") for c in ("lat", "lon") for name, f in (("low", low), ("high", high))))
 
 
 SQL["fleet_bounds"] = with_tables(
