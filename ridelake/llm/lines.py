@@ -33,13 +33,15 @@ CHOSEN = r"glyGLY37\x{44C}-\x{44F}"
 DENSE = r"\x{3001}-\x{302F}\x{5200}-\x{53FF}\x{6700}-\x{67FF}\x{AC00}-\x{AFFF}"
 #: What ends a line; the white space behind belongs to it.
 END = rf"([.!?{CHOSEN}][\"')\],;:]*[{WHITE}]+|[\n\r][{WHITE}]*|[{DENSE}][{WHITE}]*)"
+#: The same for Java: most characters are passed over by one class, that of all the first characters of an end.
+QUICK_END = rf"(?=[.!?\n\r{CHOSEN}\x{{3000}}-\x{{FFFF}}])(?:{END[1:]}"
 #: Between lines: a text's own MARK is followed by a dash meanwhile.
 MARK = "\x01"
 LAST = (1 << 63) - 1
 
 
 def _marked(text):
-    return F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(MARK + "-")), END, f"$1{MARK}|")
+    return F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(MARK + "-")), QUICK_END, f"$0{MARK}|")
 
 
 def lines(text=TEXT):
@@ -53,11 +55,10 @@ def _folded(text=TEXT):
 
 
 def _windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored lines of each document as hashes, and of each window doc: order of the document;
+    """The stored windows of each document, and of each of them doc: order of the document;
     k1, k2: its key; pos, a, b: place and hash; size: characters of its lines, 20 bits for each."""
     line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.least(F.length(x), F.lit((1 << 20) - 1)).cast("long").alias("n"))
-    # written before the filter, which would be pushed below and cut the lines once more; read when windows are counted and when they are marked
-    hashed = stored(docs.select(F.coalesce(F.col(ID), F.lit(LAST)).alias("doc"), *_key(), F.transform(_folded(), line).alias("l")))
+    hashed = docs.select(F.coalesce(F.col(ID), F.lit(LAST)).alias("doc"), *_key(), F.transform(_folded(), line).alias("l"))
     at = lambda i, f: F.col("l")[i][f]
 
     def window(i):
@@ -66,8 +67,10 @@ def _windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         size = F.shiftleft(n0, 40) + F.shiftleft(n1, 20) + n2
         return F.struct(F.xxhash64(*three("h")).alias("a"), F.hash(*three("g")).alias("b"), i.alias("pos"), size.alias("size"))
 
-    made = F.transform(F.sequence(F.lit(0), F.size("l") - 3), window)
-    return hashed, hashed.where(F.size("l") >= 3).select("doc", "k1", "k2", F.inline(made))
+    made = F.when(F.size("l") >= 3, F.transform(F.sequence(F.lit(0), F.size("l") - 3), window)).alias("w")
+    # written once, read when windows are counted and when they are marked
+    held = stored(hashed.select("doc", "k1", "k2", made))
+    return held, held.select("doc", "k1", "k2", F.inline("w"))
 
 
 def _key():
@@ -76,7 +79,7 @@ def _key():
 
 def _gone(docs: DataFrame, least: int) -> DataFrame:
     """Stored: (k1, k2, gone, n_gone), the runs of lines that go and their number, of each document that loses some."""
-    hashed, windows = _windows(docs.select(ID, TEXT))
+    held, windows = _windows(docs.select(ID, TEXT))
     repeated = windows.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.count("*").alias("n")).where("n > 1")
     # written first: a join of two tables, not of a table and a sum, is split where a window is very common
     repeated = stored(repeated.select("a", "b", "lo"))
@@ -94,7 +97,7 @@ def _gone(docs: DataFrame, least: int) -> DataFrame:
     runs = runs.groupBy(*key, "run").agg(F.min("pos").alias("first"), (F.max("pos") + 2).alias("last"), F.sum("more").alias("chars"))
     runs = runs.where(F.col("chars") >= least).withColumn("n", F.col("last") - F.col("first") + 1)
     out = stored(runs.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("gone"), F.sum("n").alias("n_gone")))
-    for made in (hashed, repeated, met):
+    for made in (held, repeated, met):
         drop_stored(made)
     return out
 
