@@ -54,41 +54,41 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def axial(lat, lon, size: float) -> Column:
-    """Axial coordinates of the hexagon (a struct q, r), by rounding in cube coordinates."""
+def axial(lat, lon, size: float) -> tuple[Column, Column]:
+    """Axial coordinates q and r of the hexagon, by rounding in cube coordinates.
+
+    Plain arithmetic without lambdas, so it runs in generated code, which computes repeated parts once.
+    """
     x, y = plane(lat, lon)
+    q, r = (x * (sqrt(3) / 3) - y / 3) / size, (y * 2 / 3) / size
+    s = -q - r
     near = lambda v: F.floor(v + 0.5).cast("double")
+    nq, nr, ns = near(q), near(r), near(s)
+    dq, dr, ds = F.abs(nq - q), F.abs(nr - r), F.abs(ns - s)
+    first = (dq > dr) & (dq > ds)
+    return F.when(first, -nr - ns).otherwise(nq).cast("long"), F.when(first, nr).when(dr > ds, -nq - ns).otherwise(nr).cast("long")
 
-    def rounded(p: Column) -> Column:
-        s = -p.q - p.r
-        return F.struct(
-            near(p.q).alias("q"), near(p.r).alias("r"), near(s).alias("s"),
-            F.abs(near(p.q) - p.q).alias("dq"), F.abs(near(p.r) - p.r).alias("dr"), F.abs(near(s) - s).alias("ds"),
-        )
-
-    def whole(n: Column) -> Column:
-        first = (n.dq > n.dr) & (n.dq > n.ds)
-        q = F.when(first, -n.r - n.s).otherwise(n.q)
-        r = F.when(first, n.r).when(n.dr > n.ds, -n.q - n.s).otherwise(n.r)
-        return F.struct(q.cast("long").alias("q"), r.cast("long").alias("r"))
 
-    exact = F.struct(((x * (sqrt(3) / 3) - y / 3) / size).alias("q"), ((y * 2 / 3) / size).alias("r"))
-    return let(let(exact, rounded), whole)
+def named(q, r, size: float) -> Column:
+    """The name of the cell at axial coordinates."""
+    return F.concat(F.lit(f"{int(size)}:"), _col(q).cast("string"), F.lit(":"), _col(r).cast("string"))
 
 
-def cell(lat, lon, size: float) -> Column:
-    return let(axial(lat, lon, size), lambda a: F.concat_ws(":", F.lit(str(int(size))), a.q.cast("string"), a.r.cast("string")))
+def middle(q, r, size) -> tuple[Column, Column]:
+    """Latitude and longitude of the centre of the cell at axial coordinates."""
+    q, r = _col(q), _col(r)
+    x, y = size * (sqrt(3) * q + sqrt(3) / 2 * r), size * 1.5 * r
+    return y / LAT_M + CENTRE[0], x / LON_M + CENTRE[1]
 
 
-def centre(cell_: Column) -> Column:
-    """Latitude and longitude of a cell's centre (a struct lat, lon)."""
+def cell(lat, lon, size: float) -> Column:
+    return named(*axial(lat, lon, size), size)
 
-    def place(p: Column) -> Column:
-        size, q, r = p[0].cast("double"), p[1].cast("long"), p[2].cast("long")
-        x, y = size * (sqrt(3) * q + sqrt(3) / 2 * r), size * 1.5 * r
-        return F.struct((y / LAT_M + CENTRE[0]).alias("lat"), (x / LON_M + CENTRE[1]).alias("lon"))
 
-    return let(F.split(cell_, ":"), place)
+def centre(cell_: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of a named cell's centre."""
+    p = F.split(cell_, ":")
+    return middle(p[1].cast("long"), p[2].cast("long"), p[0].cast("double"))
 
 
 def disk(cell_: Column, rings: int) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import exp
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +30,63 @@ def match_cost(eta_s: Column, surge: Column, trip_s: Column, surge_premium: floa
     return eta_s - F.lit(surge_premium) * (surge - 1) + F.lit(eta_weight) * trip_s
 
 
+def surge_step(ema: float | None, last: float | None, ts: float, raw: float, tau_s: float = TAU_S) -> float:
+    """The multiplier after one more observation; 1 once it is as good as gone."""
+    before = LEAST if ema is None else ema
+    alpha = 1.0 if last is None else (1 - exp(-(ts - last) / tau_s) if ts > last else 0.0)
+    blended = before + alpha * (raw - before)
+    return LEAST if blended <= LEAST + GONE else blended
+
+
+def told_step(last: float | None, value: float, base: float, absolute: float | None, relative: float | None) -> tuple[bool, float | None]:
+    """Whether a value is to be reported after ``last``, and what counts as the last report from then on."""
+    free = value <= base * 1.0001
+    if absolute is not None:
+        told = last is not None if free else last is None or abs(value - last) > absolute
+    else:
+        before = base if last is None else last
+        told = before > 0 and abs(value - before) / before > relative
+    return told, None if free else value if told else last
+
+
+def walked(rows: DataFrame, key: str, schema: str, step: Callable) -> DataFrame:
+    """Go through the rows (key, ts, value) of each key in order of ts.
+
+    ``step(state, ts, value)`` gets the key's state (None at first) and returns the next one and a tuple to emit after the key, or None.
+    A task takes its keys one after the other and holds a batch of rows and one state, however many rows a key has.
+    """
+    dealt = rows.repartition(key).sortWithinPartitions(*rows.columns)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(parts):
+        now, state = object(), None
+        for part in parts:
+            out = []
+            for k, ts, value in part.itertuples(index=False, name=None):
+                if k != now and not (k != k and now != now):  # a missing number is not equal to itself
+                    now, state = k, None
+                state, made = step(state, ts, value)
+                if made is not None:
+                    out.append((k, *made))
+            yield pd.DataFrame(out, columns=names)
+
+    return dealt.mapInPandas(run, schema)
+
+
 def smoothed(ticks: DataFrame, key: str, tau_s: float = TAU_S) -> DataFrame:
     """(key, ts, raw, surge) from (key, ts in seconds, raw): the multiplier after each of a cell's observations.
 
     An exponential average whose weight depends on the time since the observation before; the first one
     counts in full. A cell whose average falls back to 1 is forgotten and starts again from 1. The rule
-    depends on its own state, so it is a fold over a cell's ticks in order, which are one row for each tick.
+    depends on its own state, so each cell's ticks are walked through in order.
     """
-    observed = F.array_sort(F.collect_list(F.struct("ts", "raw")))
-    start = F.struct(F.lit(LEAST).alias("ema"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<ts: double, raw: double, surge: double>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        dt = x.ts - s.last
-        alpha = F.when(s.last.isNull(), 1.0).when(dt > 0, 1 - F.exp(-dt / tau_s)).otherwise(0.0)
-        blended = s.ema + alpha * (x.raw - s.ema)
-        ema = F.when(blended <= LEAST + GONE, LEAST).otherwise(blended)
-        return F.struct(ema.alias("ema"), x.ts.alias("last"), F.concat(s.out, F.array(F.struct(x.ts.alias("ts"), x.raw.alias("raw"), ema.alias("surge")))).alias("out"))
+    def step(state, ts, raw):
+        ema = surge_step(*(state or (None, None)), ts, raw, tau_s)
+        return (ema, ts), (ts, raw, ema)
 
-    folded = ticks.select(key, F.col("ts").cast("double").alias("ts"), F.col("raw").cast("double").alias("raw")).groupBy(key)
-    return folded.agg(F.aggregate(observed, start, step).getField("out").alias("out")).select(key, F.inline("out"))
+    rows = ticks.select(key, F.col("ts").cast("double").alias("ts"), F.col("raw").cast("double").alias("raw"))
+    return walked(rows, key, f"{key} {rows.schema[key].dataType.simpleString()}, ts double, raw double, surge double", step)
 
 
 def reported(rows: DataFrame, key: str, ts: str, value: str, base: float, absolute: float | None, relative: float | None) -> DataFrame:
@@ -53,21 +95,10 @@ def reported(rows: DataFrame, key: str, ts: str, value: str, base: float, absolu
     ``absolute``: report when the change exceeds it; ``relative``: when it exceeds this share of the last
     report. What came before the first report is ``base``. A value back at ``base`` is reported once, then forgotten.
     """
-    listed = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(value).cast("double").alias("v"))))
-    none = F.array().cast("array<struct<ts: double, v: double>>")
-    start = F.struct(F.lit(None).cast("double").alias("last"), none.alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        free = x.v <= F.lit(base) * 1.0001
-        if absolute is not None:
-            told = F.when(free, s.last.isNotNull()).otherwise(s.last.isNull() | (F.abs(x.v - s.last) > absolute))
-            last = F.when(free, F.lit(None).cast("double")).when(told, x.v).otherwise(s.last)
-        else:
-            before = F.coalesce(s.last, F.lit(base))
-            told = (before > 0) & (F.abs(x.v - before) / before > relative)
-            last = F.when(free, F.lit(None).cast("double")).when(told, x.v).otherwise(s.last)
-        out = F.when(told, F.concat(s.out, F.array(F.struct(x.ts.cast("double").alias("ts"), x.v.alias("v"))))).otherwise(s.out)
-        return F.struct(last.alias("last"), out.alias("out"))
-
-    folded = rows.groupBy(key).agg(F.aggregate(listed, start, step).getField("out").alias("out"))
-    return folded.select(key, F.inline("out")).select(key, F.col("ts").alias(ts), F.col("v").alias(value))
+
+    def step(last, at, v):
+        told, last = told_step(last, v, base, absolute, relative)
+        return last, (at, v) if told else None
+
+    rows = rows.select(key, F.col(ts).cast("double").alias(ts), F.col(value).cast("double").alias(value))
+    return walked(rows, key, f"{key} {rows.schema[key].dataType.simpleString()}, {ts} double, {value} double", step)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelake.operators.ordered import beside, percentiles
+
 #: 97.5th percentile of Student's t for 1 to 30 degrees of freedom.
 T975 = [
     12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139,
@@ -62,11 +64,8 @@ def paired_differences(waits: DataFrame, base: str, pair: list[str]) -> DataFram
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, p50 and p95 by ``keys``; 0 where there is no value. Percentiles interpolate."""
+    """n, mean, p50 and p95 by ``keys``; 0 where there is no value. Percentiles are exact and interpolate."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        zero(F.avg(value)).alias("mean"),
-        zero(F.percentile(value, 0.5)).alias("p50"),
-        zero(F.percentile(value, 0.95)).alias("p95"),
-    )
+    means = df.groupBy(*keys).agg(F.count(value).alias("n"), zero(F.avg(value)).alias("mean"))
+    found = beside(means, percentiles(df, keys, value, {"p50": 0.5, "p95": 0.95}), keys, "left")
+    return found.select(*keys, "n", "mean", zero(F.col("p50")).alias("p50"), zero(F.col("p95")).alias("p95"))

@@ -6,6 +6,10 @@ window, so each window (and region) is a group of its own and Spark works on all
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Sequence
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,47 +75,65 @@ def cost_matrix(candidates: DataFrame, surge_premium: float = 0.0, surge: Column
     return candidates.select("request_id", "driver_id", "rank", cost.alias("cost"))
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in an assignment of least total cost; the matrix is square, entries may be negative.
+def assign(options: Sequence[Sequence[tuple[object, float]]]) -> list[int]:
+    """Which of its options (driver, cost) each request takes, -1 for none: as many are served as can be, at the least total cost.
 
-    Rows enter one by one; each looks for the cheapest alternating path by reduced costs (Kuhn and Munkres with
-    potentials), a whole row of the matrix at a time.
+    Requests enter one by one. The new one looks for the nearest way, by costs less the drivers' prices, to a free driver or to a
+    request that can give up its own (at the cost NEVER); the drivers on the way change hands and those that were passed become dearer.
+    Only drivers that are linked with the new request are looked at, so parts of a window that share no driver don't meet.
     """
-    n = len(cost)
-    u, v = np.zeros(n + 1), np.zeros(n + 1)
-    row_of = np.full(n + 1, -1)
-    for i in range(n):
-        row_of[n] = i
-        at, dist, back, seen = n, np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
-        while row_of[at] != -1:
-            seen[at] = True
-            reduced = cost[row_of[at]] - u[row_of[at]] - v[:n]
-            closer = ~seen[:n] & (reduced < dist)
-            dist[closer], back[closer] = reduced[closer], at
-            nearest_ = int(np.where(seen[:n], np.inf, dist).argmin())
-            step = dist[nearest_]
-            u[row_of[seen]] += step
-            v[seen] -= step
-            dist[~seen[:n]] -= step
-            at = nearest_
-        while at != n:
-            row_of[at] = row_of[back[at]]
-            at = back[at]
-    out = np.empty(n, int)
-    out[row_of[:n]] = np.arange(n)
-    return out
+    price: dict = defaultdict(float)
+    holder: dict = {}
+    taken = [-1] * len(options)
+    for new in range(len(options)):
+        heap, reach, via, passed = [], {}, {}, {}
+        at, base, quits, quit_cost = new, 0.0, new, float("inf")
+        while True:
+            if base + NEVER < quit_cost:
+                quits, quit_cost = at, base + NEVER
+            for place, (driver, cost) in enumerate(options[at]):
+                far = base + cost - price[driver]
+                if driver not in passed and far < reach.get(driver, float("inf")):
+                    reach[driver], via[driver] = far, (at, place)
+                    heappush(heap, (far, place, at, driver))
+            while heap and heap[0][3] in passed:
+                heappop(heap)
+            if not heap or heap[0][0] >= quit_cost:
+                driver, total = None, quit_cost
+                break
+            total, _, _, driver = heappop(heap)
+            if driver not in holder:
+                break
+            passed[driver] = total
+            at = holder[driver]
+            own = options[at][taken[at]]
+            base = total - (own[1] - price[driver])
+        for d, far in passed.items():
+            price[d] += far - total
+        if driver is None:
+            at, place = quits, -1
+        else:
+            at, place = via[driver]
+        while True:
+            before = options[at][taken[at]][0] if at != new else None
+            taken[at] = place
+            if driver is not None:
+                holder[driver] = at
+            if at == new:
+                break
+            driver = before
+            at, place = via[driver]
+    return taken
 
 
 def _best(request: np.ndarray, driver: np.ndarray, cost: np.ndarray) -> list[int]:
     """Places of the candidates that make up the least total cost within one group."""
-    requests, rows = np.unique(request, return_inverse=True)
-    drivers, columns = np.unique(driver, return_inverse=True)
-    n = max(len(requests), len(drivers))
-    matrix, place = np.full((n, n), NEVER), np.full((n, n), -1)
-    order = np.argsort(-cost, kind="stable")  # of equal pairs the cheapest is written last
-    matrix[rows[order], columns[order]], place[rows[order], columns[order]] = cost[order], order
-    chosen = assign(matrix)[: len(requests)]
-    return [int(place[i, j]) for i, j in enumerate(chosen) if matrix[i, j] < NEVER]
+    places: dict = {}
+    for i, r in enumerate(request.tolist()):
+        places.setdefault(r, []).append(i)
+    drivers, costs = driver.tolist(), cost.tolist()
+    chosen = assign([[(drivers[i], costs[i]) for i in of] for of in places.values()])
+    return [of[c] for of, c in zip(places.values(), chosen, strict=True) if c >= 0]
 
 
 def _greedy(request: np.ndarray, driver: np.ndarray, cost: np.ndarray) -> list[int]:
@@ -165,16 +187,16 @@ def batch_match(candidates: DataFrame, batch: list[str]) -> DataFrame:
     return _by_batch(candidates, batch, _best)
 
 
-def region_match(candidates: DataFrame, batch: list[str], rounds: int = 50) -> DataFrame:
+def region_match(candidates: DataFrame, batch: list[str]) -> DataFrame:
     """Least total cost within every region of a batch (column region), each driver used once in a batch.
 
     All regions are solved at once. Where several took one driver, the first region in order keeps it; the others
     lose that candidate and are solved again, until no driver is taken twice. A region's result depends on its own candidates
-    only, so regions without a conflict are settled.
+    only, so regions without a conflict are settled. Each round takes a candidate from somebody, so the rounds end.
     """
     open_ = kept(candidates)
     settled: DataFrame | None = None
-    for _ in range(rounds):
+    while True:
         made = kept(batch_match(open_, [*batch, "region"]))
         first = made.groupBy(*batch, "driver_id").agg(F.min("region").alias("first"))
         lost = kept(made.join(first, [*batch, "driver_id"]).where("region != first").select(*batch, "region", "driver_id"))
@@ -184,7 +206,6 @@ def region_match(candidates: DataFrame, batch: list[str], rounds: int = 50) -> D
         calm = made.join(again, batch, "left_anti")
         settled = calm if settled is None else settled.unionByName(calm)
         open_ = kept(open_.join(again, batch, "left_semi").join(lost, [*batch, "region", "driver_id"], "left_anti"))
-    raise RuntimeError(f"regions still share drivers after {rounds} rounds")
 
 
 def region(lat, lon) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridelake.storage import kept
+
 
 def splits_of(df: DataFrame, order: str, ranges: int) -> list:
     """At most ``ranges`` - 1 values that part ``order`` into ranges of about as many rows."""
@@ -25,6 +27,13 @@ def range_of(order: Column, splits: list) -> Column:
     return search(0, len(splits))
 
 
+def beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, where a missing key equals a missing key."""
+    named = right.select(*[F.col(c).alias(f"__key_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [left[c].eqNullSafe(named[f"__key_{c}"]) for c in keys]
+    return (left.join(named, same, how) if same else left.crossJoin(named)).drop(*[f"__key_{c}" for c in keys])
+
+
 def running_total(df: DataFrame, order: str, value: str | Column, name: str, by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over all rows up to this one, by ``order`` (unique, not null), within ``by``.
 
@@ -41,7 +50,7 @@ def running_total(df: DataFrame, order: str, value: str | Column, name: str, by:
     starts = totals.select("__range", *by, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy("__range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumn("__within", F.sum("__value").over(inside))
-    joined = summed.join(starts, ["__range", *by])
+    joined = beside(summed, starts, ["__range", *by])
     return joined.select(*df.columns, (F.col("__start") + F.col("__within")).alias(name))
 
 
@@ -61,3 +70,24 @@ def ranked(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
     joined = placed.withColumn(name, inside).join(starts, "__range")
     return joined.withColumn(name, F.col(name) + F.col("__start")).select(*df.columns, name)
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of ``shares``): exact percentiles of each group that has a value, linear between neighbours.
+
+    Equal values are counted first, and the counts are dealt into ranges of values. So no task holds a whole group, and what
+    meets for a group are two values of each percentile from every range.
+    """
+    counted = kept(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c")))
+    sizes = counted.groupBy(*keys).agg((F.sum("__c") - 1).alias("__last"))
+    placed = beside(running_total(counted, value, "__c", "__upto", by=tuple(keys)), sizes, keys)
+    after = lambda at: F.min(F.when(F.col("__upto") > at, F.col(value)))
+    at = {name: F.lit(float(share)) * F.col("__last") for name, share in shares.items()}
+    ends = [after(side(x)).alias(f"__{end}_{name}") for name, x in at.items() for end, side in (("lo", F.floor), ("hi", F.ceil))]
+    found = placed.groupBy(*keys).agg(F.max("__last").alias("__last"), *ends)
+
+    def between(name: str, x: Column) -> Column:
+        lo, hi, part = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), x - F.floor(x)
+        return F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part)
+
+    return found.select(*keys, *[between(name, x).alias(name) for name, x in at.items()])

@@ -6,12 +6,12 @@ the shared folder; nothing is gathered on the driver but a count for each round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelake.functions import roads
 from ridelake.functions.geo import haversine
-from ridelake.operators.ordered import dense_ids
+from ridelake.operators.ordered import dense_ids, running_total
 from ridelake.storage import kept
 
 
@@ -61,8 +61,12 @@ def segments(ways: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.struct(F.lit(1).alias("back"), F.col("b_node_id").alias("from_node"), F.col("a_node_id").alias("to_node"), F.col("lanes_back").alias("n")),
     )
     edges = placed.select("way_id", "step", "speed_limit", "length", F.inline(F.filter(both, lambda x: (x.back == 0) | ~F.col("oneway"))))
-    order = F.col("way_id") * 4096 + F.col("step") * 2 + F.col("back")  # a map way has 2000 nodes at most
-    numbered = dense_ids(edges.withColumn("__order", order), "__order", "edge_id")
+    # edges of the ways before, then the place within the way: a way's edges are counted, so it may have any number of steps
+    edges = kept(edges)
+    counts = edges.groupBy("way_id").agg(F.count("*").alias("n_edges"))
+    starts = running_total(counts, "way_id", "n_edges", "ends")
+    within = F.row_number().over(Window.partitionBy("way_id").orderBy("step", "back"))
+    numbered = edges.join(starts, "way_id").withColumn("edge_id", (F.col("ends") - F.col("n_edges") + within - 1).cast("long"))
     return (
         own.select("node_id", "osm_id", "lat", "lon"),
         numbered.select("edge_id", "from_node", "to_node", "length", F.col("n").cast("int").alias("lanes"), "speed_limit"),

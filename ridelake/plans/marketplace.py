@@ -175,6 +175,16 @@ def surge_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("cell", F.col("ts").cast("long").alias("ts"), r3("surge").alias("surge"))
 
 
+SQL["surge_publish"] = with_tables(
+    f"""+ {_EMA}, told AS (SELECT cell, ts, i, surge, surge > 1.0001 AS tell, CASE WHEN surge > 1.0001 THEN surge END AS last FROM ema WHERE i = 1
+        UNION ALL SELECT cell, ts, i, surge, tell, CASE WHEN surge <= 1.0001 THEN NULL WHEN tell THEN surge ELSE last END FROM (
+          SELECT e.cell, e.ts, e.i, e.surge, t.last, CASE WHEN e.surge <= 1.0001 THEN t.last IS NOT NULL ELSE t.last IS NULL OR abs(e.surge - t.last) > 0.05 END AS tell
+          FROM told t JOIN ema e ON e.cell = t.cell AND e.i = t.i + 1))
+    SELECT cell, ts, {r('surge')} AS surge FROM told WHERE tell""",
+    "trips", "grid_nodes",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def weight_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slowdowns of the street at each pickup node that are reported: over ten percent from the last report."""
     t = tables.trips(spark, sf_dir)
@@ -185,6 +195,18 @@ def weight_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("pickup_node", F.col("ts").cast("long").alias("ts"), r3("weight_s").alias("weight_s"))
 
 
+SQL["weight_changes"] = with_tables(
+    f"""+ cars AS (SELECT pickup_node, (pickup_ts_unix_ms // 60000) * 60 AS ts, 20 * least(1 + pow(greatest(count(*) - 1, 0) / 5.0::DOUBLE, 2), 5.0) AS w FROM trips GROUP BY ALL),
+      num AS (SELECT *, row_number() OVER (PARTITION BY pickup_node ORDER BY ts) AS i FROM cars),
+      told AS (SELECT pickup_node, 0::BIGINT AS ts, 0::BIGINT AS i, 20.0::DOUBLE AS w, false AS tell, NULL::DOUBLE AS last FROM num WHERE i = 1
+        UNION ALL SELECT pickup_node, ts, i, w, tell, CASE WHEN w <= 20 * 1.0001 THEN NULL WHEN tell THEN w ELSE last END FROM (
+          SELECT n.pickup_node, n.ts, n.i, n.w, t.last, abs(n.w - coalesce(t.last, 20.0)) / coalesce(t.last, 20.0) > 0.1 AS tell
+          FROM told t JOIN num n ON n.pickup_node = t.pickup_node AND n.i = t.i + 1))
+    SELECT pickup_node, ts, {r('w')} AS weight_s FROM told WHERE tell""",
+    "trips",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def surge_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last multiplier of every cell; cells back at 1 are gone."""
     s = market.smoothed(_ticks(spark, sf_dir), "cell").groupBy("cell").agg(F.max(F.struct("ts", "surge")).alias("last"))
@@ -266,6 +288,20 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.greedy_match(_batches(spark, sf_dir), _BATCH).select("request_id", "driver_id", r3("cost").alias("cost_s"))
 
 
+SQL["greedy_match"] = with_tables(
+    f"""+ {_NEAR}, f AS (SELECT *, min(request_ts_unix_ms) OVER (PARTITION BY scenario, policy, seed) AS f FROM trips),
+      own AS (SELECT *, f + (ceil((request_ts_unix_ms - f) / {10 * WINDOW_MS}.0) * {10 * WINDOW_MS})::BIGINT AS batch_ms FROM f),
+      cands AS (SELECT node_id, list({{'d': driver_id, 'cost': dist_m / 11.0::DOUBLE}} ORDER BY dist_m / 11.0::DOUBLE, rank) AS cands FROM near GROUP BY node_id),
+      num AS (SELECT ride_id, cands, dense_rank() OVER (ORDER BY scenario, policy, seed, batch_ms) AS b,
+        row_number() OVER (PARTITION BY scenario, policy, seed, batch_ms ORDER BY request_ts_unix_ms, ride_id) AS i FROM own JOIN cands ON node_id = pickup_node),
+      g AS (SELECT b, i, ride_id, cands[1] AS took, [cands[1].d] AS taken FROM num WHERE i = 1
+        UNION ALL SELECT b, i, ride_id, took, CASE WHEN took IS NULL THEN taken ELSE list_append(taken, took.d) END FROM (
+          SELECT n.b, n.i, n.ride_id, g.taken, list_filter(n.cands, lambda x: NOT list_contains(g.taken, x.d))[1] AS took FROM g JOIN num n ON n.b = g.b AND n.i = g.i + 1))
+    SELECT ride_id AS request_id, took.d AS driver_id, {r('took.cost')} AS cost_s FROM g WHERE took IS NOT NULL""",
+    "trips", "grid_nodes", "pings",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def hungarian_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By run: matched requests and their least total cost."""
     made = matching.batch_match(_batches(spark, sf_dir), _BATCH)

@@ -20,26 +20,38 @@ SQL: dict[str, str] = {}
 STAMP = eta.Model(eta.FEATURES, [3000.0, 1.75, 0.1, -0.2], [1500.0, 0.56, 0.7, 0.7], [660.0, 120.5, 14.25, -3.5, 2.75])
 
 
+MIDDLES = ["pickup_mid_lat", "pickup_mid_lon", "dropoff_mid_lat", "dropoff_mid_lon"]
+
+
 def with_coords(trips: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Trips with the coordinates of their pickup and dropoff; the road graph's nodes are joined twice."""
-    end = lambda side: nodes.select(F.col("node_id").alias(f"{side}_node"), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"))
+    """Trips with the columns of their pickup's and their dropoff's node; the road graph's nodes are joined twice."""
+    end = lambda side: nodes.select(*[F.col(c).alias(f"{side}_{c.removesuffix('_id')}") for c in nodes.columns])
     return trips.join(end("pickup"), "pickup_node").join(end("dropoff"), "dropoff_node")
 
 
+def with_cells(nodes: DataFrame) -> DataFrame:
+    """Nodes (node_id, lat, lon) with their cell and its centre, so these are found once for each node and not for each trip."""
+    q, r_ = geo.axial("lat", "lon", geo.TRIP_M)
+    placed = nodes.select("*", q.alias("q"), r_.alias("r"))
+    cell, middle = geo.named("q", "r", geo.TRIP_M), geo.middle("q", "r", geo.TRIP_M)
+    return placed.select("node_id", "lat", "lon", cell.alias("cell"), middle[0].alias("mid_lat"), middle[1].alias("mid_lon"))
+
+
 def derived(trips: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The trip rows that are kept: waits, durations, cells; empty labels replaced."""
-    t = with_coords(trips, nodes)
+    """The trip rows that are kept: waits, durations, cells; empty labels replaced. Beside them the centres of the cells."""
+    t = with_coords(trips, with_cells(nodes))
     return t.select(
         "ride_id",
         F.coalesce(F.nullif("scenario", F.lit("")), F.lit("unknown")).alias("scenario"),
         F.coalesce(F.nullif("policy", F.lit("")), F.lit("unknown")).alias("policy"),
         F.coalesce(F.nullif("seed", F.lit(0)), F.lit(42)).alias("seed"),
         "match_ts_unix_ms",
-        geo.cell("pickup_lat", "pickup_lon", geo.TRIP_M).alias("pickup_cell"),
-        geo.cell("dropoff_lat", "dropoff_lon", geo.TRIP_M).alias("dropoff_cell"),
+        "pickup_cell",
+        "dropoff_cell",
         (1 + (F.col("ride_id") % 4).cast("double") / 2).alias("surge"),
         ((F.col("pickup_ts_unix_ms") - F.col("request_ts_unix_ms")).cast("double") / 1000).alias("wait_time_s"),
         ((F.col("dropoff_ts_unix_ms") - F.col("pickup_ts_unix_ms")).cast("double") / 1000).alias("trip_duration_s"),
+        *MIDDLES,
     )
 
 
@@ -48,9 +60,12 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_distance(t: DataFrame) -> DataFrame:
-    """Metres between the centres of the pickup's and the dropoff's cell."""
-    ends = F.struct(geo.centre(F.col("pickup_cell")).alias("a"), geo.centre(F.col("dropoff_cell")).alias("b"))
-    return t.withColumn("dist_m", geo.let(ends, lambda e: geo.haversine(e.a.lat, e.a.lon, e.b.lat, e.b.lon)))
+    """Metres between the centres of the pickup's and the dropoff's cell, by the centres that ``derived`` gives or, in stored
+    rows, by the cells' names."""
+    if not set(MIDDLES) <= set(t.columns):
+        (a, b), (c, d) = geo.centre(F.col("pickup_cell")), geo.centre(F.col("dropoff_cell"))
+        return t.withColumn("dist_m", geo.haversine(a, b, c, d))
+    return t.withColumn("dist_m", geo.haversine(*MIDDLES)).drop(*MIDDLES)
 
 
 def trips_with_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +82,7 @@ SQL["trips_with_coords"] = with_tables(
 
 
 def trip_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trips(spark, sf_dir).withColumns({c: r3(c) for c in ("wait_time_s", "trip_duration_s")})
+    return _trips(spark, sf_dir).drop(*MIDDLES).withColumns({c: r3(c) for c in ("wait_time_s", "trip_duration_s")})
 
 
 _DERIVED = f"""{_COORDS}, t AS (SELECT ride_id, scenario, policy, seed, match_ts_unix_ms,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ridelake.functions.market import GONE, LEAST, REPORT, TAU_S
+from ridelake.functions.market import LEAST, REPORT, surge_step, told_step
 
 
 def counters(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,16 +53,6 @@ def funnel(requested: DataFrame, matched: DataFrame, within: str = "1 hour", wat
     return requested.join(m, near).drop("m_request_id")
 
 
-def surge_step(ema: float | None, last: float | None, ts: float, raw: float, tau_s: float = TAU_S) -> float:
-    """The multiplier after one more observation; 1 once it is as good as gone."""
-    from math import exp
-
-    before = LEAST if ema is None else ema
-    alpha = 1.0 if last is None else (1 - exp(-(ts - last) / tau_s) if ts > last else 0.0)
-    blended = before + alpha * (raw - before)
-    return LEAST if blended <= LEAST + GONE else blended
-
-
 def surge_stream(ticks: DataFrame, epsilon: float = REPORT) -> DataFrame:
     """(cell, ts, surge) of a stream (cell, ts, raw): smoothed multipliers, reported when they have changed enough.
 
@@ -77,13 +67,9 @@ def surge_stream(ticks: DataFrame, epsilon: float = REPORT) -> DataFrame:
         for ts, raw in zip(rows["ts"], rows["raw"], strict=True):
             ema = surge_step(ema, last, ts, raw)
             last = ts
-            free = ema <= LEAST * 1.0001
-            if free and told is not None:
-                out.append((key[0], ts, ema))
-                told = None
-            elif not free and (told is None or abs(ema - told) > epsilon):
+            tell, told = told_step(told, ema, LEAST, epsilon, None)
+            if tell:
                 out.append((key[0], ts, ema))
-                told = ema
         state.update((ema, last, told))
         yield pd.DataFrame(out, columns=["cell", "ts", "surge"])
 

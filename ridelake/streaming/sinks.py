@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,15 @@ def append_new(batch: DataFrame, path: str, batch_id: int) -> None:
     new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def retried(write: Callable[[], None], tries: int = 8, first_s: float = 0.1, most_s: float = 5.0) -> None:
-    """Call ``write`` until it succeeds, waiting twice as long each time; the last failure is the batch's."""
+def retried(write: Callable[[], None], tries: int | None = None, first_s: float = 0.1, most_s: float = 5.0) -> None:
+    """Call ``write`` until it succeeds, waiting twice as long each time. It goes on for ever unless ``tries`` is given; then the
+    last failure is the batch's."""
     wait = first_s
-    for i in range(tries):
+    for i in count():
         try:
             return write()
         except Exception:
-            if i == tries - 1:
+            if tries is not None and i == tries - 1:
                 raise
             time.sleep(wait)
             wait = min(2 * wait, most_s)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from conftest import rows
@@ -103,9 +104,11 @@ def test_distances_and_cells(spark):
     hav, eq, flat = one(spark, geo.haversine(*c), geo.equirectangular(*c), geo.planar(*c))
     assert hav == pytest.approx(1417, abs=3) and eq == pytest.approx(hav, rel=0.01) and flat == pytest.approx(hav, rel=0.01)
     df = spark.range(200).select((37.7 + F.col("id") / 900).alias("lat"), (-122.5 + (F.col("id") * 7 % 200) / 900).alias("lon"))
-    df = df.withColumn("cell", geo.cell("lat", "lon", 461.0)).withColumn("c", geo.centre(F.col("cell")))
-    far = df.select(F.max(geo.planar("lat", "lon", F.col("c.lat"), F.col("c.lon"))), F.min(F.col("cell") == geo.cell(F.col("c.lat"), F.col("c.lon"), 461.0))).first()
+    df = df.withColumn("cell", geo.cell("lat", "lon", 461.0))
+    mid = geo.centre(F.col("cell"))
+    far = df.select(F.max(geo.planar("lat", "lon", *mid)), F.min(F.col("cell") == geo.cell(*mid, 461.0))).first()
     assert far[0] <= 461.0 + 1e-6 and far[1] is True
+    assert one(spark, geo.cell(F.lit(None).cast("double"), F.lit(1.0), 461.0))[0] is None
     disk = one(spark, geo.disk(F.lit("461:2:-3"), 2))[0]
     assert len(set(disk)) == 19 and disk[0] == "461:2:-3" and set(disk[1:7]) == {"461:3:-3", "461:1:-3", "461:2:-2", "461:2:-4", "461:3:-4", "461:1:-2"}
 
@@ -126,6 +129,17 @@ def test_reports_count_from_the_last_one(spark):
     assert rows(market.reported(df, "k", "ts", "v", 10.0, None, 0.1).select("ts", "v")) == [(0.0 + i, weights[i]) for i in (1, 3, 4, 6)]
 
 
+def test_percentiles_of_groups(spark):
+    r = random.Random(8)
+    data = [(k, r.choice([None, float(r.randrange(30)), r.random()])) for k in ["a"] * 200 + ["b"] * 7 + [None] * 20 + ["c"]] + [("d", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {x.k: x for x in stats.summary(df, ["k"], "v").collect()}
+    want = df.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.95).alias("p95")).collect()
+    assert len(got) == len(want) == 5
+    for w in want:
+        assert got[w.k].n == w.n and got[w.k].p50 == pytest.approx(w.p50 or 0.0) and got[w.k].p95 == pytest.approx(w.p95 or 0.0)
+
+
 def test_splitting_time_does_not_change_cancellations(spark):
     whole, part = one(spark, market.cancel_probability(F.lit(1.2), F.lit(60.0)), market.cancel_probability(F.lit(1.2), F.lit(6.0)))
     assert 1 - (1 - part) ** 10 == pytest.approx(whole)

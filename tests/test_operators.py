@@ -81,10 +81,25 @@ def test_assignment_matches_brute_force():
     for n in [1, 2, 3, 4, 5] * 12:
         cost = r.integers(-20, 20, (n, n)).astype(float)
         best = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
-        chosen = matching.assign(cost)
+        chosen = matching.assign([list(enumerate(row)) for row in cost.tolist()])
         assert sorted(chosen) == list(range(n)) and cost[np.arange(n), chosen].sum() == best
 
 
+def test_sparse_assignment_matches_brute_force():
+    """Not every pair is a candidate, there may be fewer drivers than requests, costs tie and may be negative."""
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n, m = r.integers(1, 6, 2)
+        options = [[(d, float(r.integers(-5, 6))) for d in range(m) if r.random() < 0.5] for _ in range(n)]
+        of = [{None: matching.NEVER} | dict(o) for o in options]
+        ways = (p for p in itertools.product(*of) if len(s := [d for d in p if d is not None]) == len(set(s)))
+        best = min(sum(o[d] for o, d in zip(of, p, strict=True)) for p in ways)
+        taken = matching.assign(options)
+        drivers = [o[t][0] for o, t in zip(options, taken, strict=True) if t >= 0]
+        assert len(drivers) == len(set(drivers))
+        assert sum(o[t][1] if t >= 0 else matching.NEVER for o, t in zip(options, taken, strict=True)) == best
+
+
 def candidates(spark, data):
     return spark.createDataFrame(data, "batch int, region string, request_id long, request_ts long, driver_id long, rank int, cost double")
 
