@@ -49,6 +49,18 @@ def planar(lat1, lon1, lat2, lon2) -> Column:
     return F.sqrt((a - c) * (a - c) + (b - d) * (b - d))
 
 
+def along(lat1, lon1, lat2, lon2, share: Column) -> tuple[Column, Column]:
+    """The position after a share of the straight way from one place to the other."""
+    a, b, c, d = map(_col, (lat1, lon1, lat2, lon2))
+    return a + (c - a) * share, b + (d - b) * share
+
+
+def ring_offsets(rings: int) -> list[tuple[int, int]]:
+    """Steps in q and r to the cells within ``rings``, ring by ring, the cell itself first."""
+    steps = [(a, b) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1) if abs(a + b) <= rings]
+    return sorted(steps, key=lambda s: (max(abs(s[0]), abs(s[1]), abs(s[0] + s[1])), s))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -93,9 +105,7 @@ def centre(cell_: Column) -> tuple[Column, Column]:
 
 def disk(cell_: Column, rings: int) -> Column:
     """The cells within ``rings`` steps, the cell itself first, then ring by ring."""
-    steps = [(a, b) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1) if abs(a + b) <= rings]
-    steps.sort(key=lambda s: (max(abs(s[0]), abs(s[1]), abs(s[0] + s[1])), s))
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])
+    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ring_offsets(rings)])
 
     def around(p: Column) -> Column:
         move = lambda o: F.concat_ws(":", p[0], (p[1].cast("long") + o.a).cast("string"), (p[2].cast("long") + o.b).cast("string"))

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelake.functions.geo import REGION_M, cell, plane
+from ridelake.functions.geo import REGION_M, cell, plane, ring_offsets
+from ridelake.functions.market import match_cost
 from ridelake.storage import kept
 
 #: Cost of a pair that must not be matched.
@@ -68,10 +69,12 @@ def nearest(requests: DataFrame, drivers: DataFrame, k: int = 5, size: float = 5
     return spots.join(done, ["x", "y"]).select("request_id", "driver_id", "dist_m", "rank")
 
 
-def cost_matrix(candidates: DataFrame, surge_premium: float = 0.0, surge: Column | None = None) -> DataFrame:
-    """(request_id, driver_id, rank, cost): straight-line seconds to the pickup, less a premium for surge."""
-    eta = F.col("dist_m") / DRIVER_MPS
-    cost = eta - F.lit(surge_premium) * ((surge if surge is not None else F.lit(1.0)) - 1)
+def cost_matrix(
+    candidates: DataFrame, surge_premium: float = 0.0, surge: Column | None = None, trip_s: Column | None = None, eta_weight: float = 0.0
+) -> DataFrame:
+    """(request_id, driver_id, rank, cost): straight-line seconds to the pickup, less a premium for surge, and a share of the trip's seconds."""
+    one, none = F.lit(1.0), F.lit(0.0)
+    cost = match_cost(F.col("dist_m") / DRIVER_MPS, one if surge is None else surge, none if trip_s is None else trip_s, surge_premium, eta_weight)
     return candidates.select("request_id", "driver_id", "rank", cost.alias("cost"))
 
 
@@ -260,3 +263,44 @@ def reposition_targets(gap: DataFrame, disk_of, lead: int = 2) -> DataFrame:
     return best.where((F.col("b.target") != F.col("cell")) & (F.col("b.target_gap") > 0) & (F.col("b.target_gap") - F.col("here") >= lead)).select(
         "cell", F.col("b.target").alias("target"), F.col("b.target_gap").alias("target_gap")
     )
+
+
+def reposition_moves(pickups: DataFrame, cars: DataFrame, rings: int, lead: int = 2) -> DataFrame:
+    """(fleet, driver_id, cell, target): which cars move, from recent pickups (fleet, cell) and cars (fleet, driver_id, cell, ready).
+
+    The cars of a fleet that are ready choose in the order of driver_id: the cell with the largest gap (pickups less cars) within
+    ``rings``, the nearer ring first among equals, where the gap is above nothing and at least ``lead`` above that of the car's own
+    cell. A move takes one from the target's gap and adds one to the own. Each choice depends on those before, so a fleet's cars pass
+    through one task, batch by batch; what is kept is a number for each cell.
+    """
+    keys = ["fleet", "cell"]
+    moves = pickups.select(*keys, F.lit(1).alias("d")).unionByName(cars.select(*keys, F.lit(-1).alias("d"))).where("cell IS NOT NULL")
+    schema = "fleet string, driver_id long, cell string, gap long"
+    gap = moves.groupBy(*keys).agg(F.sum("d").alias("gap")).select("fleet", F.lit(None).cast("long").alias("driver_id"), "cell", "gap")
+    ready = cars.where(F.col("ready") & F.col("cell").isNotNull()).select("fleet", F.col("driver_id").cast("long"), "cell", F.lit(0).cast("long").alias("gap"))
+    # gaps have no driver_id and sort before the cars
+    dealt = gap.unionByName(ready).repartition("fleet").sortWithinPartitions("fleet", F.asc_nulls_first("driver_id")).select("fleet", "driver_id", "cell", "gap")
+    offsets = ring_offsets(rings)
+
+    def near(name: str) -> list[str]:
+        size, q, r = name.split(":")
+        return [f"{size}:{int(q) + a}:{int(r) + b}" for a, b in offsets]
+
+    def run(parts):
+        fleet, held = None, {}
+        for rows in parts:
+            out = []
+            for f, driver, here, n in zip(*(rows[c] for c in rows.columns), strict=True):
+                if f != fleet:
+                    fleet, held = f, {}
+                if pd.isna(driver):
+                    held[here] = int(n)
+                    continue
+                best = max(near(here), key=lambda c: held.get(c, 0))  # the first of equals
+                if held.get(best, 0) > 0 and held.get(best, 0) - held.get(here, 0) >= lead:
+                    held[best] -= 1
+                    held[here] = held.get(here, 0) + 1
+                    out.append((f, int(driver), here, best))
+            yield pd.DataFrame(out, columns=["fleet", "driver_id", "cell", "target"])
+
+    return dealt.mapInPandas(run, schema.replace("gap long", "target string"))

@@ -232,6 +232,24 @@ def routes(edges: DataFrame, sources: DataFrame, weight: str = "base_weight_s",
         front = front_new
 
 
+def unroutable(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The distinct pairs (from_node, to_node) without any way between them.
+
+    Nodes of one strong component reach each other. For other pairs it is looked up which components the first node's component
+    reaches, over the far smaller graph of components.
+    """
+    parts = kept(strong_components(nodes, edges))
+    of = lambda c, name: parts.select(F.col("node_id").alias(c), F.col("component").alias(name))
+    asked = pairs.select("from_node", "to_node").where("from_node != to_node").distinct()
+    placed = asked.join(of("from_node", "a"), "from_node", "left").join(of("to_node", "b"), "to_node", "left")
+    apart = kept(placed.where("NOT coalesce(a = b, false)"))
+    between = edges.join(of("from_node", "a"), "from_node").join(of("to_node", "b"), "to_node").where("a != b").select("a", "b").distinct()
+    steps = between.select(F.col("a").alias("from_node"), F.col("b").alias("to_node"), F.lit(1.0).alias("step"), F.lit(0).cast("long").alias("edge_id"))
+    found = routes(kept(steps), apart.where("a IS NOT NULL").select(F.col("a").alias("source")).distinct(), "step")
+    ways = found.select(F.col("source").alias("a"), F.col("node").alias("b"))
+    return apart.join(ways, ["a", "b"], "left_anti").select("from_node", "to_node")
+
+
 def _cheapest(df: DataFrame) -> DataFrame:
     """Least cost of each (source, node); among equal costs no edge first, then the smallest."""
     pick = F.min(F.struct("cost", F.coalesce("via", F.lit(-1)).alias("via"))).alias("m")
