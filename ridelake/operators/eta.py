@@ -14,6 +14,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridelake.functions.geo import equirectangular
+from ridelake.operators.ordered import dense_ids
+from ridelake.operators.roads import routes
+from ridelake.storage import kept
+
 FEATURES = ["dist_m", "surge", "hour_sin", "hour_cos"]
 
 
@@ -98,3 +103,35 @@ def quality(df: DataFrame, model: Model, target: str = "trip_duration_s") -> Dat
     sse, n = F.sum(error * error), F.count("*")
     sst = F.var_pop(target) * n
     return df.agg(n.alias("n"), F.sqrt(sse / n).alias("rmse"), F.when(sst > 0, 1 - sse / sst).otherwise(0.0).alias("r2"))
+
+
+def routed_pairs(nodes: DataFrame, edges: DataFrame, n: int, seed: int, attempts: int = 20) -> DataFrame:
+    """(attempt, from_node, to_node, dist_m, surge, hour, trip_duration_s): up to ``n`` training rows of random trips on a road graph.
+
+    A pair's ends and its hour are drawn from the seed and the attempt's number. Pairs of one node, without a way, or without a
+    duration are passed over, and further ones are drawn, ``n`` at a time, up to ``attempts`` times ``n``. The duration is that of the
+    quickest way on empty streets (base_weight_s); the distance is straight.
+    """
+    spark = nodes.sparkSession
+    own = kept(dense_ids(nodes.select("node_id", "lat", "lon"), "node_id", "place"))
+    size = own.count()
+    draw = lambda what, many: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "attempt"), F.lit(many))
+    end = lambda side: own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns])
+    made, have = None, 0
+    for i in range(attempts if size else 1):
+        drawn = spark.range(i * n, (i + 1) * n).withColumnRenamed("id", "attempt").select(
+            "attempt", draw("from", max(size, 1)).alias("from_place"), draw("to", max(size, 1)).alias("to_place"), draw("hour", 24).alias("hour")
+        )
+        pairs = kept(drawn.where("from_place != to_place").join(end("from"), "from_place").join(end("to"), "to_place"))
+        found = routes(edges, pairs.select(F.col("from_node_id").alias("source")).distinct())
+        cost = found.select(F.col("source").alias("from_node_id"), F.col("node").alias("to_node_id"), F.col("cost").alias("trip_duration_s"))
+        rows = kept(
+            pairs.join(cost, ["from_node_id", "to_node_id"]).where("trip_duration_s > 0").select(
+                "attempt", F.col("from_node_id").alias("from_node"), F.col("to_node_id").alias("to_node"),
+                equirectangular("from_lat", "from_lon", "to_lat", "to_lon").alias("dist_m"), F.lit(1.0).alias("surge"), "hour", "trip_duration_s",
+            )
+        )
+        made, have = rows if made is None else made.unionByName(rows), have + rows.count()
+        if have >= n:
+            break
+    return made.orderBy("attempt").limit(n)

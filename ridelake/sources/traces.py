@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridelake.schemas import TRIP_KEY, TRIPS
@@ -26,3 +26,14 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 def keys(spark: SparkSession, path: str) -> DataFrame:
     """What identifies the stored trips; only these columns are read."""
     return scan(spark, path).select(*TRIP_KEY)
+
+
+def newest(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """What identifies the trips in the newest files below ``path``: files are taken from the last written one backwards, until
+    they hold ``most`` trips."""
+    read = spark.read.schema(TRIPS).option("ignoreCorruptFiles", True).parquet(path)
+    rows = read.select(*TRIP_KEY, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_modification_time").alias("__at"))
+    files = rows.groupBy("__file", "__at").count()
+    before = Window.orderBy(F.desc("__at"), F.desc("__file")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    taken = files.withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).where(F.col("__before") < most)
+    return rows.join(taken.select("__file"), "__file", "left_semi").select(*TRIP_KEY)

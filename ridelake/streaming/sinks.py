@@ -74,6 +74,11 @@ def decoded_sink(stream: DataFrame, schema: StructType, base: str, topic: str, c
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def snapshot_json(state: DataFrame, path: str) -> None:
+    """Write a small live state (a row for each cell or driver) as one file of JSON lines, replacing the one before."""
+    state.select(F.to_json(F.struct(*state.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def snapshot(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Run an aggregated stream over what is there and return its last result.
 

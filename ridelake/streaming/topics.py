@@ -55,6 +55,16 @@ def replay(spark: SparkSession, base: str, topic: str) -> DataFrame:
     return spark.read.schema(RECORDS).parquet(f"{base}/{topic}")
 
 
+def replay_difference(replayed: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change): what storing a replay would do. ``added`` rows are in the replay alone, ``missing`` ones in the store alone,
+    ``changed`` ones in both with other values. Rows with equal keys are told apart by their values; nothing is written."""
+    tally = lambda df, side: df.select(*keys, F.xxhash64(*sorted(c for c in df.columns if c not in keys)).alias("__h"), F.lit(side).alias("__side"))
+    both = tally(replayed, 1).unionByName(tally(stored, -1)).groupBy(*keys, "__h").agg(F.sum("__side").alias("d")).where("d != 0")
+    sides = both.groupBy(*keys).agg(F.max("d").alias("most"), F.min("d").alias("least"))
+    change = F.when((F.col("most") > 0) & (F.col("least") < 0), "changed").when(F.col("most") > 0, "added").otherwise("missing")
+    return sides.select(*keys, change.alias("change"))
+
+
 def decode(rows: DataFrame, schema: StructType, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(decoded, dead): rows whose ``value`` is JSON of the schema, with its fields, and the others unchanged."""
     # a field of its own catches what can't be parsed; a value may be an object without any known field
