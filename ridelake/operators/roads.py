@@ -89,49 +89,49 @@ def continuations(edges: DataFrame) -> DataFrame:
     return met.select("edge_id", F.when((F.size("onward") == 1) & (F.size(merging) == 0), F.col("f.edge_id")).alias("next"))
 
 
-def links(edges: DataFrame) -> DataFrame:
-    """(edge_id, link_id, pos): the chain of edges between junctions each lies on, named by its first edge.
+def _looked_back(back: DataFrame) -> DataFrame:
+    """(edge_id, to, steps, least) from (edge_id, prev): the first edge of the chain behind each, how far it is, and the smallest
+    edge passed. In a loop, which has no first edge, ``to`` is some edge of it.
 
-    Pointer jumping: each round doubles the stretch that an edge looks back over, so a chain of n edges takes log n joins. A
-    chain that bites its own tail begins at its smallest edge.
+    Pointer jumping: each round doubles the stretch that an edge looks back over, so a chain of n edges takes log n joins.
     """
-    ahead = continuations(edges)
-    back = ahead.where("next IS NOT NULL").groupBy(F.col("next").alias("edge_id")).agg(F.min("edge_id").alias("prev"))
-    state = ahead.select("edge_id").join(back, "edge_id", "left")
     state = kept(
-        state.select(
+        back.select(
             "edge_id", F.coalesce("prev", "edge_id").alias("to"), F.col("prev").isNotNull().cast("long").alias("steps"), F.least("edge_id", F.coalesce("prev", "edge_id")).alias("least")
         )
     )
-    rounds = max(1, state.count().bit_length())
-    moved = -1
-    for _ in range(rounds):
+    # fewer edges move each round while a chain is open; in a loop all move for ever, and once no smallest edge changes it has been passed whole
+    before = None
+    for _ in range(max(1, state.count().bit_length())):
         far = state.select(F.col("edge_id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("least").alias("least2"))
         state = kept(
-            state.join(far, "to").select("edge_id", F.col("to2").alias("to"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("least", "least2").alias("least"))
+            state.join(far, "to").select(
+                "edge_id", F.col("to2").alias("to"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("least", "least2").alias("least"), (F.col("steps2") > 0).alias("moved")
+            )
         )
-        now = state.where("edge_id != to").count()
-        total = state.agg(F.sum(F.col("to").cast("decimal(38,0)"))).first()[0]
-        if (now, total) == moved:
+        now = tuple(state.agg(F.count(F.when(F.col("moved"), 1)), F.sum(F.col("least").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        moved = (now, total)
-    heads = ahead.select("edge_id").join(back, "edge_id", "left_anti")
-    chain = state.join(heads.select(F.col("edge_id").alias("to")), "to", "left_semi")
-    chained = chain.select("edge_id", F.col("to").alias("link_id"), F.col("steps").alias("pos"))
-    loop = state.join(heads.select(F.col("edge_id").alias("to")), "to", "left_anti").select("edge_id", F.col("least").alias("link_id"))
-    # along a loop each edge stands behind its predecessor; few roads are loops, so their places are found by walking
-    walk = loop.where("edge_id = link_id").select("edge_id", "link_id", F.lit(0).cast("long").alias("pos"))
-    if loop.limit(1).count():
-        found, front = kept(walk), walk
-        while front.limit(1).count():
-            front = kept(
-                front.join(ahead, "edge_id").select(F.col("next").alias("edge_id"), "link_id", (F.col("pos") + 1).alias("pos")).where("edge_id != link_id")
-            )
-            found = found.unionByName(front)
-        walk = found
-    else:
-        walk = walk.limit(0)
-    return chained.unionByName(walk)
+        before = now
+    return state.select("edge_id", "to", "steps", "least")
+
+
+def links(edges: DataFrame) -> DataFrame:
+    """(edge_id, link_id, pos): the chain of edges between junctions each lies on, named by its first edge.
+
+    A chain that bites its own tail begins at its smallest edge: it is cut open there and looked back over once more.
+    """
+    ahead = kept(continuations(edges))
+    behind = ahead.where("next IS NOT NULL").groupBy(F.col("next").alias("edge_id")).agg(F.min("edge_id").alias("prev"))
+    back = kept(ahead.select("edge_id").join(behind, "edge_id", "left"))
+    heads = back.where("prev IS NULL").select(F.col("edge_id").alias("to"))
+    state = _looked_back(back)
+    chained = state.join(heads, "to", "left_semi").select("edge_id", F.col("to").alias("link_id"), F.col("steps").alias("pos"))
+    loops = kept(state.join(heads, "to", "left_anti").select("edge_id", "least"))
+    if not loops.limit(1).count():
+        return chained
+    cut = back.join(loops, "edge_id").select("edge_id", F.when(F.col("edge_id") != F.col("least"), F.col("prev")).alias("prev"))
+    return chained.unionByName(_looked_back(cut).select("edge_id", F.col("to").alias("link_id"), F.col("steps").alias("pos")))
 
 
 def link_storage(links_: DataFrame, edges: DataFrame) -> DataFrame:
@@ -257,17 +257,26 @@ def _cheapest(df: DataFrame) -> DataFrame:
 
 
 def route_edges(found: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(source, target, pos, edge_id): the edges of each routed pair (source, target), the last one first (pos 0)."""
+    """(source, target, pos, edge_id): the edges of each routed pair (source, target), the last one first (pos 0).
+
+    Tables of steps of 1, 2, 4, ... edges back are made by doubling. From the longest step down each halves the distance between
+    the places found so far, so a way of n edges takes about 2 log n joins.
+    """
     ends = edges.select(F.col("edge_id").alias("via"), F.col("from_node").alias("before"))
-    last = found.join(ends, "via").select("source", "node", "via", "before")
-    front = pairs.select("source", "target", F.col("target").alias("node")).distinct()
-    out, pos = None, 0
+    asked = found.join(pairs.select("source").distinct(), "source", "left_semi")
+    last = kept(asked.join(ends, "via").select("source", "node", "via", "before"))
+    steps = [last.select("source", "node", F.col("before").alias("up"))]
     while True:
-        here = kept(front.join(last, ["source", "node"]).select("source", "target", F.lit(pos).alias("pos"), F.col("via").alias("edge_id"), "before"))
-        if not here.limit(1).count():
-            return out if out is not None else here.drop("before")
-        out = here.drop("before") if out is None else out.unionByName(here.drop("before"))
-        front, pos = here.select("source", "target", F.col("before").alias("node")), pos + 1
+        onward = steps[-1].select("source", F.col("node").alias("up"), F.col("up").alias("up2"))
+        longer = kept(steps[-1].join(onward, ["source", "up"]).select("source", "node", F.col("up2").alias("up")))
+        if not longer.limit(1).count():
+            break
+        steps.append(longer)
+    places = pairs.select("source", "target").distinct().select("*", F.col("target").alias("node"), F.lit(0).cast("long").alias("pos"))
+    for k in reversed(range(len(steps))):
+        back = places.join(steps[k], ["source", "node"]).select("source", "target", F.col("up").alias("node"), (F.col("pos") + (1 << k)).alias("pos"))
+        places = kept(places.unionByName(back))
+    return places.join(last, ["source", "node"]).select("source", "target", "pos", F.col("via").alias("edge_id"))
 
 
 def congestion(links_: DataFrame, storage: DataFrame, cars: DataFrame, total_edges: int) -> DataFrame:

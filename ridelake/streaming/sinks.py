@@ -28,16 +28,18 @@ def append_new(batch: DataFrame, path: str, batch_id: int) -> None:
     """Write the trips of a batch that no earlier batch and no other writer has stored.
 
     ``path`` holds a folder ``batch=<n>`` for each; the batch's own folder does not count as stored, so a second try gives
-    the same result. Only the key columns of stored trips are read.
+    the same result. Within it trips lie by the hour of their dropoff, which is part of what identifies them (hour 0 for those
+    without). So only the key columns of the hours that the batch touches are read, however long the store has grown.
     """
     spark = batch.sparkSession
-    new = traces.conform(batch).dropDuplicates(TRIP_KEY)
+    new = traces.conform(batch).dropDuplicates(TRIP_KEY).withColumn("hour", F.coalesce(F.floor(F.col("dropoff_ts_unix_ms") / 3_600_000), F.lit(0)).cast("long"))
     if _exists(spark, path):
-        stored = spark.read.schema(StructType([*TRIPS.fields, StructField("batch", LongType())])).option("ignoreCorruptFiles", True)
-        known = stored.parquet(path).where(F.col("batch") != batch_id).select(*TRIP_KEY)
+        hours = [r[0] for r in new.select("hour").distinct().collect()]  # a stream's batch holds few
+        stored = spark.read.schema(StructType([*TRIPS.fields, StructField("batch", LongType()), StructField("hour", LongType())])).option("ignoreCorruptFiles", True)
+        known = stored.parquet(path).where((F.col("batch") != batch_id) & F.col("hour").isin(hours)).select(*TRIP_KEY)
         same = [new[c].eqNullSafe(known[c]) for c in TRIP_KEY]
         new = new.join(known, same, "left_anti")
-    new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    new.write.mode("overwrite").partitionBy("hour").parquet(f"{path}/batch={batch_id}")
 
 
 def retried(write: Callable[[], None], tries: int | None = None, first_s: float = 0.1, most_s: float = 5.0) -> None:

@@ -56,6 +56,22 @@ def test_links(spark):
     assert store[0] == (2, 2.0) and store[8] == (3, 3.0)
 
 
+def test_long_loops_and_chains(spark):
+    """A loop of 37 edges and a chain of 21, numbered in disorder, and the way along the chain."""
+    ids = list(range(100, 158))
+    random.Random(6).shuffle(ids)
+    loop = [(ids[i], i, (i + 1) % 37) for i in range(37)]
+    chain = [(ids[37 + i], 50 + i, 51 + i) for i in range(21)]
+    df = spark.createDataFrame([(*e, 1.0) for e in loop + chain], "edge_id long, from_node long, to_node long, base_weight_s double")
+    first = min(range(37), key=lambda i: ids[i])
+    want = [(ids[(first + i) % 37], ids[first], i) for i in range(37)] + [(ids[37 + i], ids[37], i) for i in range(21)]
+    assert rows(roads.links(df)) == sorted(want)
+    assert rows(roads.links(df.where("from_node < 40"))) == sorted(want[:37])
+    start = spark.createDataFrame([(50,)], "source long")
+    found = roads.route_edges(roads.routes(df, start), df, spark.createDataFrame([(50, 71), (50, 60), (50, 50), (50, 3)], "source long, target long"))
+    assert rows(found) == sorted([(50, 71, 20 - i, ids[37 + i]) for i in range(21)] + [(50, 60, 9 - i, ids[37 + i]) for i in range(10)], key=repr)
+
+
 def test_routes_take_the_detour(spark):
     w = spark.createDataFrame([(0, 1, 2, 900.0), (1, 2, 4, 900.0), (2, 1, 3, 250.0), (3, 3, 4, 250.0)], "edge_id long, from_node long, to_node long, base_weight_s double")
     found = roads.routes(w, spark.createDataFrame([(1,)], "source long"))
