@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelake.storage import kept
-
 
 def splits_of(df: DataFrame, order: str, ranges: int) -> list:
     """At most ``ranges`` - 1 values that part ``order`` into ranges of about as many rows."""
@@ -78,9 +76,15 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     Equal values are counted first, and the counts are dealt into ranges of values. So no task holds a whole group, and what
     meets for a group are two values of each percentile from every range.
     """
-    counted = kept(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c")))
-    sizes = counted.groupBy(*keys).agg((F.sum("__c") - 1).alias("__last"))
-    placed = beside(running_total(counted, value, "__c", "__upto", by=tuple(keys)), sizes, keys)
+    held = df.where(F.col(value).isNotNull())
+    splits = splits_of(held, value, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    counted = held.groupBy(*keys, value).agg(F.count("*").alias("__c")).withColumn("__range", range_of(F.col(value), splits))
+    totals = counted.groupBy("__range", *keys).agg(F.sum("__c").alias("__sum"))  # a row for each range of a group
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__range", *keys, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"), (F.sum("__sum").over(group) - 1).alias("__last"))
+    within = F.sum("__c").over(Window.partitionBy("__range", *keys).orderBy(value))
+    placed = beside(counted.withColumn("__within", within), starts, ["__range", *keys]).withColumn("__upto", F.col("__start") + F.col("__within"))
     after = lambda at: F.min(F.when(F.col("__upto") > at, F.col(value)))
     at = {name: F.lit(float(share)) * F.col("__last") for name, share in shares.items()}
     ends = [after(side(x)).alias(f"__{end}_{name}") for name, x in at.items() for end, side in (("lo", F.floor), ("hi", F.ceil))]
