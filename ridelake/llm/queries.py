@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelake.llm import decontaminate, jaccard, language, licences, lines, merkle, pieces, records, secrets, urls
+from ridelake.llm import decontaminate, infill, jaccard, language, licences, lines, merkle, pieces, records, secrets, urls
 from ridelake.llm.common import read_table, shared_dir
 
 
@@ -109,6 +109,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc.doc_id",
+        "n",
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -119,4 +132,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": lines.sql(),
         "op8_licence_scan": licences.sql(),
         "op10_ngram_jaccard": jaccard.sql(),
+        "op12_fill_in_middle": infill.sql(),
     }
