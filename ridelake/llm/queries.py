@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelake.llm import decontaminate, infill, jaccard, language, licences, lines, merkle, pieces, records, secrets, urls
-from ridelake.llm.common import read_table, shared_dir
+from ridelake.llm import decontaminate, infill, jaccard, language, licences, lines, manifest, merkle, pieces, records, secrets, urls
+from ridelake.llm.common import ascii_lower, read_table, shared_dir
 
 
 def tokenizer(name: str) -> str:
@@ -122,6 +122,23 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, manifest.leaf(*fields[:-1], ascii_lower(F.col("text"))))
+    made = manifest.proofs(docs, manifest.leaf(*fields), F.col("source"), F.col("doc_id"), [F.col("doc_id"), tampered.alias("tampered")])
+    siblings = F.array_join(F.zip_with("left", "right", lambda x, y: F.concat(x, y)), "")
+    found = made.select(
+        "row.doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(siblings, 256).alias("proof_sha256"),
+        manifest.folded(F.coalesce("row.tampered", "leaf"), F.col("left"), F.col("right")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -133,4 +150,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_licence_scan": licences.sql(),
         "op10_ngram_jaccard": jaccard.sql(),
         "op12_fill_in_middle": infill.sql(),
+        "op13_merkle_manifest": manifest.sql(),
     }

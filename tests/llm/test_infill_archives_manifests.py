@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ridelake.llm import infill
+from ridelake.llm import infill, manifest
 
 TEXTS = [
     None, "", "\n", "\n\n\n", "one line", "a\nb\nc", "a\nb\nc\n", "é\n日本\n🙂x\ny", "\x01\n\x02a\x01\x02\n\x02b", "a<P>b\nc", "x <S>", "<M>\n", "<\nP>\n<\nS>",
@@ -59,3 +59,93 @@ def test_infill_refuses_sentinels_that_cannot_be_found_again(spark):
     for bad in (("", "b", "c"), ("aa", "b", "c"), ("ab", "bc", "d"), ("abc", "b", "d")):
         with pytest.raises(ValueError):
             infill.transform(docs, sentinels=bad)
+
+
+def tree_of(leaves):
+    """The levels of a tree, leaves first."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 16])) for i in range(0, len(levels[-1]), 16)])
+    return levels
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def path_of(levels, i):
+    for level in levels[:-1]:
+        run = i // 16 * 16
+        yield "".join(level[run:i]), "".join(level[i + 1 : run + 16])
+        i //= 16
+
+
+def manifested(rows):
+    """{(source, doc_id, leaf): (subroot, root, left, right)}, sorted into lists as equal rows share a key."""
+    groups = {}
+    for doc_id, source, text in rows:
+        leaf = sha("".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in (doc_id, source, text)))
+        groups.setdefault(source, []).append((doc_id is not None, doc_id or 0, leaf, doc_id))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree_of([x[2] for x in sorted(groups[s])]) for s in names}
+    top = tree_of([trees[s][-1][0] for s in names])
+    out = []
+    for k, s in enumerate(names):
+        for i, (_, _, leaf, doc_id) in enumerate(sorted(groups[s])):
+            path = [*path_of(trees[s], i), *path_of(top, k)]
+            out.append((doc_id, s, leaf, trees[s][-1][0], top[-1][0], [x for x, _ in path], [y for _, y in path]))
+    return sorted(out, key=repr)
+
+
+def found_by_spark(docs):
+    made = manifest.proofs(docs, manifest.leaf(*(F.col(c) for c in ("doc_id", "source", "text"))), F.col("source"), F.col("doc_id"), [F.col("doc_id"), F.col("source"), F.col("root")])
+    made = made.withColumn("again", manifest.folded(F.col("leaf"), F.col("left"), F.col("right")))
+    got = made.collect()
+    assert all(x.again == x.root and x.row.root == "own" for x in got)
+    return sorted(((x.row.doc_id, x.row.source, x.leaf, x.subroot, x.root, list(x.left), list(x.right)) for x in got), key=repr)
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_manifest_equals_plain_trees(spark, monkeypatch, ranges):
+    rows = [(i, "hot", f"text {i}") for i in range(1100)]
+    rows += [(i, f"s{i % 23}", "é" * (i % 3)) for i in range(2000, 2300)] + [(i, None, "x") for i in range(17)] + [(i, "", None) for i in range(16)]
+    rows += [(None, "hot", "a"), (None, "hot", None), (None, None, "y" * 300_000), (7, "one", ""), *[(5, "same", "same")] * 400, (5, "same", "other"), (1, "é", "z"), (1, "Z", "z")]
+    docs = spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, source string, text string, root string").repartition(5)
+    monkeypatch.setattr(manifest, "ROWS", -(-len(rows) // ranges))
+    assert found_by_spark(docs) == manifested(rows)
+
+
+def test_manifest_of_few_rows(spark):
+    docs = lambda rows: spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, source string, text string, root string")
+    assert found_by_spark(docs([])) == []
+    for rows in ([(1, "a", "x")], [(1, "a", "x"), (2, None, None)], [(i, str(i), "t") for i in range(40)]):
+        assert found_by_spark(docs(rows)) == manifested(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 31, 33, 255, 256, 257, 4097])
+def test_runs_cut_anywhere_meet_again(n):
+    """Local parts and boundary nodes give each node of the tree once, however the leaves are cut."""
+    leaves = [sha(str(i)) for i in range(n)]
+    levels = tree_of(leaves)
+    for cuts in ([0, n], [0, n // 2, n], [0, 1, n], sorted({0, *range(5, n, 37), n}), sorted({0, *range(0, n, 16), n})):
+        nodes, roots = {}, []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            for kind, level, index, _, h in manifest._whole(lo, leaves[lo:hi], n) if hi > lo else ():
+                assert levels[level][index] == h
+                roots += [h] if kind == "root" else []
+                nodes.setdefault(level, {})[index] = h
+        for level in range(len(levels) - 1):
+            for run in {i // 16 for i in nodes.get(level, ())}:
+                children = [nodes[level][i] for i in range(run * 16, min(len(levels[level]), run * 16 + 16))]
+                nodes.setdefault(level + 1, {})[run] = sha("".join(children))
+        assert roots or nodes[len(levels) - 1][0] == levels[-1][0]
+
+
+def test_tampering_shows(spark):
+    """Every row whose text has capitals fails when it is lower-cased, and no other one."""
+    rows = [(i, f"s{i % 3}", "Text" if i % 2 else "text") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    fields = [F.col("doc_id"), F.col("source")]
+    made = manifest.proofs(docs, manifest.leaf(*fields, F.col("text")), F.col("source"), F.col("doc_id"), [F.col("doc_id"), manifest.leaf(*fields, F.lower("text")).alias("low")])
+    for x in made.select("row.doc_id", (manifest.folded(F.col("row.low"), F.col("left"), F.col("right")) == F.col("root")).alias("ok")).collect():
+        assert x.ok == (x.doc_id % 2 == 0)
