@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelake.llm import decontaminate, infill, jaccard, language, licences, lines, manifest, merkle, pieces, records, secrets, urls
+from ridelake.llm import decontaminate, infill, jaccard, language, licences, lines, manifest, merkle, pieces, records, secrets, urls, warc
 from ridelake.llm.common import ascii_lower, read_table, shared_dir
 
 
@@ -109,6 +109,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    warc.archive(read_table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select(
@@ -149,6 +155,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": lines.sql(),
         "op8_licence_scan": licences.sql(),
         "op10_ngram_jaccard": jaccard.sql(),
+        "op11_warc": warc.sql(),
         "op12_fill_in_middle": infill.sql(),
         "op13_merkle_manifest": manifest.sql(),
     }
