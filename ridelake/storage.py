@@ -28,3 +28,13 @@ def kept(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables made by ``kept`` that no later step reads."""
+    for df in frames:
+        spark = df.sparkSession
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
