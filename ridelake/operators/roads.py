@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ridelake.functions import roads
 from ridelake.functions.geo import haversine
+from ridelake.operators.components import looked_back, strong_components
 from ridelake.operators.ordered import dense_ids, running_total
+from ridelake.operators.search import routes
 from ridelake.storage import kept
 
 
@@ -89,33 +91,6 @@ def continuations(edges: DataFrame) -> DataFrame:
     return met.select("edge_id", F.when((F.size("onward") == 1) & (F.size(merging) == 0), F.col("f.edge_id")).alias("next"))
 
 
-def _looked_back(back: DataFrame) -> DataFrame:
-    """(edge_id, to, steps, least) from (edge_id, prev): the first edge of the chain behind each, how far it is, and the smallest
-    edge passed. In a loop, which has no first edge, ``to`` is some edge of it.
-
-    Pointer jumping: each round doubles the stretch that an edge looks back over, so a chain of n edges takes log n joins.
-    """
-    state = kept(
-        back.select(
-            "edge_id", F.coalesce("prev", "edge_id").alias("to"), F.col("prev").isNotNull().cast("long").alias("steps"), F.least("edge_id", F.coalesce("prev", "edge_id")).alias("least")
-        )
-    )
-    # fewer edges move each round while a chain is open; in a loop all move for ever, and once no smallest edge changes it has been passed whole
-    before = None
-    for _ in range(max(1, state.count().bit_length())):
-        far = state.select(F.col("edge_id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("least").alias("least2"))
-        state = kept(
-            state.join(far, "to").select(
-                "edge_id", F.col("to2").alias("to"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("least", "least2").alias("least"), (F.col("steps2") > 0).alias("moved")
-            )
-        )
-        now = tuple(state.agg(F.count(F.when(F.col("moved"), 1)), F.sum(F.col("least").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return state.select("edge_id", "to", "steps", "least")
-
-
 def links(edges: DataFrame) -> DataFrame:
     """(edge_id, link_id, pos): the chain of edges between junctions each lies on, named by its first edge.
 
@@ -123,15 +98,16 @@ def links(edges: DataFrame) -> DataFrame:
     """
     ahead = kept(continuations(edges))
     behind = ahead.where("next IS NOT NULL").groupBy(F.col("next").alias("edge_id")).agg(F.min("edge_id").alias("prev"))
-    back = kept(ahead.select("edge_id").join(behind, "edge_id", "left"))
-    heads = back.where("prev IS NULL").select(F.col("edge_id").alias("to"))
-    state = _looked_back(back)
-    chained = state.join(heads, "to", "left_semi").select("edge_id", F.col("to").alias("link_id"), F.col("steps").alias("pos"))
-    loops = kept(state.join(heads, "to", "left_anti").select("edge_id", "least"))
+    back = kept(ahead.select("edge_id").join(behind, "edge_id", "left").withColumnRenamed("edge_id", "item"))
+    heads = back.where("prev IS NULL").select(F.col("item").alias("to"))
+    placed = lambda state: state.select(F.col("item").alias("edge_id"), F.col("to").alias("link_id"), F.col("steps").alias("pos"))
+    state = looked_back(back)
+    chained = placed(state.join(heads, "to", "left_semi"))
+    loops = kept(state.join(heads, "to", "left_anti").select("item", "least"))
     if not loops.limit(1).count():
         return chained
-    cut = back.join(loops, "edge_id").select("edge_id", F.when(F.col("edge_id") != F.col("least"), F.col("prev")).alias("prev"))
-    return chained.unionByName(_looked_back(cut).select("edge_id", F.col("to").alias("link_id"), F.col("steps").alias("pos")))
+    cut = back.join(loops, "item").select("item", F.when(F.col("item") != F.col("least"), F.col("prev")).alias("prev"))
+    return chained.unionByName(placed(looked_back(cut)))
 
 
 def link_storage(links_: DataFrame, edges: DataFrame) -> DataFrame:
@@ -145,59 +121,6 @@ def effective_weights(edges: DataFrame, overrides: DataFrame) -> DataFrame:
     return edges.join(overrides, "edge_id", "left").withColumn("weight_s", F.coalesce("weight", "base_weight_s")).drop("weight")
 
 
-def reached(edges: DataFrame, start: DataFrame, hops: int = 4) -> DataFrame:
-    """(node, part): nodes reached from ``start`` (node, part) along edges (a, b) inside the same part.
-
-    Frontiers grow ``hops`` steps to a job.
-    """
-    found = front = kept(start.select("node", "part").distinct())
-    while True:
-        new = step = front
-        for _ in range(hops):
-            step = step.join(edges, (F.col("node") == F.col("a")) & (F.col("part") == F.col("edge_part"))).select(F.col("b").alias("node"), "part").distinct()
-            new = new.unionByName(step)
-        front = kept(new.distinct().join(found, ["node", "part"], "left_anti"))
-        if not front.limit(1).count():
-            return found
-        found = kept(found.unionByName(front))
-
-
-def strong_components(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
-    """(node_id, component): strongly connected components, named by their largest node.
-
-    Colouring: each node takes the largest node that reaches it, by repeated joins; of the nodes of one
-    colour, those that also reach the colour's own node are its component. They leave and the rest starts anew.
-    """
-    left = kept(nodes.select(F.col("node_id").alias("node")).distinct())
-    pairs = kept(edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).where("a != b").distinct())
-    done = None
-    while left.limit(1).count():
-        colour = kept(left.select("node", F.col("node").alias("colour")))
-        while True:
-            state = colour
-            for _ in range(hops):
-                via = state.join(pairs, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "colour")
-                state = state.unionByName(via).groupBy("node").agg(F.max("colour").alias("colour"))
-            after = kept(state)
-            changed = after.join(colour.withColumnRenamed("colour", "was"), "node").where("colour != was").limit(1).count()
-            colour = after
-            if not changed:
-                break
-        ca = colour.select(F.col("node").alias("a"), F.col("colour").alias("edge_part"))
-        cb = colour.select(F.col("node").alias("b"), F.col("colour").alias("part_b"))
-        within = pairs.join(ca, "a").join(cb, "b").where("edge_part = part_b")
-        backward = kept(within.select(F.col("b").alias("a"), F.col("a").alias("b"), "edge_part"))
-        roots = colour.where("node = colour").select("node", F.col("colour").alias("part"))
-        found = reached(backward, roots, hops)
-        done = found if done is None else done.unionByName(found)
-        left = kept(left.join(found.select("node"), "node", "left_anti"))
-        gone = left.select(F.col("node"))
-        pairs = kept(pairs.join(gone.withColumnRenamed("node", "a"), "a", "left_semi").join(gone.withColumnRenamed("node", "b"), "b", "left_semi"))
-    if done is None:
-        return nodes.select("node_id", F.col("node_id").alias("component")).limit(0)
-    return done.select(F.col("node").alias("node_id"), F.col("part").alias("component"))
-
-
 def largest_component(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the largest strongly connected component; of equal ones that with the smallest node."""
     parts = kept(strong_components(nodes, edges))
@@ -208,30 +131,6 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
     return nodes.join(own, "node_id", "left_semi"), edges.join(ends("from_node"), "from_node", "left_semi").join(ends("to_node"), "to_node", "left_semi")
 
 
-def routes(edges: DataFrame, sources: DataFrame, weight: str = "base_weight_s", hops: int = 4) -> DataFrame:
-    """(source, node, cost, via): least cost from every source (column source) to every node it reaches, and the last edge.
-
-    Only what became cheaper in the last round is relaxed in the next. Ties go to the smaller edge.
-    """
-    step = edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col(weight).alias("w"), "edge_id")
-    step = step.where(F.col("w") < float("inf"))
-    best = kept(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via")).distinct())
-    front = best
-    while True:
-        state = front
-        for _ in range(hops):
-            onward = state.join(step, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("edge_id").alias("via"))
-            state = _cheapest(state.unionByName(onward))
-        old = best.select("source", "node", F.col("cost").alias("was"), F.col("via").alias("was_via"))
-        merged = state.join(old, ["source", "node"], "full")
-        better = (F.col("was").isNull()) | (F.col("cost") < F.col("was"))
-        front_new = kept(merged.where(F.col("cost").isNotNull() & better).select("source", "node", "cost", "via"))
-        if not front_new.limit(1).count():
-            return best
-        best = kept(_cheapest(best.unionByName(front_new)))
-        front = front_new
-
-
 def unroutable(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The distinct pairs (from_node, to_node) without any way between them.
 
@@ -250,12 +149,6 @@ def unroutable(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     return apart.join(ways, ["a", "b"], "left_anti").select("from_node", "to_node")
 
 
-def _cheapest(df: DataFrame) -> DataFrame:
-    """Least cost of each (source, node); among equal costs no edge first, then the smallest."""
-    pick = F.min(F.struct("cost", F.coalesce("via", F.lit(-1)).alias("via"))).alias("m")
-    return df.groupBy("source", "node").agg(pick).select("source", "node", "m.cost", F.when(F.col("m.via") >= 0, F.col("m.via")).alias("via"))
-
-
 def route_edges(found: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, pos, edge_id): the edges of each routed pair (source, target), the last one first (pos 0).
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.storage import dropped, kept
+from ridelake.storage import counted, dropped, kept
 
 #: Nodes of a cell, and sources that share a task.
 CELL, SOURCES = 4096, 256
@@ -103,8 +103,8 @@ def between(
         reached = kept(open_.join(ends, ["pair_id", "to_node"]).select("pair_id", "cost"))
         labels = found if labels is None else labels.join(open_.select(F.col("pair_id").alias("source")), "source", "left_anti").unionByName(found)
         done = done.unionByName(reached)
-        open_ = kept(open_.join(reached.select("pair_id"), "pair_id", "left_anti"))
-        if not open_.limit(1).count():
+        open_, seen = counted(open_.join(reached.select("pair_id"), "pair_id", "left_anti"), n=F.count("*"))
+        if not seen["n"]:
             break
     return asked.join(done, "pair_id", "left"), labels
 
@@ -138,10 +138,10 @@ def _searched(steps: DataFrame, start: DataFrame, goals: DataFrame | None, cell:
     c = F.col
     names = [f.split()[0] for f in _ROW.split(", ")]
     best = F.min(F.struct("cost", F.coalesce("via", F.lit(-1)).alias("via"))).alias("m")
-    front = kept((start if "most" in start.columns else start.withColumn("most", F.lit(inf))).select("source", "node", "cost", "via", "most"))
+    front, seen = counted((start if "most" in start.columns else start.withColumn("most", F.lit(inf))).select("source", "node", "cost", "via", "most"), n=F.count("*"))
     rounds: list[DataFrame] = []
     known = front.limit(0)
-    while not front.isEmpty():
+    while seen["n"]:
         opened = front.withColumns({"cell": cell(c("node")), "bucket": bucket})
         who = opened.select("cell", "source").distinct()
         arrays = {"ahead": c("ahead"), "back": c("back")} if goals is not None else {}
@@ -161,7 +161,7 @@ def _searched(steps: DataFrame, start: DataFrame, goals: DataFrame | None, cell:
             if within <= 1:
                 leaving = leaving.select("source", "node", "cost", "via", F.least("most", c("got") * SLACK).alias("most")).where("cost <= most")
         known = known.unionByName(made.where(cell(c("node")) == c("cell")).select("source", "node", "cost", "via", "most"))
-        front = kept(leaving)
+        front, seen = counted(leaving, n=F.count("*"))
     every = known if not rounds else rounds[0]
     for made in rounds[1:]:
         every = every.unionByName(made)

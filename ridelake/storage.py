@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +30,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """``kept(df)``, and aggregates over its rows that are taken while it is written."""
+    seen = Observation()
+    table = kept(df.observe(seen, *[c.alias(name) for name, c in figures.items()]))
+    return table, seen.get
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by ``kept`` that no later step reads."""
     for df in frames:

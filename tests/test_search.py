@@ -9,7 +9,8 @@ from math import inf
 import pytest
 from pyspark.sql import functions as F
 
-from ridelake.operators import roads, search
+from ridelake import storage
+from ridelake.operators import components, roads, search
 
 
 def plain(edges, source):
@@ -112,3 +113,54 @@ def test_empty_searches(spark):
     assert costs.count() == labels.count() == 0
     assert search.routes(e, none.select(F.col("from_node").alias("source"))).count() == 0
     assert search.routes(e.limit(0), spark.createDataFrame([(3,)], "source long")).collect()[0][:3] == (3, 3, 0.0)
+
+
+def plain_components(n, pairs):
+    """The largest node of each node's component, by reach in both directions."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, stack = {a}, [a]
+        while stack:
+            new = out.get(stack.pop(), set()) - seen
+            seen |= new
+            stack += new
+        return seen
+
+    to = [reach(a) for a in range(n)]
+    return {a: max(b for b in to[a] if a in to[b]) for a in range(n)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_mixed_graphs(spark, seed):
+    """Loops, loops on chains, two-way streets, chains that end, and a random middle."""
+    r = random.Random(seed)
+    n = 120
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range((50, 75, 110)[seed])]
+    pairs += [(60 + i, 60 + (i + 1) % 9) for i in range(9)] + [(70 + i, 71 + i) for i in range(12)] + [(83 + i, 84 + i) for i in range(7)] + [(84 + i, 83 + i) for i in range(7)]
+    pairs += [(95, 96), (96, 97), (97, 5), (5, 95), (100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (104, 102), (65, 70), (82, 83), (90, 110), (110, 111), (111, 3)]
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node_id long")
+    e = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "edge_id long, from_node long, to_node long")
+    got = {x.node_id: x.component for x in components.strong_components(nodes, e, hops=2).collect()}
+    assert got == plain_components(n, pairs)
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_tables_grow_with_the_logarithm_of_a_chain(spark, both, monkeypatch):
+    """A chain of dead ends numbered downwards, and one of streets in both directions."""
+    made = []
+    real = storage.kept
+    for module in (storage, components):
+        monkeypatch.setattr(module, "kept", lambda df: made.append(1) or real(df))
+    counts = []
+    for n in (30, 1000):
+        made.clear()
+        pairs = [(i + 1, i) for i in range(n)] + [(i, i + 1) for i in range(n) if both]
+        nodes = spark.createDataFrame([(i,) for i in range(n + 1)], "node_id long")
+        e = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "edge_id long, from_node long, to_node long")
+        got = {x.component for x in components.strong_components(nodes, e).collect()}
+        assert got == ({n} if both else set(range(n + 1)))
+        counts.append(len(made))
+    assert counts[1] <= counts[0] + 14
