@@ -93,7 +93,7 @@ def between(
     steps = _steps(edges, weight, cell, near)
     done, labels = goals.withColumn("cost", F.lit(0.0)), None
     # what is not found below a limit costs more, so a way below the next limit is within the factor between the two
-    limits = [(1.1, 1.0), (1.5, 1.0), (inf, 1.0)] if within <= 1 else [(min(1.1, within), within), (within, within), (inf, 1.0)]
+    limits = [(1.2, 1.0), (inf, 1.0)] if within <= 1 else [(min(1.2, within), within), (within, within), (inf, 1.0)]
     for limit, factor in limits:
         bound = F.lit(inf) if limit == inf else F.col("rest") * limit * SLACK
         goals = open_.select(F.col("pair_id").alias("source"), F.col("to_node").alias("target"), "ahead", "back")
@@ -132,13 +132,12 @@ def _steps(edges: DataFrame, weight: str, cell: Callable[[Column], Column], near
 
 def _searched(steps: DataFrame, start: DataFrame, goals: DataFrame | None, cell: Callable[[Column], Column], within: float = 1.0) -> DataFrame:
     """The labels (source, node, cost, via) that spread from ``start``, round by round."""
-    buckets = max(1, ceil(start.select("source").distinct().count() / SOURCES))
-    bucket = F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")
-    row = lambda df, kind, **more: df.select("cell", "bucket", *[(more[c] if c in more else F.lit(None)).cast(t).alias(c) for c, t in (f.rsplit(" ", 1) for f in _ROW.split(", ")[2:]) if c != "kind"], F.lit(kind).alias("kind"))
     c = F.col
+    front, seen = counted((start if "most" in start.columns else start.withColumn("most", F.lit(inf))).select("source", "node", "cost", "via", "most"), n=F.count("*"))
+    bucket = F.pmod(F.xxhash64("source"), F.lit(max(1, ceil(seen["n"] / SOURCES)))).cast("int")
+    row = lambda df, kind, **more: df.select("cell", "bucket", *[(more[c] if c in more else F.lit(None)).cast(t).alias(c) for c, t in (f.rsplit(" ", 1) for f in _ROW.split(", ")[2:]) if c != "kind"], F.lit(kind).alias("kind"))
     names = [f.split()[0] for f in _ROW.split(", ")]
     best = F.min(F.struct("cost", F.coalesce("via", F.lit(-1)).alias("via"))).alias("m")
-    front, seen = counted((start if "most" in start.columns else start.withColumn("most", F.lit(inf))).select("source", "node", "cost", "via", "most"), n=F.count("*"))
     rounds: list[DataFrame] = []
     known = front.limit(0)
     while seen["n"]:

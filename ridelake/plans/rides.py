@@ -12,6 +12,7 @@ from ridelake.operators import matching, rides, roads
 from ridelake.plans import marketplace, travel_times
 from ridelake.plans.marketplace import NOW
 from ridelake.plans.reports import r
+from ridelake.storage import kept
 from ridelake.tables import with_tables
 
 SQL: dict[str, str] = {}
@@ -146,16 +147,18 @@ SQL["match_cost"] = with_tables(
 
 def unroutable_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips that one-way streets leave without a way from pickup to dropoff."""
-    streets = tables.grid_edges(spark).where((F.col("from_node") * 7 + F.col("to_node") * 3) % 5 < 2)
-    t = tables.trips(spark, sf_dir).select("ride_id", F.col("pickup_node").alias("from_node"), F.col("dropoff_node").alias("to_node"))
-    cut = roads.unroutable(t, tables.grid_nodes(spark), streets)
+    streets = kept(tables.one_way(tables.street_edges(spark, sf_dir)))
+    n = 2 * tables.read(spark, sf_dir, "part").count()
+    t = tables.trips(spark, sf_dir).select("ride_id", (F.col("ride_id") * 31 % n).alias("from_node"), (F.col("ride_id") * 31 % n + F.col("pickup_node") % 7).alias("to_node"))
+    cut = roads.unroutable(t, tables.street_nodes(spark, sf_dir), streets)
     return t.join(cut, ["from_node", "to_node"], "left_semi").select("ride_id")
 
 
 SQL["unroutable_trips"] = with_tables(
-    """+ reach AS (SELECT node_id AS a, node_id AS b FROM grid_nodes UNION SELECT r.a, e.b FROM reach r JOIN oneway_edges e ON e.a = r.b)
-    SELECT ride_id FROM trips t WHERE NOT EXISTS (SELECT 1 FROM reach WHERE a = t.pickup_node AND b = t.dropoff_node)""",
-    "trips", "grid_nodes", "grid_edges", "oneway_edges",
+    """+ reach AS (SELECT node_id AS a, node_id AS b FROM street_nodes UNION SELECT r.a, e.b FROM reach r JOIN oneway_edges e ON e.a = r.b),
+      t AS (SELECT ride_id, ride_id * 31 % n AS x, ride_id * 31 % n + pickup_node % 7 AS y FROM trips, (SELECT count(*) AS n FROM street_nodes))
+    SELECT ride_id FROM t WHERE x <> y AND NOT EXISTS (SELECT 1 FROM reach WHERE a = x AND b = y)""",
+    "trips", "street_nodes", "oneway_edges",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelake import tables
 from ridelake.functions import roads as attributes
 from ridelake.functions.exact import r3
-from ridelake.operators import demand, roads
+from ridelake.operators import demand, roads, search
 from ridelake.operators.ordered import dense_ids as numbered
 from ridelake.plans.reports import r
 from ridelake.sources import graphs
@@ -47,35 +49,35 @@ def _map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph's nodes written as CSV and scanned."""
     path = shared_dir(spark)
-    tables.grid_nodes(spark).write.option("header", True).csv(path)
+    tables.street_nodes(spark, sf_dir).write.option("header", True).csv(path)
     return graphs.nodes(spark, path).select("node_id", r3("lat").alias("lat"), r3("lon").alias("lon"))
 
 
-SQL["scan_nodes"] = with_tables(f"SELECT node_id, {r('lat')} AS lat, {r('lon')} AS lon FROM grid_nodes", "grid_nodes")
+SQL["scan_nodes"] = with_tables(f"SELECT node_id, {r('lat')} AS lat, {r('lon')} AS lon FROM street_nodes", "street_nodes")
 
 
 def scan_edges_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
-    tables.grid_edges(spark).drop("base_weight_s").write.option("header", True).csv(path)
+    tables.street_edges(spark, sf_dir).drop("base_weight_s").write.option("header", True).csv(path)
     return graphs.edges(spark, path)
 
 
-SQL["scan_edges_validated"] = with_tables("SELECT edge_id, from_node, to_node, length, lanes, speed_limit FROM grid_edges", "grid_edges")
+SQL["scan_edges_validated"] = with_tables("SELECT edge_id, from_node, to_node, length, lanes, speed_limit FROM street_edges", "street_edges")
 
 
 def edge_base_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = roads.with_weights(tables.grid_edges(spark).drop("base_weight_s"))
+    e = roads.with_weights(tables.street_edges(spark, sf_dir).drop("base_weight_s"))
     return e.select("edge_id", r3("base_weight_s").alias("base_weight_s"))
 
 
-SQL["edge_base_weight"] = with_tables(f"SELECT edge_id, {r('length / speed_limit')} AS base_weight_s FROM grid_edges", "grid_edges")
+SQL["edge_base_weight"] = with_tables(f"SELECT edge_id, {r('length / speed_limit')} AS base_weight_s FROM street_edges", "street_edges")
 
 
 def max_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.grid_edges(spark).agg(F.greatest(F.coalesce(F.max("speed_limit"), F.lit(1.0)), F.lit(1.0)).alias("max_speed"))
+    return tables.street_edges(spark, sf_dir).agg(F.greatest(F.coalesce(F.max("speed_limit"), F.lit(1.0)), F.lit(1.0)).alias("max_speed"))
 
 
-SQL["max_speed"] = with_tables("SELECT greatest(coalesce(max(speed_limit), 1.0), 1.0) AS max_speed FROM grid_edges", "grid_edges")
+SQL["max_speed"] = with_tables("SELECT greatest(coalesce(max(speed_limit), 1.0), 1.0) AS max_speed FROM street_edges", "street_edges")
 
 
 def highway_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,54 +135,55 @@ SQL["way_to_edges"] = with_tables(
 
 
 def link_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = roads.continuations(tables.grid_edges(spark))
+    found = roads.continuations(tables.street_edges(spark, sf_dir))
     return found.select("edge_id", F.coalesce("next", F.lit(-1)).alias("next"))
 
 
-_NEXT = """onward AS (SELECT e.edge_id, count(*) AS c, min(f.edge_id) AS f, min(f.to_node) AS t FROM grid_edges e
-        JOIN grid_edges f ON f.from_node = e.to_node AND f.to_node <> e.from_node GROUP BY e.edge_id),
-      nxt AS (SELECT e.edge_id, CASE WHEN o.c = 1 AND NOT EXISTS (SELECT 1 FROM grid_edges g WHERE g.to_node = e.to_node AND g.edge_id <> e.edge_id
-        AND g.from_node <> o.t) THEN o.f END AS next FROM grid_edges e LEFT JOIN onward o USING (edge_id))"""
-SQL["link_next"] = with_tables(f"+ {_NEXT} SELECT edge_id, coalesce(next, -1) AS next FROM nxt", "grid_edges")
+_NEXT = """onward AS (SELECT e.edge_id, count(*) AS c, min(f.edge_id) AS f, min(f.to_node) AS t FROM street_edges e
+        JOIN street_edges f ON f.from_node = e.to_node AND f.to_node <> e.from_node GROUP BY e.edge_id),
+      nxt AS (SELECT e.edge_id, CASE WHEN o.c = 1 AND NOT EXISTS (SELECT 1 FROM street_edges g WHERE g.to_node = e.to_node AND g.edge_id <> e.edge_id
+        AND g.from_node <> o.t) THEN o.f END AS next FROM street_edges e LEFT JOIN onward o USING (edge_id))"""
+SQL["link_next"] = with_tables(f"+ {_NEXT} SELECT edge_id, coalesce(next, -1) AS next FROM nxt", "street_edges")
 
-_LINKS = f"""{_NEXT}, chain AS (SELECT edge_id, edge_id AS link_id, 0 AS pos FROM grid_edges WHERE edge_id NOT IN (SELECT next FROM nxt WHERE next IS NOT NULL)
+_LINKS = f"""{_NEXT}, chain AS (SELECT edge_id, edge_id AS link_id, 0 AS pos FROM street_edges WHERE edge_id NOT IN (SELECT next FROM nxt WHERE next IS NOT NULL)
         UNION ALL SELECT n.next, c.link_id, c.pos + 1 FROM chain c JOIN nxt n ON n.edge_id = c.edge_id WHERE n.next IS NOT NULL),
-      store AS (SELECT link_id, count(*) AS n_edges, sum(lanes * length) / 7.0::DOUBLE AS storage FROM chain JOIN grid_edges USING (edge_id) GROUP BY link_id)"""
+      store AS (SELECT link_id, count(*) AS n_edges, sum(lanes * length) / 7.0::DOUBLE AS storage FROM chain JOIN street_edges USING (edge_id) GROUP BY link_id)"""
 
 
 def _recursive(body: str, *names: str) -> str:
     return with_tables(body, *names).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _links(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = tables.grid_edges(spark)
-    made = roads.links(edges)
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    edges = kept(tables.street_edges(spark, sf_dir))
+    made = kept(roads.links(edges))
     return edges, made, roads.link_storage(made, edges)
 
 
 def link_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links(spark)[2].select("link_id", "n_edges", r3("storage").alias("storage"))
+    return _links(spark, sf_dir)[2].select("link_id", "n_edges", r3("storage").alias("storage"))
 
 
-SQL["link_storage"] = _recursive(f"+ {_LINKS} SELECT link_id, n_edges, {r('storage')} AS storage FROM store", "grid_edges")
+SQL["link_storage"] = _recursive(f"+ {_LINKS} SELECT link_id, n_edges, {r('storage')} AS storage FROM store", "street_edges")
 
 
 def _cars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(edge_id, cars): every ping puts a car on the street east of a node, or west at the border."""
-    a = F.col("event_id") % 400
-    edge = a * 1000 + F.when(a % 20 < 19, a + 1).otherwise(a - 1)
+    """(edge_id, cars): every ping puts a car on the street east of one node in twenty, or west at the border."""
+    n = 2 * tables.read(spark, sf_dir, "part").count()
+    a = F.col("event_id") % (n // 20) * 20
+    edge = a * 4 + F.when(((a + 1) % isqrt(n) != 0) & (a + 1 < n), 0).otherwise(1)
     return tables.pings(spark, sf_dir).groupBy(edge.alias("edge_id")).agg(F.count("*").alias("cars"))
 
 
-_CARS = """spots AS (SELECT event_id % 400 AS a FROM pings),
-      cars AS (SELECT a * 1000 + CASE WHEN a % 20 < 19 THEN a + 1 ELSE a - 1 END AS edge_id, count(*) AS cars FROM spots GROUP BY ALL),
+_CARS = """spots AS (SELECT event_id % (n // 20) * 20 AS a, n FROM pings, (SELECT count(*) AS n FROM street_nodes)),
+      cars AS (SELECT a * 4 + CASE WHEN (a + 1) % floor(sqrt(n))::BIGINT <> 0 AND a + 1 < n THEN 0 ELSE 1 END AS edge_id, count(*) AS cars FROM spots GROUP BY ALL),
       held AS (SELECT link_id, sum(cars)::BIGINT AS cars FROM cars JOIN chain USING (edge_id) GROUP BY link_id),
       fac AS (SELECT *, CASE WHEN storage > 0 THEN least(1 + pow(greatest(cars - 1, 0)::DOUBLE / storage, 2), 5.0) ELSE 1.0 END AS factor
               FROM held JOIN store USING (link_id))"""
 
 
 def _factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges, links, storage = _links(spark)
+    edges, links, storage = _links(spark, sf_dir)
     held = _cars(spark, sf_dir).join(links, "edge_id").groupBy("link_id").agg(F.sum("cars").alias("cars"))
     found = held.join(storage, "link_id").withColumn("factor", attributes.link_factor(F.col("cars"), F.col("storage")))
     return edges, links, found
@@ -190,7 +193,7 @@ def link_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _factors(spark, sf_dir)[2].select("link_id", "cars", r3("factor").alias("factor"))
 
 
-SQL["link_factor"] = _recursive(f"+ {_LINKS}, {_CARS} SELECT link_id, cars, {r('factor')} AS factor FROM fac", "grid_edges", "pings")
+SQL["link_factor"] = _recursive(f"+ {_LINKS}, {_CARS} SELECT link_id, cars, {r('factor')} AS factor FROM fac", "street_nodes", "street_edges", "pings")
 
 
 def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,36 +208,36 @@ def edge_effective_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EFFECTIVE = f"""{_LINKS}, {_CARS}, eff AS (SELECT e.*, coalesce(base_weight_s * CASE WHEN factor > 1.0001 THEN factor END, base_weight_s) AS weight_s
-      FROM grid_edges e LEFT JOIN (SELECT edge_id, factor FROM fac JOIN chain USING (link_id)) f USING (edge_id))"""
-SQL["edge_effective_weight"] = _recursive(f"+ {_EFFECTIVE} SELECT edge_id, {r('weight_s')} AS weight_s FROM eff", "grid_edges", "pings")
+      FROM street_edges e LEFT JOIN (SELECT edge_id, factor FROM fac JOIN chain USING (link_id)) f USING (edge_id))"""
+SQL["edge_effective_weight"] = _recursive(f"+ {_EFFECTIVE} SELECT edge_id, {r('weight_s')} AS weight_s FROM eff", "street_nodes", "street_edges", "pings")
 
 
 def congested_edges_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges slowed by over five percent, with the coordinates of both ends."""
     slow = _effective(spark, sf_dir).withColumn("factor", F.col("weight_s") / F.col("base_weight_s")).where("factor > 1.05")
-    end = lambda s, c: tables.grid_nodes(spark).select(F.col("node_id").alias(c), F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon"))
+    end = lambda s, c: tables.street_nodes(spark, sf_dir).select(F.col("node_id").alias(c), F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon"))
     placed = slow.join(end("from", "from_node"), "from_node").join(end("to", "to_node"), "to_node")
     return placed.select("edge_id", r3("factor").alias("factor"), *[r3(c).alias(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")])
 
 
 SQL["congested_edges_geo"] = _recursive(
     f"""+ {_EFFECTIVE} SELECT edge_id, {r('weight_s / base_weight_s')} AS factor, {r('x.lat')} AS from_lat, {r('x.lon')} AS from_lon, {r('y.lat')} AS to_lat,
-    {r('y.lon')} AS to_lon FROM eff JOIN grid_nodes x ON x.node_id = from_node JOIN grid_nodes y ON y.node_id = to_node WHERE weight_s / base_weight_s > 1.05""",
-    "grid_edges", "grid_nodes", "pings",
+    {r('y.lon')} AS to_lon FROM eff JOIN street_nodes x ON x.node_id = from_node JOIN street_nodes y ON y.node_id = to_node WHERE weight_s / base_weight_s > 1.05""",
+    "street_edges", "street_nodes", "pings",
 )
 
 
 def congestion_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, links, storage = _links(spark)
+    edges, links, storage = _links(spark, sf_dir)
     made = roads.congestion(links, storage, _cars(spark, sf_dir), edges.count())
     return made.select("total_edges", "congested_edges", r3("mean_factor").alias("mean_factor"), r3("max_factor").alias("max_factor"), "max_edge")
 
 
 SQL["congestion_stats"] = _recursive(
-    f"""+ {_LINKS}, {_CARS} SELECT (SELECT count(*) FROM grid_edges) AS total_edges,
+    f"""+ {_LINKS}, {_CARS} SELECT (SELECT count(*) FROM street_edges) AS total_edges,
       coalesce(sum(n_edges) FILTER (cars / storage > 0.5), 0)::BIGINT AS congested_edges, {r('coalesce(sum(factor * n_edges) / sum(n_edges), 1.0)')} AS mean_factor,
       {r('greatest(max(factor), 1.0)')} AS max_factor, coalesce(-(arg_max(-link_id, (factor, -link_id)) FILTER (factor > 1)), -1) AS max_edge FROM fac""",
-    "grid_edges", "pings",
+    "street_nodes", "street_edges", "pings",
 )
 
 #: Hotspots of the sample scenario: name, latitude, longitude, metres, weight.
@@ -242,90 +245,111 @@ HOTSPOTS = [("centre", 37.775, -122.42, 900.0, 0.8), ("harbour", 37.80, -122.40,
 
 
 def hotspot_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand.hotspot_nodes(tables.grid_nodes(spark), HOTSPOTS).select("hotspot", "node_id")
+    return demand.hotspot_nodes(tables.street_nodes(spark, sf_dir), HOTSPOTS).select("hotspot", "node_id")
 
 
 _HOT = ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {m}::DOUBLE, {w}::DOUBLE)" for n, a, b, m, w in HOTSPOTS)
 _INSIDE = f"""hot AS (SELECT * FROM (VALUES {_HOT}) t(hotspot, a, b, m, w)),
-      inside AS (SELECT hotspot, w, node_id FROM grid_nodes JOIN hot ON 2 * 6371000.0 * asin(sqrt(pow(sin(radians(a - lat) / 2), 2)
+      inside AS (SELECT hotspot, w, node_id FROM street_nodes JOIN hot ON 2 * 6371000.0 * asin(sqrt(pow(sin(radians(a - lat) / 2), 2)
                  + cos(radians(lat)) * cos(radians(a)) * pow(sin(radians(b - lon) / 2), 2))) <= m),
-      weights AS (SELECT node_id, 1 + coalesce(sum(w * 400 / c), 0) AS weight FROM grid_nodes
+      weights AS (SELECT node_id, 1 + coalesce(sum(w * (SELECT count(*) FROM street_nodes) / c), 0) AS weight FROM street_nodes
                   LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY hotspot) AS c FROM inside) USING (node_id) GROUP BY node_id)"""
-SQL["hotspot_nodes"] = with_tables(f"+ {_INSIDE} SELECT hotspot, node_id FROM inside", "grid_nodes")
+SQL["hotspot_nodes"] = with_tables(f"+ {_INSIDE} SELECT hotspot, node_id FROM inside", "street_nodes")
 
 
 def node_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand.node_weights(tables.grid_nodes(spark), HOTSPOTS).select("node_id", r3("weight").alias("weight"))
+    return demand.node_weights(tables.street_nodes(spark, sf_dir), HOTSPOTS).select("node_id", r3("weight").alias("weight"))
 
 
-SQL["node_weights"] = with_tables(f"+ {_INSIDE} SELECT node_id, {r('weight')} AS weight FROM weights", "grid_nodes")
+SQL["node_weights"] = with_tables(f"+ {_INSIDE} SELECT node_id, {r('weight')} AS weight FROM weights", "street_nodes")
 
 
-def _cumulative(spark: SparkSession) -> DataFrame:
-    return kept(demand.cumulative(demand.node_weights(tables.grid_nodes(spark), HOTSPOTS)))
+def _cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(demand.cumulative(demand.node_weights(tables.street_nodes(spark, sf_dir), HOTSPOTS)))
 
 
 def cum_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cumulative(spark).select("node_id", r3("cum").alias("cum"))
+    return _cumulative(spark, sf_dir).select("node_id", r3("cum").alias("cum"))
 
 
 _CUM = f"{_INSIDE}, cum AS (SELECT node_id, weight, sum(weight) OVER (ORDER BY node_id) AS cum FROM weights)"
-SQL["cum_weights"] = with_tables(f"+ {_CUM} SELECT node_id, {r('cum')} AS cum FROM cum", "grid_nodes")
+SQL["cum_weights"] = with_tables(f"+ {_CUM} SELECT node_id, {r('cum')} AS cum FROM cum", "street_nodes")
 
 
 def sample_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pickup node for every trip, drawn by weight."""
     u = ((F.col("ride_id") * 7919) % 99_991).cast("double") / 99_991
     draws = tables.trips(spark, sf_dir).select("ride_id", u.alias("u"))
-    return demand.sample_nodes(draws, _cumulative(spark)).select("ride_id", "node_id")
+    return demand.sample_nodes(draws, _cumulative(spark, sf_dir)).select("ride_id", "node_id")
 
 
 SQL["sample_nodes"] = with_tables(
     f"""+ {_CUM}, d AS (SELECT ride_id, ((ride_id * 7919) % 99991)::DOUBLE / 99991 * (SELECT max(cum) FROM cum) AS x FROM trips)
     SELECT ride_id, node_id FROM d JOIN cum ON x <= cum AND (x > cum - weight OR (x = 0 AND cum - weight <= 0))""",
-    "grid_nodes", "trips",
+    "street_nodes", "trips",
 )
 
-tables.SQL["oneway_edges"] = "SELECT from_node AS a, to_node AS b FROM grid_edges WHERE (from_node * 7 + to_node * 3) % 5 < 2"
-
 
 def scc_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of a grid of one-way streets after it is cut to its largest strongly connected part."""
-    one_way = tables.grid_edges(spark).where((F.col("from_node") * 7 + F.col("to_node") * 3) % 5 < 2)
-    _, edges = roads.largest_component(tables.grid_nodes(spark), one_way)
+    """What is left of a town of one-way streets after it is cut to its largest strongly connected part."""
+    one_way = kept(tables.one_way(tables.street_edges(spark, sf_dir)))
+    _, edges = roads.largest_component(tables.street_nodes(spark, sf_dir), one_way)
     return edges.select("edge_id", "from_node", "to_node")
 
 
 SQL["scc_prune"] = _recursive(
-    """+ reach AS (SELECT node_id AS a, node_id AS b FROM grid_nodes UNION SELECT r.a, e.b FROM reach r JOIN oneway_edges e ON e.a = r.b),
+    """+ reach AS (SELECT node_id AS a, node_id AS b FROM street_nodes UNION SELECT r.a, e.b FROM reach r JOIN oneway_edges e ON e.a = r.b),
       comp AS (SELECT r.a AS node, max(r.b) AS component FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a GROUP BY r.a),
       best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, min(node) LIMIT 1),
       own AS (SELECT node FROM comp JOIN best USING (component))
-    SELECT a * 1000 + b AS edge_id, a AS from_node, b AS to_node FROM oneway_edges WHERE a IN (SELECT node FROM own) AND b IN (SELECT node FROM own)""",
-    "grid_nodes", "grid_edges", "oneway_edges",
+    SELECT edge_id, a AS from_node, b AS to_node FROM oneway_edges WHERE a IN (SELECT node FROM own) AND b IN (SELECT node FROM own)""",
+    "street_nodes", "street_edges", "oneway_edges",
 )
 
-DEPOTS = (0, 57, 133, 210, 284, 399)
+#: Nodes that the depots stand at, in hundredths of all nodes.
+DEPOTS = (0, 17, 33, 52, 71, 99)
+
+
+def _depots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = 2 * tables.read(spark, sf_dir, "part").count()
+    return spark.createDataFrame([(k, d * n // 100) for k, d in enumerate(DEPOTS)], "depot long, source long")
 
 
 def route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least travel time under traffic from each depot to every node."""
-    depots = spark.range(400).where(F.col("id").isin(*DEPOTS)).select(F.col("id").alias("source"))
-    found = roads.routes(kept(_effective(spark, sf_dir)), depots, "weight_s")
+    found = roads.routes(kept(_effective(spark, sf_dir)), _depots(spark, sf_dir), "weight_s")
     return found.select("source", "node", r3("cost").alias("cost_s"))
 
 
-SQL["route_costs"] = _recursive(
-    f"""+ {_EFFECTIVE}, way AS (SELECT node_id AS source, node_id AS node, 0::DOUBLE AS cost, 0 AS i FROM grid_nodes WHERE node_id IN {DEPOTS}
+_WAY = f"""{_EFFECTIVE}, depots AS (SELECT i AS depot, ([{", ".join(map(str, DEPOTS))}])[i + 1] * (SELECT count(*) FROM street_nodes) // 100 AS node FROM range({len(DEPOTS)}) t(i)),
+      way AS (SELECT node AS source, node, 0::DOUBLE AS cost, 0 AS i FROM depots
       UNION ALL SELECT source, node, min(cost), i + 1 FROM (
         SELECT w.source, e.to_node AS node, w.cost + e.weight_s AS cost, w.i FROM way w JOIN eff e ON e.from_node = w.node
-        UNION ALL SELECT source, node, cost, i FROM way) GROUP BY source, node, i HAVING i < 80)
-    SELECT source, node, {r('min(cost)')} AS cost_s FROM way GROUP BY source, node""",
-    "grid_nodes", "grid_edges", "pings",
+        UNION ALL SELECT source, node, cost, i FROM way) GROUP BY source, node, i HAVING i < 3 * (SELECT floor(sqrt(count(*))) FROM street_nodes)),
+      best AS (SELECT source, node, min(cost) AS cost FROM way GROUP BY source, node)"""
+SQL["route_costs"] = _recursive(f"+ {_WAY} SELECT source, node, {r('cost')} AS cost_s FROM best", "street_nodes", "street_edges", "pings")
+
+
+def route_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way from its depot to each customer under traffic, searched towards the customer by bounds that hold for free streets."""
+    edges = kept(_effective(spark, sf_dir))
+    n = 2 * tables.read(spark, sf_dir, "part").count()
+    c = F.col("c_custkey")
+    asked = tables.read(spark, sf_dir, "customer").select((c % len(DEPOTS)).alias("depot"), (c * 37 % n).alias("to_node"))
+    asked = asked.join(F.broadcast(_depots(spark, sf_dir)), "depot").select(F.col("source").alias("from_node"), "to_node")  # six rows
+    near = search.bounds(edges, search.landmarks(tables.street_nodes(spark, sf_dir)))
+    return search.between(edges, asked, near, "weight_s")[0].select("from_node", "to_node", r3("cost").alias("cost_s"))
+
+
+SQL["route_pairs"] = _recursive(
+    f"""+ {_WAY}, asked AS (SELECT DISTINCT d.node AS from_node, c_custkey * 37 % (SELECT count(*) FROM street_nodes) AS to_node
+      FROM customer JOIN depots d ON d.depot = c_custkey % {len(DEPOTS)})
+    SELECT from_node, to_node, {r('cost')} AS cost_s FROM asked LEFT JOIN best ON source = from_node AND node = to_node""",
+    "street_nodes", "street_edges", "pings",
 )
 
 QUERIES = [
     scan_nodes, scan_edges_validated, edge_base_weight, max_speed, highway_speed, oneway_rules, dense_ids, way_to_edges, link_next, link_storage,
     link_factor, edge_effective_weight, congested_edges_geo, congestion_stats, hotspot_nodes, node_weights, cum_weights, sample_nodes, scc_prune,
-    route_costs,
+    route_costs, route_pairs,
 ]

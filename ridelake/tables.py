@@ -6,6 +6,8 @@ DataFrame; only the columns that a query uses are read.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +127,44 @@ def grid_edges(spark: SparkSession) -> DataFrame:
     )
 
 
+def street_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of a square town with two nodes for each row of ``part``, row by row."""
+    parts = read(spark, sf_dir, "part")
+    wide, i = _wide(2 * parts.count()), F.col("node_id")
+    ids = parts.select(F.explode(F.array(*[(F.col("p_partkey") - 1) * 2 + k for k in (0, 1)])).alias("node_id"))
+    return ids.select(
+        "node_id", (F.lit(37.70) + (i - i % wide).cast("double") / wide / wide * 0.12).alias("lat"), (F.lit(-122.50) + (i % wide).cast("double") / wide * 0.14).alias("lon")
+    )
+
+
+def street_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets of the town, both ways: 300 m, one to three lanes, two speeds."""
+    a = F.col("from_node")
+    n = 2 * read(spark, sf_dir, "part").count()
+    wide = _wide(n)
+    ends = [F.when((a + 1) % wide != 0, a + 1), F.when(a % wide != 0, a - 1), a + wide, a - wide]
+    pairs = street_nodes(spark, sf_dir).select(F.col("node_id").alias("from_node")).select("from_node", F.posexplode(F.array(*ends)).alias("side", "to_node"))
+    b = F.col("to_node")
+    return pairs.where((b >= 0) & (b < n)).select(
+        (a * 4 + F.col("side")).alias("edge_id"),
+        "from_node",
+        "to_node",
+        F.lit(300.0).alias("length"),
+        (1 + (a + b) % 3).cast("int").alias("lanes"),
+        F.when((a * b) % 2 == 0, 11.0).otherwise(13.89).alias("speed_limit"),
+        (30 + (a * 7 + b * 3) % 20).cast("double").alias("base_weight_s"),
+    )
+
+
+def _wide(n: int) -> int:
+    return max(1, isqrt(n))
+
+
+def one_way(edges: DataFrame) -> DataFrame:
+    """Streets of which five in eleven are open."""
+    return edges.where((F.col("from_node") * 7919 + F.col("to_node") * 104729) % 11 < 5)
+
+
 #: The same tables in DuckDB's SQL, for the checks.
 SQL = {
     "trips": """SELECT o_orderkey AS ride_id, 'scn_' || (o_custkey % 3) AS scenario,
@@ -150,8 +190,17 @@ SQL = {
     "grid_edges": """SELECT a * 1000 + b AS edge_id, a AS from_node, b AS to_node, 300.0::DOUBLE AS length, (1 + (a + b) % 3)::INT AS lanes,
       CASE WHEN (a * b) % 2 = 0 THEN 11.0 ELSE 13.89 END::DOUBLE AS speed_limit, (10 + (a * 7 + b * 3) % 20)::DOUBLE AS base_weight_s
       FROM range(400) x(a) JOIN range(400) y(b) ON (b = a + 1 AND a % 20 < 19) OR (b = a - 1 AND a % 20 > 0) OR b = a + 20 OR b = a - 20""",
+    "street_nodes": """SELECT i AS node_id, 37.70::DOUBLE + (i - i % w)::DOUBLE / w / w * 0.12 AS lat, -122.50::DOUBLE + (i % w)::DOUBLE / w * 0.14 AS lon
+      FROM (SELECT unnest([p_partkey * 2 - 2, p_partkey * 2 - 1]) AS i, w FROM part, (SELECT greatest(1, floor(sqrt(2 * count(*)))::BIGINT) AS w FROM part))""",
+    "street_edges": """SELECT a * 4 + side AS edge_id, a AS from_node, b AS to_node, 300.0::DOUBLE AS length, (1 + (a + b) % 3)::INT AS lanes,
+      CASE WHEN (a * b) % 2 = 0 THEN 11.0 ELSE 13.89 END::DOUBLE AS speed_limit, (30 + (a * 7 + b * 3) % 20)::DOUBLE AS base_weight_s
+      FROM (SELECT node_id AS a, side, CASE side WHEN 0 THEN CASE WHEN (node_id + 1) % w <> 0 THEN node_id + 1 END
+                   WHEN 1 THEN CASE WHEN node_id % w <> 0 THEN node_id - 1 END WHEN 2 THEN node_id + w ELSE node_id - w END AS b, n
+            FROM street_nodes, range(4) t(side), (SELECT count(*) AS n, greatest(1, floor(sqrt(count(*)))::BIGINT) AS w FROM street_nodes))
+      WHERE b >= 0 AND b < n""",
+    "oneway_edges": "SELECT edge_id, from_node AS a, to_node AS b FROM street_edges WHERE (from_node * 7919 + to_node * 104729) % 11 < 5",
 }
-_NEEDS = {"waits": ["trips"], "oneway_edges": ["grid_edges"]}
+_NEEDS = {"waits": ["trips"], "street_edges": ["street_nodes"], "oneway_edges": ["street_nodes", "street_edges"]}
 
 
 def with_tables(body: str, *names: str) -> str:
