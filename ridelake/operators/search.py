@@ -55,11 +55,14 @@ def landmarks(nodes: DataFrame, count: int = 8) -> list[int]:
 
 def bounds(edges: DataFrame, marks: list[int], weight: str = "base_weight_s", cell: Callable[[Column], Column] = by_identifier) -> DataFrame:
     """(node, ahead, back): the costs from each landmark to a node and from the node to each, infinite where there is no way."""
-    start = edges.sparkSession.createDataFrame([(m,) for m in marks], "source long")
-    turned = edges.select("edge_id", F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), weight)
-    found = [routes(e, start, weight, cell).withColumn("back", F.lit(back)) for back, e in ((False, edges), (True, turned))]
+    # both directions in one search: the second copy of the graph is turned round and has odd identifiers
+    a, b, half = F.col("from_node"), F.col("to_node"), lambda c: F.floor(F.col(c) / 2)
+    both = edges.select("edge_id", weight, F.explode(F.array(F.struct((a * 2).alias("from_node"), (b * 2).alias("to_node")), F.struct((b * 2 + 1).alias("from_node"), (a * 2 + 1).alias("to_node")))).alias("e"))
+    start = edges.sparkSession.createDataFrame([(2 * m + back,) for m in marks for back in (0, 1)], "source long")
+    found = routes(both.select("edge_id", weight, "e.*"), start, weight, lambda c: cell(F.floor(c / 2)) * 2 + F.pmod(c, F.lit(2)))
+    found = found.select(half("source").alias("source"), half("node").alias("node"), "cost", (F.pmod("node", F.lit(2)) == 1).alias("back"))
     to = lambda back: F.map_from_entries(F.collect_list(F.when(F.col("back") == back, F.struct("source", "cost"))))
-    by_node = found[0].unionByName(found[1]).groupBy("node").agg(to(False).alias("f"), to(True).alias("t"))
+    by_node = found.groupBy("node").agg(to(False).alias("f"), to(True).alias("t"))
     array = lambda m: F.array(*[F.coalesce(F.try_element_at(m, F.lit(x).cast("long")), F.lit(inf)) for x in marks])
     return kept(by_node.select("node", array("f").alias("ahead"), array("t").alias("back")))
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("reports", "travel_times", "roads", "marketplace", "rides", "streams")
+MODULES = ("reports", "travel_times", "roads", "marketplace", "routing", "rides", "streams")
 
 
 def _plans():

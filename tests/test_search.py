@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridelake import storage
-from ridelake.operators import components, roads, search
+from ridelake.operators import components, matching, roads, search
 
 
 def plain(edges, source):
@@ -164,3 +164,18 @@ def test_tables_grow_with_the_logarithm_of_a_chain(spark, both, monkeypatch):
         assert got == ({n} if both else set(range(n + 1)))
         counts.append(len(made))
     assert counts[1] <= counts[0] + 14
+
+
+def test_the_driver_that_is_there_first_by_road_is_taken(spark):
+    """The nearest driver is across a river; one farther off has a street. A third is on an edge it must finish, a fourth cannot come."""
+    e = [(0, 1, 2, 900.0), (1, 2, 0, 900.0), (2, 3, 0, 40.0), (3, 4, 3, 20.0), (4, 0, 5, 10.0)]
+    e = spark.createDataFrame(e, "edge_id long, from_node long, to_node long, weight_s double")
+    near = search.bounds(e, [0, 1], "weight_s")
+    requests = spark.createDataFrame([(100, 0), (101, 0)], "request_id long, pickup_node long")
+    drivers = spark.createDataFrame([(1, 1, None, None), (2, 3, None, None), (3, 4, 3, 0.75), (4, 5, None, None), (5, 0, None, None)], "driver_id long, node long, edge_id long, progress double")
+    asked = spark.createDataFrame([(r, d, d) for r in (100, 101) for d in (1, 2, 3, 4)] + [(101, 5, 5)], "request_id long, driver_id long, rank int")
+    made = matching.routed(asked, requests, drivers, e, near)
+    got = {(x.request_id, x.driver_id): x.cost for x in made.collect()}
+    assert got == {(r, d): c for r in (100, 101) for d, c in ((1, 1800.0), (2, 40.0), (3, 45.0))} | {(101, 5): 0.0}
+    taken = matching.greedy_match(made.withColumn("batch", F.lit(1)).withColumn("request_ts", F.col("request_id")), ["batch"])
+    assert sorted((x.request_id, x.driver_id) for x in taken.collect()) == [(100, 2), (101, 5)]
