@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ridelake.functions.market import LEAST, REPORT, surge_step, told_step
+from ridelake.functions.market import LEAST, REPORT, TAU_S, surge_step, told_step
 
 
 def counters(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,26 +53,39 @@ def funnel(requested: DataFrame, matched: DataFrame, within: str = "1 hour", wat
     return requested.join(m, near).drop("m_request_id")
 
 
-def surge_stream(ticks: DataFrame, epsilon: float = REPORT) -> DataFrame:
-    """(cell, ts, surge) of a stream (cell, ts, raw): smoothed multipliers, reported when they have changed enough.
+#: After so many time constants without a tick nothing is left of a cell's average: the next tick counts in full, as a first one does.
+FADED = 21
+
+
+def surge_stream(ticks: DataFrame, epsilon: float = REPORT, late: str = "1 minute", tau_s: float = TAU_S) -> DataFrame:
+    """(cell, ts, surge) of a stream (cell, ts in seconds since 1970, raw): smoothed multipliers, reported when they have changed enough.
 
     State of a cell: its average, the time of its last tick, and what was last reported (nothing at first, and again after a
-    return to 1 has been told once).
+    return to 1 has been told once). Once the watermark (``late`` behind the newest tick) is ``FADED`` time constants past a cell's last tick, its state
+    leaves; a cell that was last reported above 1 is then reported at 1. Ticks behind the watermark are left out, ticks of one batch are taken in order.
     """
+    fade_ms = round(FADED * tau_s * 1000)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ema, last, told = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(parts)).sort_values("ts")
         out = []
-        for ts, raw in zip(rows["ts"], rows["raw"], strict=True):
-            ema = surge_step(ema, last, ts, raw)
-            last = ts
-            tell, told = told_step(told, ema, LEAST, epsilon, None)
-            if tell:
-                out.append((key[0], ts, ema))
-        state.update((ema, last, told))
+        if state.hasTimedOut:
+            state.remove()
+            if told is not None:
+                out.append((key[0], last + FADED * tau_s, LEAST))
+        else:
+            rows = pd.concat(list(parts)).sort_values("ts")
+            for ts, raw in zip(rows["ts"], rows["raw"], strict=True):
+                ema = surge_step(ema, last, ts, raw, tau_s)
+                last = ts if last is None else max(last, ts)
+                tell, told = told_step(told, ema, LEAST, epsilon, None)
+                if tell:
+                    out.append((key[0], ts, ema))
+            state.update((ema, last, told))
+            state.setTimeoutTimestamp(max(round(last * 1000) + fade_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["cell", "ts", "surge"])
 
-    return ticks.groupBy("cell").applyInPandasWithState(
-        step, "cell string, ts double, surge double", "ema double, last double, told double", "append", GroupStateTimeout.NoTimeout
+    timed = ticks.select("cell", "ts", "raw", F.timestamp_millis(F.round(F.col("ts") * 1000).cast("long")).alias("at")).withWatermark("at", late)
+    return timed.groupBy("cell").applyInPandasWithState(
+        step, "cell string, ts double, surge double", "ema double, last double, told double", "append", GroupStateTimeout.EventTimeTimeout
     )

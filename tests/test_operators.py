@@ -266,7 +266,7 @@ def test_surge_stream_equals_the_table(spark, tmp_path):
     from ridelake.functions import market
 
     r = random.Random(6)
-    data = [(c, float(t * 20), r.choice([1.0, 1.0, 1.5, 3.0])) for c in "abc" for t in range(40)]
+    data = [(c, float(t * 20), r.choice([1.0, 1.0, 1.5, 3.0])) for c in "abc" for t in range(1, 41)]
     ticks = spark.createDataFrame(data, "cell string, ts double, raw double")
     path = f"file://{tmp_path}/ticks"
     for a, b in ((0, 300), (300, 900)):
