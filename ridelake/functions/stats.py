@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.operators.ordered import beside, percentiles
+from ridelake.operators.ordered import percentiles
 
 #: 97.5th percentile of Student's t for 1 to 30 degrees of freedom.
 T975 = [
@@ -66,6 +66,7 @@ def paired_differences(waits: DataFrame, base: str, pair: list[str]) -> DataFram
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, p50 and p95 by ``keys``; 0 where there is no value. Percentiles are exact and interpolate."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    means = df.groupBy(*keys).agg(F.count(value).alias("n"), zero(F.avg(value)).alias("mean"))
-    found = beside(means, percentiles(df, keys, value, {"p50": 0.5, "p95": 0.95}), keys, "left")
-    return found.select(*keys, "n", "mean", zero(F.col("p50")).alias("p50"), zero(F.col("p95")).alias("p95"))
+    also = {"n": (F.count(value), F.sum("n")), "total": (F.sum(value), F.sum("total"))}
+    found = percentiles(df, keys, value, {"p50": 0.5, "p95": 0.95}, also)
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    return found.select(*keys, "n", zero(mean).alias("mean"), zero(F.col("p50")).alias("p50"), zero(F.col("p95")).alias("p95"))

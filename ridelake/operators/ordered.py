@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridelake.storage import counted
 
 def splits_of(df: DataFrame, order: str, ranges: int) -> list:
     """At most ``ranges`` - 1 values that part ``order`` into ranges of about as many rows."""
@@ -70,21 +71,38 @@ def ranked(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
     return joined.withColumn(name, F.col(name) + F.col("__start")).select(*df.columns, name)
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+#: Distinct values of all groups together that may meet in one task, a hundred bytes each.
+FEW = 1_000_000
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], also: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """(keys, a column for each of ``shares``): exact percentiles of each group that has a value, linear between neighbours.
 
-    Equal values are counted first, and the counts are dealt into ranges of values. So no task holds a whole group, and what
-    meets for a group are two values of each percentile from every range.
+    ``also``: further aggregates from the same pass, each as an aggregate over the rows and one over the column of its own name that puts these together;
+    then groups without a value come too. Equal values are counted first, once. If no more than ``FEW`` values are left, a group's counts meet; beyond
+    that the counts are dealt into ranges of values, so that no task holds a whole group, and what meets for a group are two
+    values of each percentile from every range. Results are equal.
     """
-    held = df.where(F.col(value).isNotNull())
-    splits = splits_of(held, value, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    counted = held.groupBy(*keys, value).agg(F.count("*").alias("__c")).withColumn("__range", range_of(F.col(value), splits))
-    totals = counted.groupBy("__range", *keys).agg(F.sum("__c").alias("__sum"))  # a row for each range of a group
+    also = also or {}
+    rows = df if also else df.where(F.col(value).isNotNull())
+    made, seen = counted(rows.groupBy(*keys, value).agg(F.count("*").alias("__c"), *[part.alias(name) for name, (part, _) in also.items()]), n=F.count("*"))
+    more = [whole.alias(name) for name, (_, whole) in also.items()]
+    if seen["n"] <= FEW:
+        found = made.groupBy(*keys).agg(F.percentile(value, list(map(float, shares.values())), F.col("__c")).alias("__p"), *more)
+        return found.select(*keys, *[F.col("__p")[i].alias(name) for i, name in enumerate(shares)], *also)
+    found = _by_ranges(made.where(F.col(value).isNotNull()), keys, value, shares)
+    return beside(made.groupBy(*keys).agg(*more), found, keys, "left").select(*keys, *shares, *also) if also else found
+
+
+def _by_ranges(counts: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    splits = splits_of(counts, value, max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranged = counts.withColumn("__range", range_of(F.col(value), splits))
+    totals = ranged.groupBy("__range", *keys).agg(F.sum("__c").alias("__sum"))  # a row for each range of a group
     group = Window.partitionBy(*keys)
     before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("__range", *keys, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"), (F.sum("__sum").over(group) - 1).alias("__last"))
     within = F.sum("__c").over(Window.partitionBy("__range", *keys).orderBy(value))
-    placed = beside(counted.withColumn("__within", within), starts, ["__range", *keys]).withColumn("__upto", F.col("__start") + F.col("__within"))
+    placed = beside(ranged.withColumn("__within", within), starts, ["__range", *keys]).withColumn("__upto", F.col("__start") + F.col("__within"))
     after = lambda at: F.min(F.when(F.col("__upto") > at, F.col(value)))
     at = {name: F.lit(float(share)) * F.col("__last") for name, share in shares.items()}
     ends = [after(side(x)).alias(f"__{end}_{name}") for name, x in at.items() for end, side in (("lo", F.floor), ("hi", F.ceil))]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridelake import tables
 from ridelake.functions import histograms, stats
 from ridelake.functions.exact import r3
-from ridelake.operators.ordered import beside, percentiles, running_total
+from ridelake.operators.ordered import FEW, percentiles, running_total
+from ridelake.storage import counted
 from ridelake.tables import with_tables
 
 R = "floor({} * 1000 + 0.5) / 1000"
@@ -46,13 +47,15 @@ SQL["wait_summary"] = with_tables(
 def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each run: waits, durations, and trips per hour between the first request and the last dropoff."""
     rides, run = tables.trips(spark, sf_dir), ["scenario", "policy", "seed"]
-    t = rides.groupBy(*run).agg(
-        F.count("*").alias("n"),
-        F.avg("wait_time_s").alias("avg_wait"),
-        F.avg("trip_duration_s").alias("avg_duration"),
-        (F.max("dropoff_ts_unix_ms") - F.min("request_ts_unix_ms")).alias("span"),
-    )
-    t = beside(t, percentiles(rides, run, "wait_time_s", {"p50": 0.5, "p95": 0.95}), run, "left")
+    also = {
+        "n": (F.count("*"), F.sum("n")),
+        "waited": (F.sum("wait_time_s"), F.sum("waited")),
+        "rode": (F.sum("trip_duration_s"), F.sum("rode")),
+        "until": (F.max("dropoff_ts_unix_ms"), F.max("until")),
+        "since": (F.min("request_ts_unix_ms"), F.min("since")),
+    }
+    t = percentiles(rides, run, "wait_time_s", {"p50": 0.5, "p95": 0.95}, also)
+    t = t.select("*", (F.col("waited") / F.col("n")).alias("avg_wait"), (F.col("rode") / F.col("n")).alias("avg_duration"), (F.col("until") - F.col("since")).alias("span"))
     per_hour = F.when(F.col("span") > 0, F.col("n") / (F.col("span") / 3_600_000)).otherwise(0.0)
     return t.select(
         "scenario", "policy", "seed", "n", r3("avg_wait").alias("avg_wait_s"), r3("p50").alias("p50_wait_s"), r3("p95").alias("p95_wait_s"),
@@ -111,10 +114,13 @@ SQL["hist_quantile"] = with_tables(
 
 def wait_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of trips with at most each wait, by policy. Equal waits are summed up first; ranges of waits share the work."""
-    t = tables.trips(spark, sf_dir).groupBy("policy", "wait_time_s").agg(F.count("*").alias("c"))
-    upto = running_total(t, "wait_time_s", "c", "upto", by=("policy",))
-    whole = t.groupBy("policy").agg(F.sum("c").alias("whole"))
-    return upto.join(whole, "policy").select("policy", "wait_time_s", r3(F.col("upto") / F.col("whole")).alias("cdf"))
+    t, seen = counted(tables.trips(spark, sf_dir).groupBy("policy", "wait_time_s").agg(F.count("*").alias("c")), n=F.count("*"))
+    if seen["n"] <= FEW:
+        own = Window.partitionBy("policy")
+        upto = t.select("*", F.sum("c").over(own.orderBy("wait_time_s")).alias("upto"), F.sum("c").over(own).alias("whole"))
+    else:
+        upto = running_total(t, "wait_time_s", "c", "upto", by=("policy",)).join(t.groupBy("policy").agg(F.sum("c").alias("whole")), "policy")
+    return upto.select("policy", "wait_time_s", r3(F.col("upto") / F.col("whole")).alias("cdf"))
 
 
 SQL["wait_cdf"] = with_tables(
@@ -134,13 +140,13 @@ SQL["waits_export"] = with_tables("SELECT demand, policy, seed, printf('%.4f', w
 def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By demand and policy: riders, picked up in number and percent, and their pooled waits."""
     w = tables.waits(spark, sf_dir)
-    up = F.sum(F.col("picked_up").cast("long"))
-    t = w.groupBy("demand", "policy").agg(
-        F.count("*").alias("requested"),
-        up.alias("picked_up"),
-        F.avg("wait_seconds").alias("mean"),
-    )
-    t = beside(t, percentiles(w, ["demand", "policy"], "wait_seconds", {"p50": 0.5, "p95": 0.95}), ["demand", "policy"], "left")
+    also = {
+        "requested": (F.count("*"), F.sum("requested")),
+        "up": (F.sum(F.col("picked_up").cast("long")), F.sum("up")),
+        "total": (F.sum("wait_seconds"), F.sum("total")),
+    }
+    t = percentiles(w, ["demand", "policy"], "wait_seconds", {"p50": 0.5, "p95": 0.95}, also)
+    t = t.select("*", F.col("up").alias("picked_up"), (F.col("total") / F.col("requested")).alias("mean"))
     share = F.when(F.col("requested") == 0, 0.0).otherwise(100 * F.col("picked_up") / F.col("requested"))
     return t.select(
         "demand", "policy", "requested", "picked_up", r3(share).alias("picked_up_percent"), r3("mean").alias("mean_s"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridelake import tables
@@ -12,7 +12,7 @@ from ridelake.plans.reports import r
 from ridelake.schemas import TRIP_KEY, fields
 from ridelake.sources import traces
 from ridelake.storage import shared_dir
-from ridelake.streaming import live, sinks, topics
+from ridelake.streaming import live, log, sinks, topics
 from ridelake.tables import with_tables
 
 SQL: dict[str, str] = {}
@@ -38,6 +38,27 @@ def stream_trip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["stream_trip_counts"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
 
 
+#: A moment within the events, from which they are replayed.
+SINCE = "2024-01-15T12:00:00+00:00"
+
+
+def replay_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events put into a log, keyed by user, and read again from a moment on: each with its place among the user's replayed events."""
+    path = shared_dir(spark)
+    events = tables.read(spark, sf_dir, "events").select("event_id", "user_id", F.timestamp_millis(tables.epoch_ms("ts")).alias("at"))
+    made = topics.records(events, topics.partition_key("user", "user_id"), F.col("at"))
+    log.append(made, path)
+    found = log.replay(spark, path, SINCE)
+    event = F.get_json_object("value", "$.event_id").cast("long")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("offset"))
+    return found.select(event.alias("event_id"), "key", F.unix_millis("timestamp").alias("ts_ms"), place.cast("long").alias("place"))
+
+
+SQL["replay_since"] = f"""SELECT event_id, 'user:' || user_id AS key, epoch_us(ts) // 1000 AS ts_ms,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS place
+    FROM events WHERE epoch_us(ts) // 1000 >= epoch_ms(TIMESTAMPTZ '{SINCE}')"""
+
+
 def decode_props_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose JSON can be read, with a field of it; the others as dead letters. Every seventh payload is cut short."""
     cut = F.when(F.col("event_id") % 7 == 0, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
@@ -140,5 +161,5 @@ SQL["trip_funnel"] = with_tables(
 )
 
 QUERIES = [
-    stream_trip_counts, decode_props_dlq, scan_trips, dedup_trips, sink_anti_dedup, live_counters, match_rate, event_ids, trip_funnel,
+    replay_since, stream_trip_counts, decode_props_dlq, scan_trips, dedup_trips, sink_anti_dedup, live_counters, match_rate, event_ids, trip_funnel,
 ]

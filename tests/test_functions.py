@@ -10,7 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ridelake.functions import geo, histograms, market, roads, stats
-from ridelake.operators import demand
+from ridelake.operators import demand, ordered
 
 
 def one(spark, *cols):
@@ -129,7 +129,9 @@ def test_reports_count_from_the_last_one(spark):
     assert rows(market.reported(df, "k", "ts", "v", 10.0, None, 0.1).select("ts", "v")) == [(0.0 + i, weights[i]) for i in (1, 3, 4, 6)]
 
 
-def test_percentiles_of_groups(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_percentiles_of_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(ordered, "FEW", few)
     r = random.Random(8)
     data = [(k, r.choice([None, float(r.randrange(30)), r.random()])) for k in ["a"] * 200 + ["b"] * 7 + [None] * 20 + ["c"]] + [("d", None)]
     df = spark.createDataFrame(data, "k string, v double")
