@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelake.functions.geo import haversine
-from ridelake.operators.ordered import running_total
+from ridelake.operators.ordered import ranked, running_total
+from ridelake.storage import kept
 
 Segments = Sequence[tuple[float, float]]
 
@@ -109,3 +110,32 @@ def spawn(nodes: DataFrame, n: int, seed: int) -> DataFrame:
     """(vehicle_id, node_id): ``n`` vehicles on distinct nodes, those of least hash with the seed."""
     drawn = nodes.select("node_id", F.xxhash64(F.lit(seed), "node_id").alias("h")).orderBy("h", "node_id").limit(n)
     return drawn.select((F.row_number().over(Window.orderBy("h", "node_id")) - 1).alias("vehicle_id"), "node_id")
+
+
+def with_ends(draws: DataFrame, pickups: DataFrame, dropoffs: DataFrame) -> DataFrame:
+    """(draw columns, pickup_node, dropoff_node): both ends of each arrival by the cumulative weights of nodes.
+
+    Draws have u_pickup, u_dropoff and u_again in [0, 1). A dropoff that falls on the pickup is drawn once more by u_again, and then stands.
+    """
+    drawn = lambda rows, u, cum, name: sample_nodes(rows.withColumn("u", F.col(u)), cum).withColumnRenamed("node_id", name).drop("u")
+    made = kept(drawn(drawn(draws, "u_pickup", pickups, "pickup_node"), "u_dropoff", dropoffs, "dropoff_node"))
+    same = F.coalesce(F.col("pickup_node") == F.col("dropoff_node"), F.lit(False))
+    again = drawn(made.where(same).drop("dropoff_node"), "u_again", dropoffs, "dropoff_node")
+    return made.where(~same).unionByName(again)
+
+
+def spawn_by_weight(weights: DataFrame, n: int, seed: int = 0, u: Column | None = None) -> DataFrame:
+    """(vehicle_id, node_id): ``n`` vehicles on distinct nodes, drawn one after the other by the weights of the nodes that are left.
+
+    Each node waits for -ln(u) / weight, and those that come first are the draws in their order. ``u`` in (0, 1] is drawn from the seed and
+    the node. Where fewer than ``n`` nodes have a weight, the other vehicles are drawn from all of them again, with repeats.
+    """
+    chance = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 53)) + 1) / float(1 << 53)
+    u = chance("node_id") if u is None else u
+    waits = kept(weights.where("weight > 0").select("node_id", "weight", (-F.log(u) / F.col("weight")).alias("wait")))
+    first = ranked(waits, "wait", "vehicle_id").where(F.col("vehicle_id") < n).select(F.col("vehicle_id").cast("long"), "node_id")
+    there = waits.count()
+    if not 0 < there < n:
+        return first
+    rest = weights.sparkSession.range(there, n).select(F.col("id").alias("vehicle_id"), (chance("id") - 1.0 / (1 << 53)).alias("u"))
+    return first.unionByName(sample_nodes(rest, kept(cumulative(waits.select("node_id", "weight")))).select("vehicle_id", "node_id"))

@@ -289,6 +289,49 @@ SQL["sample_nodes"] = with_tables(
     "street_nodes", "trips",
 )
 
+_U = "((ride_id * {}) % 99991)::DOUBLE / 99991"
+DRAWS = {"u_pickup": 7919, "u_dropoff": 104729, "u_again": 1299709}
+
+
+def _counts(spark: SparkSession, sf_dir: str, end: str) -> DataFrame:
+    return tables.trips(spark, sf_dir).groupBy(F.col(end).alias("node_id")).agg(F.count("*").cast("double").alias("weight"))
+
+
+def arrival_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New arrivals, one for each trip, whose ends are drawn as often as trips began and ended there."""
+    u = [(((F.col("ride_id") * k) % 99_991).cast("double") / 99_991).alias(name) for name, k in DRAWS.items()]
+    cums = [kept(demand.cumulative(_counts(spark, sf_dir, end))) for end in ("pickup_node", "dropoff_node")]
+    return demand.with_ends(tables.trips(spark, sf_dir).select("ride_id", *u), *cums).select("ride_id", "pickup_node", "dropoff_node")
+
+
+_DRAWN = "JOIN {1}c {0} ON d.{2} * {0}.whole <= {0}.cum AND (d.{2} * {0}.whole > {0}.cum - {0}.weight OR (d.{2} = 0 AND {0}.cum - {0}.weight <= 0))"
+SQL["arrival_ends"] = with_tables(
+    f"""+ d AS (SELECT ride_id, {', '.join(f'{_U.format(k)} AS {name}' for name, k in DRAWS.items())} FROM trips),
+      pw AS (SELECT pickup_node AS node_id, count(*)::DOUBLE AS weight FROM trips GROUP BY 1),
+      dw AS (SELECT dropoff_node AS node_id, count(*)::DOUBLE AS weight FROM trips GROUP BY 1),
+      pc AS (SELECT *, sum(weight) OVER (ORDER BY node_id) AS cum, sum(weight) OVER () AS whole FROM pw),
+      dc AS (SELECT *, sum(weight) OVER (ORDER BY node_id) AS cum, sum(weight) OVER () AS whole FROM dw),
+      a AS (SELECT d.*, x.node_id AS pickup_node, y.node_id AS once FROM d {_DRAWN.format('x', 'p', 'u_pickup')} {_DRAWN.format('y', 'd', 'u_dropoff')})
+    SELECT d.ride_id, pickup_node, CASE WHEN pickup_node = once THEN z.node_id ELSE once END AS dropoff_node FROM a d {_DRAWN.format('z', 'd', 'u_again')}""",
+    "trips",
+)
+
+VEHICLES = 100
+
+
+def spawn_by_pickups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles on distinct nodes, more likely where many trips begin."""
+    u = (((F.col("node_id") * 7919) % 99_991) + 1).cast("double") / 99_992
+    return demand.spawn_by_weight(_counts(spark, sf_dir, "pickup_node"), VEHICLES, u=u)
+
+
+SQL["spawn_by_pickups"] = with_tables(
+    f"""+ w AS (SELECT pickup_node AS node_id, count(*)::DOUBLE AS weight FROM trips GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY wait) - 1 AS vehicle_id, node_id FROM (SELECT node_id, -ln(((node_id * 7919) % 99991 + 1)::DOUBLE / 99992) / weight AS wait FROM w)
+    QUALIFY row_number() OVER (ORDER BY wait) <= {VEHICLES}""",
+    "trips",
+)
+
 
 def scc_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of a town of one-way streets after it is cut to its largest strongly connected part."""
@@ -351,5 +394,5 @@ SQL["route_pairs"] = _recursive(
 QUERIES = [
     scan_nodes, scan_edges_validated, edge_base_weight, max_speed, highway_speed, oneway_rules, dense_ids, way_to_edges, link_next, link_storage,
     link_factor, edge_effective_weight, congested_edges_geo, congestion_stats, hotspot_nodes, node_weights, cum_weights, sample_nodes, scc_prune,
-    route_costs, route_pairs,
+    route_costs, route_pairs, arrival_ends, spawn_by_pickups,
 ]

@@ -289,3 +289,23 @@ def test_funnel_stream(spark, tmp_path):
     q = joined.writeStream.format("memory").queryName("funnel_out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [x.request_id for x in spark.table("funnel_out").collect()] == [1]
+
+
+def test_weighted_draws_without_replacement(spark):
+    """Over many seeds the heavy node comes first as often as its weight says, and nodes come once until none is left."""
+    weights = spark.createDataFrame([(1, 6.0), (2, 3.0), (3, 1.0), (4, 0.0)], "node_id long, weight double")
+    firsts = [demand.spawn_by_weight(weights, 3, seed).orderBy("vehicle_id").collect() for seed in range(12)]
+    assert all(sorted(x.node_id for x in drawn) == [1, 2, 3] and [x.vehicle_id for x in drawn] == [0, 1, 2] for drawn in firsts)
+    many = spark.range(20_000).select((F.col("id") % 2).alias("kind"), F.col("id").alias("node_id"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("weight"))
+    ahead = demand.spawn_by_weight(many.select("node_id", "weight"), 1000, 5).where("node_id % 2 = 0").count()
+    assert 740 < ahead < 850  # four of five
+    more = demand.spawn_by_weight(weights, 9, 1).collect()
+    assert sorted(x.vehicle_id for x in more) == list(range(9)) and {x.node_id for x in more} == {1, 2, 3}
+    assert demand.spawn_by_weight(weights.limit(0), 5).count() == 0
+
+
+def test_ends_are_drawn_once_more_where_they_meet(spark):
+    cum = spark.createDataFrame([(10, 1.0, 1.0), (20, 1.0, 2.0)], "node_id long, weight double, cum double")
+    draws = spark.createDataFrame([(1, 0.1, 0.2, 0.9), (2, 0.1, 0.9, 0.1), (3, 0.9, 0.8, 0.7), (1, 0.1, 0.2, 0.9)], "k long, u_pickup double, u_dropoff double, u_again double")
+    got = rows(demand.with_ends(draws, cum, cum).select("k", "pickup_node", "dropoff_node"))
+    assert got == [(1, 10, 20), (1, 10, 20), (2, 10, 20), (3, 20, 20)]
