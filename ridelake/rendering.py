@@ -92,8 +92,8 @@ def nice_ceil(x: float) -> float:
     """The next 1, 2 or 5 times a power of ten; 1 for nothing or less."""
     if x <= 0:
         return 1.0
-    base = 10.0 ** math.floor(math.log10(x))
-    return next(m * base for m in (1, 2, 5, 10) if m * base >= x)
+    power = math.floor(math.log10(x))  # which may be off by one for rounding
+    return min(s for k in range(power - 1, power + 3) for s in (10.0**k, 2 * 10.0**k, 5 * 10.0**k) if s >= x)
 
 
 def cdf_points(waits: DataFrame, width: int = WIDTH) -> tuple[float, DataFrame]:
