@@ -13,7 +13,7 @@ from ridelake.functions.exact import r3
 from ridelake.operators import demand, roads, search
 from ridelake.operators.ordered import dense_ids as numbered
 from ridelake.plans.reports import r
-from ridelake.sources import graphs
+from ridelake.sources import graphs, maps
 from ridelake.storage import kept, shared_dir
 from ridelake.tables import with_tables
 
@@ -134,6 +134,18 @@ SQL["way_to_edges"] = with_tables(
 )
 
 
+def map_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from map files: ways and nodes are written as such and read back."""
+    path = shared_dir(spark)
+    maps.write(_map_nodes(spark, sf_dir), path, "nodes")
+    maps.write(_ways(spark, sf_dir), path, "ways")
+    _, edges = roads.segments(roads.drivable(maps.ways(spark, path)), maps.nodes(spark, path))
+    return edges.select("edge_id", "from_node", "to_node", r3("length").alias("length"), "lanes", r3("speed_limit").alias("speed_mps"))
+
+
+SQL["map_edges"] = SQL["way_to_edges"]
+
+
 def link_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = roads.continuations(tables.street_edges(spark, sf_dir))
     return found.select("edge_id", F.coalesce("next", F.lit(-1)).alias("next"))
@@ -392,7 +404,7 @@ SQL["route_pairs"] = _recursive(
 )
 
 QUERIES = [
-    scan_nodes, scan_edges_validated, edge_base_weight, max_speed, highway_speed, oneway_rules, dense_ids, way_to_edges, link_next, link_storage,
+    scan_nodes, scan_edges_validated, edge_base_weight, max_speed, highway_speed, oneway_rules, dense_ids, way_to_edges, map_edges, link_next, link_storage,
     link_factor, edge_effective_weight, congested_edges_geo, congestion_stats, hotspot_nodes, node_weights, cum_weights, sample_nodes, scc_prune,
     route_costs, route_pairs, arrival_ends, spawn_by_pickups,
 ]
