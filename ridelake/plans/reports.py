@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridelake import tables
-from ridelake.functions import histograms, stats
+from ridelake.functions import histograms, rates, stats
 from ridelake.functions.exact import r3
 from ridelake.operators.ordered import FEW, percentiles, running_total
 from ridelake.storage import counted
@@ -112,6 +112,44 @@ SQL["hist_quantile"] = with_tables(
 )
 
 
+#: Counters of waits are noted every 15 seconds in which they moved, and begin again every 17 minutes.
+SCRAPE_MS, LIFE_MS = 15_000, 1_020_000
+RATE_MS, STEP_MS = 120_000, 60_000
+
+
+def rate_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95th percentile of waits by policy and minute, from the rates of cumulative bucket counters of every scenario over two minutes."""
+    t = tables.trips(spark, sf_dir).withColumn("ts_ms", (F.ceil(F.col("pickup_ts_unix_ms") / SCRAPE_MS) * SCRAPE_MS).cast("long"))
+    moved = histograms.buckets(t, ["scenario", "policy", "ts_ms"], "wait_time_s", histograms.WAIT)
+    life = Window.partitionBy("scenario", "policy", "le", F.floor(F.col("ts_ms") / LIFE_MS)).orderBy("ts_ms")  # 68 notes at most
+    counters = moved.select("scenario", "policy", "le", "ts_ms", F.sum("count").over(life).alias("value"))
+    made = rates.rates(counters, ["scenario", "policy", "le"], window_ms=RATE_MS, step_ms=STEP_MS)
+    found = histograms.quantile(rates.summed(made, ["policy", "t_ms"]), ["policy", "t_ms"], 0.95)
+    return found.select("policy", "t_ms", r3("quantile").alias("p95_s"))
+
+
+SQL["rate_quantile"] = with_tables(
+    f"""+ v AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in histograms.WAIT)}, 'inf'::DOUBLE]) AS le),
+      moved AS (SELECT scenario, policy, le, ceil(pickup_ts_unix_ms / {SCRAPE_MS})::BIGINT * {SCRAPE_MS} AS ts_ms, count(*) FILTER (wait_time_s <= le) AS c
+        FROM trips CROSS JOIN v GROUP BY ALL),
+      counters AS (SELECT scenario, policy, le, ts_ms, (sum(c) OVER (PARTITION BY scenario, policy, le, ts_ms // {LIFE_MS} ORDER BY ts_ms))::DOUBLE AS v FROM moved),
+      spread AS (SELECT *, unnest(range(ceil(ts_ms / {STEP_MS})::BIGINT * {STEP_MS}, ts_ms + {RATE_MS}, {STEP_MS})) AS t_ms FROM counters),
+      lagged AS (SELECT *, lag(v) OVER (PARTITION BY scenario, policy, le, t_ms ORDER BY ts_ms) AS p FROM spread),
+      met AS (SELECT scenario, policy, le, t_ms, count(*) AS n, min(ts_ms) AS a, max(ts_ms) AS b, arg_min(v, ts_ms) AS began,
+        sum(CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END) AS grown FROM lagged GROUP BY ALL HAVING count(*) > 1),
+      gaps AS (SELECT *, (b - a)::DOUBLE AS len, (b - a)::DOUBLE / (n - 1) AS usual, (a - (t_ms - {RATE_MS}))::DOUBLE AS lead, (t_ms - b)::DOUBLE AS tail FROM met),
+      ends AS (SELECT *, CASE WHEN lead >= usual * 1.1::DOUBLE THEN usual / 2 ELSE lead END AS l, CASE WHEN tail >= usual * 1.1::DOUBLE THEN usual / 2 ELSE tail END AS r FROM gaps),
+      rates AS (SELECT policy, t_ms, le, grown * ((len + CASE WHEN grown > 0 AND len * began / grown < l THEN len * began / grown ELSE l END + r) / len) / {RATE_MS / 1000}::DOUBLE AS rate FROM ends),
+      total AS (SELECT policy, t_ms, le, round(sum(rate), 9) AS c FROM rates GROUP BY ALL),
+      rising AS (SELECT policy, t_ms, le, max(c) OVER (PARTITION BY policy, t_ms ORDER BY le) AS c FROM total),
+      l AS (SELECT *, lag(le, 1, 0) OVER w AS lo, lag(c, 1, 0) OVER w AS below, 0.95::DOUBLE * max(c) OVER (PARTITION BY policy, t_ms) AS rank
+        FROM rising WINDOW w AS (PARTITION BY policy, t_ms ORDER BY le)),
+      h AS (SELECT * FROM l WHERE c >= rank AND c > 0 QUALIFY row_number() OVER (PARTITION BY policy, t_ms ORDER BY le) = 1)
+    SELECT policy, t_ms, CASE WHEN isinf(le) THEN {r('lo')} ELSE {r('lo + (le - lo) * (rank - below) / (c - below)')} END AS p95_s FROM h""",
+    "trips",
+)
+
+
 def wait_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of trips with at most each wait, by policy. Equal waits are summed up first; ranges of waits share the work."""
     t, seen = counted(tables.trips(spark, sf_dir).groupBy("policy", "wait_time_s").agg(F.count("*").alias("c")), n=F.count("*"))
@@ -307,7 +345,7 @@ SQL["rate_at"] = with_tables(
 )
 
 QUERIES = [
-    readme_wait_by_policy, wait_summary, metrics_summary, hist_quantile, wait_cdf, waits_export, policy_table, arrivals_per_window,
+    readme_wait_by_policy, wait_summary, metrics_summary, hist_quantile, rate_quantile, wait_cdf, waits_export, policy_table, arrivals_per_window,
     reposition_share, paired_diffs, t_interval, sign_test, lgamma, nice_ceil, scaled_rates, rate_at,
 ]
 NAMED = {"hist_wait": hist_wait, "hist_duration": hist_duration}

@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from ridelake.functions import geo, histograms, market, roads, stats
+from ridelake.functions import geo, histograms, market, rates, roads, stats
 from ridelake.operators import demand, ordered
 
 
@@ -145,3 +145,47 @@ def test_percentiles_of_groups(spark, monkeypatch, few):
 def test_splitting_time_does_not_change_cancellations(spark):
     whole, part = one(spark, market.cancel_probability(F.lit(1.2), F.lit(60.0)), market.cancel_probability(F.lit(1.2), F.lit(6.0)))
     assert 1 - (1 - part) ** 10 == pytest.approx(whole)
+
+
+def plain_rate(samples, t, window):
+    """A rate over (t - window, t] in seconds and milliseconds, sample by sample."""
+    s = sorted({(a, v) for a, v in samples if t - window < a <= t})
+    if len(s) < 2:
+        return None
+    grown = sum(v - p if v >= p else v for (_, p), (_, v) in zip(s, s[1:]))
+    length = s[-1][0] - s[0][0]
+    usual = length / (len(s) - 1)
+    before, after = s[0][0] - (t - window), t - s[-1][0]
+    before = usual / 2 if before >= 1.1 * usual else before
+    after = usual / 2 if after >= 1.1 * usual else after
+    if grown > 0:
+        before = min(before, length * s[0][1] / grown)
+    return grown * (length + before + after) / length / (window / 1000)
+
+
+def test_rates_of_counters(spark):
+    """Ten a minute over a full window; a restart; one sample alone; a gap longer than the window; null, repeated and clashing columns."""
+    even = [("even", 60_000 + 10_000 * i, 100.0 + 10 * i) for i in range(12)]
+    df = spark.createDataFrame([*even, even[0], ("even", None, 3.0), ("even", 70_000, None), ("alone", 60_000, 1.0)], "k string, ts_ms long, value double")
+    got = {(r.k, r.t_ms): r.rate for r in rates.rates(df.withColumn("n", F.lit(1)), ["k"], window_ms=60_000, step_ms=60_000).collect()}
+    assert got == {("even", 120_000): pytest.approx(1.0), ("even", 180_000): pytest.approx(1.0)}  # both ends are a usual distance away
+    r = random.Random(3)
+    series = {}
+    for name in "abc":
+        at, value = r.randrange(1000), 0.0
+        for _ in range(200):
+            at += r.choice([500, 1000, 1000, 7000, 90_000])
+            value = float(r.randrange(5)) if r.random() < 0.1 else value + r.randrange(9)
+            series.setdefault(name, []).append((at, value))
+    df = spark.createDataFrame([(k, *x) for k, s in series.items() for x in s], "k string, ts_ms long, value double")
+    for window, step in ((30_000, 10_000), (10_000, 25_000)):
+        got = {(x.k, x.t_ms): x.rate for x in rates.rates(df, ["k"], window_ms=window, step_ms=step).collect()}
+        last = max(a for s in series.values() for a, _ in s) + window
+        want = {(k, t): v for k, s in series.items() for t in range(0, last + step, step) if (v := plain_rate(s, t, window)) is not None}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert rates.rates(df.limit(0), ["k"]).count() == 0
+
+
+def test_summed_rates_never_fall(spark):
+    df = spark.createDataFrame([("p", 1.0, 2.0), ("p", 5.0, 1.0), ("p", 5.0, 0.5), ("p", math.inf, 4.0)], "k string, le double, rate double")
+    assert rows(rates.summed(df, ["k"])) == [("p", 1.0, 2.0), ("p", 5.0, 2.0), ("p", math.inf, 4.0)]
