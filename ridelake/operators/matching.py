@@ -1,6 +1,6 @@
 """Requests and drivers: the nearest drivers of each request, and assignments.
 
-The search for the nearest is a join on cells of growing size. Assignments depend on the order within one matching
+The search for the nearest is a join on cells whose size follows the density of drivers. Assignments depend on the order within one matching
 window, so each window (and region) is a group of its own and Spark works on all of them at once.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ridelake.functions.geo import REGION_M, cell, plane, ring_offsets
 from ridelake.functions.market import match_cost
 from ridelake.operators import search
-from ridelake.storage import kept
+from ridelake.storage import counted, kept
 
 #: Cost of a pair that must not be matched.
 NEVER = 1e9
@@ -31,43 +31,52 @@ def available(drivers: DataFrame, active_rides: DataFrame) -> DataFrame:
     return drivers.where(F.col("state").isin("idle", "repositioning")).join(active_rides.select("driver_id"), "driver_id", "left_anti")
 
 
-def _square(x: Column, y: Column, size: float) -> tuple[Column, Column]:
-    return F.floor(x / size), F.floor(y / size)
+#: Side in metres of the finest squares that drivers are counted in, and how often it is doubled: the last squares span the earth.
+FINEST_M, LEVELS = 125.0, 20
 
 
-def nearest(requests: DataFrame, drivers: DataFrame, k: int = 5, size: float = 500.0, growth: float = 4.0, rounds: int = 8) -> DataFrame:
-    """(request_id, driver_id, dist_m, rank): the ``k`` nearest drivers of each request, ties by driver_id.
+def _at_levels(cells: DataFrame, levels: int) -> DataFrame:
+    """Fine cells (fx, fy) with the cells (level, cx, cy) that hold them."""
+    each = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    return each.withColumn("cx", F.expr("shiftright(fx, level)")).withColumn("cy", F.expr("shiftright(fy, level)"))
 
-    Requests and drivers are joined on squares of ``size`` metres and their neighbours. A request is settled once
-    its k-th driver is no farther than one square, for then no driver outside can be nearer. The others go on with
-    squares ``growth`` times as large. Positions that many requests share are searched once. In the last round a
-    square holds the whole city.
+
+def _around(df: DataFrame) -> DataFrame:
+    """Every row once for its own cell (cx, cy) and each of its eight neighbours."""
+    step = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a, b))))"))
+    return df.withColumn("__c", step).withColumn("cx", F.col("cx") + F.col("__c.a")).withColumn("cy", F.col("cy") + F.col("__c.b")).drop("__c")
+
+
+def nearest(requests: DataFrame, drivers: DataFrame, k: int = 5, size: float = FINEST_M, levels: int = LEVELS) -> DataFrame:
+    """(request_id, driver_id, dist_m, rank): the ``k`` nearest drivers of each request, ties by driver_id; rows without a position are left out.
+
+    Drivers are counted in squares of every level. Each request takes the finest level at which its square and the eight around it hold ``k``
+    drivers, so these are less than three sides away, and is joined once with the drivers in squares of that size and their
+    neighbours: none nearer lies outside. Where drivers are dense the squares are small, where they are sparse large, and no request is
+    searched twice. Positions that many requests share are searched once, and of drivers at one position the first ``k`` are enough.
     """
     rx, ry = plane("lat", "lon")
     spots = requests.select("request_id", rx.alias("x"), ry.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    left = kept(spots.select("x", "y").distinct())
-    cars = kept(drivers.select("driver_id", rx.alias("dx"), ry.alias("dy")).where(F.col("dx").isNotNull() & F.col("dy").isNotNull()))
-    n = cars.count()
-    done: DataFrame | None = None
-    for i in range(rounds):
-        last = i == rounds - 1
-        side = size * growth**i
-        qx, qy = _square(F.col("x"), F.col("y"), side)
-        around = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a, b))))"))
-        asked = left.withColumn("__c", around).select("x", "y", (qx + F.col("__c.a")).alias("cx"), (qy + F.col("__c.b")).alias("cy"))
-        cx, cy = _square(F.col("dx"), F.col("dy"), side)
-        met = asked.join(cars.withColumn("cx", cx).withColumn("cy", cy), ["cx", "cy"])
-        d = F.sqrt((F.col("x") - F.col("dx")) * (F.col("x") - F.col("dx")) + (F.col("y") - F.col("dy")) * (F.col("y") - F.col("dy")))
-        order = Window.partitionBy("x", "y").orderBy("dist_m", "driver_id")
-        ranked = met.select("x", "y", "driver_id", d.alias("dist_m")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        enough = ranked.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("dist_m").alias("far"))
-        settled = F.lit(True) if last else ((F.col("n") == k) | (F.col("n") == n)) & (F.col("far") <= side)
-        good = kept(ranked.join(enough.where(settled).select("x", "y"), ["x", "y"]))
-        done = good if done is None else done.unionByName(good)
-        left = kept(left.join(good.select("x", "y").distinct(), ["x", "y"], "left_anti"))
-        if not left.limit(1).count():
-            break
-    return spots.join(done, ["x", "y"]).select("request_id", "driver_id", "dist_m", "rank")
+    fine = lambda x, y: (F.floor(F.col(x) / size).alias("fx"), F.floor(F.col(y) / size).alias("fy"))
+    left = kept(spots.select("x", "y").distinct().select("x", "y", *fine("x", "y")))
+    placed = drivers.select("driver_id", rx.alias("dx"), ry.alias("dy")).where(F.col("dx").isNotNull() & F.col("dy").isNotNull())
+    same = F.row_number().over(Window.partitionBy("dx", "dy").orderBy("driver_id"))
+    cars = kept(placed.withColumn("__n", same).where(F.col("__n") <= k).select("driver_id", "dx", "dy"))
+
+    held = _at_levels(cars.groupBy(*fine("dx", "dy")).agg(F.count("*").alias("n")), levels).groupBy("level", "cx", "cy").agg(F.sum("n").alias("n"))
+    enough = _around(held).groupBy("level", "cx", "cy").agg(F.sum("n").alias("n")).where(F.col("n") >= k).drop("n")
+    levelled = _at_levels(left.select("fx", "fy").distinct(), levels).join(enough, ["level", "cx", "cy"]).groupBy("fx", "fy").agg(F.min("level").alias("level"))
+    asked = left.join(levelled, ["fx", "fy"], "left").select("x", "y", F.coalesce("level", F.lit(levels - 1)).alias("level"))
+    asked, seen = counted(asked, used=F.collect_set("level"))  # no more than there are levels
+
+    side = F.expr("shiftleft(1L, level)") * (3 * size)
+    square = lambda x, y: {"cx": F.floor(F.col(x) / side), "cy": F.floor(F.col(y) / side)}
+    by_level = cars.withColumn("level", F.explode(F.array(*map(F.lit, sorted(seen["used"]))).cast("array<int>"))).withColumns(square("dx", "dy"))
+    met = _around(asked.withColumns(square("x", "y"))).join(by_level, ["level", "cx", "cy"])
+    d = F.sqrt((F.col("x") - F.col("dx")) * (F.col("x") - F.col("dx")) + (F.col("y") - F.col("dy")) * (F.col("y") - F.col("dy")))
+    order = Window.partitionBy("x", "y").orderBy("dist_m", "driver_id")
+    ranked = met.select("x", "y", "driver_id", d.alias("dist_m")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return spots.join(ranked, ["x", "y"]).select("request_id", "driver_id", "dist_m", "rank")
 
 
 def cost_matrix(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from ridelake.functions import geo
 from ridelake.operators import demand, eta, matching, ordered, roads
 from ridelake.sources import graphs, traces
 from ridelake.streaming import live, sinks, topics
@@ -159,6 +161,29 @@ def test_nearest_matches_brute_force(spark):
     assert few.count() == 4
 
 
+def test_nearest_follows_density(spark):
+    """A depot with many drivers at one place and one town beside it, far-off drivers, borders of squares, requests at one place; empty tables; extra columns."""
+    r = random.Random(11)
+    drivers = [(i, 37.75, -122.45) for i in range(300)] + [(300 + i, 37.75 + r.random() / 500, -122.45 + r.random() / 500) for i in range(200)]
+    drivers += [(500 + i, r.uniform(-80, 80), r.uniform(-179, 179)) for i in range(60)] + [(600, None, 1.0)]
+    lat0, lon0 = geo.CENTRE
+    edge = [(lat0 + a * 125.0 / geo.LAT_M, lon0 + b * 125.0 / geo.LON_M) for a in (-1, 0, 1, 8) for b in (-8, 0, 4)]
+    places = edge + [(37.75, -122.45)] * 5 + [(37.75 + r.gauss(0, 0.05), -122.45 + r.gauss(0, 0.05)) for _ in range(60)] + [(r.uniform(-80, 80), r.uniform(-179, 179)) for _ in range(60)]
+    frame = lambda data, id_: spark.createDataFrame(data, f"{id_} long, lat double, lon double").withColumn("level", F.lit("x"))
+    requests, cars = frame([(i, *p) for i, p in enumerate(places)], "request_id"), frame(drivers, "driver_id")
+    at = lambda lat, lon: ((lon - lon0) * geo.LON_M, (lat - lat0) * geo.LAT_M)
+    where = [(j, *at(a, b)) for j, a, b in drivers if a is not None]
+    for k in (1, 5):
+        found = {}
+        for x in matching.nearest(requests, cars, k).collect():
+            found.setdefault(x.request_id, {})[x["rank"]] = (round(x.dist_m, 6), x.driver_id)
+        for i, p in enumerate(places):
+            x, y = at(*p)
+            want = sorted((math.sqrt((x - a) ** 2 + (y - b) ** 2), j) for j, a, b in where)[:k]
+            assert [found[i][n] for n in range(1, k + 1)] == [(round(d, 6), j) for d, j in want]
+    assert matching.nearest(requests.limit(0), cars).count() == 0 and matching.nearest(requests, cars.limit(0)).count() == 0
+
+
 def test_windows_and_waits(spark):
     df = spark.createDataFrame([("r", 1000), ("r", 1001), ("r", 4000), ("r", 4001)], "run string, ts long")
     assert [x.batch_ms for x in matching.windows(df, ["run"], "ts", 3000).orderBy("ts").collect()] == [1000, 4000, 4000, 7000]
