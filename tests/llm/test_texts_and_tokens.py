@@ -159,6 +159,67 @@ def test_secret_scan(spark):
     assert secrets.scan(df.limit(0), network, ["doc_id"]).count() == 0
 
 
+def test_runs_beside_base_spans():
+    """A run is cut at every base span in it: what is left before, between and behind is read, without the separators behind a span."""
+    hexa, key = "0123456789abcdef01234567", "ghp_Ab3dEf9hIj2kLm5nOp8q"
+    for text, want in [
+        (f"https://h.io/{hexa}/{key} x", [key]),
+        (f"{key}/{hexa}", [key + "/"]),
+        (f"{hexa}-{key}={hexa}", [key + "="]),
+        (f"{hexa}{hexa}", []),
+        (f"{key} {hexa} {key}", [key, key]),
+        (f"/{key}", ["/" + key]),
+        (f"{hexa}/short", []),
+        (f"a secret={key}", []),
+        ("", []),
+    ]:
+        spans = secrets.base_spans(text)
+        assert [text[a:b] for a, b in secrets.runs(text, spans)] == want, text
+    r = random.Random(4)
+    for _ in range(500):
+        text = "".join(r.choice([hexa, key, "/", ".", " ", "token=", "é", "abcdef", "Q7"]) for _ in range(r.randrange(12)))
+        spans = secrets.base_spans(text)
+        inside = {i for a, b, _ in spans for i in range(a, b)}
+        cut = "".join("\0" if i in inside else c for i, c in enumerate(text))
+        cut = re.sub(r"(?<=\0)[-_/=+.]+", lambda m: "\0" * len(m[0]), cut)
+        want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-](?:\.?[A-Za-z0-9+/_=-]){7,}", cut)]
+        assert secrets.runs(text, spans) == want, repr(text)
+
+
+def test_learned_spans_against_a_plain_loop(spark):
+    """Windows, threshold, overlap and offsets of the learned spans, candidate by candidate and stretch by stretch."""
+    r = random.Random(12)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda n: "".join(r.choice(chars) for _ in range(n))
+    hexa = "0123456789abcdef01234567"
+    texts = [f"é 🙂 some words {pick(r.randrange(12, 300))} then {hexa}/{pick(30)} and token={pick(9)} or plain-words-{i}" for i in range(80)]
+    df = corpus(spark, [*texts, None, ""])
+    network = secrets.fit(df, rows=200, made=200)
+    got = {x.doc_id: [(f["start"], f["end"], f["kind"]) for f in x.findings] for x in secrets.scan(df, network, ["doc_id"]).collect()}
+    beside = 0
+    for i, text in enumerate(texts):
+        base = base_by_hand(text)
+        learned: list[list[int]] = []
+        for a, b in secrets.candidates(text, base):
+            starts = [a] if b - a <= 40 else [*range(a, b - 40, 20), b - 40]
+            for at in starts:
+                end = min(at + 40, b)
+                shown = ["\0"] * 72
+                for place, where in [(k, at - 20 + k) for k in range(20)] + [(60 + k, end + k) for k in range(12)]:
+                    shown[place] = text[where] if 0 <= where < len(text) else "\0"
+                body = text[at:end]
+                shown[20 : 20 + len(body[:28])], rest = body[:28], body[28:]
+                shown[48 : 48 + len(rest)] = rest
+                if network.probabilities(secrets.encoded(["".join(shown)]))[0] >= network.threshold:
+                    if learned and at < learned[-1][1] and learned[-1][0] >= a:
+                        learned[-1][1] = end
+                    else:
+                        learned.append([at, end])
+        beside += any(text[a - 1] == "/" for a, _ in learned)
+        assert got[i] == sorted([*base, *((a, b, "learned") for a, b in learned)], key=lambda x: (x[0], secrets.KINDS.index(x[2]))), text
+    assert beside > 60 and got[80] == got[81] == []
+
+
 def test_language(spark):
     words = {"aa": "the and of house river stone", "bb": "der und das haus fluss stein", "cc": "le et la maison fleuve pierre"}
     r = random.Random(10)
