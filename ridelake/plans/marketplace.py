@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ridelake import tables
 from ridelake.functions import geo, market
 from ridelake.functions.exact import r3
-from ridelake.operators import matching, ordered
+from ridelake.operators import matching, nested, ordered
 from ridelake.plans.reports import r
 from ridelake.storage import kept
 from ridelake.tables import with_tables
@@ -83,6 +83,29 @@ SQL["cell_counts"] = with_tables(
 )
 
 
+#: Levels above the finest cells: the fourth has regions of about the size of ``geo.REGION_M``.
+LEVELS_UP = 4
+
+
+def cell_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by nested cells of every level, counted once in the finest."""
+    p = tables.points(spark, sf_dir).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    finest = p.groupBy(nested.cell("lat", "lon").alias("cell")).agg(F.count("*").alias("points"))
+    return nested.rolled_up(finest, "cell", "points", LEVELS_UP)
+
+
+_T = "(((3 * q + r) % 7) + 7) % 7"
+_UQ, _UR = (f"CASE {_T} " + " ".join(f"WHEN {i} THEN {s[k]}" for i, s in enumerate(nested.STEPS)) + " END" for k in (0, 1))
+SQL["cell_rollup"] = with_tables(
+    f"""+ named AS (SELECT {geo.cell_sql('lat', 'lon', geo.TRIP_M)} AS c FROM points),
+      climb AS (SELECT 0 AS level, split_part(c, ':', 2)::BIGINT AS q, split_part(c, ':', 3)::BIGINT AS r, count(*) AS n, 1::BIGINT AS cells FROM named GROUP BY c
+        UNION ALL SELECT level + 1, (3 * (q - uq) + (r - ur)) // 7, (2 * (r - ur) - (q - uq)) // 7, n, cells
+          FROM (SELECT *, {_UQ} AS uq, {_UR} AS ur FROM climb) WHERE level < {LEVELS_UP})
+    SELECT level, '{int(geo.TRIP_M)}/' || level || ':' || q || ':' || r AS cell, sum(n)::BIGINT AS points, sum(cells)::BIGINT AS cells FROM climb GROUP BY level, q, r""",
+    "points",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _pickups(spark: SparkSession, sf_dir: str, size: float = geo.SURGE_M) -> DataFrame:
     """Trips with the cell of their pickup; cells are found once for each node."""
     nodes = tables.grid_nodes(spark).select(F.col("node_id").alias("pickup_node"), geo.cell("lat", "lon", size).alias("cell"))
@@ -382,7 +405,7 @@ SQL["fleet_bounds"] = with_tables(
 )
 
 QUERIES = [
-    driver_last, available_drivers, pending_after_match, cell_counts, open_demand, surge_raw, surge_fraction, surge_ema, surge_publish, weight_changes,
+    driver_last, available_drivers, pending_after_match, cell_counts, cell_rollup, open_demand, surge_raw, surge_fraction, surge_ema, surge_publish, weight_changes,
     surge_last, nearest_k, cost_matrix, batch_windows, greedy_match, hungarian_total, region_match, abandoned, reposition_gap, reposition_targets,
     fleet_bounds,
 ]
