@@ -19,7 +19,8 @@ record's file, offset, length and number of ids; ``shuffled`` reads records in a
 
 Encoding goes by chunks: a blank between two characters that aren't white space always begins a new
 word of the tokenizer's pattern, so each distinct chunk is encoded once and its ids
-are put together by position; a Python worker keeps its table, of bounded size, from task to task. Texts of plain Latin characters are cut into the pattern's words here, and only the library's
+are put together by position; a Python worker keeps its table, of bounded size, from task to task. A full table
+keeps what was met again since it was full before. Texts of plain Latin characters are cut into the pattern's words here, and only the library's
 model runs on the distinct ones. Tokenizers of another kind encode whole texts.
 
 Files get about ``FILE_BYTES`` of text each, so that a task reads one back within its memory.
@@ -94,12 +95,12 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts, by a table of distinct chunks."""
 
-    def __init__(self, path: str, table_rows: int = 250_000):
+    def __init__(self, path: str, table_rows: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import Split
 
-        self.tokenizer, self.rows, self.table = Tokenizer.from_file(path), table_rows, {}
+        self.tokenizer, self.rows, self.table, self.again = Tokenizer.from_file(path), table_rows, {}, set()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", ())
@@ -115,6 +116,9 @@ class Encoder:
         self.words.pre_tokenizer = Split(self.letters[10], "isolated")
         self.feed = self.tokenizer.token_to_id(self.letters[10])
         self.by_chunk = self.by_chunk and self.feed is not None
+        if self.by_chunk:
+            self.feed_id = np.array([self.feed], np.uint32).tobytes()
+            self.table["\n"] = self.feed_id
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -125,15 +129,25 @@ class Encoder:
         first, *rest = SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks.difference(self.table))
+    def unknown(self, words: set[str], chunks: set[str]) -> tuple[list[str], list[str]]:
+        """The words and chunks that the table lacks, after room is made for them. Most words are met once only, so a full table
+        keeps those met again, unless they fill half of it."""
+        new = words.difference(self.table), chunks.difference(self.table)
+        self.again.update(words.difference(new[0]), chunks.difference(new[1]))
+        if len(self.table) + len(new[0]) + len(new[1]) > self.rows:
+            self.table = {x: self.table[x] for x in self.again} if 2 * len(self.again) <= self.rows else {}
+            self.again.clear()
+            self.table["\n"] = self.feed_id
+            new = words.difference(self.table), chunks.difference(self.table)
+        return list(new[0]), list(new[1])
+
+    def learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
             self.table.update(zip(part, (np.array(x, np.uint32).tobytes() for x in self.ids(part)), strict=True))
 
-    def learn_words(self, words: set[str]) -> None:
+    def learn_words(self, new: list[str]) -> None:
         """Encode words that are one word of the pattern each: many at a time, parted by line feeds, whose id parts the ids."""
-        new = list(words.difference(self.table, "\n"))
         for at in range(0, len(new), 20_000):
             part = [new[i : i + 400] for i in range(at, min(at + 20_000, len(new)), 400)]
             joined = ["\n".join(x).encode().decode("latin-1").translate(self.letters) for x in part]
@@ -152,9 +166,7 @@ class Encoder:
         cut = [WORDS.findall(t) if p else self.chunks(t) for t, p in zip(texts, plain, strict=True)]
         words = set().union(*(x for x, p in zip(cut, plain, strict=True) if p))
         chunks = set().union(*(x for x, p in zip(cut, plain, strict=True) if not p))
-        if len(self.table) + len(words.difference(self.table)) + len(chunks.difference(self.table)) > self.rows:
-            self.table.clear()
-        self.table["\n"] = np.array([self.feed], np.uint32).tobytes()
+        words, chunks = self.unknown(words, chunks)
         self.learn_words(words)
         self.learn(chunks)
         get = self.table.__getitem__

@@ -333,3 +333,17 @@ def test_secrets_of_any_shape_and_place(spark):
         m * w for (_, m), w in zip(pooled, network.dense[len(pooled) :], strict=False)
     ) + network.dense[-1]
     assert abs(plain - network.logits(x)[0]) < 1e-9
+
+
+def test_a_full_table_keeps_what_is_met_again():
+    """Words of every batch are encoded once, however many others fill the table; ids stay those of the library."""
+    path = queries.tokenizer("byte_bpe_50k.json")
+    encoder, asked = records.Encoder(path, table_rows=60), []
+    learn = encoder.learn_words
+    encoder.learn_words = lambda new: (asked.extend(new), learn(new))
+    for i in range(40):
+        texts = [f"common words of each batch {i}x{i * 7919}y{i * 104729}z", f"naïve\ncommon, and wörd{i}z once", "two  blanks <|x|>"]
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+        assert len(encoder.table) <= 60
+    assert asked.count(" batch") == asked.count("common") == asked.count("naïve") == 1
