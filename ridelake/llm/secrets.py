@@ -8,12 +8,12 @@ around it: character classes, embedded, one convolution, maximum and mean over
 positions, one logistic output. A long candidate is read whole, in overlapping stretches. Stretches above the
 threshold are added as ``learned``, those of one candidate that overlap as one.
 
-It is trained on labelled findings: those of the base patterns in a bounded sample of
-documents, generated keys of other shapes put into contexts of that sample, and, as negatives,
-those of the sample's other candidates that have a harmless shape and generated harmless ones; other
-candidates have no label and are left out. A part held back from training calibrates the output (Platt
-scaling) and sets the threshold: the highest that finds at least ``recall`` of the held-back
-secrets. ``precision`` is the share of secrets among the held-back examples it finds, ``recall`` the share of secrets it finds.
+It is trained on labelled findings of all documents: those of the base patterns, generated keys of other shapes put
+into every document, and, as negatives, the other candidates of a harmless shape and generated harmless
+ones; other candidates have no label and are left out. Tasks sum gradients over their examples and the driver takes the
+steps; every example that isn't held back is in as many steps as any other, one more or less. The part held back from
+training calibrates the output (Platt scaling) and sets the threshold, by exact counts of all its
+logits in steps of ``GRID``: the highest that finds at least ``recall`` of the held-back secrets. ``precision`` is the share of secrets among the held-back examples it finds, ``recall`` the share of secrets it finds.
 
 Defined results: a null text is an empty one and has no findings. Rows are independent. Offsets
 count code points. Long texts are read whole. The columns asked for pass through, whatever their names, but for
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.llm.common import ID, TEXT, schema_with, slices, texts_of
+from ridelake.llm.common import ID, TEXT, drop_stored, schema_with, slices, stored, texts_of
 
 ASSIGN = re.compile(
     r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -49,6 +50,10 @@ KINDS = ("assign", "access", "hex", "learned")
 #: Characters shown before a candidate, of its head, of its tail, and after it.
 BEFORE, HEAD, TAIL, AFTER = 20, 28, 12, 12
 WIDTH = BEFORE + HEAD + TAIL + AFTER
+#: Steps of logits as they are used, up to ``TOP`` on both sides.
+GRID, TOP = 256, 64
+#: Steps of training, the least number of examples for one, and the most parts that take turns in them.
+STEPS, LEAST, PARTS = 96, 512, 48
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -162,7 +167,14 @@ class Network:
         return np.concatenate(parts) if parts else np.empty(0)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.logits(x) + self.scale[1], -30, 30)))
+        return self._calibrated(self.rounded(x) / GRID)
+
+    def rounded(self, x: np.ndarray) -> np.ndarray:
+        """Logits in whole steps, so that those of a table can be counted."""
+        return np.round(np.clip(self.logits(x), -TOP, TOP) * GRID).astype(np.int64)
+
+    def _calibrated(self, s: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * s + self.scale[1], -30, 30)))
 
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         index, patches, z, a, pooled, out = self.forward(x)
@@ -173,48 +185,53 @@ class Network:
         da[rows, a.argmax(axis=1), cols] += d[:, None] * self.dense[:n]
         dz = da * (z > 0)
         dp = (dz @ self.filters.T).reshape(len(x), dz.shape[1], self.SPAN, -1)
-        de = np.zeros_like(self.embed)
+        each = np.zeros((*index.shape, self.embed.shape[1]))
         for j in range(self.SPAN):
-            np.add.at(de, index[:, j : j + dz.shape[1]], dp[:, :, j])
+            each[:, j : j + dz.shape[1]] += dp[:, :, j]
+        de = np.stack([np.bincount(index.ravel(), each[:, :, k].ravel(), len(self.embed)) for k in range(each.shape[2])], axis=1)
         flat = patches.reshape(-1, patches.shape[2])
         return [de, flat.T @ dz.reshape(-1, n), dz.sum(axis=(0, 1)), pooled.T @ d]
 
-    def train(self, x: np.ndarray, y: np.ndarray, seed: int, steps: int = 240, batch: int = 128, rate: float = 0.01):
-        """Adam on the logistic loss; both labels weigh the same."""
-        r, weight = np.random.default_rng(seed), np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    def train(self, gradient, steps: int = STEPS, rate: float = 0.02) -> None:
+        """Adam; ``gradient(step)`` gives the gradients of the parameters at this step's examples."""
         own = [self.embed, self.filters, self.bias, self.dense]
         first, second = [np.zeros_like(p) for p in own], [np.zeros_like(p) for p in own]
         for step in range(1, steps + 1):
-            pick = r.integers(0, len(x), batch)
-            for p, g, m, v in zip(own, self.gradients(x[pick], y[pick], weight[pick]), first, second, strict=True):
+            pace = rate * min(1.0, 2 * (1 - (step - 1) / steps))
+            for p, g, m, v in zip(own, gradient(step - 1), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                p -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        s = self.logits(x)
+        s, at = np.unique(self.rounded(x), return_inverse=True)
+        self.calibrate_counts(s, np.bincount(at, y > 0, len(s)), np.bincount(at, y <= 0, len(s)), recall)
+
+    def calibrate_counts(self, s: np.ndarray, pos: np.ndarray, neg: np.ndarray, recall: float) -> None:
+        """Slope, offset and threshold from the numbers of secrets and others at each logit, in ascending steps."""
+        s, n = s / GRID, pos + neg
         for _ in range(200):  # Platt scaling by Newton steps
-            p = 1 / (1 + np.exp(-np.clip(self.scale[0] * s + self.scale[1], -30, 30)))
-            w = p * (1 - p) + 1e-6
-            g = np.array([((p - y) * s).sum() + 1e-3 * self.scale[0], (p - y).sum()])
-            h = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum()]])
+            p = self._calibrated(s)
+            w, d = n * (p * (1 - p) + 1e-6), n * p - pos
+            g = np.array([(d * s).sum() + 1e-3 * self.scale[0], d.sum()])
+            h = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-9]])
             move = np.linalg.solve(h, g)
             self.scale = self.scale - np.clip(move, -1, 1)
             if np.abs(move).max() < 1e-6:
                 break
-        scores = self.probabilities(x)
-        found = np.sort(scores[y > 0])
-        allowed = int((1 - recall) * len(found))
-        self.threshold = float(found[allowed]) - 1e-9 if len(found) else 1.1
+        scores = self._calibrated(s)
+        order = np.argsort(scores, kind="stable")
+        found = np.cumsum(pos[order])
+        allowed = int((1 - recall) * pos.sum())
+        self.threshold = float(scores[order][np.searchsorted(found, allowed, side="right")]) - 1e-9 if pos.sum() else 1.1
         hit = scores >= self.threshold
-        self.precision = float(y[hit].mean()) if hit.any() else 0.0
-        self.recall = float(hit[y > 0].mean()) if len(found) else 0.0
+        self.precision = float(pos[hit].sum() / n[hit].sum()) if n[hit].sum() else 0.0
+        self.recall = float(pos[hit].sum() / pos.sum()) if pos.sum() else 0.0
 
 
-def generated(contexts: list[str], n: int, seed: int) -> list[tuple[str, int]]:
-    """Windows of made-up keys (1) and of made-up harmless tokens (0) in the given contexts."""
-    r = np.random.default_rng(seed)
-    pick = lambda chars, k: "".join(r.choice(list(chars), k))
+def makers(r: np.random.Generator) -> tuple[tuple, tuple]:
+    """Functions that make up keys, and those that make up harmless tokens."""
+    pick = lambda chars, k: "".join(chars[i] for i in r.integers(len(chars), size=k).tolist())
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     keys = (
         lambda: pick(lower + upper + digit, r.integers(20, 44)),
@@ -240,43 +257,140 @@ def generated(contexts: list[str], n: int, seed: int) -> list[tuple[str, int]]:
         lambda: "/".join(pick(lower, r.integers(3, 9)) for _ in range(3)) + "/" + pick(upper, 1) + pick(lower, 5) + pick(upper, 1) + pick(lower, 4) + "." + pick(lower, 2),
         lambda: pick(lower, r.integers(3, 8)) + pick(digit, 2) + pick(lower, 2) + "-" + pick(lower, r.integers(3, 8)),
     )
+    return keys, plain
+
+
+def planted(r: np.random.Generator, text: str, token: str) -> list[str]:
+    """Windows of ``token`` put into a place of ``text``."""
+    cut = int(r.integers(len(text) + 1))
+    before, after = text[max(0, cut - BEFORE) : cut] + " ", " " + text[cut : cut + AFTER]
+    whole, a = before + token + after, len(before)
+    return [window(whole, i, j) for i, j in stretches(a, a + len(token))]
+
+
+def generated(contexts: list[str], n: int, seed: int) -> list[tuple[str, int]]:
+    """Windows of made-up keys (1) and of made-up harmless tokens (0) in the given contexts."""
+    r = np.random.default_rng(seed)
+    keys, plain = makers(r)
     out = []
     for i in range(n):
-        for label, makers in ((1, keys), (0, plain)):
-            token = makers[i % len(makers)]()
+        for label, made in ((1, keys), (0, plain)):
+            token = made[i % len(made)]()
             text = contexts[int(r.integers(len(contexts)))] if contexts else ""
-            cut = int(r.integers(len(text) + 1))
-            before, after = text[:cut] + " ", " " + text[cut:]
-            whole, a = before + token + after, len(before)
-            out += [(window(whole, i, j), label) for i, j in stretches(a, a + len(token))]
+            out += [(w, label) for w in planted(r, text, token)]
     return out
 
 
-def sample(docs: DataFrame, rows: int, chars: int) -> list[str]:
-    """Texts of the ``rows`` documents of least identifier hash, of at most ``chars`` code points."""
-    known = docs.where(F.col(ID).isNotNull() & (F.length(TEXT) <= chars)).select(F.xxhash64(ID).alias("h"), TEXT)
-    least = [r.h for r in known.select("h").orderBy("h").limit(rows).collect()]
-    found = known.where(F.col("h").isin(least)).groupBy("h").agg(F.min(TEXT).alias(TEXT))
-    return [r.text for r in sorted(found.collect())] if least else []
-
-
-def fit(docs: DataFrame, rows: int = 3000, chars: int = 20_000, made: int = 800, recall: float = 0.97, seed: int = 7) -> Network:
-    """Train on a sample of at most ``rows`` documents and twice ``made`` generated examples."""
-    texts = sample(docs, rows, chars)
-    examples: list[tuple[str, int]] = []
-    for text in texts:
-        spans = base_spans(text)
-        for a, b, kind in spans:
-            value = ASSIGN.match(text, a).start(2) if kind == "assign" else a
-            examples.append((window(text, value, b), 1))
-        examples += [(window(text, a, b), 0) for a, b in runs(text, spans) if b - a <= HEAD + TAIL and DIGIT.search(text, a, b) and HARMLESS.fullmatch(text, a, b)]
-    examples += generated([t[:400] for t in texts[:500]], made, seed)
-    x, y = encoded([w for w, _ in examples]), np.array([float(v) for _, v in examples])
-    # a window is trained on or held back by its own hash, so equal windows fall on one side
-    back = np.array([hashlib.blake2b(w.encode()).digest()[0] % 4 == 0 for w, _ in examples])
+def labelled(text: str, made: int, seed: int) -> list[tuple[str, int]]:
+    """Windows of a text with their labels: its base findings, its other harmless runs, and ``made`` made-up tokens put into it."""
+    out, spans = [], base_spans(text)
+    for a, b, kind in spans:
+        out.append((window(text, ASSIGN.match(text, a).start(2) if kind == "assign" else a, b), 1))
+    out += [(window(text, a, b), 0) for a, b in runs(text, spans) if b - a <= HEAD + TAIL and DIGIT.search(text, a, b) and HARMLESS.fullmatch(text, a, b)]
+    r = np.random.default_rng([seed, zlib.crc32(text.encode())])
+    kinds = makers(r)
+    for label in r.integers(2, size=made).tolist():
+        some = kinds[1 - label]
+        out += [(w, label) for w in planted(r, text, some[int(r.integers(len(some)))]())]
+    return out
+
+
+def examples(docs: DataFrame, made: int, seed: int) -> DataFrame:
+    """(x, y, back, place): the encoded windows of all documents, their labels, whether they are held back, and a hash below 2^32.
+
+    A window is trained on or held back by its own hash, so equal windows fall on one side.
+    """
+
+    def run(batches):
+        for batch in slices(batches, 1 << 20):
+            for at in range(0, batch.num_rows, 500):
+                found = [e for text in texts_of(batch.slice(at, 500)) for e in labelled(text, made, seed)]
+                if not found:
+                    continue
+                hashes = [hashlib.blake2b(w.encode(), digest_size=8).digest() for w, _ in found]
+                x = encoded([w for w, _ in found]).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x[i : i + WIDTH] for i in range(0, len(x), WIDTH)], pa.binary()),
+                        pa.array([y for _, y in found], pa.int64()),
+                        pa.array([h[0] % 4 == 0 for h in hashes], pa.bool_()),
+                        pa.array([int.from_bytes(h[1:5], "little") for h in hashes], pa.int64()),
+                    ],
+                    names=["x", "y", "back", "place"],
+                )
+
+    return docs.select(TEXT).mapInArrow(run, "x binary, y long, back boolean, place long")
+
+
+def _windows(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+
+def _gradient(part: DataFrame, network: Network, weight: tuple[float, float]) -> list[np.ndarray]:
+    """Mean gradients over the rows of ``part``, rounded, so that the order of the sums doesn't show; only sums reach the driver."""
+
+    def run(batches):
+        total, n = 0.0, 0
+        for batch in batches:
+            x, y = _windows(batch), batch.column("y").to_numpy().astype(float)
+            for at in range(0, len(x), 512):
+                some, label = x[at : at + 512], y[at : at + 512]
+                parts = network.gradients(some, label, np.where(label > 0, weight[1], weight[0]))
+                total, n = total + len(some) * np.concatenate([g.ravel() for g in parts]), n + len(some)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([n], pa.int64())], names=["sums", "n"])
+
+    rows = part.select("x", "y").mapInArrow(run, "sums binary, n long").collect()
+    own = [network.embed, network.filters, network.bias, network.dense]
+    if not rows:
+        return [np.zeros_like(p) for p in own]
+    mean = np.sum([np.frombuffer(r.sums) for r in rows], axis=0) / sum(r.n for r in rows)
+    mean = np.round(mean * (1 << 24)) / (1 << 24)
+    cuts = np.cumsum([p.size for p in own])[:-1]
+    return [g.reshape(p.shape) for g, p in zip(np.split(mean, cuts), own, strict=True)]
+
+
+def _logits(back: DataFrame, network: Network) -> DataFrame:
+    """(s, y, count): how many examples have each rounded logit and label."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(network.rounded(_windows(batch))), batch.column("y")], names=["s", "y"])
+
+    return back.select("x", "y").mapInArrow(run, "s long, y long").groupBy("s", "y").count()
+
+
+def fit(docs: DataFrame, rows: int | None = None, made: int = 800, recall: float = 0.97, seed: int = 7) -> Network:
+    """Train on all documents, each with a made-up token at least and all together with twice ``made`` or more.
+
+    ``rows``: for trials, the number of documents of least text hash to train on; all of them by default.
+    """
+    if rows is not None:
+        docs = docs.orderBy(F.xxhash64(TEXT), TEXT).limit(rows)
+    each = max(1, -(-2 * made // max(1, docs.count())))
+    known = stored(examples(docs, each, seed).sortWithinPartitions("back", "place"))
+    sizes = {(r.back, r.y): r["count"] for r in known.groupBy("back", "y").count().collect()}
+    neg, pos = (sizes.get((False, y), 0) for y in (0, 1))
+    weight = tuple(0.5 * (neg + pos) / max(1, n) for n in (neg, pos))  # both labels weigh the same
+    turns = min(PARTS, max(1, (neg + pos) // LEAST))
+    place = F.col("place")
+
+    def gradient(step: int) -> list[np.ndarray]:
+        at = step % turns
+        low, high = (at << 32) // turns, ((at + 1) << 32) // turns
+        return _gradient(known.where(~F.col("back") & (place >= low) & (place < high)), network, weight)
+
     network = Network.new(seed)
-    network.train(x[~back], y[~back], seed)
-    network.calibrate(x[back], y[back], recall)
+    if neg + pos:
+        network.train(gradient)
+    counts: dict[int, list[int]] = {}
+    for r in _logits(known.where("back"), network).collect():
+        counts.setdefault(r.s, [0, 0])[r.y] += r["count"]
+    s = sorted(counts)
+    table = np.array([counts[x] for x in s], float).reshape(-1, 2)
+    network.calibrate_counts(np.array(s, np.int64), table[:, 1], table[:, 0], recall)
+    drop_stored(known)
     return network
 
 

@@ -347,3 +347,32 @@ def test_a_full_table_keeps_what_is_met_again():
         assert [x.tolist() for x in encoder.encode(texts)] == want
         assert len(encoder.table) <= 60
     assert asked.count(" batch") == asked.count("common") == asked.count("naïve") == 1
+
+
+def test_secrets_are_learned_from_every_document(spark):
+    """Every labelled run of every text, long ones too, is an example; sums of tasks are those of one table; counts give the threshold."""
+    texts = [f"word{i} token={'ab%05d' % i} then notes-2024-report/{i}" for i in range(3500)] + ["so long " * 5000 + "secret=abcdefgh1"]
+    df = corpus(spark, texts)
+    rows = secrets.examples(df, 1, 7).collect()
+    want = sorted(w for t in texts for w in [(secrets.encoded([x])[0].tobytes(), y) for x, y in secrets.labelled(t, 1, 7)])
+    assert sorted((bytes(r.x), r.y) for r in rows) == want
+    assert len(want) >= 3 * 3500 + 1 and any(b - a == len("secret=abcdefgh1") for a, b, _ in secrets.base_spans(texts[-1]))
+    part = [r for r in rows if not r.back][:700]
+    x, y = np.array([list(r.x) for r in part], np.uint8), np.array([float(r.y) for r in part])
+    network = secrets.Network.new(3)
+    table = spark.createDataFrame([(r.x, r.y) for r in part], "x binary, y long").repartition(5)
+    got = secrets._gradient(table, network, (0.4, 1.7))
+    for g, h in zip(got, network.gradients(x, y, np.where(y > 0, 1.7, 0.4)), strict=True):
+        assert np.abs(g - h).max() < 1e-6
+    train = secrets.Network.train
+    try:
+        secrets.Network.train = lambda self, gradient: train(self, gradient, steps=2)
+        fitted = secrets.fit(df)
+    finally:
+        secrets.Network.train = train
+    back = [r for r in rows if r.back]
+    x, y = np.array([list(r.x) for r in back], np.uint8), np.array([r.y for r in back])
+    p = fitted.probabilities(x)
+    allowed = int(0.03 * (y > 0).sum())
+    assert abs(fitted.threshold - np.sort(p[y > 0])[allowed]) < 1e-8
+    assert fitted.recall == (p[y > 0] >= fitted.threshold).mean() and abs(fitted.precision - y[p >= fitted.threshold].mean()) < 1e-12
