@@ -48,7 +48,8 @@ PERCENT = 75
 #: Odd constants of the hashes.
 BASE, STEP, SALT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 MASK = (1 << 64) - 1
-PART = 1 << 20
+#: Bytes of text that are hashed at a time: a worker holds about fifty times as many for it.
+PART = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -172,7 +173,7 @@ def frequent(docs: DataFrame, below: int, sample_docs: int, often: int, most: in
 
     def run(batches):
         shingler = Shingler()
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             for h in shingler.shingles(batch.column(TEXT).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(h[h <= np.uint64(below)]))], names=["h"])
 
@@ -186,7 +187,7 @@ def _sent(docs: DataFrame, below: int, hot) -> DataFrame:
 
     def run(batches):
         shingler, seen = Shingler(), set()
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             hs, fs = [], []
             for h in shingler.shingles(batch.column(TEXT).to_pylist()):
                 f = _short(_name(h))
@@ -246,7 +247,7 @@ def _named(docs: DataFrame, below: int, hot) -> DataFrame:
 
     def run(batches):
         shingler = Shingler()
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             fp, f, n, least = [], [], [], []
             for h in shingler.shingles(pa.compute.struct_field(batch.column("doc"), [at]).to_pylist()):
                 fp.append(_name(h))
@@ -268,7 +269,7 @@ def _each(active: DataFrame) -> DataFrame:
 
     def run(batches):
         shingler = Shingler()
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             sets = list(shingler.shingles(batch.column(TEXT).to_pylist()))
             h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in sets])
@@ -285,7 +286,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         shingler, last, x = Shingler(), None, None
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             a, good = batch.column("a").to_pylist(), []
             for name, ta, y in zip(
                 a, batch.column("ta"), shingler.shingles(batch.column("tb").to_pylist()), strict=True

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +290,18 @@ def test_url_small_and_deep_branches(spark):
 @pytest.mark.parametrize("depth", [1, 4])
 def test_url_sql_is_made_for_any_depth(depth):
     assert f"lev{depth} AS" in urls.sql(depth=depth)
+
+
+def test_hashing_takes_bounded_memory(monkeypatch):
+    """Peak of hashing many texts, some longer than a part; sets don't depend on the size of a part."""
+    texts = [f"word{i} " * (i % 900) + f"Other words {i} of\tthe text" for i in range(1500)] + ["long text of words " * 40_000, "", None]
+    tracemalloc.start()
+    try:
+        got = [h.copy() for h in jaccard.Shingler().shingles(texts)]
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak - kept < 40 << 20
+    monkeypatch.setattr(jaccard, "PART", 1 << 22)
+    want = list(jaccard.Shingler().shingles(texts))
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
