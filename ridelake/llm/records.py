@@ -33,6 +33,7 @@ are not written, whatever their names. An empty table makes no record.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -41,6 +42,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +55,18 @@ HEAD, BODY = struct.Struct("<QI"), struct.Struct("<Bq")
 WIDE, NO_ID = 1, 2
 #: A blank next to other white space: there a chunk may not end.
 UNSAFE, SAFE = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
-#: Latin letters; texts of these, digits, ASCII marks and single blanks or line feeds between them, and the words that
-#: the tokenizer's pattern finds there.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-PLAIN = re.compile(f"(?:[!-~{LETTERS}]++|[ \n](?=[!-~{LETTERS}]))*+")
-WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[ ]?[{LETTERS}]+|[ ]?[0-9]+|[ ]?[^ \n0-9{LETTERS}]+|\n")
+#: Kinds of the UTF-8 bytes of plain texts: Latin letters up to U+024F, digits, other ASCII marks, and single blanks or line
+#: feeds between them. No plain text has a byte of kind OTHER.
+LETTER, DIGIT, MARK, BLANK, FEED, OTHER = range(6)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127] = MARK
+KIND[48:58] = DIGIT
+KIND[65:91] = KIND[97:123] = KIND[0x80:0xC0] = KIND[0xC3:0xCA] = LETTER
+KIND[32], KIND[10] = BLANK, FEED
+#: Bytes of text that are encoded at a time; the more, the fewer words are looked up.
+SLICE = 4 << 20
+#: Words whose ids are put together at a time.
+BLOCK = 1 << 18
 
 
 def masked(data: bytes) -> int:
@@ -92,15 +101,43 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, from 0 on, and bytes of strings without nulls."""
+    if not len(texts):
+        return np.zeros(1, np.int32), np.empty(0, np.uint8)
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return ends - ends[0], np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of the tokenizer's pattern in plain texts, and how many each text has: a contraction; letters, digits or marks
+    with a blank before them or none; a line feed."""
+    ends, data = bytes_of(texts)
+    kind, n = KIND[data], len(data)
+    starts, first = np.ones(n + 1, bool), np.zeros(n + 3, bool)
+    starts[1:n] = (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK)
+    first[ends] = True
+    starts[ends] = True
+    quote = np.flatnonzero((data == ord("'")) & starts[:n])
+    one, two = data.take(quote + 1, mode="clip"), data.take(quote + 2, mode="clip")
+    short = ~first[quote + 1] & np.isin(one, list(b"stmd"))
+    long = ~first[quote + 1] & ~first[quote + 2] & np.isin(one.astype(np.int64) * 256 + two, [a * 256 + b for a, b in (b"re", b"ve", b"ll")])
+    starts[quote[short | long] + 1] = False
+    starts[np.append(quote[short] + 2, quote[long] + 3)] = True
+    at = np.flatnonzero(starts).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+    return words, np.diff(np.searchsorted(at, ends))
+
+
 class Encoder:
     """Ids of whole texts, by a table of distinct chunks."""
 
     def __init__(self, path: str, table_rows: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import Split
 
-        self.tokenizer, self.rows, self.table, self.again = Tokenizer.from_file(path), table_rows, {}, set()
+        self.tokenizer, self.rows, self.table = Tokenizer.from_file(path), table_rows, pa.array([], pa.string())
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", ())
@@ -111,14 +148,10 @@ class Encoder:
             and pre.get("use_regex", True)
             and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in added)
         )
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
-        self.letters, self.words = _byte_letters(), Tokenizer(self.tokenizer.model)
-        self.words.pre_tokenizer = Split(self.letters[10], "isolated")
-        self.feed = self.tokenizer.token_to_id(self.letters[10])
-        self.by_chunk = self.by_chunk and self.feed is not None
-        if self.by_chunk:
-            self.feed_id = np.array([self.feed], np.uint32).tobytes()
-            self.table["\n"] = self.feed_id
+        self.added = [t["content"] for t in added]
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+        #: Strings of the table have the numbers of their rows: ids of all, where those of each begin and end, batches that met each again.
+        self.coded, self.ends, self.met = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int64)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -129,48 +162,95 @@ class Encoder:
         first, *rest = SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def unknown(self, words: set[str], chunks: set[str]) -> tuple[list[str], list[str]]:
-        """The words and chunks that the table lacks, after room is made for them. Most words are met once only, so a full table
-        keeps those met again, unless they fill half of it."""
-        new = words.difference(self.table), chunks.difference(self.table)
-        self.again.update(words.difference(new[0]), chunks.difference(new[1]))
-        if len(self.table) + len(new[0]) + len(new[1]) > self.rows:
-            self.table = {x: self.table[x] for x in self.again} if 2 * len(self.again) <= self.rows else {}
-            self.again.clear()
-            self.table["\n"] = self.feed_id
-            new = words.difference(self.table), chunks.difference(self.table)
-        return list(new[0]), list(new[1])
+    def keep(self, new: list[str], ids: list[list[int]]) -> None:
+        """Put strings that the table lacks into it, with the ids of each."""
+        self.table = pa.concat_arrays([self.table, pa.array(new, pa.string())])
+        self.coded = np.append(self.coded, np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64))
+        self.met = np.append(self.met, np.zeros(len(new), np.int64))
+
+    def make_room(self) -> None:
+        """Most words are met once only: keep those met again, the most met first, in half of the table."""
+        order = np.argsort(-self.met, kind="stable")[: self.rows // 2]
+        kept = np.sort(order[self.met[order] > 0])
+        self.coded, sizes = self.gather(kept)
+        self.table, self.ends, self.met = self.table.take(pa.array(kept)), np.append(0, np.cumsum(sizes)), self.met[kept] // 2
 
     def learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            self.table.update(zip(part, (np.array(x, np.uint32).tobytes() for x in self.ids(part)), strict=True))
+            self.keep(part := new[at : at + 5000], self.ids(part))
 
     def learn_words(self, new: list[str]) -> None:
-        """Encode words that are one word of the pattern each: many at a time, parted by line feeds, whose id parts the ids."""
+        """Encode words that are one word of the pattern each: the library's model alone does that."""
+        run, letters = self.model.tokenize, self.letters
         for at in range(0, len(new), 20_000):
-            part = [new[i : i + 400] for i in range(at, min(at + 20_000, len(new)), 400)]
-            joined = ["\n".join(x).encode().decode("latin-1").translate(self.letters) for x in part]
-            for group, coded in zip(part, self.words.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                ids = np.array(coded.ids, np.uint32)
-                ends = np.flatnonzero(ids == self.feed)
-                data, a = ids.tobytes(), 0
-                for word, b in zip(group, [*ends.tolist(), len(ids)], strict=True):
-                    self.table[word] = data[4 * a : 4 * b]
-                    a = b + 1
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+            part = new[at : at + 20_000]
+            self.keep(part, [[t.id for t in run(x.encode().decode("latin-1").translate(letters))] for x in part])
+
+    def numbers(self, strings: pa.Array) -> np.ndarray:
+        return pc.index_in(strings, value_set=self.table).fill_null(-1).to_numpy().astype(np.int64)
+
+    def learned(self, words: pa.Array, chunks: pa.Array) -> np.ndarray:
+        """The numbers of distinct words and distinct chunks, after those that the table lacks are encoded."""
+        found, n = self.numbers(both := pa.concat_arrays([words, chunks])), len(words)
+        self.met[found[found >= 0]] += 1
+        if len(self.table) + np.count_nonzero(found < 0) > self.rows:
+            self.make_room()
+            found = self.numbers(both)
+        lacks = found < 0
+        new, old = both.filter(pa.array(lacks)).to_numpy(zero_copy_only=False).tolist(), len(self.table)
+        new, more = new[: (k := np.count_nonzero(lacks[:n]))], new[k:]
+        self.learn_words(new)
+        found[:n][lacks[:n]] = np.arange(old, old + k)
+        if more:
+            self.learn(list(set(more).difference(new)))
+            found[n:] = self.numbers(chunks)
+        return found
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings one after the other, and how many each has."""
+        sizes = np.diff(self.ends)[numbers]
+        made = [self.coded[:0]]
+        for at in range(0, len(numbers), BLOCK):
+            n = sizes[at : at + BLOCK]
+            ends = np.cumsum(n)
+            made.append(self.coded[np.repeat(self.ends[numbers[at : at + BLOCK]] - ends + n, n) + np.arange(ends[-1])])
+        return np.concatenate(made), sizes
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Which texts have plain characters only and none of the tokenizer's added tokens."""
+        ends, data = bytes_of(texts)
+        kind = KIND[data]
+        bad, blank = kind == OTHER, (kind == BLANK) | (kind == FEED)
+        bad[:-1] |= blank[:-1] & blank[1:]
+        last = ends[1:][np.diff(ends) > 0] - 1
+        bad[last] |= blank[last]
+        lead = np.flatnonzero(data >= 0xC3)
+        first, second = data[lead], data.take(lead + 1, mode="clip")
+        # the signs of multiplication and division; what comes after U+024F
+        bad[lead] |= (first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC9) & (second > 0x8F)
+        found = np.ones(len(texts), bool)
+        found[np.searchsorted(ends, np.flatnonzero(bad), side="right") - 1] = False
+        for token in self.added:
+            found &= ~pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return found
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text; none is null. Each distinct word of them is looked up once, the rest is done on arrays."""
         if not self.by_chunk:
-            return [np.array(x, np.uint32) for x in self.ids(texts)]
-        plain = [PLAIN.fullmatch(t) is not None and not self.added.search(t) for t in texts]
-        cut = [WORDS.findall(t) if p else self.chunks(t) for t, p in zip(texts, plain, strict=True)]
-        words = set().union(*(x for x, p in zip(cut, plain, strict=True) if p))
-        chunks = set().union(*(x for x, p in zip(cut, plain, strict=True) if not p))
-        words, chunks = self.unknown(words, chunks)
-        self.learn_words(words)
-        self.learn(chunks)
-        get = self.table.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), np.uint32) for x in cut]
+            return [np.array(x, np.uint32) for x in self.ids(texts if isinstance(texts, list) else texts.to_pylist())]
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        plain = self.plain(texts)
+        words, counts = plain_words(texts.filter(pa.array(plain)))
+        words = words.dictionary_encode()
+        rest = [self.chunks(x) for x in texts.filter(pa.array(~plain)).to_pylist()]
+        chunks = pa.array([x for y in rest for x in y], pa.string()).dictionary_encode()
+        known = self.learned(words.dictionary, chunks.dictionary)
+        ids, sizes = self.gather(known[np.append(words.indices.to_numpy(), chunks.indices.to_numpy() + len(words.dictionary))])
+        upto = np.append(0, np.cumsum(sizes))[np.cumsum([0, *counts, *map(len, rest)])].tolist()
+        order = np.append(np.flatnonzero(plain), np.flatnonzero(~plain)).tolist()
+        coded = {i: ids[a:b] for i, (a, b) in zip(order, itertools.pairwise(upto), strict=True)}
+        return [coded[i] for i in range(len(texts))]
 
 
 @functools.lru_cache(1)
@@ -190,8 +270,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, file
     def run(batches):
         encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches, 1 << 20):
-            coded = encoder.encode([x or "" for x in batch.column(TEXT).to_pylist()])
+        for batch in slices(batches, SLICE):
+            coded = encoder.encode(batch.column(TEXT).fill_null(""))
             made = [frame(doc, np.append(x, end), encoder.wide) for doc, x in zip(batch.column(ID).to_pylist(), coded, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 

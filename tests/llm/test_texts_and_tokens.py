@@ -6,10 +6,12 @@ import hashlib
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from binascii import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ridelake.llm import language, licences, merkle, pieces, queries, records, secrets
@@ -349,6 +351,39 @@ def test_a_full_table_keeps_what_is_met_again():
     assert asked.count(" batch") == asked.count("common") == asked.count("naïve") == 1
 
 
+def test_plain_words_are_those_of_the_pattern():
+    """Cut on bytes, words are those of the pattern; texts that are not plain are told from those that are; ids are the library's."""
+    letters, r = "A-Za-zÀ-ÖØ-öø-ɏ", random.Random(11)
+    plain = re.compile(f"(?:[!-~{letters}]++|[ \n](?=[!-~{letters}]))*+")
+    words = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[ ]?[{letters}]+|[ ]?[0-9]+|[ ]?[^ \n0-9{letters}]+|\n")
+    mild, wild = "aZésɏstremdvl.,-12  \n" + 4 * "'", "aé×÷ɐ¿日\t\x00\x7f \n'"
+    texts = ["", *("".join(r.choice(mild) for _ in range(r.randrange(25))) for _ in range(4000))]
+    texts += ["".join(r.choice(mild + wild * (i % 2)) for _ in range(r.randrange(8))) for i in range(3000)]
+    texts += ["ends in '", "s begins", "'r", "e", "it's", "'s's've'll''d'S", "x'", "", "re", "a<|endoftext|>b", "a<|endoftext|", "|>b"]
+    encoder = records.Encoder(queries.tokenizer("byte_bpe_50k.json"), table_rows=3000)
+    for part in (pa.array(texts), pa.array(texts).slice(7, 5000), pa.array(texts[:0], pa.string())):
+        asked = part.to_pylist()
+        found = encoder.plain(part)
+        assert found.tolist() == [plain.fullmatch(t) is not None and "<|endoftext|>" not in t for t in asked]
+        cut, counts = records.plain_words(part.filter(pa.array(found)))
+        want = [words.findall(t) for t, p in zip(asked, found, strict=True) if p]
+        assert cut.to_pylist() == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
+        ids = [e.ids for e in encoder.tokenizer.encode_batch(asked, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(part)] == ids == [x.tolist() for x in encoder.encode(asked)]
+
+
+def test_words_of_a_text_are_no_python_objects():
+    """A text of a million short words is encoded in less memory than a string and a place in a list for each word would take."""
+    encoder = records.Encoder(queries.tokenizer("byte_bpe_50k.json"))
+    text = "a b c d " * 250_000 + "e"
+    encoder.encode([text[:20]])
+    tracemalloc.start()
+    (ids,) = encoder.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == 1_000_001 and peak < 58 * len(ids)
+
+
 def test_secrets_are_learned_from_every_document(spark):
     """Every labelled run of every text, long ones too, is an example; sums of tasks are those of one table; counts give the threshold."""
     texts = [f"word{i} token={'ab%05d' % i} then notes-2024-report/{i}" for i in range(3500)] + ["so long " * 5000 + "secret=abcdefgh1"]
