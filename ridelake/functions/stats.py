@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelake.functions.exact import total
 from ridelake.operators.ordered import percentiles
 
 #: 97.5th percentile of Student's t for 1 to 30 degrees of freedom.
@@ -55,18 +56,25 @@ def nice_ceil(x: Column) -> Column:
     return F.when(x <= 0, 1.0).otherwise(F.coalesce(F.array_min(F.filter(steps, lambda s: s >= x)), 10 * base))
 
 
-def paired_differences(waits: DataFrame, base: str, pair: list[str]) -> DataFrame:
-    """Each other policy's mean wait minus that of ``base``, for every pair of runs where both have riders."""
-    means = waits.groupBy(*pair, "policy").agg(F.avg("wait_seconds").alias("mean_wait"))
+def paired_differences(waits: DataFrame, base: str, pair: list[str], decimals: int | None = None) -> DataFrame:
+    """Each other policy's mean wait minus that of ``base``, for every pair of runs where both have riders. Waits of at most ``decimals``
+    decimals are summed exactly."""
+    means = waits.groupBy(*pair, "policy").agg(mean("wait_seconds", decimals).alias("mean_wait"))
     own = means.where(F.col("policy") == base).select(*pair, F.col("mean_wait").alias("base_wait"))
     others = means.where(F.col("policy") != base).withColumnRenamed("mean_wait", "alt_wait")
     return others.join(own, pair).withColumn("diff", F.col("alt_wait") - F.col("base_wait"))
 
 
-def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, p50 and p95 by ``keys``; 0 where there is no value. Percentiles are exact and interpolate."""
+def mean(value: str, decimals: int | None = None) -> Column:
+    """The mean as an aggregate; values of at most ``decimals`` decimals are summed exactly."""
+    return F.when(F.count(value) > 0, total(value, decimals).cast("double") / F.count(value))
+
+
+def summary(df: DataFrame, keys: list[str], value: str, decimals: int | None = None) -> DataFrame:
+    """n, mean, p50 and p95 by ``keys``; 0 where there is no value. Percentiles are exact and interpolate. Values of at most
+    ``decimals`` decimals are summed exactly."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    also = {"n": (F.count(value), F.sum("n")), "total": (F.sum(value), F.sum("total"))}
+    also = {"n": (F.count(value), F.sum("n")), "total": (total(value, decimals), F.sum("total"))}
     found = percentiles(df, keys, value, {"p50": 0.5, "p95": 0.95}, also)
-    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
-    return found.select(*keys, "n", zero(mean).alias("mean"), zero(F.col("p50")).alias("p50"), zero(F.col("p95")).alias("p95"))
+    average = F.when(F.col("n") > 0, F.col("total").cast("double") / F.col("n"))
+    return found.select(*keys, "n", zero(average).alias("mean"), zero(F.col("p50")).alias("p50"), zero(F.col("p95")).alias("p95"))

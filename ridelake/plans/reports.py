@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ridelake import tables
 from ridelake.functions import histograms, rates, stats
-from ridelake.functions.exact import r3
+from ridelake.functions.exact import r3, total
 from ridelake.operators.ordered import FEW, percentiles, running_total
 from ridelake.storage import counted
 from ridelake.tables import with_tables
 
 R = "floor({} * 1000 + 0.5) / 1000"
 SQL: dict[str, str] = {}
+#: Times of trips are in seconds with as many decimals.
+MS = 3
 
 
 def r(x: str) -> str:
@@ -21,7 +23,7 @@ def r(x: str) -> str:
 
 
 def readme_wait_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = stats.summary(tables.trips(spark, sf_dir), ["policy"], "wait_time_s")
+    t = stats.summary(tables.trips(spark, sf_dir), ["policy"], "wait_time_s", MS)
     return t.select("policy", F.col("n").alias("trips"), r3("mean").alias("avg_wait_s"), r3("p50").alias("p50_wait_s"), r3("p95").alias("p95_wait_s"))
 
 
@@ -33,7 +35,7 @@ SQL["readme_wait_by_policy"] = with_tables(
 
 
 def wait_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = stats.summary(tables.trips(spark, sf_dir), ["scenario", "policy"], "wait_time_s")
+    t = stats.summary(tables.trips(spark, sf_dir), ["scenario", "policy"], "wait_time_s", MS)
     return t.select("scenario", "policy", "n", r3("mean").alias("mean_s"), r3("p50").alias("p50_s"), r3("p95").alias("p95_s"))
 
 
@@ -49,13 +51,14 @@ def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rides, run = tables.trips(spark, sf_dir), ["scenario", "policy", "seed"]
     also = {
         "n": (F.count("*"), F.sum("n")),
-        "waited": (F.sum("wait_time_s"), F.sum("waited")),
-        "rode": (F.sum("trip_duration_s"), F.sum("rode")),
+        "waited": (total("wait_time_s", MS), F.sum("waited")),
+        "rode": (total("trip_duration_s", MS), F.sum("rode")),
         "until": (F.max("dropoff_ts_unix_ms"), F.max("until")),
         "since": (F.min("request_ts_unix_ms"), F.min("since")),
     }
     t = percentiles(rides, run, "wait_time_s", {"p50": 0.5, "p95": 0.95}, also)
-    t = t.select("*", (F.col("waited") / F.col("n")).alias("avg_wait"), (F.col("rode") / F.col("n")).alias("avg_duration"), (F.col("until") - F.col("since")).alias("span"))
+    mean = lambda c: F.col(c).cast("double") / F.col("n")
+    t = t.select("*", mean("waited").alias("avg_wait"), mean("rode").alias("avg_duration"), (F.col("until") - F.col("since")).alias("span"))
     per_hour = F.when(F.col("span") > 0, F.col("n") / (F.col("span") / 3_600_000)).otherwise(0.0)
     return t.select(
         "scenario", "policy", "seed", "n", r3("avg_wait").alias("avg_wait_s"), r3("p50").alias("p50_wait_s"), r3("p95").alias("p95_wait_s"),
@@ -181,10 +184,10 @@ def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     also = {
         "requested": (F.count("*"), F.sum("requested")),
         "up": (F.sum(F.col("picked_up").cast("long")), F.sum("up")),
-        "total": (F.sum("wait_seconds"), F.sum("total")),
+        "total": (total("wait_seconds", MS), F.sum("total")),
     }
     t = percentiles(w, ["demand", "policy"], "wait_seconds", {"p50": 0.5, "p95": 0.95}, also)
-    t = t.select("*", F.col("up").alias("picked_up"), (F.col("total") / F.col("requested")).alias("mean"))
+    t = t.select("*", F.col("up").alias("picked_up"), (F.col("total").cast("double") / F.col("requested")).alias("mean"))
     share = F.when(F.col("requested") == 0, 0.0).otherwise(100 * F.col("picked_up") / F.col("requested"))
     return t.select(
         "demand", "policy", "requested", "picked_up", r3(share).alias("picked_up_percent"), r3("mean").alias("mean_s"),
@@ -239,7 +242,7 @@ _PAIRS = """m AS (SELECT demand, seed, policy, avg(wait_seconds) AS w FROM waits
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.paired_differences(tables.waits(spark, sf_dir), "greedy", ["demand", "seed"])
+    return stats.paired_differences(tables.waits(spark, sf_dir), "greedy", ["demand", "seed"], MS)
 
 
 def paired_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ridelake.functions import geo, histograms, market, rates, roads, stats
 from ridelake.operators import demand, ordered
+from ridelake.plans import reports
 
 
 def one(spark, *cols):
@@ -189,3 +191,25 @@ def test_rates_of_counters(spark):
 def test_summed_rates_never_fall(spark):
     df = spark.createDataFrame([("p", 1.0, 2.0), ("p", 5.0, 1.0), ("p", 5.0, 0.5), ("p", math.inf, 4.0)], "k string, le double, rate double")
     assert rows(rates.summed(df, ["k"])) == [("p", 1.0, 2.0), ("p", 5.0, 2.0), ("p", math.inf, 4.0)]
+
+
+def test_means_between_two_roundings_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    """Runs of 16 trips whose mean wait lies in the middle between two thousandths: means are those of exact sums."""
+    r, made = random.Random(5), []
+    wait = lambda c, k: (c * 31) % 60000 + 10000 + (k * 37) % 300000
+    for c in range(30):
+        for parity in (0, 1):
+            run = [(c + 30 * r.randrange(5000), 2 * r.randrange(100_000) + parity) for _ in range(15)]
+            last = c + 30 * r.randrange(5000)
+            run.append((last, next(k for k in itertools.count(2 * r.randrange(100_000) + parity, 2) if sum(wait(*x) for x in [*run, (last, k)]) % 16 == 8)))
+            made += run
+    spark.createDataFrame(made, "o_custkey long, o_orderkey long").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    sums = {}
+    for c, k in made:
+        at = (f"scn_{c % 3}", "greedy" if k % 2 == 0 else "batch", 1 + c % 10)
+        sums[at] = sums.get(at, 0) + wait(c, k)
+    want = {at: math.floor(x / 1000 / 16 * 1000 + 0.5) / 1000 for at, x in sums.items()}
+    got = reports.metrics_summary(spark, str(tmp_path))
+    assert {(x.scenario, x.policy, x.seed): x.avg_wait_s for x in got.collect()} == want
+    pairs = {(f"scn_{int(2 * x.demand - 2)}", x.seed): (x.base_wait_s, x.alt_wait_s) for x in reports.paired_diffs(spark, str(tmp_path)).collect()}
+    assert pairs == {(s, n): (want[s, "greedy", n], want[s, "batch", n]) for s, _, n in want}
