@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from ridelake.plans import streams
 from ridelake.streaming import live, log, topics
 
 
@@ -121,3 +123,15 @@ def test_surge_state_leaves(spark, tmp_path):
     assert ("stops", 20.0, 2.0) in got and ("stops", 1280.0, 1.0) in got and ("back", 10.0, 3.0) in got
     assert [x for x in got if x[0] == "back"][-1][2] == 1.0 and not [x for x in got if x[0] == "late"]
     assert states == 1  # the cell that has just ticked
+
+
+def test_matches_fall_into_the_minutes_of_the_sql(spark, tmp_path):
+    """Milliseconds are rounded, so a match in the last half millisecond belongs to the next minute; minutes are cut towards 1970."""
+    con = duckdb.connect()
+    parts = [1_704_067_379_999_499, 1_704_067_379_999_500, 1_704_067_380_000_000, -120_000_001, -60_000_500, -60_000_499, -59_999_500, -59_999_499, -1, 0, 59_999_999, 60_000_000]
+    rows = ", ".join(f"({i}, make_timestamp({us}), {i}, 'click')" for i, us in enumerate([*parts, *parts[:5]]))
+    con.sql(f"COPY (FROM (VALUES {rows}, (30, NULL, 3, 'click'), (31, make_timestamp(5), 3, 'view')) t(event_id, ts, user_id, event_type)) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(streams.SQL["match_rate"]).fetchall()
+    got = streams.match_rate(spark, str(tmp_path)).select("policy", "minute_ms", "matches").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
