@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelake.operators.floods import by_stretch, routes
 from ridelake.storage import counted, dropped, kept
 
 #: Nodes of a cell, and sources that share a task.
@@ -37,15 +38,6 @@ def by_identifier(node: Column) -> Column:
     return F.floor(node / CELL)
 
 
-def routes(edges: DataFrame, sources: DataFrame, weight: str = "base_weight_s", cell: Callable[[Column], Column] = by_identifier) -> DataFrame:
-    """(source, node, cost, via): least cost from every source (column source) to every node it reaches, and the last edge.
-
-    Of equal costs the smaller edge is taken. Edges of infinite weight are closed.
-    """
-    start = sources.select("source").distinct()
-    return _searched(_steps(edges, weight, cell), start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via")), None, cell)
-
-
 def landmarks(nodes: DataFrame, count: int = 8) -> list[int]:
     """Nodes at the rim: for each of ``count`` directions the farthest one, by lat and lon."""
     along = lambda k: F.col("lat") * cos(2 * pi * k / count) + F.col("lon") * sin(2 * pi * k / count)
@@ -53,7 +45,7 @@ def landmarks(nodes: DataFrame, count: int = 8) -> list[int]:
     return sorted({x for x in row if x is not None})
 
 
-def bounds(edges: DataFrame, marks: list[int], weight: str = "base_weight_s", cell: Callable[[Column], Column] = by_identifier) -> DataFrame:
+def bounds(edges: DataFrame, marks: list[int], weight: str = "base_weight_s", cell: Callable[[Column], Column] = by_stretch) -> DataFrame:
     """(node, ahead, back): the costs from each landmark to a node and from the node to each, infinite where there is no way."""
     # both directions in one search: the second copy of the graph is turned round and has odd identifiers
     a, b, half = F.col("from_node"), F.col("to_node"), lambda c: F.floor(F.col(c) / 2)
