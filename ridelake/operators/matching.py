@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ridelake.functions.geo import REGION_M, cell, plane, ring_offsets
 from ridelake.functions.market import match_cost
-from ridelake.operators import search
+from ridelake.operators import floods, search
 from ridelake.storage import counted, kept
 
 #: Cost of a pair that must not be matched.
@@ -89,12 +89,13 @@ def cost_matrix(
 
 
 def routed(
-    candidates: DataFrame, requests: DataFrame, drivers: DataFrame, edges: DataFrame, near: DataFrame, weight: str = "weight_s", within: float = 1.0
+    candidates: DataFrame, requests: DataFrame, drivers: DataFrame, edges: DataFrame, near: DataFrame | None = None, weight: str = "weight_s", within: float = 1.0
 ) -> DataFrame:
     """(request_id, driver_id, rank, cost): ``candidates`` with the seconds that a driver needs by road; those without a way are left out.
 
     ``requests`` have pickup_node, ``drivers`` node and, if they are on an edge, edge_id and the share of it that lies behind them (progress): it is
-    finished first. Each pair of nodes is searched once (``search.between``, ``near`` its bounds), however many candidates share it.
+    finished first. Each pair of nodes is searched once, however many candidates share it: with ``near``, the table of ``search.bounds``, towards its
+    goal (``search.between``), else in floods that the pairs of a pickup or of a driver's place share (``floods.costs``).
     """
     on = edges.select("edge_id", F.col("to_node").alias("ahead"), F.col(weight).alias("edge_s"))
     cars = drivers.join(on, "edge_id", "left").select(
@@ -102,7 +103,7 @@ def routed(
     )
     asked = candidates.select("request_id", "driver_id", "rank").join(cars, "driver_id")
     asked = kept(asked.join(requests.select("request_id", F.col("pickup_node").cast("long").alias("to_node")), "request_id"))
-    found, _ = search.between(edges, asked, near, weight, within)
+    found = floods.costs(edges, asked, weight) if near is None else search.between(edges, asked, near, weight, within)[0]
     cost = F.round(F.col("lead_s") + F.col("cost"), 6)  # sums in another order are the same cost
     return asked.join(found.where("cost IS NOT NULL").select("from_node", "to_node", "cost"), ["from_node", "to_node"]).select("request_id", "driver_id", "rank", cost.alias("cost"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridelake import tables
 from ridelake.functions.exact import r3
-from ridelake.operators import matching, search
+from ridelake.operators import matching
 from ridelake.plans import marketplace, roads
 from ridelake.plans.reports import r
 from ridelake.storage import kept
@@ -45,8 +45,7 @@ def _drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     requests, drivers = _requests(spark, sf_dir), kept(_drivers(spark, sf_dir))
     edges = kept(roads._effective(spark, sf_dir))
-    near = search.bounds(edges, search.landmarks(tables.street_nodes(spark, sf_dir)), "weight_s")
-    return requests, matching.routed(matching.nearest(requests, drivers), requests, drivers, edges, near)
+    return requests, matching.routed(matching.nearest(requests, drivers), requests, drivers, edges)
 
 
 def routed_costs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_search import frames, plain, street_grid
 
 from ridelake import storage
-from ridelake.operators import floods, roads, search
+from ridelake.operators import floods, matching, roads, search
 
 
 def test_few_tables_for_a_graph_that_a_task_can_hold(spark, monkeypatch):
@@ -52,3 +52,13 @@ def test_last_edges_lead_back(spark):
     best = plain(edges, 0)
     smallest = {b: min((i - 300 for i, x, y, w in edges if y == b and x in best and best[x] + w == best[b]), default=None) for b in best}
     assert {x.node: (x.cost, x.via) for x in found} == {b: (c, smallest[b] if b else None) for b, c in best.items()}
+
+
+def test_routed_without_bounds(spark):
+    """The same costs as towards the goal."""
+    e = spark.createDataFrame([(0, 1, 2, 900.0), (1, 2, 0, 900.0), (2, 3, 0, 40.0), (3, 4, 3, 20.0), (4, 0, 5, 10.0)], "edge_id long, from_node long, to_node long, weight_s double")
+    requests = spark.createDataFrame([(100, 0), (101, 0)], "request_id long, pickup_node long")
+    drivers = spark.createDataFrame([(1, 1, None, None), (2, 3, None, None), (3, 4, 3, 0.75), (4, 5, None, None)], "driver_id long, node long, edge_id long, progress double")
+    asked = spark.createDataFrame([(r, d, d) for r in (100, 101) for d in (1, 2, 3, 4)], "request_id long, driver_id long, rank int")
+    near = search.bounds(e, [0, 1], "weight_s")
+    assert rows(matching.routed(asked, requests, drivers, e)) == rows(matching.routed(asked, requests, drivers, e, near))
