@@ -81,14 +81,14 @@ def continuations(edges: DataFrame) -> DataFrame:
     An edge carries on where, turning back aside, a single edge leaves its end and no other comes in there.
     """
     e = edges.select("edge_id", "from_node", "to_node")
-    out = e.groupBy("from_node").agg(F.count("*").alias("n_out"), F.collect_list(F.struct("edge_id", "to_node")).alias("outs"))
-    into = e.groupBy("to_node").agg(F.collect_list(F.struct("edge_id", "from_node")).alias("ins"))
-    met = e.join(out.withColumnRenamed("from_node", "at"), F.col("to_node") == F.col("at"), "left").drop("at")
-    met = met.join(into.withColumnRenamed("to_node", "at"), F.col("to_node") == F.col("at"), "left").drop("at")
-    onward = F.filter("outs", lambda f: f.to_node != F.col("from_node"))
-    met = met.withColumn("onward", onward).withColumn("f", F.try_element_at("onward", F.lit(1)))
-    merging = F.filter("ins", lambda g: (g.edge_id != F.col("edge_id")) & (g.from_node != F.col("f.to_node")))
-    return met.select("edge_id", F.when((F.size("onward") == 1) & (F.size(merging) == 0), F.col("f.edge_id")).alias("next"))
+    # all that an edge must know meets at its end, so nothing is joined: what Spark might take for small and broadcast
+    side = lambda at, far, out: F.struct(F.col(at).alias("at"), F.col("edge_id"), F.col(far).alias("far"), F.lit(out).alias("out"))
+    both = e.select(F.inline(F.array(side("to_node", "from_node", False), side("from_node", "to_node", True))))
+    of = lambda out: F.collect_list(F.when(F.col("out") == out, F.struct("edge_id", "far")))
+    met = both.groupBy("at").agg(of(False).alias("ins"), of(True).alias("outs")).select("at", "ins", "outs", F.inline("ins"))
+    met = met.withColumn("onward", F.filter("outs", lambda f: f.far != F.col("far"))).withColumn("f", F.try_element_at("onward", F.lit(1)))
+    merging = F.filter("ins", lambda g: (g.edge_id != F.col("edge_id")) & (g.far != F.col("f.far")))
+    return met.select("edge_id", F.when(F.col("at").isNotNull() & (F.size("onward") == 1) & (F.size(merging) == 0), F.col("f.edge_id")).alias("next"))
 
 
 def links(edges: DataFrame) -> DataFrame:

@@ -334,3 +334,14 @@ def test_ends_are_drawn_once_more_where_they_meet(spark):
     draws = spark.createDataFrame([(1, 0.1, 0.2, 0.9), (2, 0.1, 0.9, 0.1), (3, 0.9, 0.8, 0.7), (1, 0.1, 0.2, 0.9)], "k long, u_pickup double, u_dropoff double, u_again double")
     got = rows(demand.with_ends(draws, cum, cum).select("k", "pickup_node", "dropoff_node"))
     assert got == [(1, 10, 20), (1, 10, 20), (2, 10, 20), (3, 20, 20)]
+
+
+def test_continuations_join_nothing(spark):
+    """Edges made from a small table look small to Spark, whatever they grow to, and would be gathered on the driver to be broadcast."""
+    i = F.col("id")
+    made = spark.range(40).select(F.explode(F.sequence(F.lit(0), F.lit(1))).alias("back"), i)
+    e = made.select((i * 2 + F.col("back")).alias("edge_id"), (i + F.col("back")).alias("from_node"), (i + 1 - F.col("back")).alias("to_node"))
+    found = roads.continuations(e)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    # a two-way street of 40 parts: each goes on in its own direction, and ends at the border
+    assert rows(found) == sorted([(2 * k, 2 * k + 2 if k < 39 else None) for k in range(40)] + [(2 * k + 1, 2 * k - 1 if k else None) for k in range(40)], key=repr)
