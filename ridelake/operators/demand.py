@@ -70,21 +70,33 @@ def cumulative(weights: DataFrame) -> DataFrame:
     return running_total(weights, "node_id", "weight", "cum")
 
 
-def sample_nodes(draws: DataFrame, cum: DataFrame, bins: int = 256) -> DataFrame:
-    """(draw columns, node_id): for each draw ``u`` in [0, 1) the first node whose cumulative weight reaches
-    ``u`` of the total.
+#: Bins of cumulative weights at most: a node with nearly all weight is listed in each, from an array of so many numbers.
+MOST_BINS = 1 << 22
+
+
+def binned(draws: DataFrame, cum: DataFrame, bins: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Draws (with __r, their place in the cumulative weights) and nodes (node_id, low, cum) by bins of equal weight; a node is listed in
+    each bin that it spans. None without any weight.
 
-    Both sides are cut into ``bins`` of equal weight, and a node that spans several is listed in each, so the
-    range condition is checked within an equi-join on the bin.
+    There are as many bins as nodes unless it is said otherwise, up to ``MOST_BINS``, so a draw meets about two nodes, however many there are.
     """
-    total = cum.agg(F.max("cum")).first()[0] or 0.0
-    if total <= 0:
-        return draws.withColumn("node_id", F.lit(None).cast("long"))
+    total, n = cum.agg(F.max("cum"), F.count("*")).first()
+    if (total or 0.0) <= 0:
+        return None
+    bins = bins or min(max(256, n), MOST_BINS)
     bin_of = lambda x: F.least(F.floor(x / total * bins), F.lit(bins - 1)).cast("int")
     low = F.col("cum") - F.col("weight")
     listed = cum.select("node_id", "cum", low.alias("low"), F.explode(F.sequence(bin_of(low), bin_of(F.col("cum")))).alias("bin"))
-    placed = draws.withColumn("__r", F.col("u") * total).withColumn("bin", bin_of(F.col("__r")))
-    hit = placed.join(listed, "bin").where((F.col("cum") >= F.col("__r")) & ((F.col("low") < F.col("__r")) | ((F.col("__r") == 0) & (F.col("low") <= 0))))
+    return draws.withColumn("__r", F.col("u") * total).withColumn("bin", bin_of(F.col("__r"))), listed
+
+
+def sample_nodes(draws: DataFrame, cum: DataFrame, bins: int | None = None) -> DataFrame:
+    """(draw columns, node_id): for each draw ``u`` in [0, 1) the first node whose cumulative weight reaches
+    ``u`` of the total. The range condition is checked within an equi-join on bins of equal weight.
+    """
+    if not (made := binned(draws, cum, bins)):
+        return draws.withColumn("node_id", F.lit(None).cast("long"))
+    hit = made[0].join(made[1], "bin").where((F.col("cum") >= F.col("__r")) & ((F.col("low") < F.col("__r")) | ((F.col("__r") == 0) & (F.col("low") <= 0))))
     return hit.select(*draws.columns, "node_id")
 
 

@@ -345,3 +345,14 @@ def test_continuations_join_nothing(spark):
     assert "Join" not in found._jdf.queryExecution().toString()
     # a two-way street of 40 parts: each goes on in its own direction, and ends at the border
     assert rows(found) == sorted([(2 * k, 2 * k + 2 if k < 39 else None) for k in range(40)] + [(2 * k + 1, 2 * k - 1 if k else None) for k in range(40)], key=repr)
+
+
+def test_a_draw_meets_few_nodes_however_many_there_are(spark):
+    """Of 20 000 nodes a bin of 256 held 79."""
+    i = F.col("id")
+    cum = spark.range(20_000).select(i.alias("node_id"), F.lit(1.0).alias("weight"), (i + 1).cast("double").alias("cum"))
+    draws = spark.range(5_000).select(i.alias("draw"), ((i * 7919 % 5_000 + 0.3) / 5_000).alias("u"))
+    placed, listed = demand.binned(draws, cum)
+    assert placed.join(listed, "bin").count() <= 3 * 5_000
+    got = {x.draw: x.node_id for x in demand.sample_nodes(draws, cum).collect()}
+    assert got == {k: k * 7919 % 5_000 * 4 + 1 for k in range(5_000)}
