@@ -1,6 +1,7 @@
 """Strongly connected parts of directed graphs, in rounds that grow with the logarithm of a chain.
 
-What decides itself goes first: nodes joined in both directions are one, nodes that nothing leads to, or that lead nowhere, are parts of
+Cells of neighbouring nodes are condensed first, each by a task: what lies on no way from the cell's rim to its rim is decided there, the parts of
+the rest go on as one node each. Of what is left, what decides itself goes first: nodes joined in both directions are one, nodes that nothing leads to, or that lead nowhere, are parts of
 their own together with the chains behind them, and a chain of nodes with one way in and one way out is one edge. Chains are
 followed by doubling. What is left is split by pivots drawn at random: each node takes the largest pivot that reaches it, and of
 the nodes of one pivot those that reach it back are its part. State lies in the shared folder and is deleted once it is used up.
@@ -8,9 +9,14 @@ the nodes of one pivot those that reach it back are its part. State lies in the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelake.operators.floods import by_stretch
 from ridelake.storage import counted, dropped, kept
 
 
@@ -149,11 +155,109 @@ def _split(pairs: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
     return found, kept(_without(within, found))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
+_INSIDE, _OUT, _IN = range(3)
+
+
+def _condensed(pairs: DataFrame, cell: Callable[[Column], Column]) -> DataFrame:
+    """(node, root, open): the parts of each cell by itself, named by their largest node, and whether a way from another cell to another cell
+    leads through. A pair between cells is known in both."""
+    a, b = cell(F.col("a")), cell(F.col("b"))
+    row = lambda c, kind: F.struct(c.alias("cell"), F.lit(kind).alias("kind"))
+    at = F.when(a == b, F.array(row(a, _INSIDE))).otherwise(F.array(row(a, _OUT), row(b, _IN)))
+    dealt = pairs.select("a", "b", F.inline(at)).repartition("cell").sortWithinPartitions("cell")
+    return kept(dealt.mapInArrow(_condense, "node long, root long, open boolean"))
+
+
+def _condense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place, rows = None, []
+    for batch in batches:
+        cells = batch.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)] if len(cells) else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if cells[i] != place and rows:
+                yield _parts(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+                rows = []
+            place = cells[i]
+            rows.append([batch.column(n).slice(i, j - i).to_numpy() for n in ("a", "b", "kind")])
+    if rows:
+        yield _parts(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+
+
+def _parts(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    """The parts of one cell."""
+    nodes = np.unique(np.concatenate([a[kind != _IN], b[kind != _OUT]]))
+    n = len(nodes)
+    x, y = (np.searchsorted(nodes, e[kind == _INSIDE]) for e in (a, b))
+    ahead, back = _neighbours(n, x, y), _neighbours(n, y, x)
+    part = np.array(_tarjan(n, *ahead), np.int64)
+    root = np.zeros(n, np.int64)
+    root[part] = nodes  # nodes ascend, so the largest of a part stays
+    through = _reach(n, *ahead, np.searchsorted(nodes, b[kind == _IN])) & _reach(n, *back, np.searchsorted(nodes, a[kind == _OUT]))
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root[part]), pa.array(through)], ["node", "root", "open"])
+
+
+def _neighbours(n: int, x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
+    order = np.argsort(x, kind="stable")
+    return np.searchsorted(x[order], np.arange(n + 1)).tolist(), y[order].tolist()
+
+
+def _reach(n: int, first: list[int], to: list[int], start: np.ndarray) -> np.ndarray:
+    seen, stack = bytearray(n), start.tolist()
+    while stack:
+        i = stack.pop()
+        if not seen[i]:
+            seen[i] = 1
+            stack += [j for j in to[first[i] : first[i + 1]] if not seen[j]]
+    return np.frombuffer(bytes(seen), np.uint8).astype(bool)
+
+
+def _tarjan(n: int, first: list[int], to: list[int]) -> list[int]:
+    """The number of each node's strongly connected part."""
+    low, part, at = [0] * n, [-1] * n, first[:n]
+    found, parts, stack = 0, 0, []
+    for start in range(n):
+        if low[start]:
+            continue
+        found += 1
+        low[start], way, number = found, [start], {start: found}
+        stack.append(start)
+        while way:
+            i = way[-1]
+            if at[i] < first[i + 1]:
+                j = to[at[i]]
+                at[i] += 1
+                if not low[j]:
+                    found += 1
+                    low[j] = number[j] = found
+                    way.append(j)
+                    stack.append(j)
+                elif part[j] < 0 and low[j] < low[i]:
+                    low[i] = low[j]
+                continue
+            way.pop()
+            if way and low[i] < low[way[-1]]:
+                low[way[-1]] = low[i]
+            if low[i] == number[i]:
+                while True:
+                    j = stack.pop()
+                    part[j] = parts
+                    if j == i:
+                        break
+                parts += 1
+    return part
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, hops: int = 4, cell: Callable[[Column], Column] = by_stretch) -> DataFrame:
     """(node_id, component): strongly connected components, named by their largest node."""
     all_ = lambda df: counted(df, n=F.count("*"))
     pairs, seen = all_(edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).where("a != b").distinct())
     layers: list[tuple[str, DataFrame]] = []
+    if seen["n"]:
+        local = _condensed(pairs, cell)
+        layers.append(("one", local.select("node", "root")))
+        for end in ("a", "b"):
+            pairs = pairs.join(local.where("open").select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+        pairs, seen = all_(pairs.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct())
     while n := seen["n"]:
         both, seen_both = all_(pairs.join(_turned(pairs), ["a", "b"], "left_semi"))
         if seen_both["n"]:

@@ -12,6 +12,7 @@ that has fewer distinct nodes, and a flood goes no further than the dearest of i
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 from math import ceil, inf
 
 import numpy as np
@@ -23,6 +24,8 @@ from ridelake.storage import counted, kept, shared_dir
 
 #: Nodes of a cell; sources for each task of a cell, as long as there are not more tasks than partitions; folders of edges.
 CELL, SOURCES, PARTS = 1 << 18, 8, 64
+#: Nodes that a flood takes one by one before it goes on in arrays: most of very many floods are small.
+NEAR = 500
 
 _ROW = "cell long, bucket int, source long, kind int, a long, b long, cost double, via long, there long"
 _LABEL = "cell long, source long, node long, cost double, via long, goal boolean"
@@ -159,6 +162,7 @@ class _Cell:
         self.outside = self.cells != cell
         self.width = float(np.median(w)) if len(w) else 0.0
         self.cost, self.waits = np.full(n, inf), np.zeros(n, bool)
+        self.lists: tuple[list, list, list] | None = None
         self.mark, self.last = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def places(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +183,13 @@ class _Cell:
     def flood(self, at: np.ndarray, cost: np.ndarray, most: float, goals: np.ndarray | None) -> np.ndarray:
         """Lower ``self.cost`` from these nodes on; the nodes that are reached. Beyond ``most``, or the dearest of ``goals`` where all are
         here, nothing is followed. Nodes go in steps of about one edge's cost, so few are taken twice."""
-        np.minimum.at(self.cost, at, cost)
-        open_ = self._once(at)
+        if len(at) < NEAR:
+            open_, first = self._nearest(at, cost, most, goals)
+        else:
+            np.minimum.at(self.cost, at, cost)
+            open_ = first = self._once(at)
         self.waits[open_] = True
-        reached = [open_]
+        reached = [first]
         while open_.size:
             here = self.cost[open_]
             low = here.min()
@@ -205,6 +212,35 @@ class _Cell:
             open_ = np.concatenate([open_, new])
         return self._once(np.concatenate(reached))
 
+    def _nearest(self, at: np.ndarray, cost: np.ndarray, most: float, goals: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Flood the first ``NEAR`` nodes one by one; the nodes from which it goes on, and those that are reached."""
+        if self.lists is None:
+            self.lists = (self.first.tolist(), self.to.tolist(), self.w.tolist())
+        first, to, w = self.lists
+        best: dict[int, float] = {}
+        for i, c in zip(at.tolist(), cost.tolist(), strict=True):
+            best[i] = min(c, best.get(i, inf))
+        heap = [(c, i) for i, c in best.items()]
+        heapify(heap)
+        left = None if goals is None else set(goals.tolist())
+        for _ in range(NEAR):
+            if not heap or heap[0][0] > most or left is not None and not left:
+                heap = []
+                break
+            c, i = heappop(heap)
+            if c > best[i]:
+                continue
+            if left is not None:
+                left.discard(i)
+            for k in range(first[i], first[i + 1]):
+                far, j = c + w[k], to[k]
+                if far <= most and far < best.get(j, inf):
+                    best[j] = far
+                    heappush(heap, (far, j))
+        reached = np.fromiter(best, np.int64, len(best))
+        self.cost[reached] = np.fromiter(best.values(), np.float64, len(best))
+        return np.array([i for c, i in dict.fromkeys(heap) if c == best[i]], np.int64), reached
+
     def last_edges(self, reached: np.ndarray, at: np.ndarray, cost: np.ndarray, via: np.ndarray) -> np.ndarray:
         """By place, of the nodes just reached: the smallest edge that brings a node's cost, or the one that an entry came by."""
         out = self.last
@@ -234,21 +270,24 @@ def _spread(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Recor
         kind, a, b, cost, via = (np.concatenate(x) for x in zip(*rows, strict=True))
         rows.clear()
         mine, asked = kind == _OPEN, kind == _GOAL
-        most = cost[kind == _BOUND].min(initial=inf)
+        most, guided = cost[kind == _BOUND].min(initial=inf), bool((kind == _BOUND).any())
         nodes, cost, via, goals = a[mine], cost[mine], via[mine], a[asked]
         (at, here), (goal_at, goal_here) = cell.places(nodes), cell.places(goals)
         all_here = len(goals) > 0 and len(goals) == b[asked][0] and goal_here.all()
         reached = cell.flood(at[here], cost[here], most, goal_at if all_here else None)
         shown = reached[cell.outside[reached] != whole]
-        label(cell.cells[shown], cell.nodes[shown], cell.cost[shown], cell.last_edges(reached, at[here], cost[here], via[here])[shown])
+        if len(shown):  # with goals only costs are asked for
+            label(cell.cells[shown], cell.nodes[shown], cell.cost[shown], _START if guided else cell.last_edges(reached, at[here], cost[here], via[here])[shown])
         if whole:
             label(place[0], nodes[~here], cost[~here], via[~here])
         elif len(goals):
             met = goal_at[goal_here]
             met = met[cell.cost[met] < inf]
-            label(place[0], cell.nodes[met], cell.cost[met], _START, True)
-            lone = np.isin(nodes, goals) & ~here
-            label(place[0], nodes[lone], cost[lone], _START, True)
+            if len(met):
+                label(place[0], cell.nodes[met], cell.cost[met], _START, True)
+            if not here.all():
+                lone = np.isin(nodes, goals) & ~here
+                label(place[0], nodes[lone], cost[lone], _START, True)
         cell.cost[reached] = inf
 
     for batch in batches:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ridelake.functions import roads
 from ridelake.functions.geo import haversine
 from ridelake.operators.components import looked_back, strong_components
+from ridelake.operators.floods import costs, routes  # noqa: F401 (roads.routes)
 from ridelake.operators.ordered import dense_ids, running_total
-from ridelake.operators.search import routes
 from ridelake.storage import kept
 
 
@@ -144,8 +144,13 @@ def unroutable(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     apart = kept(placed.where("NOT coalesce(a = b, false)"))
     between = edges.join(of("from_node", "a"), "from_node").join(of("to_node", "b"), "to_node").where("a != b").select("a", "b").distinct()
     steps = between.select(F.col("a").alias("from_node"), F.col("b").alias("to_node"), F.lit(1.0).alias("step"), F.lit(0).cast("long").alias("edge_id"))
-    found = routes(kept(steps), apart.where("a IS NOT NULL").select(F.col("a").alias("source")).distinct(), "step")
-    ways = found.select(F.col("source").alias("a"), F.col("node").alias("b"))
+    steps = kept(steps)
+    # only where something leads out of the one and into the other is there a way to look for
+    asked = apart.select(F.col("a").alias("from_node"), F.col("b").alias("to_node"))
+    for end in ("from_node", "to_node"):
+        asked = asked.join(steps.select(end), end, "left_semi")
+    found = costs(steps, asked, "step")
+    ways = found.where("cost IS NOT NULL").select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
     return apart.join(ways, ["a", "b"], "left_anti").select("from_node", "to_node")
 
 

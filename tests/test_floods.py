@@ -7,10 +7,10 @@ import random
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
-from test_search import frames, plain, street_grid
+from test_search import frames, plain, plain_components, street_grid
 
 from ridelake import storage
-from ridelake.operators import floods, matching, roads, search
+from ridelake.operators import components, floods, matching, roads, search
 
 
 def test_few_tables_for_a_graph_that_a_task_can_hold(spark, monkeypatch):
@@ -62,3 +62,27 @@ def test_routed_without_bounds(spark):
     asked = spark.createDataFrame([(r, d, d) for r in (100, 101) for d in (1, 2, 3, 4)], "request_id long, driver_id long, rank int")
     near = search.bounds(e, [0, 1], "weight_s")
     assert rows(matching.routed(asked, requests, drivers, e)) == rows(matching.routed(asked, requests, drivers, e, near))
+
+
+@pytest.mark.parametrize("nodes_of_a_cell", [7, 40, 1000])
+def test_components_across_cells(spark, nodes_of_a_cell):
+    """Parts inside a cell, parts through several, and what only leads in or out."""
+    r, n = random.Random(4), 150
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(170)] + [(i, i + 1) for i in range(40, 60)] + [(60, 40), (5, 6), (6, 5), (149, 0)]
+    nodes = spark.createDataFrame([(i,) for i in range(n + 2)], "node_id long")
+    e = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "edge_id long, from_node long, to_node long")
+    got = {x.node_id: x.component for x in components.strong_components(nodes, e, hops=2, cell=lambda c: F.floor(c / nodes_of_a_cell)).collect()}
+    assert got == plain_components(n + 2, pairs)
+
+
+def test_few_tables_for_components_of_a_cell(spark, monkeypatch):
+    """What a task can hold is decided by it."""
+    made, real = [], storage.kept
+    for module in (storage, components):
+        monkeypatch.setattr(module, "kept", lambda df: made.append(1) or real(df))
+    n, r = 300, random.Random(8)
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(400)]
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node_id long")
+    e = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "edge_id long, from_node long, to_node long")
+    got = {x.node_id: x.component for x in components.strong_components(nodes, e).collect()}
+    assert got == plain_components(n, pairs) and len(made) <= 5
