@@ -78,7 +78,8 @@ class _Steps:
         e = e.withColumn("part", F.pmod("cell", F.lit(PARTS)).cast("int"))
         e.repartition("part").write.partitionBy("part").parquet(path)
         self.table = spark.read.schema(e.schema).parquet(path)
-        self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # a cell's edges go to each of its tasks, so there are no more tasks in all than partitions
+        self.tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, self.table.select("cell").distinct().count()))
 
     def bucket(self, sources: int) -> Column:
         return F.pmod(F.xxhash64("source"), F.lit(max(1, min(ceil(sources / SOURCES), self.tasks)))).cast("int")
